@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartloom.llm import avi, bpe, packing, sharding, simhash, tokenfiles
+from chartloom.llm import avi, bpe, langid, linedup, packing, quality, sharding, simhash, tokenfiles, warc
 from chartloom.llm.shared import table, written
 
 
@@ -15,6 +15,22 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(langid.document_evidence(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator over web pages, whose markup and addresses are evidence; the text model is that of the documents."""
+    fitted = langid.fit(langid.document_evidence(table(spark, sf_dir, "documents")))
+    return langid.identify(langid.page_evidence(table(spark, sf_dir, "pages")), fitted).withColumnRenamed("id", "page_id")
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captured = F.lit(1_600_000_000) + F.pmod(F.xxhash64("page_id"), F.lit(100_000_000))  # the table has no times
+    index = warc.capture_index(table(spark, sf_dir, "pages").select("page_id", "url", "html", captured.alias("ts")))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
@@ -24,6 +40,16 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=50)
+    return found.select("doc_id", "text", "removed_lines", "removed_words")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *quality.BASE, "base_failed", "kept")
+
+
 def op8_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = written(avi.write_media(table(spark, sf_dir, "documents")), "media")
     read = avi.read_media(media)
@@ -41,8 +67,20 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op4_packing, op5_sharding, op8_avi, op9_token_files, op10_bpe)}
+    every = (op1_simhash, op2_language, op3_warc, op4_packing, op5_sharding, op6_line_dedup, op7_quality, op8_avi, op9_token_files, op10_bpe, pages_language)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc": _WARC}
+
+
+_WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+     d AS (SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest FROM p),
+     f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+       CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first < page_id THEN first END AS refers_to
+FROM d LEFT JOIN f USING (payload_digest)
+"""
