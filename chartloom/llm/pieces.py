@@ -63,7 +63,7 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
 class Kept:
     """Ids by piece: a number for each piece met, and for each number a run of one array. Emptied beyond ``most``."""
 
-    def __init__(self, most: int = 1_000_000) -> None:
+    def __init__(self, most: int = 700_000) -> None:
         self.most = most
         self.clear()
 
@@ -134,7 +134,7 @@ class Library(Kept):
 
     lower = False
 
-    def __init__(self, path: str, most: int = 1_000_000) -> None:
+    def __init__(self, path: str, most: int = 700_000) -> None:
         from tokenizers import Tokenizer
 
         super().__init__(most)

@@ -80,7 +80,7 @@ def holds(rule: list[Condition]) -> Column:
     return out
 
 
-def learn(labelled: DataFrame, most: int = 20_000, bins: int = 16, rules: int = 6, conditions: int = 3, precision: float = 0.85, support: int = 10) -> list[list[Condition]]:
+def learn(labelled: DataFrame, most: int = 20_000, bins: int = 16, rules: int = 6, conditions: int = 3, precision: float = 0.95, support: int = 10) -> list[list[Condition]]:
     """Rules for bad documents, in order; ``labelled``: FEATURES and bad (boolean). A sample of about ``most`` rows is used."""
     n = labelled.count()
     sample = labelled.select("doc_id", *[F.col(f).cast("double").alias(f) for f in FEATURES], "bad").filter(F.pmod(F.xxhash64("doc_id", F.lit("label")), F.lit(1_000_000)) < int(1_000_000 * min(1, most / max(1, n))))

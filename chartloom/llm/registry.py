@@ -11,7 +11,7 @@ from chartloom.llm.shared import table, written
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, budget=4)
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, budget=4, similarity=None)
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
 
 

@@ -15,6 +15,12 @@ task's two subtrees stay small. A task returns only a spanning forest (one row p
 a rising budget, leaving out pairs of subtrees that are already one component, so a large group of near copies costs
 little more than its size. Components are closed by alternating stars over the remaining edges, written between rounds.
 
+Similarity: texts with four in five shingles in common differ in 5 to 17 bits of 64, which no trie walk can afford. Where a
+``similarity`` is asked for, links from minima of the shingles' hashes are added: documents that share one of 16 bands of 6
+minima meet, and are linked if their 96 minima agree to nearly that share. A bucket is dealt into chunks; in each chunk
+members are compared with leaders only (a member that resembles no leader becomes one), and leaders of chunks meet once
+more, so a large group of near copies is never compared pair by pair.
+
 Exact copies share one fingerprint and enter once. Edge cases: null and empty texts have fingerprint zero and link like
 any other; shorter texts are one shingle; extra columns are ignored; an empty table gives an empty result.
 """
@@ -46,23 +52,83 @@ def hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.array([digest(joined[a : b - 1], 42) for a, b in zip(starts, starts[size:], strict=False)], np.uint64)
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """As a signed 64-bit integer."""
-    h = hashes(text, shingle)
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of hashes, as a signed 64-bit integer."""
     counts = np.zeros(64, np.int64)
     for i in range(0, len(h), 8192):
         counts += np.unpackbits(h[i : i + 8192].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
     return int.from_bytes(np.packbits(2 * counts > len(h)).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id and fp, a signed long."""
+def fingerprint(text: str | None, shingle: int) -> int:
+    return majority(hashes(text, shingle))
+
+
+#: 16 bands of 6 minima: of pairs at similarity 0.8, 99 in 100 share a band.
+BANDS, ROWS = 16, 6
+_MIX = np.random.default_rng(42).integers(1, 1 << 63, (2, BANDS * ROWS), np.uint64) | np.uint64(1)
+
+
+def minima(h: np.ndarray) -> np.ndarray:
+    """The least hash under each of BANDS * ROWS mixings."""
+    least = np.full(BANDS * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
+    for i in range(0, len(h), 2048):
+        mixed = h[i : i + 2048, None] * _MIX[0]
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= _MIX[1]
+        least = np.minimum(least, mixed.min(axis=0))
+    return least
+
+
+_SKETCH = _PRINT.append(pa.field("sketch", pa.binary())).append(pa.field("bands", pa.list_(pa.int64())))
+
+
+def fingerprints(docs: DataFrame, shingle: int, sketch: bool = False) -> DataFrame:
+    """doc_id and fp, a signed long; with ``sketch`` also the minima's low 16 bits and the hashes of the bands."""
+    schema = _SKETCH if sketch else _PRINT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
-            yield batch_of(_PRINT, {"doc_id": block["doc_id"], "fp": [fingerprint(x, shingle) for x in block["text"].to_pylist()]})
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+            found = []
+            for text in block["text"].to_pylist():
+                h = hashes(text, shingle)
+                least = minima(h) if sketch else None
+                bands = np.bitwise_xor.reduce(least.reshape(BANDS, ROWS) * np.arange(1, 2 * ROWS, 2, np.uint64), axis=1).view(np.int64) if sketch else None
+                found.append((majority(h), *([(least & np.uint64(0xFFFF)).astype("<u2").tobytes(), bands.tolist()] if sketch else [])))
+            yield batch_of(schema, {"doc_id": block["doc_id"]} | dict(zip(schema.names[1:], zip(*found, strict=True), strict=True)))
+
+    out = "doc_id long, fp long" + (", sketch binary, bands array<long>" if sketch else "")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, out)
+
+
+def similar_links(nodes: DataFrame, similarity: float, chunk: int = 512) -> DataFrame:
+    """Edges (a, b) between nodes (rep, sketch, bands) that share a band and agree in nearly ``similarity`` of their minima."""
+    least = similarity - 0.04  # the share of 96 minima scatters by 0.04 around the similarity
+    rows = nodes.select("rep", F.posexplode("bands").alias("band", "h"))
+    shared = rows.groupBy("band", "h").agg(F.count("*").alias("n")).filter("n > 1")
+    members = rows.join(shared, ["band", "h"]).join(nodes.select("rep", "sketch"), "rep")
+    out = "band int, h long, n long, rep long, sketch binary, b long"
+
+    def run(key: tuple, got: pa.Table) -> pa.Table:
+        got = got.sort_by("rep")
+        sketches = np.frombuffer(b"".join(got["sketch"].to_pylist()), "<u2").reshape(got.num_rows, -1)
+        rep = got["rep"].to_numpy()
+        leaders, edges = np.empty(0, np.int64), []
+        for i in range(len(rep)):
+            share = (sketches[leaders] == sketches[i]).mean(axis=1) if len(leaders) else np.empty(0)
+            near = share >= least
+            edges += [(i, x) for x in leaders[near]]
+            if not (share >= 0.5 + least / 2).any():
+                leaders = np.append(leaders, i)
+        pick = np.concatenate([np.array([e[0] for e in edges], np.int64), leaders])
+        other = [int(rep[e[1]]) for e in edges] + [None] * len(leaders)
+        part = got.select(["band", "h", "n", "rep", "sketch"]).take(pa.array(pick))
+        return part.append_column("b", pa.array(other, pa.int64()))
+
+    dealt = members.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / chunk)))
+    first = written(dealt.groupBy("band", "h", "chunk").applyInArrow(run, out), "leaders")
+    second = first.filter(F.col("b").isNull() & (F.col("n") > chunk)).drop("b").groupBy("band", "h").applyInArrow(run, out)
+    return first.unionByName(second).filter("b IS NOT NULL").select(F.col("rep").alias("a"), "b")
 
 
 class _Forest:
@@ -198,11 +264,17 @@ def _star(pairs: DataFrame, large: str | None) -> DataFrame:
     return out.filter("a <> b").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, budget: int = 4) -> DataFrame:
-    """doc_id, fp and component_id, the smallest doc_id that can be reached over links of at most ``budget`` bits."""
-    prints = written(fingerprints(docs, shingle), "prints")
+def near_duplicates(docs: DataFrame, shingle: int = 5, budget: int = 4, similarity: float | None = 0.8) -> DataFrame:
+    """doc_id, fp and component_id, the smallest doc_id that can be reached over links: fingerprints of at most ``budget``
+    differing bits and, unless ``similarity`` is None, texts whose shingles are that similar."""
+    prints = written(fingerprints(docs, shingle, similarity is not None), "prints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    found = components(links(distinct, budget))
+    edges = links(distinct, budget)
+    if similarity is not None:
+        nodes = written(prints.groupBy("fp", "sketch").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "nodes")
+        own = nodes.select("fp", F.col("rep").alias("a")).join(distinct, "fp").select("a", F.col("rep").alias("b"))
+        edges = edges.unionByName(own).unionByName(similar_links(nodes, similarity))
+    found = components(edges)
     named = distinct.join(found, distinct.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
