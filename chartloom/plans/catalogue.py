@@ -1,9 +1,590 @@
 """All queries over the given tables, by name, with their SQL."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chartloom.functions import privacy, rules, scores, text
+from chartloom.operators import audit, coding, correct, metrics, ocr, prompts, routing, validate, vectors
+from chartloom.plans import views
+from chartloom.plans.views import Views
+from chartloom.sources import files, sinks
+from chartloom.streaming import jobs
+
+_QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query over the views under its function's name; {unit:x} isn't used, SQL is given as it runs."""
+
+    def keep(f: Callable[[Views], DataFrame]):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: (lambda spark, sf_dir, f=f: f(Views(spark, sf_dir))) for name, f in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def r6(c, digits: int = 6):
+    return F.round(c, digits)
+
+
+_U = views.UNIT.format
+_MEANS = f"""SELECT doc_id,
+    coalesce(avg(conf) FILTER (type IN ('LINE','WORD') AND conf > 0), 0.0) AS router,
+    {_U("avg(conf) FILTER (type IN ('LINE','WORD'))")} AS aggregator,
+    coalesce(avg(conf) FILTER (type = 'LINE'), 0.0) AS metrics,
+    greatest(0.0, least(100.0, 100 - coalesce(avg(conf) FILTER (type = 'LINE'), 0.0))) AS error_proxy,
+    coalesce(avg(conf) FILTER (type = 'WORD') / 100, 0.5) AS portal FROM blocks GROUP BY 1"""
+
+
+# scores and routing
+
+
+@query(f"""WITH {views.BLOCKS}, {views.ENTITIES}, m AS ({_MEANS}),
+e AS (SELECT doc_id % 100 AS doc_id, coalesce(avg({_U("score")}) FILTER (source = 'comprehend_medical'), 0.0) AS comprehend,
+      coalesce(avg({_U("score")}) FILTER (source = 'semantic_fallback'), 0.0) AS faiss FROM entities GROUP BY 1),
+l AS (SELECT user_id AS doc_id, {_U("avg(value)")} AS llm FROM events WHERE event_type = 'purchase' GROUP BY 1),
+c AS (SELECT m.doc_id, m.aggregator AS textract, coalesce(e.comprehend, 0.0) AS comprehend, coalesce(e.faiss, 0.0) AS faiss, coalesce(l.llm, 0.0) AS llm_logprobs
+      FROM m LEFT JOIN e USING (doc_id) LEFT JOIN l USING (doc_id)),
+s AS (SELECT *, round_even(0.25 * textract + 0.25 * comprehend + 0.25 * faiss + 0.25 * llm_logprobs, 6) AS f FROM c)
+SELECT doc_id, round(textract, 9) AS textract, round(comprehend, 9) AS comprehend, round(faiss, 9) AS faiss, round(llm_logprobs, 9) AS llm_logprobs, f AS final_score,
+       CASE WHEN f >= 0.55 THEN 'bypass_database' ELSE 'human_review' END AS route FROM s""")
+def route_final(v: Views) -> DataFrame:
+    """OCR, coding, fallback and model scores of each document, joined, weighted and routed."""
+    conf = ocr.mean_confidences(v.blocks()).select("doc_id", F.col("aggregator").alias("textract"))
+    means = routing.entity_source_means(v.entities().withColumn("doc_id", F.col("doc_id") % 100))
+    llm = v.table("events").filter("event_type = 'purchase'").groupBy(F.col("user_id").alias("doc_id")).agg(scores.unit_interval(F.avg("value")).alias("llm"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    parts = conf.join(means, "doc_id", "left").join(llm, "doc_id", "left").select("doc_id", "textract", zero("comprehend").alias("comprehend"), zero("faiss").alias("faiss"), zero("llm").alias("llm_logprobs"))
+    routed = routing.route_final(parts, 0.55)
+    return routed.select("doc_id", *[r6(k, 9).alias(k) for k in scores.COMPONENTS], "final_score", "route")
+
+
+@query(f"WITH {views.BLOCKS} SELECT doc_id, string_agg(text, chr(10) ORDER BY pos) AS text FROM blocks WHERE type = 'LINE' AND text <> '' GROUP BY 1")
+def ocr_text(v: Views) -> DataFrame:
+    return ocr.lines_text(v.blocks(), "\n")
+
+
+@query(f"WITH {views.BLOCKS}, p AS (SELECT doc_id, page, string_agg(text, ' ' ORDER BY pos) AS text, avg(conf) AS conf FROM blocks GROUP BY 1, 2) SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY page) AS text, round(avg(conf), 6) AS conf FROM p WHERE trim(text) <> '' GROUP BY 1")
+def concat_pages(v: Views) -> DataFrame:
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "text")))
+    pages = v.blocks().groupBy("doc_id", "page").agg(F.array_join(F.transform(ordered, lambda x: x.text), " ").alias("text"), F.avg("conf").alias("conf"))
+    return ocr.concat_pages(pages).withColumn("conf", r6("conf"))
+
+
+@query(f"WITH {views.BLOCKS}, m AS ({_MEANS}) SELECT doc_id, round(router, 6) AS router, round(aggregator, 6) AS aggregator, round(metrics, 6) AS metrics, round(error_proxy, 6) AS error_proxy, round(portal, 6) AS portal FROM m")
+def ocr_confidences(v: Views) -> DataFrame:
+    return ocr.mean_confidences(v.blocks()).select("doc_id", *[r6(c).alias(c) for c in ("router", "aggregator", "metrics", "error_proxy", "portal")])
+
+
+@query(f"WITH {views.BLOCKS}, m AS ({_MEANS}) SELECT CASE WHEN router >= 80 THEN 'tracks' ELSE 'refinement' END AS route, count(*) AS n FROM m GROUP BY 1")
+def route_by_ocr(v: Views) -> DataFrame:
+    return ocr.route_counts(ocr.route_by_ocr(ocr.mean_confidences(v.blocks()), 80.0))
+
+
+@query(f"""WITH {views.ENTITIES} SELECT doc_id, round(coalesce(avg({_U("score")}) FILTER (source = 'comprehend_medical'), 0.0), 6) AS comprehend,
+round(coalesce(avg({_U("score")}) FILTER (source = 'semantic_fallback'), 0.0), 6) AS faiss FROM entities GROUP BY 1""")
+def entity_source_means(v: Views) -> DataFrame:
+    return routing.entity_source_means(v.entities()).select("doc_id", r6("comprehend").alias("comprehend"), r6("faiss").alias("faiss"))
+
+
+@query(f"WITH {views.ENTITIES} SELECT doc_id, coalesce(round_even(CASE WHEN sum(quantity) > 0 THEN sum(quantity / 61 * (quantity / 61)) / sum(quantity / 61) END, 4), 0.0) AS confidence FROM entities GROUP BY 1")
+def self_weighted_confidence(v: Views) -> DataFrame:
+    return v.entities().groupBy("doc_id").agg(scores.self_weighted_confidence(F.col("quantity") / 61).alias("confidence"))
+
+
+@query(f"""WITH {views.COMPONENTS}, u AS (SELECT doc_id, {_U("textract")} AS t, {_U("comprehend")} AS c, {_U("faiss")} AS f, {_U("llm_logprobs")} AS l FROM components),
+s AS (SELECT doc_id, round_even(0.4 * t + 0.3 * c + 0.2 * f + 0.1 * l, 6) AS score FROM u)
+SELECT doc_id, score, CASE WHEN score >= 0.5 THEN 'high' WHEN score >= 0.45 THEN 'medium' ELSE 'low' END AS band FROM s""")
+def weighted_scores(v: Views) -> DataFrame:
+    """Components through unit_interval, weights 4:3:2:1, and the band of the score."""
+    unit = {k: scores.unit_interval(F.col(k)) for k in scores.COMPONENTS}
+    weights = {k: F.lit(w) for k, w in zip(scores.COMPONENTS, (0.4, 0.3, 0.2, 0.1), strict=True)}
+    scored = v.components().select("doc_id", scores.weighted_score(unit, weights).alias("score"))
+    return scored.withColumn("band", scores.confidence_band(F.col("score"), 0.5, 0.45))
+
+
+@query(f"""WITH {views.COMPONENTS} SELECT doc_id, round(CASE WHEN doc_id % 3 = 0 THEN 0.5 * {_U("textract")} + 0.5 * {_U("llm_logprobs")}
+ELSE 0.4 * {_U("textract")} + 0.2 * {_U("comprehend")} + 0.4 * {_U("llm_logprobs")} END, 6) AS score FROM components""")
+def unified_confidence(v: Views) -> DataFrame:
+    unit = lambda c: scores.unit_interval(F.col(c))
+    kind = F.when(F.col("doc_id") % 3 == 0, "111 First ED Report").otherwise("Letter")
+    return v.components().select("doc_id", r6(scores.unified_confidence(unit("textract"), unit("comprehend"), unit("llm_logprobs"), kind)).alias("score"))
+
+
+@query(f"""WITH {views.COMPONENTS}, u AS (SELECT doc_id, {_U("textract")} AS s FROM components) SELECT doc_id, CASE WHEN s >= 0.6 THEN 'high' WHEN s >= 0.75 * 0.6 THEN 'check' ELSE 'low' END AS badge,
+s >= 0.45 AND s < 0.6 AS second_pass FROM u""")
+def quality_badges(v: Views) -> DataFrame:
+    s = scores.unit_interval(F.col("textract"))
+    return v.components().select("doc_id", scores.quality_badge(s, F.lit(0.6)).alias("badge"), routing.needs_second_pass(s, 0.45, 0.6).alias("second_pass"))
+
+
+@query("SELECT event_type AS stage, CASE WHEN max(value) <= 0 THEN 0.0 ELSE round_even((max(value) - avg(value)) / max(value) * 100, 2) END AS savings FROM events GROUP BY 1")
+def cost_savings(v: Views) -> DataFrame:
+    return v.table("events").groupBy(F.col("event_type").alias("stage")).agg(F.max("value").alias("a"), F.avg("value").alias("b")).select("stage", scores.cost_savings(F.col("a"), F.col("b")).alias("savings"))
+
+
+_REFINED = f"""{views.BLOCKS}, p AS (SELECT *, avg(conf / 100) OVER (PARTITION BY doc_id, page) AS page_conf FROM blocks),
+r AS (SELECT *, CASE WHEN page_conf < 0.9 AND regexp_matches(lower(text), 'the') THEN least(0.95, conf / 100 + 0.1) ELSE conf / 100 END AS refined FROM p)"""
+
+
+@query(f"WITH {_REFINED} SELECT doc_id, pos, round(refined, 6) AS refined, refined < 0.85 AS escalate FROM r")
+def refine_elements(v: Views) -> DataFrame:
+    given = v.blocks().withColumn("conf", F.col("conf") / 100)
+    return ocr.refine_elements(given, classify=lambda t: rules.first_match(t, [("WORD", ["the"])], None)).select("doc_id", "pos", r6("refined").alias("refined"), "escalate")
+
+
+@query(f"""WITH {_REFINED} SELECT doc_id, page, round(coalesce(least(1.0, avg(refined) FILTER (refined >= 0.85)), 0.0), 6) AS quality,
+round(least(1.0, least(0.3, 0.1 * count(*) FILTER (type = 'TABLE')) + least(0.3, 0.05 * count(*) FILTER (type = 'TITLE')) + least(0.4, 0.2 * 1.5)), 6) AS complexity FROM r GROUP BY 1, 2""")
+def page_quality(v: Views) -> DataFrame:
+    given = v.blocks().withColumn("conf", F.col("conf") / 100)
+    refined = ocr.refine_elements(given, classify=lambda t: rules.first_match(t, [("WORD", ["the"])], None)).withColumn("megapixels", F.lit(1.5))
+    return ocr.page_quality(refined).select("doc_id", "page", r6("quality").alias("quality"), r6("complexity").alias("complexity"))
+
+
+@query(f"WITH {views.ENTITIES} SELECT tier, count(*) AS n FROM (SELECT CASE WHEN category = 'A' THEN 'diagnosis' WHEN score >= 0.7 THEN 'significant' WHEN score >= 0.3 THEN 'minor' ELSE 'problem' END AS tier FROM entities) GROUP BY 1")
+def tier_entities(v: Views) -> DataFrame:
+    traits = F.when(F.col("category") == "A", F.array(F.lit("DIAGNOSIS"))).otherwise(F.array().cast("array<string>"))
+    return routing.tier_entities(v.entities().withColumn("traits", traits)).groupBy("tier").agg(F.count("*").alias("n"))
+
+
+@query("""WITH t AS (SELECT l_returnflag AS letter_type, avg(l_discount) * 10 AS threshold FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1)
+SELECT l_returnflag AS letter_type, count(*) FILTER (l_discount * 10 < coalesce(threshold, 0.72)) AS n FROM lineitem LEFT JOIN t ON letter_type = l_returnflag GROUP BY 1""")
+def review_required(v: Views) -> DataFrame:
+    given = v.table("lineitem").select(F.col("l_returnflag").alias("letter_type"), (F.col("l_discount") * 10).alias("score"))
+    bars = v.table("lineitem").filter("l_returnflag IN ('A', 'R')").groupBy(F.col("l_returnflag").alias("letter_type")).agg((F.avg("l_discount") * 10).alias("threshold"))
+    return routing.review_required(given, bars).groupBy("letter_type").agg(F.count_if("review_required").alias("n"))
+
+
+@query("SELECT doc_id, regexp_matches(lower(text), '(license|password|the)') AS sensitive, CASE WHEN regexp_matches(lower(text), 'license') THEN 'licensed' WHEN regexp_matches(lower(text), '(http|www)') THEN 'linked' ELSE 'Clinical Letter' END AS kind FROM documents")
+def classify_documents(v: Views) -> DataFrame:
+    kinds = [("licensed", ["license"]), ("linked", ["http", "www"])]
+    return v.table("documents").select("doc_id", rules.is_sensitive(F.col("text"), markers=["license", "password", "the"]).alias("sensitive"), rules.letter_type(F.col("text"), kinds).alias("kind"))
+
+
+# text
+
+
+@query("SELECT doc_id, len(w)::INT AS words, array_to_string(CASE WHEN len(w) <= 333 THEN w ELSE w[(len(w) - 333) // 2 + 1 : (len(w) - 333) // 2 + 333] END, ' ') AS middle FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents)")
+def truncate_center(v: Views) -> DataFrame:
+    return v.table("documents").select("doc_id", F.size(text.words(F.col("text"))).alias("words"), text.truncate_center(F.col("text")).alias("middle"))
+
+
+@query("SELECT doc_id, (g * 450)::INT AS start, least(g * 450 + 500, length(text))::INT AS \"end\", md5(CASE WHEN length(text) <= 500 THEN text ELSE trim(substring(text, g * 450 + 1, 500), ' ') END) AS chunk_md5 FROM (SELECT doc_id, text, unnest(CASE WHEN length(text) <= 500 THEN [0] ELSE range(0, (length(text) - 1) // 450 + 1) END) AS g FROM documents)")
+def chunk_text(v: Views) -> DataFrame:
+    """Chunks of fixed length; sentence ends are looked for by ``chunk_sentences``."""
+    rows = v.table("documents").select("doc_id", F.explode(text.chunk_spans(F.col("text"))).alias("c"))
+    return rows.select("doc_id", "c.start", "c.end", F.md5("c.chunk").alias("chunk_md5"))
+
+
+@query()
+def chunk_sentences(v: Views) -> DataFrame:
+    return text.chunk_rows(v.table("documents").withColumn("doc_type", F.lit("lab_report")))
+
+
+@query("SELECT doc_id, (g * 1000)::INT AS slice_offset, md5(substring(text, g * 1000 + 1, 1000)) AS part_md5 FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 999) // 1000)) AS g FROM documents)")
+def slice_text(v: Views) -> DataFrame:
+    rows = v.table("documents").select("doc_id", F.explode(text.slice_text(F.col("text"), 1000)).alias("s"))
+    return rows.select("doc_id", F.col("s.offset").alias("slice_offset"), F.md5("s.part").alias("part_md5"))
+
+
+@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents),
+n AS (SELECT doc_id, w, coalesce(list_min(list_filter(list_transform(w, lambda x, i: CASE WHEN starts_with(regexp_replace(lower(x), '[^a-z0-9]+', '', 'g'), 'in') THEN i - 1 END), lambda i: i IS NOT NULL)), -1) AS a FROM w),
+b AS (SELECT *, greatest(0, a - 37) AS s, least(len(w), greatest(0, a - 37) + 75) AS e FROM n),
+c AS (SELECT *, (e - s < 50) AND len(w) > 50 AS short, greatest(0, s - (50 - (e - s))) AS k FROM b)
+SELECT doc_id, array_to_string(CASE WHEN a < 0 THEN w[1:75] WHEN short THEN w[k + 1 : least(len(w), greatest(e, k + 50))] ELSE w[s + 1 : e] END, ' ') AS around FROM c""")
+def context_window(v: Views) -> DataFrame:
+    return v.table("documents").select("doc_id", text.context_window(F.col("text"), F.lit("In.")).alias("around"))
+
+
+@query("SELECT doc_id, len(t)::INT AS tokens, array_to_string(list_sort(t), ' ') AS words FROM (SELECT doc_id, list_distinct(regexp_extract_all(lower(regexp_replace(text, '[^ -~]', '', 'g')), '\\b[a-zA-Z][a-zA-Z0-9\\-]{2,}\\b')) AS t FROM documents WHERE lang = 'en')")
+def clinical_tokens(v: Views) -> DataFrame:
+    t = text.clinical_tokens(F.regexp_replace("text", "[^ -~]", ""))
+    return v.table("documents").filter("lang = 'en'").select("doc_id", t.alias("t")).select("doc_id", F.size("t").alias("tokens"), F.array_join(F.array_sort("t"), " ").alias("words"))
+
+
+@query("SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(lower(text), '(license|licensed)'), regexp_extract_all(lower(text), '(disgusting|stupid)')))), ',') AS terms FROM documents")
+def keyword_terms(v: Views) -> DataFrame:
+    return v.table("documents").select("doc_id", F.array_join(F.array_sort(text.keyword_terms(F.col("text"), ["(license|licensed)", "(disgusting|stupid)"])), ",").alias("terms"))
+
+
+@query("SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(regexp_replace(text, '[^ -~]', ' ', 'g'), '\\b([A-Z]\\d{2}(?:\\.\\d{1,2})?)\\b', 1))), ',') AS codes FROM documents")
+def icd_codes(v: Views) -> DataFrame:
+    return v.table("documents").select("doc_id", F.array_join(F.array_sort(rules.icd_codes(F.regexp_replace("text", "[^ -~]", " "))), ",").alias("codes"))
+
+
+@query()
+def letter_fields(v: Views) -> DataFrame:
+    """Fields, medications and demographics of every text; golden letters are in the tests."""
+    d = v.table("documents").select("doc_id", rules.structured_fields(F.col("text")).alias("f"), rules.patient_info(F.col("text")).alias("p"), rules.medications(F.col("text")).alias("m"), rules.infer_sex(F.col("text")).alias("sex"))
+    return d.select("doc_id", "f.*", F.col("p.name").alias("name"), F.size("m").alias("medications"), "sex")
+
+
+@query("SELECT page_id, regexp_extract(url, '[^/]*$') AS last_part, coalesce(try_cast(nullif(regexp_extract(regexp_replace(regexp_extract(url, '[^/]*$'), '\\.[^.]*$', ''), '^(.*)page(\\d+)$', 2), '') AS INT), 0) AS page FROM pages")
+def page_names(v: Views) -> DataFrame:
+    parsed = files.parse_page_name(v.table("pages"), "url")
+    return parsed.select("page_id", F.regexp_extract("url", "[^/]*$", 0).alias("last_part"), "page")
+
+
+# privacy
+
+_ANON = "text"
+for _k, _p in privacy.PATTERNS.items():
+    _ANON = f"regexp_replace({_ANON}, '{_p}', '[{_k.upper()}_REDACTED]', 'gi')"
+for _t in privacy.TITLES:
+    _ANON = f"regexp_replace({_ANON}, '\\b{_t}\\.?\\s+[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)?', '{_t}. [NAME_REDACTED]', 'g')"
+_MASK = "text"
+for _p, _t in privacy.LOG_PATTERNS:
+    _MASK = f"regexp_replace({_MASK}, '{_p}', '{_t}', 'gi')"
+_ASCII = "(SELECT doc_id, regexp_replace(text, '[^ -~\\n]', '', 'g') AS text FROM documents)"
+
+
+@query(f"SELECT doc_id, md5({_ANON}) AS masked_md5 FROM {_ASCII}")
+def anonymise(v: Views) -> DataFrame:
+    plain = v.table("documents").withColumn("text", F.regexp_replace("text", r"[^ -~\n]", ""))
+    return plain.select("doc_id", F.md5(privacy.anonymise(F.col("text")).getField("text")).alias("masked_md5"))
+
+
+@query(f"SELECT doc_id, md5(m) AS masked_md5, m <> text AND regexp_matches(m, 'REDACTED') AS verified FROM (SELECT doc_id, text, {_MASK} AS m FROM {_ASCII})")
+def mask_patterns(v: Views) -> DataFrame:
+    plain = v.table("documents").withColumn("text", F.regexp_replace("text", r"[^ -~\n]", ""))
+    masked = plain.withColumn("m", privacy.mask_patterns(F.col("text")))
+    return masked.select("doc_id", F.md5("m").alias("masked_md5"), ((F.col("m") != F.col("text")) & F.contains("m", F.lit("REDACTED"))).alias("verified"))
+
+
+@query("SELECT doc_id, substring(sha256(doc_id::VARCHAR), 1, 16) AS hashed, array_to_string(list_filter(['@', 'NHS', 'MRN'], lambda m: contains(text, m) AND NOT contains(text, 'REDACTED')), ',') AS residual FROM documents")
+def hashed_ids(v: Views) -> DataFrame:
+    return v.table("documents").select("doc_id", privacy.hash_id(F.col("doc_id")).alias("hashed"), F.array_join(privacy.residual_pii(F.col("text")), ",").alias("residual"))
+
+
+@query()
+def detected_spans(v: Views) -> DataFrame:
+    """Personal data found by the default detector, masked as pseudonyms, with counts by type."""
+    found = v.table("documents").select("doc_id", "text", privacy.detect_spans(F.col("text")).alias("spans"))
+    return found.select("doc_id", F.size("spans").alias("n"), F.md5(privacy.mask_spans(F.col("text"), F.col("spans"))).alias("masked_md5"))
+
+
+@query("SELECT document_id, n AS entity_count, types FROM (SELECT document_id, sum(c)::BIGINT AS n, string_agg(change_type || '=' || c, ',' ORDER BY change_type) AS types FROM (SELECT user_id % 97 AS document_id, CASE event_type WHEN 'click' THEN 'SNOMED_STATUS' WHEN 'view' THEN 'SUMMARY_EDIT' ELSE 'OTHER' END AS change_type, count(*) AS c FROM events GROUP BY 1, 2) GROUP BY 1)")
+def phi_summary(v: Views) -> DataFrame:
+    found = metrics.phi_summary(v.audit().select(F.col("document_id"), F.col("change_type").alias("type")), "document_id")
+    listed = F.array_join(F.transform(F.array_sort(F.map_entries("counts_by_type")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return found.select("document_id", "entity_count", listed.alias("types"))
+
+
+# coding and lookups
+
+
+@query(f"""WITH {views.ENTITIES}, d AS (SELECT lower(trim(p_name)) AS key, min(p_brand) AS code FROM part GROUP BY 1)
+SELECT e.doc_id, count(*) AS n, count(d.code) AS mapped FROM entities e JOIN part p ON p.p_partkey = e.code LEFT JOIN d ON d.key = lower(trim(p.p_name)) GROUP BY 1""")
+def map_terms(v: Views) -> DataFrame:
+    named = v.entities().join(v.table("part").select(F.col("p_partkey").alias("code"), F.col("p_name").alias("term")), "code").drop("code")
+    return coding.map_terms(named, v.dictionary()).groupBy("doc_id").agg(F.count("*").alias("n"), F.count("code").alias("mapped"))
+
+
+@query("""WITH d AS (SELECT lower(n_name) AS name, lower(substring(n_name, 1, 3)) AS alias FROM nation), a AS (SELECT name AS alias, name AS canonical, 0 AS p FROM d UNION ALL SELECT alias, name, 1 FROM d),
+b AS (SELECT alias, arg_min(canonical, (p, canonical)) AS canonical FROM a GROUP BY 1)
+SELECT event_id, canonical, canonical IS NOT NULL AS found FROM events LEFT JOIN b ON b.alias = lower(substring(props, 3, 1) || substring(event_type, 1, 2))""")
+def drug_lookup(v: Views) -> DataFrame:
+    drugs = v.table("nation").select(F.col("n_name").alias("name"), F.array(F.substring("n_name", 1, 3)).alias("aliases"))
+    meds = v.table("events").select("event_id", F.concat(F.substring("props", 3, 1), F.substring("event_type", 1, 2)).alias("name"))
+    return coding.drug_lookup(meds, drugs).select("event_id", "canonical", "found")
+
+
+@query(f"WITH {views.ENTITIES} SELECT bucket, count(*) AS n FROM (SELECT CASE category WHEN 'A' THEN 'Diagnosis' WHEN 'R' THEN 'Medication' ELSE 'Uncategorized' END AS bucket FROM entities) GROUP BY 1")
+def bucket_entities(v: Views) -> DataFrame:
+    bucketed = v.entities().select(coding.bucket(F.col("category"), F.lit("none"), {"A": "Diagnosis", "R": "Medication"}).alias("bucket"))
+    return bucketed.groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {views.ENTITIES} SELECT doc_id, count(*) AS total, count(*) FILTER (code % 7 <> 0) AS mapped, count(*) FILTER (source = 'semantic_fallback') AS fallback, round_even(100.0 * count(*) FILTER (code % 7 <> 0) / count(*), 4) AS success FROM entities GROUP BY 1")
+def mapping_counts(v: Views) -> DataFrame:
+    return coding.mapping_counts(v.entities().withColumn("code", F.when(F.col("code") % 7 == 0, "NOT_MAPPED").otherwise(F.col("code").cast("string"))))
+
+
+@query(f"WITH {views.ENTITIES} SELECT doc_id, count(*) FILTER (category = 'A') AS \"A\", count(*) FILTER (category = 'N') AS \"N\", count(*) FILTER (category = 'R') AS \"R\" FROM entities GROUP BY 1")
+def category_counts(v: Views) -> DataFrame:
+    return coding.category_counts(v.entities(), ["A", "N", "R"])
+
+
+@query(f"""WITH {views.ENTITIES}, c AS (SELECT e.doc_id % 500 AS doc_id, p_name AS term, max(score) AS score FROM entities e JOIN part ON p_partkey = e.code GROUP BY 1, 2),
+t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS rn FROM c WHERE score > 0.1),
+d AS (SELECT lower(p_name) AS key, min(p_brand) AS code FROM part GROUP BY 1),
+m AS (SELECT doc_id, term, code, round_even(0.6 * score, 3) AS confidence, rn, row_number() OVER (PARTITION BY doc_id, code ORDER BY rn) AS k FROM t JOIN d ON key = lower(term) WHERE rn <= 20),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rn) AS rank FROM m WHERE k = 1)
+SELECT doc_id, term, code, confidence, rank::INT AS rank FROM r WHERE rank <= 6""")
+def top_terms(v: Views) -> DataFrame:
+    named = v.entities().join(v.table("part").select(F.col("p_partkey").alias("code"), F.col("p_name").alias("term")), "code")
+    candidates = named.groupBy((F.col("doc_id") % 500).alias("doc_id"), "term").agg(F.max("score").alias("score"))
+    return coding.top_terms(candidates, v.dictionary())
+
+
+@query("SELECT p_brand AS code, arg_max(p_name, p_partkey) AS description FROM part GROUP BY 1")
+def dictionary_last_wins(v: Views) -> DataFrame:
+    given = v.table("part").select(F.col("p_brand").alias("code"), F.col("p_name").alias("description"), F.col("p_partkey").alias("pos"))
+    return files.dedupe_last(given, "code", "pos").drop("pos")
+
+
+@query("SELECT lower(l_linestatus) AS name, l_returnflag AS category, min(l_orderkey) AS first_order FROM lineitem GROUP BY 1, 2")
+def dedupe_first(v: Views) -> DataFrame:
+    given = v.table("lineitem").select(F.lower("l_linestatus").alias("name"), F.col("l_returnflag").alias("category"), F.col("l_orderkey").alias("first_order"))
+    return coding.dedupe_first(given, ["name", "category"], ["first_order"])
+
+
+# vectors
+
+_KNN = """WITH p AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round({score}, 6) AS score
+FROM embeddings q, embeddings v WHERE q.vec_id % 10 = 0 AND v.vec_id % 10 <> 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM p) SELECT query_id, id, score, rank::INT AS rank FROM r WHERE rank <= {k}"""
+
+
+@query(_KNN.format(score="list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[])", k=10))
+def knn_cosine(v: Views) -> DataFrame:
+    return vectors.knn(*v.vectors(), k=10)
+
+
+@query(_KNN.format(score="list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[])", k=5))
+def knn_inner_product(v: Views) -> DataFrame:
+    return vectors.knn(*v.vectors(), k=5, cosine=False)
+
+
+@query()
+def embedded_documents(v: Views) -> DataFrame:
+    """Distinct texts embedded once by the default model, joined back."""
+    return vectors.embed(v.table("documents").select("doc_id", "text")).select("doc_id", r6(vectors.norm(F.col("embedding"))).alias("norm"))
+
+
+# correction and validation
+
+_BARE = "list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\s+'), lambda w: w <> ''))".format
+_VERDICT = f"""{views.PROPOSALS}, t AS (SELECT *, trim(a, ' ') AS x, trim(b, ' ') AS y FROM proposals),
+u AS (SELECT *, levenshtein(x, y) / greatest(length(x), length(y))::DOUBLE AS dev, {_BARE("x")} AS tx, {_BARE("y")} AS ty FROM t),
+w AS (SELECT *, CASE WHEN len(list_distinct(list_concat(tx, ty))) = 0 THEN 1.0 ELSE len(list_intersect(tx, ty)) / len(list_distinct(list_concat(tx, ty)))::DOUBLE END AS sim FROM u),
+z AS (SELECT *, CASE WHEN x = y THEN 'NO_CHANGE' WHEN dev < 0.15 THEN 'ACCEPTED' WHEN dev > 0.3 OR sim < 0.3 THEN 'HIGH_DEVIATION' ELSE 'ACCEPTED' END AS verdict FROM w)"""
+
+
+@query(f"WITH {_VERDICT} SELECT doc_id, coalesce(round_even(dev, 4), 0.0) AS deviation, round_even(sim, 4) AS token_similarity, verdict FROM z")
+def correction_verdict(v: Views) -> DataFrame:
+    return v.proposals().select("doc_id", correct.verdict(F.col("a"), F.col("b")).alias("v")).select("doc_id", "v.*")
+
+
+def _regions(v: Views) -> tuple[DataFrame, DataFrame]:
+    p = v.proposals()
+    box = F.array(*[F.lit(0.0)] * 4)
+    group = F.col("doc_id") % 50
+    regions = p.select(group.alias("doc_id"), F.col("doc_id").alias("idx"), F.col("a").alias("text"), F.col("conf").alias("confidence"), box.alias("bbox"), F.lit(1).alias("page_number"))
+    proposals = p.select(group.alias("doc_id"), F.col("doc_id").alias("idx"), F.when(F.col("doc_id") % 11 != 0, F.col("b")).alias("corrected_text"), F.col("llm").alias("confidence"), F.lit("").alias("reasoning"), F.when(F.col("doc_id") % 22 == 0, "TIMEOUT").alias("error"))
+    return regions, proposals
+
+
+_DOSES = ", ".join(f"'{t}'" for t in text.DOSAGE_TOKENS)
+_ROUTED = f"""{_VERDICT}, f AS (SELECT *, conf < 0.8 AS low, row_number() OVER (PARTITION BY doc_id % 50, trim(a, ' '), conf < 0.8 ORDER BY doc_id) > 1 AS again,
+list_sort(list_filter({_BARE("a")}, lambda t: t IN ({_DOSES}))) AS da, list_sort(list_filter({_BARE("b")}, lambda t: t IN ({_DOSES}))) AS db FROM z),
+k AS (SELECT doc_id, conf, llm, CASE WHEN NOT low THEN 'HIGH_CONFIDENCE' WHEN again THEN 'DUPLICATE' WHEN doc_id % 22 = 0 THEN 'TIMEOUT' WHEN doc_id % 11 = 0 THEN 'SERVICE_ERROR'
+WHEN da <> db THEN 'DOSAGE_MISMATCH' WHEN verdict = 'NO_CHANGE' THEN 'NO_CHANGE' WHEN llm < 0.6 THEN 'LOW_LLM_CONFIDENCE' WHEN verdict = 'HIGH_DEVIATION' THEN 'HALLUCINATED' ELSE 'ACCEPTED' END AS reason FROM f)"""
+
+
+@query(f"WITH {_ROUTED} SELECT doc_id AS idx, reason, CASE WHEN reason IN ('HIGH_CONFIDENCE', 'DUPLICATE') THEN 'SKIPPED' WHEN reason IN ('ACCEPTED', 'NO_CHANGE') THEN reason ELSE 'REVIEW_REQUIRED' END AS status, round_even(CASE WHEN reason = 'ACCEPTED' THEN (conf + llm) / 2 ELSE conf END, 4) AS final_confidence FROM k")
+def correct_regions(v: Views) -> DataFrame:
+    return correct.correct_regions(*_regions(v)).select("idx", "reason", "status", "final_confidence")
+
+
+@query(f"WITH {_ROUTED} SELECT doc_id % 50 AS doc_id, CASE WHEN bool_or(reason NOT IN ('HIGH_CONFIDENCE', 'DUPLICATE', 'ACCEPTED', 'NO_CHANGE')) THEN 'REVIEW_REQUIRED' ELSE 'SUCCESS' END AS status, count(*) FILTER (reason = 'ACCEPTED') AS accepted, count(*) AS regions FROM k GROUP BY 1")
+def correction_status(v: Views) -> DataFrame:
+    return correct.correction_status(correct.correct_regions(*_regions(v)))
+
+
+@query(f"WITH {views.PROPOSALS} SELECT doc_id AS idx, CASE WHEN llm >= 0.5 THEN b ELSE a END AS text, a AS original_text FROM proposals")
+def merge_spans(v: Views) -> DataFrame:
+    regions, _ = _regions(v)
+    fixes = v.proposals().select((F.col("doc_id") % 50).alias("doc_id"), F.col("doc_id").alias("idx"), F.col("b").alias("corrected_text"), (F.col("llm") >= 0.5).alias("correction_applied"))
+    return correct.merge_spans(regions, fixes).select("idx", "text", "original_text")
+
+
+_TOKENS = "list_distinct(regexp_extract_all(lower({0}), '\\b[a-zA-Z][a-zA-Z0-9\\-]{{2,}}\\b'))".format
+
+
+@query(f"""WITH {views.SUMMARIES}, t AS (SELECT doc_id, {_TOKENS("candidate")} AS c, {_TOKENS("source")} AS s FROM summaries),
+u AS (SELECT doc_id, len(c) AS n, len(list_filter(c, lambda x: NOT list_contains(s, x) AND length(x) > 5)) AS k FROM t)
+SELECT doc_id, CASE WHEN n = 0 THEN 0.0 ELSE round(k / n::DOUBLE, 6) END AS hallucination, k::INT AS unsupported FROM u""")
+def hallucination(v: Views) -> DataFrame:
+    found = validate.hallucination(v.summaries(), F.col("candidate"), F.col("source"))
+    return found.select("doc_id", r6("hallucination").alias("hallucination"), F.size("unsupported").alias("unsupported"))
+
+
+@query(f"""WITH {views.SUMMARIES}, d AS (SELECT doc_id, source, unnest({_TOKENS("candidate")}) AS term FROM summaries)
+SELECT doc_id, count(*) AS terms, count(*) FILTER (contains(lower(source), term)) AS found FROM d GROUP BY 1""")
+def terms_in_source(v: Views) -> DataFrame:
+    terms = v.summaries().select("doc_id", "source", F.explode(text.clinical_tokens(F.col("candidate"))).alias("term"))
+    return terms.withColumn("hit", validate.in_source(F.col("term"), F.col("source"), 1_000)).groupBy("doc_id").agg(F.count("*").alias("terms"), F.count_if("hit").alias("found"))
+
+
+@query()
+def term_deviation(v: Views) -> DataFrame:
+    """Each user turn's first words against the assistant's turns."""
+    terms = v.summaries().select("doc_id", F.array_join(F.slice(text.words(F.col("source")), 1, 4), " ").alias("term"), F.substring("candidate", 1, 2000).alias("source_text"))
+    scored = validate.term_deviation(terms).withColumnRenamed("deviation", "deviation_ocr").withColumn("deviation_refined", F.lit(None).cast("double"))
+    return validate.deviation_gate(scored)
+
+
+@query()
+def validation_reports(v: Views) -> DataFrame:
+    """Assistant turns as summaries, medications and diagnoses named by their words, checked against the user turns."""
+    words = text.words(F.col("candidate"))
+    body = F.to_json(F.struct(F.substring("candidate", 1, 400).alias("summary"), F.slice(words, 1, 2).alias("key_points"), F.transform(F.slice(words, 3, 2), lambda w: F.struct(w.alias("name"), F.lit("500 MG").alias("dosage"))).alias("medications"), F.slice(words, 5, 2).alias("diagnoses"), F.array().cast("array<string>").alias("follow_up_actions"), F.lit(1.7).alias("confidence_score")))
+    given = v.summaries().select("doc_id", F.lit("clinician").alias("role"), body.alias("raw"), F.col("source").alias("source_text"))
+    drugs = v.table("part").select(F.col("p_name").alias("name"), F.array(F.col("p_brand")).alias("aliases"))
+    _, report = validate.validation_report(given, drugs, v.dictionary())
+    return report.select("doc_id", "role", "passed", F.size("errors").alias("errors"), F.size("warnings").alias("warnings"), r6("confidence").alias("confidence"))
+
+
+# metrics
+
+
+@query("""WITH s AS (SELECT event_type AS stage, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT stage, max(n) AS n, round(avg(value), 6) AS avg, max(CASE WHEN k = floor((n - 1) * 0.95) THEN value END) AS p95, max(value) AS most FROM s GROUP BY 1""")
+def latency_summary(v: Views) -> DataFrame:
+    rows = v.table("events").select(F.col("event_type").alias("stage"), F.col("value").alias("seconds"))
+    return metrics.latency_summary(rows).withColumn("avg", r6("avg"))
+
+
+@query("""SELECT event_type, metric, count(value) AS n, round(avg(value), 6) AS mean, max(value) AS most FROM (
+SELECT event_type, 'value' AS metric, value FROM events UNION ALL SELECT event_type, 'user', user_id::DOUBLE FROM events) GROUP BY 1, 2""")
+def stage_metrics(v: Views) -> DataFrame:
+    rows = v.table("events").select("event_type", "value", F.col("user_id").cast("double").alias("user"))
+    return metrics.stage_metrics(rows, ["event_type"], ["value", "user"]).withColumn("mean", r6("mean"))
+
+
+@query("SELECT count(*) AS n, round_even(avg(CASE WHEN (n_chars > 1000) = (quality = 1) THEN 100.0 ELSE 0.0 END), 3) AS accuracy, avg(CASE WHEN (n_chars > 1000) = (quality = 1) THEN 100.0 ELSE 0.0 END) >= 50 AS passed FROM labels JOIN documents USING (doc_id)")
+def mapping_accuracy(v: Views) -> DataFrame:
+    rows = v.table("labels").join(v.table("documents"), "doc_id").select((F.col("n_chars") > 1000).cast("int").cast("string").alias("predicted"), F.col("quality").cast("string").alias("expected"))
+    return metrics.mapping_accuracy(rows, 50.0)
+
+
+@query("SELECT coalesce(bool_and((n_chars > 1000) = (quality = 1)), false) AS passed, count(*) AS n FROM labels JOIN documents USING (doc_id)")
+def routing_accuracy(v: Views) -> DataFrame:
+    rows = v.table("labels").join(v.table("documents"), "doc_id").select((F.col("n_chars") > 1000).alias("actual"), (F.col("quality") == 1).alias("expected"))
+    return metrics.routing_accuracy(rows)
+
+
+@query("""WITH w AS (SELECT event_type, floor(epoch(ts) / 3600)::BIGINT * 3600 AS start, avg(value) AS stat FROM events GROUP BY 1, 2),
+b AS (SELECT *, (stat > 55)::INT AS breach FROM w) SELECT event_type, start, round(stat, 6) AS stat, coalesce(sum(breach) OVER (PARTITION BY event_type ORDER BY start RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW), 0) = 2 AS alarm FROM b""")
+def alarms(v: Views) -> DataFrame:
+    points = v.table("events").select("event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
+    return metrics.alarms(points, ["event_type"], 55.0, 3600, 2).select("event_type", "start", r6("stat").alias("stat"), "alarm")
+
+
+@query("SELECT o_orderkey, floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 10)::BIGINT AS batch FROM orders")
+def batch_numbers(v: Views) -> DataFrame:
+    return metrics.batch_number(v.table("orders").select("o_orderkey"), 10, "o_orderkey")
+
+
+@query("SELECT user_id % 7 AS queue, sum(CASE event_type WHEN 'signup' THEN 1 WHEN 'click' THEN -1 ELSE 0 END)::BIGINT AS depth FROM events GROUP BY 1")
+def queue_depth(v: Views) -> DataFrame:
+    delta = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "click", -1).otherwise(0)
+    return metrics.queue_depth(v.table("events").select((F.col("user_id") % 7).alias("queue"), delta.alias("delta")))
+
+
+# audit and export
+
+
+@query(f"WITH {views.AUDIT}, r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY ts DESC, audit_id DESC) AS rank FROM audit) SELECT document_id, audit_id, rank::INT AS rank FROM r WHERE rank <= 100")
+def audit_newest(v: Views) -> DataFrame:
+    return audit.newest_per_key(v.audit(), "document_id", 100).select("document_id", "audit_id", "rank")
+
+
+@query(f"WITH {views.AUDIT} SELECT audit_id, document_id FROM audit WHERE ts BETWEEN (SELECT date_trunc('day', min(ts)) FROM events) + INTERVAL 3 DAY AND (SELECT date_trunc('day', min(ts)) FROM events) + INTERVAL 5 DAY")
+def audit_between(v: Views) -> DataFrame:
+    start = v.table("events").agg(F.min("ts").cast("date").alias("d")).select(F.date_add("d", 3).cast("string"), F.date_add("d", 5).cast("string")).first()
+    return audit.between(v.audit(), start[0], start[1]).select("audit_id", "document_id")
+
+
+@query(f"WITH {views.AUDIT} SELECT document_id, arg_max(change_type, (ts, audit_id)) AS change_type, arg_max(audit_id, (ts, audit_id)) AS audit_id FROM audit GROUP BY 1")
+def latest_state(v: Views) -> DataFrame:
+    return audit.latest_state(v.audit()).select("document_id", "change_type", "audit_id")
+
+
+def _day(v: Views) -> str:
+    return v.table("events").agg(F.date_add(F.min("ts").cast("date"), 3).cast("string")).first()[0]
+
+
+@query(f"""WITH {views.AUDIT}, d AS (SELECT * FROM audit WHERE ts >= (SELECT date_trunc('day', min(ts)) FROM events) + INTERVAL 3 DAY AND ts < (SELECT date_trunc('day', min(ts)) FROM events) + INTERVAL 4 DAY)
+SELECT audit_id, substring(sha256(user_id), 1, 16) AS user_id, CASE change_type WHEN 'SNOMED_STATUS' THEN 'ner' WHEN 'SUMMARY_EDIT' THEN 'summarization' ELSE 'general' END AS category FROM d""")
+def daily_feedback(v: Views) -> DataFrame:
+    return audit.daily_feedback(v.audit(), _day(v)).select("audit_id", "user_id", "category")
+
+
+@query(f"""WITH {views.AUDIT}, d AS (SELECT * FROM audit WHERE ts >= (SELECT date_trunc('day', min(ts)) FROM events) + INTERVAL 3 DAY AND ts < (SELECT date_trunc('day', min(ts)) FROM events) + INTERVAL 4 DAY)
+SELECT CASE change_type WHEN 'SNOMED_STATUS' THEN 'ner' WHEN 'SUMMARY_EDIT' THEN 'summarization' ELSE 'feedback' END AS category, count(*) AS record_count, 'exported' AS status FROM d GROUP BY 1""")
+def export_summary(v: Views) -> DataFrame:
+    day = _day(v)
+    return sinks.export_summary(sinks.export_rows(audit.daily_feedback(v.audit(), day), day))
+
+
+@query(f"""WITH {views.AUDIT}, d AS (SELECT * FROM audit WHERE ts >= (SELECT date_trunc('day', min(ts)) FROM events) + INTERVAL 3 DAY AND ts < (SELECT date_trunc('day', min(ts)) FROM events) + INTERVAL 4 DAY)
+SELECT count(*) > 0 AS passed, count(*) AS total_records FROM d""")
+def quality_gate(v: Views) -> DataFrame:
+    return audit.quality_gate(audit.daily_feedback(v.audit(), _day(v))).select("passed", "total_records")
+
+
+@query("SELECT user_id, day, ttl_expiry FROM (SELECT user_id, ts::DATE::VARCHAR AS day, epoch(max(ts))::BIGINT + 30 * 86400 AS ttl_expiry FROM (SELECT user_id, date_trunc('second', ts) AS ts FROM events) GROUP BY 1, 2)")
+def session_expiry(v: Views) -> DataFrame:
+    sessions = v.table("events").groupBy("user_id", F.col("ts").cast("date").cast("string").alias("day")).agg(F.max("ts").cast("timestamp").alias("logout"))
+    return audit.with_expiry(sessions).select("user_id", "day", "ttl_expiry")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
+def drop_seen(v: Views) -> DataFrame:
+    seen = v.table("lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").alias("key"), F.lit(10).alias("expires_at"))
+    return jobs.drop_seen(v.table("orders").select(F.col("o_orderkey").alias("key")), seen, 5).select(F.col("key").alias("o_orderkey"))
+
+
+@query()
+def dedupe_ttl(v: Views) -> DataFrame:
+    requests = v.table("events").select(F.col("user_id").cast("string").alias("key"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("arrived_at"))
+    return jobs.dedupe_ttl(requests, 6 * 3600)
+
+
+@query()
+def audit_json(v: Views) -> DataFrame:
+    return sinks.audit_json(v.audit(), "all")
+
+
+# prompts
+
+_HASHED = "('0x' || substring(sha256('clinical|' || doc_id || '|' || role || '|fixed-salt'), 1, 13))::BIGINT / pow(16, 13)"
+
+
+@query(f"SELECT doc_id, role, CASE WHEN {_HASHED} <= 0.3 THEN 'v1' ELSE 'v2' END AS version FROM documents, (VALUES ('clinician'), ('patient'), ('pharmacist')) t(role)")
+def assign_variant(v: Views) -> DataFrame:
+    roles = F.explode(F.array(*map(F.lit, ("clinician", "patient", "pharmacist")))).alias("role")
+    weights = F.create_map(F.lit("v1"), F.lit("0.3"), F.lit("v2"), F.lit("0.7"))
+    requests = v.table("documents").select("doc_id", F.col("doc_id").alias("document_id"), roles).withColumns({"template": F.lit("clinical"), "salt": F.lit("fixed-salt"), "weights": weights, "forced": F.lit(None).cast("string"), "enabled": F.lit(True), "active_version": F.lit("v1")})
+    return prompts.assign_variant(requests).select("doc_id", "role", "version")
+
+
+@query("SELECT doc_id, sha256('Summarize ' || lang || ': ' || text) AS rendered_sha256, length(text) > 1000 AS truncated FROM documents")
+def rendered_prompts(v: Views) -> DataFrame:
+    made = prompts.render_template(F.lit("Summarize {lang}: {text}"), {"lang": F.col("lang"), "text": F.col("text")})
+    whole = prompts.compose_prompt(F.lit("system"), F.lit("task"), F.lit("style"), F.array("source"), F.col("text"), 1000)
+    return v.table("documents").select("doc_id", made.getField("rendered_sha256").alias("rendered_sha256"), whole.getField("truncated").alias("truncated"))
+
+
+@query("SELECT user_id % 20 AS template, arg_max('v' || event_id, (ts, event_id)) AS active_version FROM events WHERE event_type IN ('click', 'signup') GROUP BY 1")
+def active_versions(v: Views) -> DataFrame:
+    action = F.when(F.col("event_type") == "click", "SET_ACTIVE").when(F.col("event_type") == "signup", "ROLLBACK").otherwise("OTHER")
+    log = v.table("events").select((F.col("user_id") % 20).alias("template"), action.alias("action"), F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("after_version"), "ts", F.col("event_id").alias("seq"))
+    return prompts.active_version(log).select("template", "active_version")
