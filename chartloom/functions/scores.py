@@ -14,7 +14,7 @@ COMPONENTS = {"textract": 0.25, "comprehend": 0.25, "faiss": 0.25, "llm_logprobs
 def unit_interval(x: Column, default: float = 0.0) -> Column:
     """A number between 0 and 1: percentages (over 1) are divided by 100, what can't be read is the default."""
     n = x.try_cast("double")
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(n > 1, n / 100).otherwise(n))), F.lit(default))
+    return F.when(n.isNull(), F.lit(default)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(n > 1, n / 100).otherwise(n))))
 
 
 def resolve_weights(weights: dict[str, Column] | None = None) -> dict[str, Column]:

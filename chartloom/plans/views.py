@@ -67,4 +67,4 @@ AUDIT = """audit AS (SELECT event_id::VARCHAR AS audit_id, user_id % 97 AS docum
 PROPOSALS = """proposals AS (SELECT doc_id, substring(text, 1, 60) AS a, translate(substring(text, 1, 60), 'e', 'c') AS b, (n_chars % 100) / 100.0::DOUBLE AS llm, (n_chars % 37) / 37.0::DOUBLE AS conf FROM documents)"""
 SUMMARIES = """summaries AS (SELECT conv_id AS doc_id, coalesce(string_agg(regexp_replace(text, '[^ -~]', '', 'g'), ' ' ORDER BY turn) FILTER (role = 'assistant'), '') AS candidate,
     coalesce(string_agg(regexp_replace(text, '[^ -~]', '', 'g'), ' ' ORDER BY turn) FILTER (role = 'user'), '') AS source FROM conversations GROUP BY 1)"""
-UNIT = "coalesce(greatest(0.0, least(1.0, CASE WHEN {0} > 1 THEN {0} / 100 ELSE {0} END)), 0.0)"
+UNIT = "CASE WHEN {0} IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, CASE WHEN {0} > 1 THEN {0} / 100 ELSE {0} END)) END"

@@ -56,7 +56,7 @@ def envelope(document: Column, exported_at: Column, payload: Column, fmt: str =
 
 def masked_summaries(summaries: DataFrame) -> DataFrame:
     """Summaries by role; only clinicians see them unmasked."""
-    masked = lambda c: F.when(F.col("role") == "clinician", F.col(c)).otherwise(F.transform(c, mask_patterns))
+    masked = lambda c: F.when(F.col("role") == "clinician", F.col(c)).otherwise(F.transform(c, lambda x: mask_patterns(x)))
     lists = {c: masked(c) for c in ("key_points", "diagnoses", "follow_up_actions") if c in summaries.columns}
     return summaries.withColumns({"summary": mask_by_role(F.col("role"), F.col("summary"))} | lists)
 
