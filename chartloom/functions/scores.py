@@ -48,6 +48,12 @@ def recommendation(band: Column) -> Column:
     return F.when(band == "high", "bypass").when(band == "medium", "quick_review").otherwise("full_review")
 
 
+def band_visual(band: Column) -> Column:
+    """A band's label and colour for display."""
+    known = F.create_map(*[x for k, label, colour in (("high", "High confidence", "green"), ("medium", "Check", "amber"), ("low", "Review", "red")) for x in (F.lit(k), F.struct(F.lit(label).alias("label"), F.lit(colour).alias("colour")))])
+    return F.try_element_at(known, band)
+
+
 def quality_badge(score: Column, threshold: Column) -> Column:
     return F.when(score >= threshold, "high").when(score >= 0.75 * threshold, "check").otherwise("low")
 

@@ -23,6 +23,20 @@ def track_stream(rows: DataFrame, work: Callable[[DataFrame], DataFrame], sink:
     return (out.trigger(processingTime="30 seconds") if realtime else out.trigger(availableNow=True)).start()
 
 
+def routing_stream(components: DataFrame, paths: dict[str, str], audit_path: str, checkpoint: str, threshold: float = 0.85) -> StreamingQuery:
+    """Route scored documents: each micro-batch goes to its routes' tables, with an audit row per document."""
+    from chartloom.operators import routing
+
+    def sink(df: DataFrame, n: int) -> None:
+        kept = df.persist()
+        for route, path in paths.items():
+            kept.filter(F.col("route") == route).write.mode("append").parquet(path)
+        kept.select("doc_id", "final_score", "route", "payload", F.lit(n).alias("batch"), F.current_timestamp().alias("at")).write.mode("append").parquet(audit_path)
+        kept.unpersist()
+
+    return track_stream(components, lambda df: routing.route_payload(routing.route_final(df, threshold)), sink, checkpoint)
+
+
 def split_retries(results: DataFrame, most: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows with ok and attempts: done, to be tried again (attempts + 1), and dead ones with reason and time."""
     failed = results.filter(~F.col("ok")).withColumn("attempts", F.col("attempts") + 1)

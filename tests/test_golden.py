@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chartloom.functions import privacy, rules, scores, text
-from chartloom.operators import audit, coding, correct, metrics, ocr, prompts, routing, validate, vectors
+from chartloom.operators import assemble, audit, coding, correct, metrics, ocr, prompts, routing, validate, vectors
 from chartloom.sources import files, schemas, sinks
 from chartloom.streaming import jobs
 
@@ -438,3 +438,25 @@ def test_retries_and_cache(spark):
     cache = spark.createDataFrame([("a", "old", 5), ("b", "new", 50)], "key string, value string, expires_at long")
     hits, misses = jobs.cache_lookup(requests, cache, 10)
     assert [r.key for r in hits.collect()] == ["b"] and sorted(r.key for r in misses.collect()) == ["a", "c"]
+
+
+def test_assembly_and_guard(spark):
+    docs = spark.createDataFrame([("a",), ("b",)], "doc_id string")
+    whole = assemble.assemble_document(docs, {"coding": spark.createDataFrame([("a", 3)], "doc_id string, n int")})
+    assert {r.doc_id: r.coding and r.coding.n for r in whole.collect()} == {"a": 3, "b": None}
+    terms = spark.createDataFrame([("a", "Xenodrug"), ("b", "Metformin")], "doc_id string, term string")
+    ocr_text = spark.createDataFrame([("a", "takes metformin"), ("b", "takes metformin")], "doc_id string, text string")
+    gated = validate.deviation_gate(assemble.two_source_deviation(terms, ocr_text, ocr_text.limit(0)))
+    review, log = assemble.guard_route(gated)
+    assert [r.doc_id for r in review.collect()] == ["a"] and log.first().change_type == "OCR_GUARD"
+    assert one(spark, scores.band_visual(lit("low"))).colour == "red"
+
+
+def test_routing_stream(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 0.9, 0.9, 0.9, 0.9), ("b", 0.1, 0.9, 0.9, 0.9)], "doc_id string, textract double, comprehend double, faiss double, llm_logprobs double")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = jobs.read_stream(spark, str(tmp_path / "in"), rows.schema)
+    paths = {r: str(tmp_path / r) for r in ("bypass_database", "human_review")}
+    jobs.routing_stream(stream, paths, str(tmp_path / "audit"), str(tmp_path / "ck")).awaitTermination()
+    assert {r: spark.read.parquet(p).first().doc_id for r, p in paths.items()} == {"bypass_database": "a", "human_review": "b"}
+    assert spark.read.parquet(str(tmp_path / "audit")).count() == 2
