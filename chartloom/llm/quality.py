@@ -51,40 +51,51 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < 3, 0).otherwise(let(hashed, covered)).cast("long")
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, the base statistics and the features."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+def measured(text: Column) -> Column:
+    """A struct of the base statistics and the features of a text, each computed once."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: without(x, SPACES) != "")
     of_words = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("again")))
     of_lines = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))
     capitals, digits, marks = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "!?:;@/\\^~+=_()[]{}"
-    count = lambda letters: F.length(text) - F.length(without(text, letters))
-    raw = docs.select(F.col("doc_id").cast("long"), of_words.alias("w"), of_lines.alias("l"), F.length(without(text, SPACES)).cast("long").alias("word_chars"), count(SYMBOLS).cast("long").alias("n_symbols"), count(capitals).alias("capitals"), count(digits).alias("digits"), count(marks).alias("marks"))
-    share = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
-    base = raw.select("doc_id", F.col("w.n").alias("n_words"), "word_chars", "n_symbols", F.col("l.dup").alias("n_dup_lines"), F.col("w.again").alias("n_repeat_words"), F.col("l.n").alias("n_lines"), "capitals", "digits", "marks")
-    return base.select("doc_id", *BASE, share("word_chars", "n_words").alias("mean_word"), share("n_symbols", "word_chars").alias("symbol_share"), share("n_dup_lines", "n_lines").alias("dup_line_share"), share("n_repeat_words", "n_words").alias("repeat_share"), share("capitals", "word_chars").alias("capital_share"), share("digits", "word_chars").alias("digit_share"), share("marks", "word_chars").alias("mark_share"), share("n_words", "n_lines").alias("line_words"))
+    count = lambda letters: (F.length(text) - F.length(without(text, letters))).cast("long")
+    raw = F.struct(of_words.alias("w"), of_lines.alias("l"), F.length(without(text, SPACES)).cast("long").alias("chars"), count(SYMBOLS).alias("symbols"), count(capitals).alias("capitals"), count(digits).alias("digits"), count(marks).alias("marks"))
+
+    def shares(r: Column) -> Column:
+        n, again, n_lines, dup = r["w"]["n"], r["w"]["again"], r["l"]["n"], r["l"]["dup"]
+        chars = r["chars"]
+        share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+        base = zip(BASE, (n, chars, r["symbols"], dup, again), strict=True)
+        rest = {"mean_word": share(chars, n), "symbol_share": share(r["symbols"], chars), "dup_line_share": share(dup, n_lines), "repeat_share": share(again, n), "capital_share": share(r["capitals"], chars), "digit_share": share(r["digits"], chars), "mark_share": share(r["marks"], chars), "line_words": share(n, n_lines)}
+        return F.struct(*[v.alias(k) for k, v in (*base, *rest.items())])
+
+    return let(raw, shares)
+
+
+def statistics(docs: DataFrame) -> DataFrame:
+    """doc_id, the base statistics and the features."""
+    return docs.select(F.col("doc_id").cast("long"), measured(F.col("text")).alias("s")).select("doc_id", "s.*")
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+def base_failed(of: Callable[[str], Column] = F.col) -> Column:
+    return (of("n_words") < 50) | (100 * of("n_repeat_words") > 50 * of("n_words"))
 
 
 Condition = tuple[str, str, float]
 
 
-def holds(rule: list[Condition]) -> Column:
+def holds(rule: list[Condition], of: Callable[[str], Column] = F.col) -> Column:
     out = F.lit(True)
     for name, op, t in rule:
-        out = out & (F.col(name) <= t if op == "<=" else F.col(name) > t)
+        out = out & (of(name) <= t if op == "<=" else of(name) > t)
     return out
 
 
-def learn(labelled: DataFrame, most: int = 20_000, bins: int = 16, rules: int = 6, conditions: int = 3, precision: float = 0.95, support: int = 10) -> list[list[Condition]]:
-    """Rules for bad documents, in order; ``labelled``: FEATURES and bad (boolean). A sample of about ``most`` rows is used."""
-    n = labelled.count()
-    sample = labelled.select("doc_id", *[F.col(f).cast("double").alias(f) for f in FEATURES], "bad").filter(F.pmod(F.xxhash64("doc_id", F.lit("label")), F.lit(1_000_000)) < int(1_000_000 * min(1, most / max(1, n))))
-    sample = written(sample.withColumn("pruning", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(3)) == 0), "labelled").cache()
+def learn(labelled: DataFrame, bins: int = 16, rules: int = 6, conditions: int = 3, precision: float = 0.95, support: int = 10) -> list[list[Condition]]:
+    """Rules for bad documents, in order; ``labelled``: doc_id, FEATURES and bad (boolean), a bounded sample."""
+    given = labelled.select("doc_id", *[F.col(f).cast("double").alias(f) for f in FEATURES], "bad")
+    sample = written(given.withColumn("pruning", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(3)) == 0), "labelled")
     points = [i / bins for i in range(1, bins)]
     quantiles = sample.agg(*[F.percentile_approx(f, points, 2000).alias(f) for f in FEATURES], *[F.percentile_approx(F.when(F.col("bad"), F.col(f)), points, 2000).alias(f"bad_{f}") for f in FEATURES]).first()
     edges = {f: sorted({*(quantiles[f] or []), *(quantiles[f"bad_{f}"] or [])}) for f in FEATURES}
@@ -112,7 +123,6 @@ def learn(labelled: DataFrame, most: int = 20_000, bins: int = 16, rules: int =
             break
         found.append(rule)
         left = left & ~holds(rule)
-    sample.unpersist()
     return found
 
 
@@ -142,17 +152,29 @@ def _best(rows: list, edges: dict[str, list[float]], support: int) -> Condition
     return found
 
 
-def verdict(rules: list[list[Condition]]) -> Column:
+def verdict(rules: list[list[Condition]], of: Callable[[str], Column] = F.col) -> Column:
     """The decision list: false by the first rule that holds, else true."""
     out = None
     for rule in rules:
-        out = F.when(holds(rule), False) if out is None else out.when(holds(rule), False)
+        out = F.when(holds(rule, of), False) if out is None else out.when(holds(rule, of), False)
     return F.lit(True) if out is None else out.otherwise(True)
 
 
+def rules_for(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> list[list[Condition]]:
+    """Learn from ``most`` labelled documents at most, those whose ids' hashes come first. So few ids are broadcast."""
+    known = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") == 0).alias("bad"))
+    sample = written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "sample")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sample), "doc_id")
+    return learn(texts.select("doc_id", "bad", measured(F.col("text")).alias("s")).select("doc_id", "bad", "s.*").filter(~base_failed()))
+
+
 def judge(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> DataFrame:
     """doc_id, statistics, base_failed and kept for every document; rules are learned from labels (doc_id, quality)."""
-    stats = written(statistics(docs), "statistics")
-    known = labels.filter("quality IN (0, 1)").groupBy("doc_id").agg((F.min("quality") == 0).alias("bad"))
-    rules = learn(stats.filter(~base_failed()).join(known, "doc_id"), most)
-    return stats.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & verdict(rules))
+    rules = rules_for(docs, labels, most)
+    return statistics(docs).withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & verdict(rules))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> DataFrame:
+    """The documents that are kept, whole rows. The verdict is one expression, so nothing is joined or shuffled."""
+    rules = rules_for(docs, labels, most)
+    return docs.filter(let(measured(F.col("text")), lambda s: ~base_failed(s.getField) & verdict(rules, s.getField)))

@@ -22,7 +22,7 @@ members are compared with leaders only (a member that resembles no leader become
 more, so a large group of near copies is never compared pair by pair.
 
 Exact copies share one fingerprint and enter once. Edge cases: null and empty texts have fingerprint zero and link like
-any other; shorter texts are one shingle; extra columns are ignored; an empty table gives an empty result.
+any other; shorter texts are one shingle; a null doc_id counts as -1; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -98,7 +98,7 @@ def fingerprints(docs: DataFrame, shingle: int, sketch: bool = False) -> DataFra
             yield batch_of(schema, {"doc_id": block["doc_id"]} | dict(zip(schema.names[1:], zip(*found, strict=True), strict=True)))
 
     out = "doc_id long, fp long" + (", sketch binary, bands array<long>" if sketch else "")
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, out)
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, out)
 
 
 def similar_links(nodes: DataFrame, similarity: float, chunk: int = 512) -> DataFrame:

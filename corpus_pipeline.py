@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir), and all but the last return the columns of ``documents``. ``run`` writes each
 stage's result as Parquet into the shared folder and reads it again as the next stage's input.
 
-Documents that a stage rejects go by an anti join with the rejected ids, which are few, so that texts aren't shuffled
-where Spark finds those ids small enough to broadcast. Rows that share a doc_id stay or go together.
+Documents that a stage rejects go by a filter, or by an anti join with the table of rejected ids, so that texts aren't
+shuffled where that table is small enough for Spark to broadcast. Rows that share a doc_id stay or go together.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from chartloom.llm.shared import table, written
 
 def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
     """Documents but those whose every verdict (doc_id, kept) is false."""
-    rejected = judged.groupBy(F.col("doc_id").alias("rejected_id")).agg(F.max("kept").alias("any_kept")).filter(~F.col("any_kept"))
+    rejected = written(judged.groupBy(F.col("doc_id").alias("rejected_id")).agg(F.max("kept").alias("any_kept")).filter(~F.col("any_kept")), "rejected")
     given = docs.select(F.struct("*").alias("o"))
     return given.join(rejected, F.col("o.doc_id").cast("long").eqNullSafe(F.col("rejected_id")), "left_anti").select("o.*")
 
@@ -31,7 +31,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule or one of the rules learned from ``labels`` go."""
-    return _without(docs, quality.judge(docs, table(spark, sf_dir, "labels")))
+    return quality.good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
