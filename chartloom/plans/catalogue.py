@@ -149,7 +149,7 @@ def refine_elements(v: Views) -> DataFrame:
 
 
 @query(f"""WITH {_REFINED} SELECT doc_id, page, round(coalesce(least(1.0, avg(refined) FILTER (refined >= 0.85)), 0.0), 6) AS quality,
-round(least(1.0, least(0.3, 0.1 * count(*) FILTER (type = 'TABLE')) + least(0.3, 0.05 * count(*) FILTER (type = 'TITLE')) + least(0.4, 0.2 * 1.5)), 6) AS complexity FROM r GROUP BY 1, 2""")
+round(least(1.0, least(0.3, 0.1 * count(*) FILTER (type = 'TABLE')) + least(0.3, 0.05 * count(*) FILTER (type = 'TITLE')) + least(0.4, 0.2 * 1.5))::DOUBLE, 6) AS complexity FROM r GROUP BY 1, 2""")
 def page_quality(v: Views) -> DataFrame:
     given = v.blocks().withColumn("conf", F.col("conf") / 100)
     refined = ocr.refine_elements(given, classify=lambda t: rules.first_match(t, [("WORD", ["the"])], None)).withColumn("megapixels", F.lit(1.5))
