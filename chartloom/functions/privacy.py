@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chartloom.functions.text import slice_text
+
 #: Fixed values, in the order in which they are applied; all ignore case.
 PATTERNS = {
     "email": r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}",
@@ -130,6 +133,15 @@ def verify_masking(before: Column, after: Column) -> Column:
     return (before != after) & F.regexp_like(after, F.lit(r"REDACTED|\[[A-Z]+_[0-9a-f]{12}\]"))
 
 
+def detect_phi(text: Column, detector: Callable[[Column], Column] | None = None, n: int = 18_000) -> Column:
+    """Spans of a text that a detector sees in slices of n characters, with offsets in the whole and scores of four digits.
+
+    ``detector``: from a text column to an array of structs (begin_offset, end_offset, type, score); a model comes as a pandas UDF.
+    """
+    found = lambda s: F.transform((detector or detect_spans)(s.getField("part")), lambda x: F.struct((x.begin_offset + s.getField("offset")).alias("begin_offset"), (x.end_offset + s.getField("offset")).alias("end_offset"), x["type"].alias("type"), F.round(x.score, 4).alias("score")))
+    return F.flatten(F.transform(slice_text(text, n), found))
+
+
 def detect_spans(text: Column) -> Column:
     """Default detector: spans of the log patterns, found by their places in the text."""
     kinds = ["MRN", "DOB", "DATE", "NAME", "ADDRESS"]

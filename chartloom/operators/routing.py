@@ -79,6 +79,12 @@ def normalise_actions(items: Column, today: Column) -> Column:
     return F.filter(made, lambda x: x.getField("text") != "")
 
 
+def serialise_actions(items: Column) -> Column:
+    """As JSON; only actions without text, assignee and code are dropped."""
+    empty = lambda x, n: F.trim(F.coalesce(x.getField(n), F.lit(""))) == ""
+    return F.to_json(F.filter(items, lambda x: ~(empty(x, "text") & empty(x, "assignee") & empty(x, "code"))))
+
+
 def parse_actions(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(F.trim(x), r"^-+\s*", ""))), lambda x: x != "")
 

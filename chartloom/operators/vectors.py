@@ -119,3 +119,17 @@ def retrieve_context(docs: DataFrame, chunks: DataFrame, k: int = 5, scope: str
     score = F.aggregate(F.zip_with("q", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
     ranked = pairs.withColumn("score", score).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "id", "score", "rank")
+
+
+def semantic_fallback(vectors: DataFrame, model: Callable = hash_embedding, scorer: Callable | None = token_overlap, k: int = 10) -> Callable[[DataFrame], DataFrame]:
+    """A fallback for ``map_entities``: a term with its context is embedded, its k nearest descriptions (id, code, description,
+    embedding) are ranked by the scorer, and the best gives the code, its cosine the confidence."""
+
+    def run(keys: DataFrame) -> DataFrame:
+        asked = keys.withColumn("query", F.concat_ws(" [SEP] ", "term", "context")).withColumn("query_id", F.xxhash64("key"))
+        near = knn(embed(asked, "query", model).select("query_id", "embedding"), vectors.select("id", "embedding"), k)
+        named = near.join(vectors.select("id", "code", F.col("description").alias("candidate")), "id").join(asked.select("query_id", "key", F.col("term").alias("query")), "query_id")
+        best = rerank(named.select("query_id", "key", "query", "candidate", "code", "score", "rank"), scorer).filter("rank = 1")
+        return best.select("key", "code", retrieval_confidence(F.col("score")).alias("confidence"))
+
+    return run

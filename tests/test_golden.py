@@ -460,3 +460,15 @@ def test_routing_stream(spark, tmp_path):
     jobs.routing_stream(stream, paths, str(tmp_path / "audit"), str(tmp_path / "ck")).awaitTermination()
     assert {r: spark.read.parquet(p).first().doc_id for r, p in paths.items()} == {"bypass_database": "a", "human_review": "b"}
     assert spark.read.parquet(str(tmp_path / "audit")).count() == 2
+
+
+def test_fallback_and_slices(spark):
+    terms = spark.createDataFrame([(1, "11", "high blood pressure"), (2, "22", "broken arm")], "id long, code string, description string")
+    table = vectors.embed(terms, "description")
+    rows = spark.createDataFrame([(1, "blood pressure", "high", 0.1, []), (2, "arm", "broken", 0.1, [])], "id int, term string, context string, score double, concepts array<struct<Description:string,Code:string,Score:double>>")
+    got = {r.id: r.code for r in coding.map_entities(rows, vectors.semantic_fallback(table, k=2)).collect()}
+    assert got == {1: "11", 2: "22"}
+    whole = "x" * 18_000 + " on 01/02/2024"
+    assert [(s.begin_offset, s.type) for s in one(spark, privacy.detect_phi(lit(whole)))] == [(18_004, "DATE")]
+    items = F.from_json(lit('[{"text":"","assignee":"a"},{"text":""}]'), "array<struct<text:string,assignee:string,code:string>>")
+    assert json.loads(one(spark, routing.serialise_actions(items))) == [{"text": "", "assignee": "a"}]
