@@ -57,9 +57,9 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, cosine: bool = True
     keeps its k best of a block by matrix products; the bests of all parts meet in a window. No pair becomes a row.
     """
     n = blocks or max(1, queries.count() // 4096)
-    packed = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(n)).alias("block"), "query_id", "embedding").groupBy("block").agg(F.collect_list(F.struct("query_id", "embedding")).alias("members"))
+    parts = max(queries.sparkSession.sparkContext.defaultParallelism, vectors.count() // 100_000)
     given = vectors.select("id", "embedding").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    tagged = given.join(packed, "block", "left_semi").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(max(1, vectors.rdd.getNumPartitions()))))
+    tagged = given.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
     unit = lambda x: np.divide(x, np.linalg.norm(x, axis=1, keepdims=True), where=np.linalg.norm(x, axis=1, keepdims=True) > 0, out=np.full_like(x, np.nan)) if cosine else x
 
     def best(key: tuple, q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
@@ -75,8 +75,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, cosine: bool = True
             rows.append(pd.DataFrame({"query_id": q["query_id"].iloc[i], "id": ids[top], "score": s[top]}))
         return pd.concat(rows)
 
-    parts = max(1, vectors.rdd.getNumPartitions())
-    spread = packed.select("block", F.explode("members").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")).select(F.col("block").cast("long"), F.col("part").cast("long"), "m.query_id", "m.embedding")
+    spread = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(n)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "query_id", "embedding").select(F.col("block").cast("long"), F.col("part").cast("long"), "query_id", "embedding")
     pairs = spread.groupBy("block", "part").cogroup(tagged.select(F.col("block").cast("long"), F.col("part").cast("long"), "id", "embedding").groupBy("block", "part")).applyInPandas(best, "query_id long, id long, score double")
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
     return ranked.filter(F.col("rank") <= k)
