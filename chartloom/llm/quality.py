@@ -165,7 +165,9 @@ def rules_for(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> list[li
     known = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") == 0).alias("bad"))
     sample = written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "sample")
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sample), "doc_id")
-    return learn(texts.select("doc_id", "bad", measured(F.col("text")).alias("s")).select("doc_id", "bad", "s.*").filter(~base_failed()))
+    # written first: a filter on the statistics would else be pushed below the join and measure every document
+    stats = written(texts.select("doc_id", "bad", measured(F.col("text")).alias("s")).select("doc_id", "bad", "s.*"), "measured")
+    return learn(stats.filter(~base_failed()))
 
 
 def judge(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> DataFrame:
