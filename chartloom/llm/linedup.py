@@ -117,7 +117,7 @@ def without_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
     per_doc = runs.groupBy("d").agg(F.collect_list(F.struct("from_pos", "to_pos")).alias("cuts"), F.sum("lines").alias("cut_lines"), F.sum("words").alias("cut_words"))
     text = F.col("o.text").cast("string")
     cut = per_doc.select(F.col("d.id").alias("cut_id"), F.col("d.t").alias("cut_t"), "cuts", "cut_lines", "cut_words")
-    joined = docs.select(F.struct("*").alias("o")).join(cut, (F.col("o.doc_id").cast("long").eqNullSafe(F.col("cut_id"))) & (F.xxhash64(text) == F.col("cut_t")), "left")
+    joined = docs.select(F.struct("*").alias("o")).join(cut.hint("merge"), (F.col("o.doc_id").cast("long").eqNullSafe(F.col("cut_id"))) & (F.xxhash64(text) == F.col("cut_t")), "left")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.exists("cuts", lambda c: i.between(c.from_pos, c.to_pos))), "\n")
     new = F.when(F.col("cuts").isNull(), text).otherwise(kept)
     others = [F.col("o").getField(c).alias(c) if c != "text" else new.alias("text") for c in docs.columns]
