@@ -129,7 +129,7 @@ class Vocabulary:
 class Pieces(Kept):
     """The ids of pieces by the merges above, and the strings that ids stand for as runs of one array of bytes."""
 
-    def __init__(self, path: str, most: int = 700_000) -> None:
+    def __init__(self, path: str, most: int = 500_000) -> None:
         super().__init__(most)
         self.vocabulary = v = Vocabulary(path)
         top = max(v.bytes) + 1
@@ -143,7 +143,7 @@ class Pieces(Kept):
 
     def ids_of(self, pieces: list[str], lead: bool) -> Iterator[list[int]]:
         v = self.vocabulary
-        for part in batched(pieces, 100_000):
+        for part in batched(pieces, 50_000):
             cut = [v.pretokens(" " * lead + p) for p in part]
             words = list({w for c in cut for w in c if isinstance(w, str)})
             ids = dict(zip(words, (x.tolist() for x in v.merged(words)), strict=True)) if words else {}
@@ -151,13 +151,19 @@ class Pieces(Kept):
                 yield [i for w in c for i in ([w] if isinstance(w, int) else ids[w])]
 
 
-def strings(ids: np.ndarray, counts: np.ndarray, runs: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[bytes]:
-    """For each document the strings of its ids, joined."""
+def strings(ids: np.ndarray, counts: np.ndarray, runs: tuple[np.ndarray, np.ndarray, np.ndarray], most: int = 1 << 18) -> Iterator[bytes]:
+    """For each document the strings of its ids, joined. About ``most`` ids are looked up at once."""
     values, starts, lengths = runs
-    own = lengths[ids]
-    joined, ends = gather(values, starts[ids], own).tobytes(), np.append(0, np.cumsum(own))[np.append(0, np.cumsum(counts))].tolist()
-    for a, b in zip(ends, ends[1:], strict=False):
-        yield joined[a:b]
+    ends = np.append(0, np.cumsum(counts))
+    first = 0
+    while first < len(counts):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + most, "right")) - 1)
+        part = ids[ends[first] : ends[last]]
+        own = lengths[part]
+        joined, cuts = gather(values, starts[part], own).tobytes(), np.append(0, np.cumsum(own))[ends[first : last + 1] - ends[first]].tolist()
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield joined[a:b]
+        first = last
 
 
 @functools.cache
@@ -172,7 +178,7 @@ def encode_and_decode(docs: DataFrame, vocabulary: str, keep_ids: bool = False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pieces_of(vocabulary)
-        for block in blocks(batches, "text", 16 << 20):
+        for block in blocks(batches, "text", 8 << 20):
             ids, counts = known.encode(block["text"])
             columns = {
                 "doc_id": block["doc_id"],
