@@ -16,10 +16,12 @@ a rising budget, leaving out pairs of subtrees that are already one component, s
 little more than its size. Components are closed by alternating stars over the remaining edges, written between rounds.
 
 Similarity: texts with four in five shingles in common differ in 5 to 17 bits of 64, which no trie walk can afford. Where a
-``similarity`` is asked for, links from minima of the shingles' hashes are added: documents that share one of 16 bands of 6
-minima meet, and are linked if their 96 minima agree to nearly that share. A bucket is dealt into chunks; in each chunk
-members are compared with leaders only (a member that resembles no leader becomes one), and leaders of chunks meet once
-more, so a large group of near copies is never compared pair by pair.
+``similarity`` is asked for, links by exact Jaccard similarity of the sets of distinct shingle hashes are added. Documents meet
+that share one of 16 bands of 6 minima; a pair is a candidate if 60 of its 96 minima agree, and a link if its sets say so. Of
+pairs at similarity 0.8, 8 in 1000 share no band; these two are the only estimates. Each member of a bucket is held against
+its least member first; then all pairs of a bucket meet that these links leave in different components. Buckets are dealt into
+blocks, and a task holds two of them. The members of a bucket's largest component meet the others only. Where many documents
+lie just below the similarity, the work is quadratic in their number, the memory of a task isn't.
 
 Exact copies share one fingerprint and enter once. Edge cases: null and empty texts have fingerprint zero and link like
 any other; shorter texts are one shingle; a null doc_id counts as -1; extra columns are ignored; an empty table gives an empty result.
@@ -80,55 +82,141 @@ def minima(h: np.ndarray) -> np.ndarray:
     return least
 
 
-_SKETCH = _PRINT.append(pa.field("sketch", pa.binary())).append(pa.field("bands", pa.list_(pa.int64())))
+_SKETCH = pa.schema([*_PRINT, ("sketch", pa.binary()), ("bands", pa.list_(pa.int64())), ("sid", pa.int64()), ("grams", pa.binary())])
 
 
 def fingerprints(docs: DataFrame, shingle: int, sketch: bool = False) -> DataFrame:
-    """doc_id and fp, a signed long; with ``sketch`` also the minima's low 16 bits and the hashes of the bands."""
+    """doc_id and fp, a signed long; with ``sketch`` also the minima's low 16 bits, the hashes of the bands, the sorted
+    distinct shingle hashes (grams) and their hash (sid)."""
     schema = _SKETCH if sketch else _PRINT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for block in blocks(batches, "text"):
             found = []
             for text in block["text"].to_pylist():
                 h = hashes(text, shingle)
-                least = minima(h) if sketch else None
-                bands = np.bitwise_xor.reduce(least.reshape(BANDS, ROWS) * np.arange(1, 2 * ROWS, 2, np.uint64), axis=1).view(np.int64) if sketch else None
-                found.append((majority(h), *([(least & np.uint64(0xFFFF)).astype("<u2").tobytes(), bands.tolist()] if sketch else [])))
+                row = [majority(h)]
+                if sketch:
+                    least, grams = minima(h), np.unique(h).tobytes()
+                    bands = np.bitwise_xor.reduce(least.reshape(BANDS, ROWS) * np.arange(1, 2 * ROWS, 2, np.uint64), axis=1).view(np.int64)
+                    sid = int(np.uint64(xxhash.xxh64_intdigest(grams, 42)).view(np.int64))
+                    row += [(least & np.uint64(0xFFFF)).astype("<u2").tobytes(), bands.tolist(), sid, grams]
+                found.append(row)
             yield batch_of(schema, {"doc_id": block["doc_id"]} | dict(zip(schema.names[1:], zip(*found, strict=True), strict=True)))
 
-    out = "doc_id long, fp long" + (", sketch binary, bands array<long>" if sketch else "")
+    out = "doc_id long, fp long" + (", sketch binary, bands array<long>, sid long, grams binary" if sketch else "")
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, out)
 
 
-def similar_links(nodes: DataFrame, similarity: float, chunk: int = 512) -> DataFrame:
-    """Edges (a, b) between nodes (rep, sketch, bands) that share a band and agree in nearly ``similarity`` of their minima."""
-    least = similarity - 0.04  # the share of 96 minima scatters by 0.04 around the similarity
-    rows = nodes.select("rep", F.posexplode("bands").alias("band", "h"))
-    shared = rows.groupBy("band", "h").agg(F.count("*").alias("n")).filter("n > 1")
-    members = rows.join(shared, ["band", "h"]).join(nodes.select("rep", "sketch"), "rep")
-    out = "band int, h long, n long, rep long, sketch binary, b long"
+#: Of pairs at similarity 0.8, 1 in 30,000 agrees in fewer of its 96 minima.
+AGREE = 60
+
+
+def _least_agreeing(similarity: float) -> int:
+    return max(1, round(BANDS * ROWS * similarity) - (round(BANDS * ROWS * 0.8) - AGREE))
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), BANDS * ROWS)
+
+
+def _agreeing(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
+    """Of the pairs (a, b) those whose sketches agree in ``least`` minima."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = (_sketches(batch["sa"]) == _sketches(batch["sb"])).sum(axis=1) >= least
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    side = lambda x: nodes.select(F.col("sid").alias(x), F.col("sketch").alias(f"s{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
+    """Of the pairs (a, b) of sets those at ``similarity`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for x, y in zip(batch["ga"], batch["gb"], strict=True):
+                x, y = (np.frombuffer(g.as_buffer(), np.uint64) for g in (x, y))
+                near.append(min(len(x), len(y)) >= similarity * max(len(x), len(y)) and _jaccard(x, y) >= similarity)
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "ids")
+    firsts = prints.groupBy("sid").agg(F.min(F.struct("doc_id", "fp")).alias("o")).join(ids, "sid").select("sid", "o.*")
+    sets = written(prints.select("sid", "doc_id", "fp", "grams").join(firsts, ["sid", "doc_id", "fp"]).select("sid", "grams").dropDuplicates(["sid"]), "sets")
+    side = lambda x: sets.select(F.col("sid").alias(x), F.col("grams").alias(f"g{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long")
+
+
+def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Of sorted distinct values."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return common / max(1, len(both) - common)
+
+
+def star_pairs(nodes: DataFrame, least: int) -> DataFrame:
+    """Each node (sid, sketch, bands) with the least node that shares a band and agrees in ``least`` minima."""
+    rows = nodes.select("sid", F.posexplode("bands").alias("band", "h"))
+    pivots = rows.groupBy("band", "h").agg(F.min("sid").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    pairs = rows.join(pivots, ["band", "h"]).filter("sid <> a").select("a", F.col("sid").alias("b")).distinct()
+    return _agreeing(pairs, nodes, least).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+
+
+def dealt_blocks(nodes: DataFrame, chunk: int) -> DataFrame:
+    """Members of buckets with several labels, once for each pair (i, j) of blocks of about ``chunk`` that their block is in.
+
+    Blocks of the most frequent label come last and aren't paired with one another."""
+    rows = nodes.select("sid", "label", F.posexplode("bands").alias("band", "h"))
+    by_label = rows.groupBy("band", "h", "label").agg(F.count("*").alias("n"))
+    top = F.max_by("label", F.struct("n", "label")).alias("top")
+    mixed = by_label.groupBy("band", "h").agg(F.sum("n").alias("n"), F.max("n").alias("n_top"), F.count("*").alias("labels"), top).filter("labels > 1")
+    others, tops = F.ceil((F.col("n") - F.col("n_top")) / chunk).cast("int"), F.ceil(F.col("n_top") / chunk).cast("int")
+    dealt = rows.join(mixed, ["band", "h"]).withColumns({"others": others, "tops": tops, "is_top": F.col("label") == F.col("top")})
+    number = lambda blocks: F.pmod(F.xxhash64("sid"), F.col(blocks)).cast("int")
+    dealt = dealt.withColumn("block", F.when(F.col("is_top"), F.col("others") + number("tops")).otherwise(number("others")))
+    last = F.when(F.col("is_top"), F.col("others")).otherwise(F.col("others") + F.col("tops")) - 1
+    sent = dealt.select("band", "h", "sid", "label", "block", F.explode(F.sequence(F.lit(0), last)).alias("meets"))
+    return sent.select("band", "h", "sid", "label", "block", F.least("block", "meets").alias("i"), F.greatest("block", "meets").alias("j"))
+
+
+def block_pairs(nodes: DataFrame, least: int, chunk: int = 1024) -> DataFrame:
+    """All pairs a < b of nodes (sid, sketch, bands, label) of different labels that share a band and agree in ``least`` minima."""
 
     def run(key: tuple, got: pa.Table) -> pa.Table:
-        got = got.sort_by("rep")
-        sketches = np.frombuffer(b"".join(got["sketch"].to_pylist()), "<u2").reshape(got.num_rows, -1)
-        rep = got["rep"].to_numpy()
-        leaders, edges = np.empty(0, np.int64), []
-        for i in range(len(rep)):
-            share = (sketches[leaders] == sketches[i]).mean(axis=1) if len(leaders) else np.empty(0)
-            near = share >= least
-            edges += [(i, x) for x in leaders[near]]
-            if not (share >= 0.5 + least / 2).any():
-                leaders = np.append(leaders, i)
-        pick = np.concatenate([np.array([e[0] for e in edges], np.int64), leaders])
-        other = [int(rep[e[1]]) for e in edges] + [None] * len(leaders)
-        part = got.select(["band", "h", "n", "rep", "sketch"]).take(pa.array(pick))
-        return part.append_column("b", pa.array(other, pa.int64()))
-
-    dealt = members.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / chunk)))
-    first = written(dealt.groupBy("band", "h", "chunk").applyInArrow(run, out), "leaders")
-    second = first.filter(F.col("b").isNull() & (F.col("n") > chunk)).drop("b").groupBy("band", "h").applyInArrow(run, out)
-    return first.unionByName(second).filter("b IS NOT NULL").select(F.col("rep").alias("a"), "b")
+        sketches, sid, label, block = _sketches(got["sketch"]), got["sid"].to_numpy(), got["label"].to_numpy(), got["block"].to_numpy()
+        i, j = key[2].as_py(), key[3].as_py()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        found = []
+        for at, x in enumerate(left):
+            y = right[at + 1 :] if i == j else right
+            y = y[label[y] != label[x]]
+            if len(y):
+                y = y[(sketches[y] == sketches[x]).sum(axis=1) >= least]
+                found.append((np.minimum(sid[x], sid[y]), np.maximum(sid[x], sid[y])))
+        a, b = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+        return pa.table({"a": a, "b": b})
+
+    return dealt_blocks(nodes, chunk).join(nodes.select("sid", "sketch"), "sid").groupBy("band", "h", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
+def similar_links(prints: DataFrame, proven: DataFrame, similarity: float, chunk: int = 1024) -> DataFrame:
+    """Edges (a, b) between doc_ids that join the components of ``proven`` edges and of all similar pairs that share a band."""
+    nodes = written(prints.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "nodes")
+    least = _least_agreeing(similarity)
+    rep = lambda x: nodes.select(F.col("sid").alias(x), F.col("rep").alias(f"rep_{x}"))
+    named = lambda pairs: pairs.join(rep("a"), "a").join(rep("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    own = prints.join(nodes.select("sid", "rep"), "sid").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
+    stars = _verified(written(star_pairs(nodes, least), "stars"), prints, similarity)
+    first = components(proven.unionByName(own).unionByName(named(stars)))
+    labelled = nodes.join(first, nodes.rep == first.node, "left").select("sid", "sketch", "bands", F.coalesce("component", "rep").alias("label"))
+    rest = _verified(written(block_pairs(written(labelled, "labelled"), least, chunk), "candidates"), prints, similarity)
+    return first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(named(rest))
 
 
 class _Forest:
@@ -266,14 +354,13 @@ def _star(pairs: DataFrame, large: str | None) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, budget: int = 4, similarity: float | None = 0.8) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id that can be reached over links: fingerprints of at most ``budget``
-    differing bits and, unless ``similarity`` is None, texts whose shingles are that similar."""
+    differing bits and, unless ``similarity`` is None, texts whose sets of distinct shingles are that similar."""
     prints = written(fingerprints(docs, shingle, similarity is not None), "prints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     edges = links(distinct, budget)
     if similarity is not None:
-        nodes = written(prints.groupBy("fp", "sketch").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "nodes")
-        own = nodes.select("fp", F.col("rep").alias("a")).join(distinct, "fp").select("a", F.col("rep").alias("b"))
-        edges = edges.unionByName(own).unionByName(similar_links(nodes, similarity))
+        same = prints.select("fp", F.col("doc_id").alias("a")).join(distinct, "fp").select("a", F.col("rep").alias("b"))
+        edges = similar_links(prints, edges.unionByName(same), similarity)
     found = components(edges)
     named = distinct.join(found, distinct.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")

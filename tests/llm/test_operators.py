@@ -124,6 +124,73 @@ def test_similar_texts_are_linked(spark):
     assert {i: got[i].component_id for i in got} == {i: 0 if i < 30 else i for i in range(60)}
 
 
+def shingle_sets(texts):
+    return [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+
+
+def similar_components(texts, similarity=0.8):
+    sets, n = shingle_sets(texts), len(texts)
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    return components(range(n), [(i, j) for i in range(n) for j in range(i + 1, n) if jaccard(sets[i], sets[j]) >= similarity])
+
+
+def linked_by_similarity(spark, texts, chunk):
+    rows = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    prints = simhash.written(simhash.fingerprints(rows, 5, True), "prints")
+    none = spark.createDataFrame([], "a long, b long")
+    found = {r.node: r.component for r in simhash.components(simhash.similar_links(prints, none, 0.8, chunk)).collect()}
+    return {i: found.get(i, i) for i in range(len(texts))}
+
+
+def chain(rng, length, words, step):
+    """Texts that drift: each has ``step`` more words changed than the last."""
+    text = [f"w{rng.randint(0, 10**6)}" for _ in range(words)]
+    places, out = rng.sample(range(0, words - 5, 5), (length - 1) * step), [" ".join(text)]
+    for i in range(length - 1):
+        for at in places[i * step : (i + 1) * step]:
+            text[at] = f"x{rng.randint(0, 10**6)}"
+        out.append(" ".join(text))
+    return out
+
+
+def test_similar_chains_and_large_buckets_are_linked_as_by_brute_force(spark):
+    rng = random.Random(3)
+    texts = [t for _ in range(12) for t in chain(rng, 6, 500, 8)]  # 0.85 from one to the next, 0.73 over two
+    base = chain(rng, 2, 300, 1)[0].split()
+    for _ in range(560):  # a bucket over 512, of copies that drift apart
+        w = list(base)
+        for at in rng.sample(range(300), rng.randint(0, 12)):
+            w[at] = f"y{rng.randint(0, 10**6)}"
+        texts.append(" ".join(w))
+    rng.shuffle(texts)
+    expected = similar_components(texts)
+    for chunk in (64, 1024):
+        assert linked_by_similarity(spark, texts, chunk) == expected
+
+
+def test_similarity_is_judged_by_the_sets_of_shingles(spark):
+    rng = random.Random(8)
+    texts, wanted = [], {}
+    for changes, linked in ((11, True), (14, False)):  # 504 shingles, 5 changed by each: 0.803 and 0.756
+        for _ in range(30):
+            wanted |= {len(texts): len(texts), len(texts) + 1: len(texts) + 1 - linked}
+            first, last = chain(rng, 2, 508, changes)
+            texts += [first, last]
+    assert similar_components(texts) == wanted
+    assert linked_by_similarity(spark, texts, 1024) == wanted
+
+
+def test_tasks_hold_two_blocks_of_a_bucket_and_every_pair_meets(spark):
+    label = lambda i: 7 if i < 200 else i
+    nodes = spark.createDataFrame([(i, label(i), [1]) for i in range(600)], "sid long, label long, bands array<long>")
+    groups = {}
+    for r in simhash.dealt_blocks(nodes, 32).collect():
+        groups.setdefault((r.i, r.j), []).append((r.sid, r.block))
+    assert max(map(len, groups.values())) < 4 * 32
+    met = {frozenset((a, b)) for (i, j), g in groups.items() for a, x in g for b, y in g if a != b and (x, y) == (i, j)}
+    assert all(frozenset((a, b)) in met for a in range(600) for b in range(a) if label(a) != label(b))
+
+
 # language
 
 
