@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 
 def read_stream(spark, path: str, schema, files: int = 10, timestamps: tuple[str, ...] = ("ts",)) -> DataFrame:
@@ -53,20 +55,24 @@ def export_attempts(results: DataFrame, direct: int = 3, queued: int = 6) -> Dat
 def dedupe_ttl(requests: DataFrame, ttl: int) -> DataFrame:
     """Add duplicate to (key, arrived_at): an arrival before its key's accepted one has expired. Duplicates don't extend it.
 
-    The fold over a key's arrivals needs them in one place; each row is two numbers, and only per key.
+    Arrivals are sorted by key and time within partitions, a sort that spills, and a task reads them as a stream: it holds one
+    batch and the current key's expiry, however many arrivals a key has. A key's arrivals are read by one task. Null times are left out.
     """
-
-    def fold(times: Column) -> Column:
-        start = F.struct(F.lit(None).cast("long").alias("until"), F.array().cast("array<struct<at:bigint,dup:boolean>>").alias("out"))
-
-        def step(a: Column, t: Column) -> Column:
-            dup = F.coalesce(t < a.getField("until"), F.lit(False))
-            return F.struct(F.when(dup, a.getField("until")).otherwise(t + ttl).alias("until"), F.array_append(a.getField("out"), F.struct(t.alias("at"), dup.alias("dup"))).alias("out"))
-
-        return F.aggregate(times, start, step, lambda a: a.getField("out"))
-
-    folded = requests.groupBy("key").agg(F.array_sort(F.collect_list("arrived_at")).alias("times")).select("key", F.explode(fold(F.col("times"))).alias("x"))
-    return folded.select("key", F.col("x.at").alias("arrived_at"), F.col("x.dup").alias("duplicate"))
+    given = requests.filter("arrived_at IS NOT NULL").select("key", F.col("arrived_at").cast("long").alias("arrived_at"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, until = None, None
+        for batch in batches:
+            found = []
+            for k, t in zip(batch["key"].to_pylist(), batch["arrived_at"].to_pylist(), strict=True):
+                if k != key:
+                    key, until = k, None
+                found.append(until is not None and t < until)
+                until = until if found[-1] else t + ttl
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.bool_())], names=["key", "arrived_at", "duplicate"])
+
+    schema = StructType([*given.schema.fields, StructField("duplicate", BooleanType())])
+    return given.repartition("key").sortWithinPartitions("key", "arrived_at").mapInArrow(run, schema)
 
 
 class TtlState(StatefulProcessor):

@@ -413,6 +413,18 @@ def test_ttl_in_both_forms(spark, tmp_path):
     assert accepted(spark.table("ttl")) == expected
 
 
+def test_dedupe_ttl_never_gathers_a_key(spark):
+    hot = spark.range(60_000).select(F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 2 > 0, F.col("id").cast("string")).alias("key"), (F.col("id") * 7919 % 60_000).alias("arrived_at"))
+    got = jobs.dedupe_ttl(hot, 10)
+    assert "collect_list" not in got._jdf.queryExecution().executedPlan().toString()
+    expected, until = [], {}
+    for key, at in sorted(((r.key, r.arrived_at) for r in hot.collect()), key=lambda x: (x[0] or "", x[1])):
+        duplicate = at < until.get(key, at)
+        until[key] = until[key] if duplicate else at + 10
+        expected.append((key or "", at, duplicate))
+    assert sorted((r.key or "", r.arrived_at, r.duplicate) for r in got.collect()) == sorted(expected)
+
+
 def test_streams_equal_batches(spark, tmp_path):
     given = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     given.write.parquet(str(tmp_path / "in"))
