@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartloom.llm.shared import batch_of, blocks
+from chartloom.llm.shared import batch_of, blocks, bounded
 
 SIDE, RATE = 24, 24
 FRAME = SIDE * SIDE
@@ -190,7 +190,7 @@ def write_media(docs: DataFrame) -> DataFrame:
             made = [(n, write_avi(payload)) for n, payload in map(padded, block["text"].to_pylist())]
             yield batch_of(_MEDIA, {"doc_id": block["doc_id"], "n_bytes": [m[0] for m in made], "media": [m[1] for m in made]})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return bounded(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 def read_media(media: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def read_media(media: DataFrame) -> DataFrame:
             rows = [row(*x) for x in zip(block["doc_id"].to_pylist(), block["n_bytes"].to_pylist(), block["media"].to_pylist(), strict=True)]
             yield batch_of(_READ, dict(zip(_READ.names, zip(*rows, strict=True), strict=True)))
 
-    return media.mapInArrow(run, _DDL)
+    return bounded(media).mapInArrow(run, _DDL)
 
 
 def clip_rows(read: DataFrame) -> DataFrame:

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartloom.llm.pieces import Kept, byte_letters, gather
-from chartloom.llm.shared import batch_of, blocks
+from chartloom.llm.pieces import MOST_KEPT, Kept, byte_letters, gather
+from chartloom.llm.shared import batch_of, blocks, bounded
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 #: Fixed values of the format: the pre-tokenization pattern of byte-level vocabularies.
@@ -129,7 +129,7 @@ class Vocabulary:
 class Pieces(Kept):
     """The ids of pieces by the merges above, and the strings that ids stand for as runs of one array of bytes."""
 
-    def __init__(self, path: str, most: int = 500_000) -> None:
+    def __init__(self, path: str, most: int = MOST_KEPT) -> None:
         super().__init__(most)
         self.vocabulary = v = Vocabulary(path)
         top = max(v.bytes) + 1
@@ -178,7 +178,7 @@ def encode_and_decode(docs: DataFrame, vocabulary: str, keep_ids: bool = False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pieces_of(vocabulary)
-        for block in blocks(batches, "text", 8 << 20):
+        for block in blocks(batches, "text", 4 << 20):
             ids, counts = known.encode(block["text"])
             columns = {
                 "doc_id": block["doc_id"],
@@ -191,4 +191,4 @@ def encode_and_decode(docs: DataFrame, vocabulary: str, keep_ids: bool = False)
             yield batch_of(schema, columns)
 
     out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, out)
+    return bounded(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, out)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chartloom.llm.shared import batch_of, blocks, written
+from chartloom.llm.shared import batch_of, blocks, bounded, written
 
 BUCKETS = 1 << 15
 _EVIDENCE = ["id", "text", "declared", "suffix", "host", "domain"]
@@ -69,7 +69,7 @@ def fit(evidence: DataFrame, sample: int = 20_000, most_languages: int = 64, alp
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums.ravel()[at], pa.int64())], names=["at", "n"])
 
-    rows = drawn.select("text", "declared").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow() if total else None
+    rows = bounded(drawn.select("text", "declared")).mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow() if total else None
     table = np.full(len(languages) * BUCKETS, alpha)
     table[rows["at"].to_numpy()] += rows["n"].to_numpy()
     table = table.reshape(len(languages), BUCKETS)
@@ -92,7 +92,7 @@ def text_evidence(evidence: DataFrame, languages: list[str], table: np.ndarray,
             scaled = sums / np.maximum(1, n)[:, None] * (n / (1 + n / weight))[:, None]
             yield batch_of(schema, {c: block[c] for c in ("id", "declared", "suffix", "host", "domain")} | {"grams": n, "ll": list(np.round(scaled, 6))})
 
-    return evidence.select(*_EVIDENCE).mapInArrow(run, "id long, declared string, suffix string, host string, domain string, grams long, ll array<double>")
+    return bounded(evidence.select(*_EVIDENCE)).mapInArrow(run, "id long, declared string, suffix string, host string, domain string, grams long, ll array<double>")
 
 
 def posterior(parts: list[list[Column]]) -> Column:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.llm.pieces import word_encoder
-from chartloom.llm.shared import batch_of, blocks, written
+from chartloom.llm.shared import batch_of, blocks, bounded, written
 
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 _IDS = _PIECE.append(pa.field("ids", pa.binary()))
@@ -35,7 +35,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(vocabulary)
-        for block in blocks(batches, "text", 16 << 20):
+        for block in blocks(batches, "text", 4 << 20):
             rows: list[tuple] = []
             ids, counts = encoder.encode(block["text"])
             ends = np.cumsum(counts)
@@ -47,7 +47,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id:
             yield batch_of(schema, dict(zip(schema.names, zip(*rows, strict=True), strict=True)))
 
     out = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if keep_ids else "")
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, out)
+    return bounded(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, out)
 
 
 class _Lengths:

@@ -1,14 +1,17 @@
 """Cutting texts into pieces that a tokenizer treats alone, and keeping each piece's ids.
 
 Words repeat, so a task encodes each distinct piece once and joins the kept ids of a document's pieces. The cuts are
-only made where the tokenizer's own pre-tokenization always cuts, so the ids equal those of the whole text.
+only made where the tokenizer's own pre-tokenization always cuts, so the ids equal those of the whole text. A tokenizer whose
+file has other settings than those that the cuts were made for encodes whole texts. Kept pieces are bounded by bytes.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
+import sys
 from array import array
 from collections.abc import Iterable, Sequence
 from itertools import batched
@@ -19,7 +22,7 @@ import pyarrow.compute as pc
 
 #: White space other than a single space: where it occurs, cuts need a look at both neighbours.
 _OTHER = ("  ", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\n ", " \n")
-_WIDE = re.compile("[\x85\xa0  -     　]")
+_WIDE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -60,16 +63,21 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return values[np.cumsum(at)]
 
 
+#: Bytes of kept pieces in a Python worker, and what a piece takes besides its string and its ids.
+MOST_KEPT, _ENTRY = 48 << 20, 130
+
+
 class Kept:
-    """Ids by piece: a number for each piece met, and for each number a run of one array. Emptied beyond ``most``."""
+    """Ids by piece: a number for each piece met, and for each number a run of one array. Emptied beyond ``most`` bytes."""
 
-    def __init__(self, most: int = 700_000) -> None:
+    def __init__(self, most: int = MOST_KEPT) -> None:
         self.most = most
         self.clear()
 
     def clear(self) -> None:
         self.heads: dict[str, int] = {}
         self.tails: dict[str, int] = {}
+        self.held = 0
         self.values, self.used = np.zeros(1 << 20, np.uint32), 0
         self.starts, self.lengths, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
 
@@ -85,6 +93,7 @@ class Kept:
             known[piece] = self.count + len(lengths)
             lengths.append(len(ids))
             flat.extend(ids)
+            self.held += sys.getsizeof(piece) + 4 * len(ids) + _ENTRY
         n, new = self.used + len(flat), self.count + len(lengths)
         if n > len(self.values):
             self.values = np.append(self.values, np.zeros(max(n, len(self.values)), np.uint32))
@@ -103,7 +112,7 @@ class Kept:
         return gather(self.values, self.starts[numbers], lengths), np.diff(ends[np.append(0, np.cumsum(docs))])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.heads) + len(self.tails) > self.most:
+        if self.held > self.most:
             self.clear()
         return self.pieces(pc.fill_null(texts, ""))
 
@@ -133,8 +142,11 @@ class Library(Kept):
     """Plain pieces go straight to the library's merge model; all others through its whole path."""
 
     lower = False
+    #: Fixed values of the format: the settings that the cuts and the plain pieces were made for.
+    normalizer = None
+    pre_tokenizer = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 
-    def __init__(self, path: str, most: int = 700_000) -> None:
+    def __init__(self, path: str, most: int = MOST_KEPT) -> None:
         from tokenizers import Tokenizer
 
         super().__init__(most)
@@ -143,6 +155,17 @@ class Library(Kept):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.marks: dict[str, list[int]] = {"": []}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        plain = not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec.get("added_tokens", []))
+        model = {k: v for k, v in spec["model"].items() if k not in ("vocab", "merges", "type", "end_of_word_suffix")}
+        self.known = plain and spec["model"]["type"] == "BPE" and not any(model.values()) and (spec["normalizer"], spec["pre_tokenizer"]) == (self.normalizer, self.pre_tokenizer) and not spec["post_processor"]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if self.known:
+            return super().encode(texts)
+        found = [e.ids for part in batched(pc.fill_null(texts, "").to_pylist(), 256) for e in self.tokenizer.encode_batch_fast(list(part), add_special_tokens=False)]
+        return np.fromiter((i for ids in found for i in ids), np.uint32), np.array([len(ids) for ids in found], np.int64)
 
     def model(self, word: str, before: str = "") -> list[int]:
         """The ids of one pre-token; ``before``: letters of bytes that it begins with."""
@@ -169,6 +192,14 @@ class WordEncoder(Library):
     """For a tokenizer that lower-cases and drops white space: words between ASCII white space are encoded alone."""
 
     lower = True
+    normalizer = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    pre_tokenizer = {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    }
 
     def pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         cut = pc.ascii_split_whitespace(texts)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartloom.llm.shared import batch_of, blocks, drop_table, written
+from chartloom.llm.shared import batch_of, blocks, bounded, drop_table, written
 
 _PRINT = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
@@ -93,7 +93,7 @@ def fingerprints(docs: DataFrame, shingle: int, sketch: bool = False) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", 4 << 20):
             found = []
             for text in block["text"].to_pylist():
                 h = hashes(text, shingle)
@@ -107,7 +107,7 @@ def fingerprints(docs: DataFrame, shingle: int, sketch: bool = False) -> DataFra
             yield batch_of(schema, {"doc_id": block["doc_id"]} | dict(zip(schema.names[1:], zip(*found, strict=True), strict=True)))
 
     out = "doc_id long, fp long" + (", sketch binary, bands array<long>, sid long, grams binary" if sketch else "")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, out)
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.col("text").cast("string")).transform(bounded).mapInArrow(run, out)
 
 
 #: Of pairs at similarity 0.8, 1 in 45,000 agrees in fewer of its 96 minima.

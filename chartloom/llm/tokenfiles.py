@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartloom.llm.pieces import spaced_encoder
-from chartloom.llm.shared import batch_of, blocks, filesystem, new_folder, written
+from chartloom.llm.shared import batch_of, blocks, bounded, filesystem, new_folder, written
 
 _PART = pa.schema([("part", pa.int64()), ("name", pa.string()), ("width", pa.int32()), ("docs", pa.int64()), ("tokens", pa.int64()), ("first_doc", pa.int64())])
 _DOC = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
@@ -37,7 +37,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 2,
         fs, base = filesystem(folder)
         name, encoder = f"part-{task.partitionId():06d}-{task.taskAttemptId()}", spaced_encoder(vocabulary)
         ids, offsets, tokens, first = None, [np.zeros(1, "<u8")], 0, None
-        for block in blocks(batches, "text", 16 << 20):
+        for block in blocks(batches, "text", 4 << 20):
             if ids is None:
                 fs.create_dir(base, recursive=True)
                 ids, keys = fs.open_output_stream(f"{base}/{name}.ids"), fs.open_output_stream(f"{base}/{name}.docs")
@@ -56,7 +56,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 2,
         yield batch_of(_PART, {"part": [task.partitionId()], "name": [name], "width": [width], "docs": [len(ends) - 1], "tokens": [tokens], "first_doc": [first]})
 
     ordered = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(run, "part long, name string, width int, docs long, tokens long, first_doc long"), "parts")
+    return written(bounded(ordered).mapInArrow(run, "part long, name string, width int, docs long, tokens long, first_doc long"), "parts")
 
 
 def with_bases(parts: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartloom.llm.shared import batch_of, filesystem, new_folder, written
+from chartloom.llm.shared import batch_of, bounded, filesystem, new_folder, written
 
 _FILE = pa.schema([("name", pa.string()), ("records", pa.int64())])
 _ENTRY = pa.schema(
@@ -125,7 +125,7 @@ def write_archives(captures: DataFrame, folder: str) -> DataFrame:
             yield batch_of(_FILE, {"name": [name], "records": [n]})
 
     ordered = captures.select("page_id", "url", "url_key", "ts", "payload", "digest", "refers_to").sortWithinPartitions("url_key", "ts", "page_id")
-    return written(ordered.mapInArrow(run, "name string, records long"), "archives")
+    return written(bounded(ordered).mapInArrow(run, "name string, records long"), "archives")
 
 
 class RunWriter:
