@@ -76,8 +76,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
 def bounded(df: DataFrame, most: int = 4 << 20) -> DataFrame:
     """The same rows, for a pass through Python: its session sends Arrow batches of about ``most`` bytes at most from now on."""
     name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
-    now = conf.get(name, "-1").lower().removesuffix("b")
-    if not now.isdigit() or int(now) > most:
+    if int(conf.get(name).removesuffix("b")) > most:
         conf.set(name, str(most))
     return df
 
