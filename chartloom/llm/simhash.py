@@ -10,21 +10,28 @@ so the walk runs twice, once for either half first, with that smaller budget dow
 grows as n log^2 n, not as n^2.
 
 Distribution: the top ``depth`` levels are walked by a shuffle: each fingerprint is sent to the pairs of depth-``depth``
-nodes within the half budget that its own node belongs to. ``depth`` grows with the logarithm of their number, so that a
-task's two subtrees stay small. A task returns only a spanning forest (one row per linked fingerprint), and walks with
-a rising budget, leaving out pairs of subtrees that are already one component, so a large group of near copies costs
-little more than its size. Components are closed by alternating stars over the remaining edges, written between rounds.
+nodes within the half budget that its own node belongs to. ``depth`` grows with the logarithm of their number; pairs of nodes
+that still hold too many fingerprints are walked down further in the same way, so a task's two subtrees stay small whatever
+prefixes texts share. A task returns only a spanning forest (one row per linked fingerprint), and walks with a rising budget,
+leaving out pairs of subtrees that are already one component, so a large group of near copies costs little more than its
+size. Components are closed by alternating stars over the remaining edges, written between rounds.
+
+The graph's nodes are fingerprints, never doc_ids; what a component is called is looked up at the end.
 
 Similarity: texts with four in five shingles in common differ in 5 to 17 bits of 64, which no trie walk can afford. Where a
-``similarity`` is asked for, links by exact Jaccard similarity of the sets of distinct shingle hashes are added. Documents meet
-that share one of 16 bands of 6 minima; a pair is a candidate if 60 of its 96 minima agree, and a link if its sets say so. Of
-pairs at similarity 0.8, 8 in 1000 share no band; these two are the only estimates. Each member of a bucket is held against
-its least member first; then all pairs of a bucket meet that these links leave in different components. Buckets are dealt into
-blocks, and a task holds two of them. The members of a bucket's largest component meet the others only. Where many documents
-lie just below the similarity, the work is quadratic in their number, the memory of a task isn't.
+``similarity`` is asked for, links by exact Jaccard similarity of the sets of distinct shingle hashes are added. Sets are
+nodes too, named by a 64-bit hash, and each is tied to the fingerprints of its texts. Sets meet that share one of 16 bands of
+6 minima; a pair is a candidate if 60 of its 96 minima agree, and a link if the sets say so, which are taken again from the
+texts of those that meet another. Of pairs at similarity 0.8, 8 in 1000 share no band; these two are the only estimates. Each
+set is held against one least member of its bands first; then all pairs of a bucket meet that these links leave in different
+components. Buckets are dealt into blocks, and a task holds two of them. The members of a bucket's largest component meet the
+others only. Where many documents lie just below the similarity, the work is quadratic in their number, the memory of a task
+isn't.
 
 Exact copies share one fingerprint and enter once. Edge cases: null and empty texts have fingerprint zero and link like
-any other; shorter texts are one shingle; a null doc_id counts as -1; extra columns are ignored; an empty table gives an empty result.
+any other; shorter texts are one shingle; texts of any length are read whole; a null doc_id stays null and names no component
+(a component of such rows alone has none); rows that share a doc_id keep their own fingerprints and components; extra columns
+are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -82,32 +89,56 @@ def minima(h: np.ndarray) -> np.ndarray:
     return least
 
 
-_SKETCH = pa.schema([*_PRINT, ("sketch", pa.binary()), ("bands", pa.list_(pa.int64())), ("sid", pa.int64()), ("grams", pa.binary())])
+_SKETCH = pa.schema([*_PRINT, ("th", pa.int64()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64())), ("sid", pa.int64())])
+
+
+def _sid(grams: np.ndarray) -> int:
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest(grams.tobytes(), 42)).view(np.int64))
 
 
 def fingerprints(docs: DataFrame, shingle: int, sketch: bool = False) -> DataFrame:
-    """doc_id and fp, a signed long; with ``sketch`` also the minima's low 16 bits, the hashes of the bands, the sorted
-    distinct shingle hashes (grams) and their hash (sid)."""
+    """doc_id and fp, a signed long; with ``sketch`` also a hash of the text (th), the minima's low 16 bits, the hashes of
+    the bands, and a hash of the set of distinct shingle hashes (sid)."""
     schema = _SKETCH if sketch else _PRINT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for block in blocks(batches, "text", 4 << 20):
             found = []
             for text in block["text"].to_pylist():
                 h = hashes(text, shingle)
                 row = [majority(h)]
                 if sketch:
-                    least, grams = minima(h), np.unique(h).tobytes()
+                    least = minima(h)
                     bands = np.bitwise_xor.reduce(least.reshape(BANDS, ROWS) * np.arange(1, 2 * ROWS, 2, np.uint64), axis=1).view(np.int64)
-                    sid = int(np.uint64(xxhash.xxh64_intdigest(grams, 42)).view(np.int64))
-                    row += [(least & np.uint64(0xFFFF)).astype("<u2").tobytes(), bands.tolist(), sid, grams]
+                    row += [(least & np.uint64(0xFFFF)).astype("<u2").tobytes(), bands.tolist(), _sid(np.unique(h))]
                 found.append(row)
-            yield batch_of(schema, {"doc_id": block["doc_id"]} | dict(zip(schema.names[1:], zip(*found, strict=True), strict=True)))
+            names = [n for n in schema.names if n not in ("doc_id", "th")]
+            given = {n: block[n] for n in ("doc_id", "th") if n in schema.names}
+            yield batch_of(schema, given | dict(zip(names, zip(*found, strict=True), strict=True)))
+
+    out = "doc_id long, fp long" + (", th long, sketch binary, bands array<long>, sid long" if sketch else "")
+    return bounded(_texts(docs)).mapInArrow(run, out)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
 
-    out = "doc_id long, fp long" + (", sketch binary, bands array<long>, sid long, grams binary" if sketch else "")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.col("text").cast("string")).transform(bounded).mapInArrow(run, out)
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """sid and grams, the sorted distinct shingle hashes, of the sets of ``nodes`` (sid, th, doc_id: one row that has it)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text", 4 << 20):
+            grams = [np.unique(hashes(text, shingle)) for text in block["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_sid(g) for g in grams], pa.int64()), pa.array([g.tobytes() for g in grams], pa.binary())], names=["sid", "grams"])
+
+    wanted = nodes.select(F.col("th").alias("w_th"), F.col("doc_id").alias("w_id"))
+    given = _texts(docs)
+    one = given.join(wanted, (F.col("th") == F.col("w_th")) & F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi")
+    return bounded(one.select("text")).mapInArrow(run, "sid long, grams binary").dropDuplicates(["sid"])
 
 
 #: Of pairs at similarity 0.8, 1 in 45,000 agrees in fewer of its 96 minima.
@@ -134,7 +165,7 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Of the pairs (a, b) of sets those at ``similarity`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,11 +176,8 @@ def _verified(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFra
                 near.append(min(len(x), len(y)) >= similarity * max(len(x), len(y)) and _jaccard(x, y) >= similarity)
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "ids")
-    firsts = prints.groupBy("sid").agg(F.min(F.struct("doc_id", "fp")).alias("o")).join(ids, "sid").select("sid", "o.*")
-    sets = written(prints.select("sid", "doc_id", "fp", "grams").join(firsts, ["sid", "doc_id", "fp"]).select("sid", "grams").dropDuplicates(["sid"]), "sets")
     side = lambda x: sets.select(F.col("sid").alias(x), F.col("grams").alias(f"g{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long")
+    return bounded(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ga", "gb")).mapInArrow(run, "a long, b long")
 
 
 def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
@@ -160,12 +188,15 @@ def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
     return common / max(1, len(both) - common)
 
 
-def star_pairs(nodes: DataFrame, least: int) -> DataFrame:
-    """Each node (sid, sketch, bands) with the least node that shares a band and agrees in ``least`` minima."""
+def meetings(nodes: DataFrame) -> DataFrame:
+    """Of each node (sid, bands) that shares a band with another: of the least members of its bands the one that it shares
+    most bands with (a); null where it is the least of all."""
     rows = nodes.select("sid", F.posexplode("bands").alias("band", "h"))
-    pivots = rows.groupBy("band", "h").agg(F.min("sid").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    pairs = rows.join(pivots, ["band", "h"]).filter("sid <> a").select("a", F.col("sid").alias("b")).distinct()
-    return _agreeing(pairs, nodes, least).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    # written, so that Spark can split a hot band's rows in the join
+    pivots = written(rows.groupBy("band", "h").agg(F.min("sid").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n"), "pivots")
+    met = rows.join(pivots, ["band", "h"]).groupBy("sid", "a").agg(F.count("*").alias("n"))
+    best = F.max(F.when(F.col("a") != F.col("sid"), F.struct("n", "a")))
+    return met.groupBy("sid").agg(best.alias("m")).select("sid", "m.a")
 
 
 def dealt_blocks(nodes: DataFrame, chunk: int) -> DataFrame:
@@ -175,7 +206,7 @@ def dealt_blocks(nodes: DataFrame, chunk: int) -> DataFrame:
     rows = nodes.select("sid", "label", F.posexplode("bands").alias("band", "h"))
     by_label = rows.groupBy("band", "h", "label").agg(F.count("*").alias("n"))
     top = F.max_by("label", F.struct("n", "label")).alias("top")
-    mixed = by_label.groupBy("band", "h").agg(F.sum("n").alias("n"), F.max("n").alias("n_top"), F.count("*").alias("labels"), top).filter("labels > 1")
+    mixed = written(by_label.groupBy("band", "h").agg(F.sum("n").alias("n"), F.max("n").alias("n_top"), F.count("*").alias("labels"), top).filter("labels > 1"), "mixed")
     others, tops = F.ceil((F.col("n") - F.col("n_top")) / chunk).cast("int"), F.ceil(F.col("n_top") / chunk).cast("int")
     dealt = rows.join(mixed, ["band", "h"]).withColumns({"others": others, "tops": tops, "is_top": F.col("label") == F.col("top")})
     number = lambda blocks: F.pmod(F.xxhash64("sid"), F.col(blocks)).cast("int")
@@ -205,17 +236,26 @@ def block_pairs(nodes: DataFrame, least: int, chunk: int = 1024) -> DataFrame:
     return dealt_blocks(nodes, chunk).join(nodes.select("sid", "sketch"), "sid").groupBy("band", "h", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
-def similar_links(prints: DataFrame, proven: DataFrame, similarity: float, chunk: int = 1024) -> DataFrame:
-    """Edges (a, b) between doc_ids that join the components of ``proven`` edges and of all similar pairs that share a band."""
-    nodes = written(prints.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "nodes")
+def _set_node(sid):
+    """The number of a set in the graph that also has fingerprints."""
+    return F.xxhash64(F.lit("set"), sid)
+
+
+def similar_links(docs: DataFrame, prints: DataFrame, proven: DataFrame, shingle: int, similarity: float, chunk: int = 1024) -> DataFrame:
+    """Edges (a, b) between numbers of sets and fingerprints: they join the components of ``proven`` edges and of all similar
+    pairs of sets that share a band."""
+    one = F.min(F.struct("th", "doc_id")).alias("one")
+    every = prints.groupBy("sid").agg(one, F.first("sketch").alias("sketch"), F.first("bands").alias("bands")).select("sid", "one.*", "sketch", "bands")
+    nodes = written(every, "nodes")
+    met = written(meetings(nodes), "met")
+    nodes = written(nodes.join(met.select("sid"), "sid"), "meeting")
+    sets = written(shingle_sets(docs, nodes, shingle), "sets")
     least = _least_agreeing(similarity)
-    rep = lambda x: nodes.select(F.col("sid").alias(x), F.col("rep").alias(f"rep_{x}"))
-    named = lambda pairs: pairs.join(rep("a"), "a").join(rep("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-    own = prints.join(nodes.select("sid", "rep"), "sid").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
-    stars = _verified(written(star_pairs(nodes, least), "stars"), prints, similarity)
-    first = components(proven.unionByName(own).unionByName(named(stars)))
-    labelled = nodes.join(first, nodes.rep == first.node, "left").select("sid", "sketch", "bands", F.coalesce("component", "rep").alias("label"))
-    rest = _verified(written(block_pairs(written(labelled, "labelled"), least, chunk), "candidates"), prints, similarity)
+    named = lambda pairs: pairs.select(_set_node(F.col("a")).alias("a"), _set_node(F.col("b")).alias("b"))
+    stars = _agreeing(met.filter("a IS NOT NULL").select("a", F.col("sid").alias("b")), nodes, least)
+    first = components(proven.unionByName(named(_verified(written(stars, "stars"), sets, similarity))))
+    labelled = nodes.select("sid", "sketch", "bands", _set_node(F.col("sid")).alias("node")).join(first, "node", "left").select("sid", "sketch", "bands", F.coalesce("component", "node").alias("label"))
+    rest = _verified(written(block_pairs(written(labelled, "labelled"), least, chunk), "candidates"), sets, similarity)
     return first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(named(rest))
 
 
@@ -296,32 +336,55 @@ def _swapped(fp):
 
 
 def links(prints: DataFrame, budget: int = 4, subtree: int = 4096) -> DataFrame:
-    """Edges (a, b), b < a, that join near fingerprints; ``prints``: distinct fp with rep, a number for each."""
+    """Edges (a, b) that join near fingerprints; ``prints``: distinct fp. A task holds two subtrees of at most 16 times
+    ``subtree`` fingerprints together: larger pairs of nodes are walked down by four more levels before they are dealt."""
     half = budget // 2
     depth = min(20, max(2, int(np.ceil(np.log2(max(1, prints.count()) / subtree)))))
-    masks = [sum(1 << i for i in c) for k in range(half + 1) for c in combinations(range(depth), k)]
     tries = F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.col("fp").alias("key")), F.struct(F.lit(1).alias("turn"), _swapped(F.col("fp")).alias("key"))))
-    node = F.shiftrightunsigned("key", 64 - depth)
-    own = prints.select("rep", tries.alias("t")).select("rep", "t.turn", "t.key", node.alias("node"))
-    other = F.explode(F.array(*[F.lit(m).cast("long") for m in masks]))
-    sent = own.withColumn("mask", other).select("rep", "key", "turn", F.least("node", F.col("node").bitwiseXOR(F.col("mask"))).alias("low"), "mask")
-
+    roots = prints.select("fp", tries.alias("t")).select("fp", "t.turn", "t.key", F.lit(0).cast("long").alias("mask"))
+    found, sent = [], _descended(roots, 0, depth, half, budget)
+    while True:
+        large = written(sent.groupBy("turn", "low", "mask").agg(F.count("*").alias("n")).filter(F.col("n") > 16 * subtree).drop("n"), "large") if depth < 60 else None
+        if large is None or large.isEmpty():
+            return _union([*found, _walked(sent, depth, half, budget)])
+        found.append(_walked(sent.join(large, ["turn", "low", "mask"], "left_anti"), depth, half, budget))
+        deeper = min(60, depth + 4)
+        sent = written(_descended(sent.join(large, ["turn", "low", "mask"], "left_semi"), depth, deeper, half, budget), "descended")
+        depth = deeper
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _descended(keys: DataFrame, depth: int, deeper: int, half: int, budget: int) -> DataFrame:
+    """Each key (fp, turn, key, mask: how its pair of nodes at ``depth`` differs) with the pairs at ``deeper`` that it belongs to:
+    low, the lesser node, and mask. A pair within one node is dealt once a key, as is each side of a pair of two."""
+    most = half if deeper <= 32 else budget
+    more = [sum(1 << i for i in c) for k in range(most + 1) for c in combinations(range(deeper - depth), k)]
+    node = F.shiftrightunsigned("key", 64 - deeper)
+    each = keys.select("fp", "turn", "key", "mask", F.explode(F.array(*[F.lit(m).cast("long") for m in more])).alias("bits"))
+    dealt = each.select("fp", "turn", "key", F.shiftleft("mask", deeper - depth).bitwiseOR(F.col("bits")).alias("mask")).filter(F.bit_count("mask") <= most)
+    return dealt.select("fp", "turn", "key", "mask", F.least(node, node.bitwiseXOR(F.col("mask"))).alias("low"))
+
+
+def _walked(sent: DataFrame, depth: int, half: int, budget: int) -> DataFrame:
     def run(group: tuple, got: pa.Table) -> pa.Table:
-        keys, rep = got["key"].to_numpy().view(np.uint64), got["rep"].to_numpy()
+        keys, fp = got["key"].to_numpy().view(np.uint64), got["fp"].to_numpy()
         by = np.argsort(keys)
-        keys, rep = keys[by], rep[by]
+        keys, fp = keys[by], fp[by]
         mask, low = group[2].as_py(), group[1].as_py()
         left = int(np.searchsorted(keys >> np.uint64(64 - depth), low, "right")) if mask else 0
         if len(keys) < 2 or (mask and left in (0, len(keys))):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         root = walk(keys, left, depth, half, budget)
-        least = rep.copy()
-        np.minimum.at(least, root, rep)
-        found = least[root]
-        some = found != rep
-        return pa.table({"a": rep[some], "b": found[some]})
+        some = root != np.arange(len(keys))
+        return pa.table({"a": fp[some], "b": fp[root[some]]})
 
-    return sent.groupBy("turn", "low", "mask").applyInArrow(run, "a long, b long")
+    return sent.select("turn", "low", "mask", "key", "fp").groupBy("turn", "low", "mask").applyInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -344,11 +407,11 @@ def components(edges: DataFrame) -> DataFrame:
 def _star(pairs: DataFrame, large: str | None) -> DataFrame:
     """Tie each node's neighbours (those above it for a large star, those below for a small one) to the least of them all."""
     least = pairs.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    joined = pairs.join(least, "a")
     if large:
-        out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = written(least, "least")  # so that Spark can split the many edges of one node in the join
+        out = pairs.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        out = pairs.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
     return out.filter("a <> b").distinct()
 
 
@@ -356,14 +419,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, budget: int = 4, similari
     """doc_id, fp and component_id, the smallest doc_id that can be reached over links: fingerprints of at most ``budget``
     differing bits and, unless ``similarity`` is None, texts whose sets of distinct shingles are that similar."""
     prints = written(fingerprints(docs, shingle, similarity is not None), "prints")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     edges = links(distinct, budget)
     if similarity is not None:
-        same = prints.select("fp", F.col("doc_id").alias("a")).join(distinct, "fp").select("a", F.col("rep").alias("b"))
-        edges = similar_links(prints, edges.unionByName(same), similarity)
+        has = prints.select(F.col("fp").alias("a"), _set_node(F.col("sid")).alias("b")).distinct()
+        edges = similar_links(docs, prints, written(edges.unionByName(has), "proven"), shingle, similarity)
     found = components(edges)
-    named = distinct.join(found, distinct.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    rooted = written(distinct.join(found, distinct.fp == found.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root")), "rooted")
+    ids = written(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "ids")
+    named = written(rooted.select("fp", "root").join(ids, "root").select("fp", "component_id"), "named")
+    return prints.select("doc_id", "fp").join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_digits(fp):

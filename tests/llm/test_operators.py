@@ -110,6 +110,32 @@ def test_trie_walk_finds_every_component(seed, n):
     assert all(walked[a] == walked[b] for a, b in pairs if (int(keys[a] ^ keys[b]) >> 32).bit_count() <= 2)
 
 
+def test_links_are_whole_when_pairs_of_nodes_are_walked_down_further(spark):
+    rng = np.random.default_rng(3)
+    keys = {int(rng.integers(0, 1 << 62)) for _ in range(100)}
+    centre, high = 0x0123456789ABCDEF, 0x0F0F0F0F << 32
+    for bits in rng.integers(0, 64, (300, 3)):  # many within a few bits of each other
+        keys.add(centre ^ (1 << int(bits[0] % 62)) ^ (1 << int(bits[1] % 62)))
+    keys |= {high | int(x) for x in rng.integers(0, 1 << 32, 400)}  # many under one prefix of 32 bits
+    keys |= {k ^ 0b10011 for k in sorted(keys)[::7]} | {k ^ (0b111 << 40) for k in sorted(keys)[::5]}
+    rows = spark.createDataFrame([(k,) for k in keys], "fp long")
+    got = {r.node: r.component for r in simhash.components(simhash.links(rows, 4, subtree=16)).collect()}
+    ids = sorted(keys)
+    array = np.array(ids, np.uint64)
+    pairs = [(a, ids[j]) for a in ids for j in np.flatnonzero(np.bitwise_count(array ^ np.uint64(a)) <= 4)]
+    assert {k: got.get(k, k) for k in ids} == components(ids, pairs)
+
+
+def test_rows_without_an_id_or_with_a_shared_one_keep_their_own_component(spark):
+    rows = [(None, "one two three four five six", "en", "s", 0), (None, "seven eight nine ten eleven twelve", "en", "s", 0), (5, "one two three four five six", "en", "s", 0)]
+    rows += [(7, "red orange yellow green blue", "en", "s", 0), (7, "ant bee cat dog eel", "en", "s", 0), (3, "ant bee cat dog eel", "en", "s", 0)]
+    for similarity in (None, 0.8):
+        got = sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, DOCS), 4, 0, similarity).collect() if r.doc_id is not None)
+        assert got == [(3, 3), (5, 5), (7, 3), (7, 7)]
+        found = simhash.near_duplicates(spark.createDataFrame(rows, DOCS), 4, 0, similarity)
+        assert sorted(found.filter("doc_id IS NULL").select(F.coalesce("component_id", F.lit(-1))).toPandas().iloc[:, 0]) == [-1, 5]
+
+
 def test_similar_texts_are_linked(spark):
     rng = random.Random(1)
     base = [f"w{rng.randint(0, 10**6)}" for _ in range(400)]
@@ -138,8 +164,12 @@ def linked_by_similarity(spark, texts, chunk):
     rows = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
     prints = simhash.written(simhash.fingerprints(rows, 5, True), "prints")
     none = spark.createDataFrame([], "a long, b long")
-    found = {r.node: r.component for r in simhash.components(simhash.similar_links(prints, none, 0.8, chunk)).collect()}
-    return {i: found.get(i, i) for i in range(len(texts))}
+    found = simhash.components(simhash.similar_links(rows, prints, none, 5, 0.8, chunk))
+    named = prints.select("doc_id", simhash._set_node(F.col("sid")).alias("node")).join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("c"))
+    first, of = {}, {r.doc_id: r.c for r in named.collect()}
+    for i in sorted(of):
+        first.setdefault(of[i], i)
+    return {i: first[of[i]] for i in of}
 
 
 def chain(rng, length, words, step):
@@ -309,6 +339,61 @@ def test_shards_are_even_and_keep_small_groups(spark, empty):
     assert sharding.shard_documents(empty, 8).count() == 0
 
 
+# language against plain Bayes
+
+
+def plain_languages(rows, languages, table, weight=60.0, kappa=20.0):
+    """rows: id, text, declared, suffix, host, domain."""
+    k, n = len(languages), len(rows)
+    grams = [langid.trigrams([r[1]])[0] for r in rows]
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    ll = [np.round(table.T[g].astype(np.float32).sum(axis=0, dtype=np.float64) / max(1, len(g)) * (len(g) / (1 + len(g) / weight)), 6) for g in grams]
+    q = [soft(x) for x in ll]
+    some = [len(g) > 0 for g in grams]
+    add = lambda keep: sum((q[i] for i in range(n) if some[i] and keep(rows[i])), np.zeros(k))
+    whole = add(lambda r: True)
+    prior = (whole + 1) / (whole.sum() + k)
+    out = {}
+    for i, r in enumerate(rows):
+        known = lambda x: x[2] if x[2] in languages else x[2] is None
+        by_declared = np.log((add(lambda x: known(x) == known(r)) + 0.5) / (whole + 1))
+        by_suffix = np.log((add(lambda x: x[3] == r[3]) + 0.5) / (whole + 1))
+        of_domain = (add(lambda x: x[5] == r[5]) + kappa * prior) / (sum(s and x[5] == r[5] for s, x in zip(some, rows, strict=True)) + kappa)
+        mine = q[i] if some[i] else np.zeros(k)
+        of_host = np.maximum(add(lambda x: (x[4], x[5]) == (r[4], r[5])) - mine, 0)
+        count = sum(s and (x[4], x[5]) == (r[4], r[5]) for s, x in zip(some, rows, strict=True)) - some[i]
+        p = soft(np.log((of_host + kappa * of_domain) / (count + kappa)) + ll[i] + by_declared + by_suffix)
+        out[r[0]] = (languages[int(p.argmax())], round(float(p.max()), 4))
+    return out
+
+
+def test_fusion_equals_plain_bayes(spark):
+    rng = random.Random(4)
+    said = {"en": "the cat and the dog went over there with that".split(), "de": "der hund und die katze gingen dort zusammen hin".split(), "none": "le chat et le chien sont allés là avec ça".split()}
+    rows = []
+    for i in range(90):
+        true = rng.choice(list(said))
+        text = " ".join(rng.choices(said[true], k=rng.randint(1, 12)))
+        rows.append((i, rng.choice([text, text, text, None, ""]), rng.choice([true, true, "en", None, "xx" if i > 80 else true]), rng.choice(["com", true, None]), rng.choice(["a.b", f"{true}.b", None]), rng.choice(["b", None])))
+    evidence = spark.createDataFrame(rows, "id long, text string, declared string, suffix string, host string, domain string")
+    languages, table = langid.fit(evidence.filter("declared IS NULL OR declared <> 'xx'"))
+    assert languages == ["de", "en", "none"]
+    got = {r.id: (r.language, round(r.posterior, 4)) for r in langid.identify(evidence, (languages, table)).collect()}
+    expected = plain_languages(rows, languages, table)
+    assert all(got[i][0] == expected[i][0] and abs(got[i][1] - expected[i][1]) < 2e-4 for i in got), [(got[i], expected[i]) for i in got if got[i] != expected[i]][:3]
+    assert langid.identify(evidence.limit(0), (languages, table)).count() == 0
+    assert langid.identify(evidence.limit(0)).count() == 0
+
+
+def test_every_declared_language_takes_part(spark):
+    rows = [(i, " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}q{j}" for j in range(30)), f"l{i}-XY", "s", 0) for i in range(70)] * 3
+    docs = spark.createDataFrame(rows, DOCS)
+    languages, _ = langid.fit(langid.document_evidence(docs))
+    assert languages == sorted(f"l{i}" for i in range(70))
+    with pytest.raises(ValueError, match="declared languages"):
+        langid.fit(langid.document_evidence(docs), most_languages=69)
+
+
 # line deduplication
 
 
@@ -344,6 +429,8 @@ def test_line_runs_against_brute_force(spark, docs, empty):
         assert set(frame.columns) < set(got.columns)
         assert {r.doc_id: r.text for r in got.collect()} == brute_line_dedup(texts, least)
     assert linedup.dedup_lines(empty).count() == 0
+    clash = linedup.dedup_lines(docs.withColumn("Removed_Lines", F.lit("theirs")).withColumn("removed_words", F.lit(-1)))
+    assert clash.columns[-2:] == ["removed_lines", "removed_words"] and clash.filter("removed_lines < 0 OR removed_words < 0").count() == 0
 
 
 def test_line_dedup_runs_no_python(docs, capsys):
