@@ -14,11 +14,12 @@ but the first are later copies. The same is done for runs that end at a line, so
 is covered too; the deleted lines then join into maximal runs.
 
 Everything is DataFrame operations. What is shuffled are line hashes (128 bits), never lines; texts are shuffled once,
-to join each document with its few deleted runs. Frequent lines and ranks are pre-aggregated before a shuffle, and the
-joins back to them are plain sort-merge joins, whose skewed partitions Spark splits.
+to join each document with its few deleted runs. Frequent lines and ranks are pre-aggregated before a shuffle and written;
+the joins back to them read both sides from tables, so Spark splits the partitions of a line that very many documents have.
 
-Edge cases: a null text stays null; repeated rows of the same doc_id and text count as one document; texts of any length
-are compared whole; extra columns are kept, whatever their names; an empty table gives an empty result.
+Edge cases: a null text stays null; repeated rows of the same doc_id and text count as one document; a null doc_id comes
+before all others; texts of any length are compared whole; extra columns are kept, but for those named like one that is
+added (removed_lines, removed_words), which are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     with_place = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("pos"), F.btrim(x, F.lit(_SPACE)).alias("line")))
     lines = docs.select(F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("t")).alias("d"), F.posexplode(F.filter(with_place, lambda s: s.line != "")).alias("idx", "s"))
     hashed = written(lines.select("d", "idx", "s.pos", F.regexp_count("s.line", F.lit(_WORD)).alias("words"), F.xxhash64("s.line").alias("h1"), F.xxhash64(F.lit("second"), "s.line").alias("h2")), "lines")
-    often = hashed.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    often = written(hashed.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "often")
     return hashed.join(often, ["h1", "h2"]).distinct()
 
 
@@ -80,7 +81,7 @@ def later_copies(state: DataFrame, k: int) -> DataFrame:
     begin = runs.filter(fits("fwd")).select("d", F.col("idx").alias("start"), F.col("fwd").alias("len"), F.col("ahead")[0].alias("r1"), F.get("ahead", F.col("fwd") - size).alias("r2"))
     end = runs.filter(fits("back")).select("d", (F.col("idx") - F.col("back") + 1).alias("start"), F.col("back").alias("len"), F.get("behind", F.col("back") - 1).alias("r1"), F.get("behind", F.lit(size - 1)).alias("r2"))
     both = written(begin.unionByName(end).filter("r1 > 0 AND r2 > 0").distinct(), "runs")
-    intervals = both.groupBy("len", "r1", "r2").agg(F.min(F.struct("d", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    intervals = written(both.groupBy("len", "r1", "r2").agg(F.min(F.struct("d", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "intervals")
     return both.join(intervals, ["len", "r1", "r2"]).filter(F.struct("d", "start") != F.col("first")).select("d", "start", "len")
 
 
@@ -113,14 +114,14 @@ def deleted_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
 
 
 def without_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """Documents with text less the runs; adds removed_lines and removed_words."""
+    """Documents with text less the runs; adds (or replaces) removed_lines and removed_words."""
     per_doc = runs.groupBy("d").agg(F.collect_list(F.struct("from_pos", "to_pos")).alias("cuts"), F.sum("lines").alias("cut_lines"), F.sum("words").alias("cut_words"))
     text = F.col("o.text").cast("string")
     cut = per_doc.select(F.col("d.id").alias("cut_id"), F.col("d.t").alias("cut_t"), "cuts", "cut_lines", "cut_words")
     joined = docs.select(F.struct("*").alias("o")).join(cut.hint("merge"), (F.col("o.doc_id").cast("long").eqNullSafe(F.col("cut_id"))) & (F.xxhash64(text) == F.col("cut_t")), "left")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.exists("cuts", lambda c: i.between(c.from_pos, c.to_pos))), "\n")
     new = F.when(F.col("cuts").isNull(), text).otherwise(kept)
-    others = [F.col("o").getField(c).alias(c) if c != "text" else new.alias("text") for c in docs.columns]
+    others = [F.col("o").getField(c).alias(c) if c != "text" else new.alias("text") for c in docs.columns if c.lower() not in ("removed_lines", "removed_words")]
     return joined.select(*others, F.coalesce("cut_lines", F.lit(0)).alias("removed_lines"), F.coalesce("cut_words", F.lit(0)).alias("removed_words"))
 
 
