@@ -8,13 +8,17 @@ Fused with it: how often a declared language comes with a language of the text (
 suffix does, and a prior of the host. The prior is smoothed along a hierarchy: a host's expected counts lean on its
 domain's, these on those of all rows, each with ``kappa`` rows' weight; a row's own count is taken out of its host's first.
 
+Declared languages are compared without their region (en-GB and en_us are en). All that are declared take part.
+
 Distribution: one pass over the texts gives a narrow table (an id and one number per language), and only that is grouped
 and joined. Sums by host are combined before the shuffle, and a host with a third of all rows meets its sums in a
 sort-merge join, which Spark splits. Tables by declared language are bounded by the number of languages.
 
 A document is kept if its text has at least one trigram and the best language's posterior is at least ``least``. Edge cases:
 null and empty texts have no evidence and aren't kept; null declared languages, suffixes and hosts are values like
-others; repeated rows count as rows; extra columns are ignored; without any declared row nothing is kept.
+others; a null id stays null; texts of any length are read whole; repeated rows count as rows; of equally likely languages
+the first by name counts; extra columns are ignored, whatever their names; without any declared row nothing is kept; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -48,9 +52,14 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return mixed[inside[: len(mixed)]].astype(np.int64), np.append(0, np.cumsum(np.maximum(0, lengths - 2)))
 
 
-def fit(evidence: DataFrame, sample: int = 20_000, most_languages: int = 64, alpha: float = 0.5) -> tuple[list[str], np.ndarray]:
-    """Languages (those declared most often), and the log probability of each bucket under each."""
-    counts = evidence.filter("declared IS NOT NULL AND text IS NOT NULL").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(most_languages).collect()
+def fit(evidence: DataFrame, sample: int = 20_000, most_languages: int = 1024, alpha: float = 0.5) -> tuple[list[str], np.ndarray]:
+    """All declared languages, and the log probability of each bucket under each.
+
+    The table is held whole by every task, so more than ``most_languages`` declared values (there, they would be something
+    else) raise ValueError; none is left out."""
+    counts = evidence.filter("declared IS NOT NULL AND text IS NOT NULL").groupBy("declared").count().limit(most_languages + 1).collect()
+    if len(counts) > most_languages:
+        raise ValueError(f"more than {most_languages} declared languages: clean the column or raise most_languages")
     languages = sorted(r.declared for r in counts)
     total = sum(r["count"] for r in counts)
     if not languages:
@@ -113,11 +122,11 @@ def identify(evidence: DataFrame, fitted: tuple[list[str], np.ndarray] | None =
     if not k:
         return evidence.select("id", "declared", F.lit(None).cast("string").alias("text_language"), F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(0).cast("long").alias("grams"), F.lit(False).alias("kept"))
     said = text_evidence(evidence, languages, table, weight)
-    known = F.when(F.col("declared").isin(languages), F.col("declared")).otherwise(F.when(F.col("declared").isNull(), "none").otherwise("other"))
+    known = F.when(F.col("declared").isin(languages), F.concat(F.lit("="), "declared")).otherwise(F.when(F.col("declared").isNull(), "none").otherwise("other"))
     own = written(said.withColumn("q", posterior([_each("ll", k)])).withColumn("known", known), "evidence")
 
     add = lambda: [F.sum(F.when(F.col("grams") > 0, F.col("q")[i]).otherwise(0.0)).alias(f"s{i}") for i in range(k)]
-    whole = own.agg(*add()).first()
+    whole = [x or 0.0 for x in own.agg(*add()).first()]
     n_all = sum(whole) or 1.0
     global_prior = [(whole[i] + 1) / (n_all + k) for i in range(k)]
 
@@ -148,10 +157,15 @@ def identify(evidence: DataFrame, fitted: tuple[list[str], np.ndarray] | None =
     )
 
 
+def without_region(language: Column) -> Column:
+    """Lower case, up to the first hyphen or underscore; null where nothing is left."""
+    return F.nullif(F.regexp_extract(F.lower(F.trim(language)), "^([^-_]*)", 1), F.lit(""))
+
+
 def document_evidence(docs: DataFrame) -> DataFrame:
     """From documents: the declared language is ``lang``, the host is ``source``; there is no address."""
     null = F.lit(None).cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"), F.lower("lang").alias("declared"), null.alias("suffix"), F.col("source").cast("string").alias("host"), null.alias("domain"))
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"), without_region(F.col("lang")).alias("declared"), null.alias("suffix"), F.col("source").cast("string").alias("host"), null.alias("domain"))
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
