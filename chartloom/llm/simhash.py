@@ -21,10 +21,11 @@ The graph's nodes are fingerprints, never doc_ids; what a component is called is
 Similarity: texts with four in five shingles in common differ in 5 to 17 bits of 64, which no trie walk can afford. Where a
 ``similarity`` is asked for, links by exact Jaccard similarity of the sets of distinct shingle hashes are added. Sets are
 nodes too, named by a 64-bit hash, and each is tied to the fingerprints of its texts. Sets meet that share one of 16 bands of
-6 minima; a pair is a candidate if 60 of its 96 minima agree, and a link if the sets say so, which are taken again from the
-texts of those that meet another. Of pairs at similarity 0.8, 8 in 1000 share no band; these two are the only estimates. Each
-set is held against one least member of its bands first; then all pairs of a bucket meet that these links leave in different
-components. Buckets are dealt into blocks, and a task holds two of them. The members of a bucket's largest component meet the
+6 minima; a pair is a candidate if 60 of its 96 minima agree and its 256 least hashes allow it, and a link if the whole sets
+say so, which are taken again from the texts of those that meet another. Of pairs at similarity 0.8, 8 in 1000 share no band
+and 1 in 22,000 is no candidate; these are the only estimates. Each
+set is held against one central member of its bands first, then against the one that it agrees with most; then all pairs of a
+bucket meet that these links leave in different components. Buckets are dealt into blocks, and a task holds two of them. The members of a bucket's largest component meet the
 others only. Where many documents lie just below the similarity, the work is quadratic in their number, the memory of a task
 isn't.
 
@@ -137,7 +138,8 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
 
     wanted = nodes.select(F.col("th").alias("w_th"), F.col("doc_id").alias("w_id"))
     given = _texts(docs)
-    one = given.join(wanted, (F.col("th") == F.col("w_th")) & F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi")
+    # always a merge join: texts are too many to be joined otherwise, and ``wanted`` grows with them
+    one = given.join(wanted.hint("merge"), (F.col("th") == F.col("w_th")) & F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi")
     return bounded(one.select("text")).mapInArrow(run, "sid long, grams binary").dropDuplicates(["sid"])
 
 
@@ -189,13 +191,20 @@ def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def meetings(nodes: DataFrame) -> DataFrame:
-    """Of each node (sid, bands) that shares a band with another: of the least members of its bands the one that it shares
-    most bands with (a); null where it is the least of all."""
+    """Of each node (sid, bands) that shares a band with another: a, the most central member of its bands, and of several
+    the one that it shares most bands with; null where that is the node itself in all of them.
+
+    A node is the more central, the more members its bands have together: a text that was copied with small changes shares
+    all of its bands with many copies, and each of these only some. Tables are written so that Spark can split a hot band's
+    rows in the joins."""
     rows = nodes.select("sid", F.posexplode("bands").alias("band", "h"))
-    # written, so that Spark can split a hot band's rows in the join
-    pivots = written(rows.groupBy("band", "h").agg(F.min("sid").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n"), "pivots")
-    met = rows.join(pivots, ["band", "h"]).groupBy("sid", "a").agg(F.count("*").alias("n"))
-    best = F.max(F.when(F.col("a") != F.col("sid"), F.struct("n", "a")))
+    sizes = written(rows.groupBy("band", "h").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+    shared = written(rows.join(sizes, ["band", "h"]), "shared")
+    central = written(shared.groupBy("sid").agg(F.sum("n").alias("members")), "central")
+    shared = shared.drop("n").join(central, "sid")
+    pivots = written(shared.groupBy("band", "h").agg(F.max(F.struct("members", "sid")).alias("p")).select("band", "h", F.col("p.sid").alias("a"), "p.members"), "pivots")
+    met = shared.select("sid", "band", "h").join(pivots, ["band", "h"]).groupBy("sid", "a").agg(F.count("*").alias("n"), F.max("members").alias("members"))
+    best = F.max(F.when(F.col("a") != F.col("sid"), F.struct("n", "members", "a")))
     return met.groupBy("sid").agg(best.alias("m")).select("sid", "m.a")
 
 
@@ -212,28 +221,64 @@ def dealt_blocks(nodes: DataFrame, chunk: int) -> DataFrame:
     number = lambda blocks: F.pmod(F.xxhash64("sid"), F.col(blocks)).cast("int")
     dealt = dealt.withColumn("block", F.when(F.col("is_top"), F.col("others") + number("tops")).otherwise(number("others")))
     last = F.when(F.col("is_top"), F.col("others")).otherwise(F.col("others") + F.col("tops")) - 1
-    sent = dealt.select("band", "h", "sid", "label", "block", F.explode(F.sequence(F.lit(0), last)).alias("meets"))
-    return sent.select("band", "h", "sid", "label", "block", F.least("block", "meets").alias("i"), F.greatest("block", "meets").alias("j"))
+    sent = dealt.select("band", "h", "sid", "label", "block", "is_top", F.explode(F.sequence(F.lit(0), last)).alias("meets"))
+    return sent.select("band", "h", "sid", "label", "block", "is_top", F.least("block", "meets").alias("i"), F.greatest("block", "meets").alias("j"))
+
+
+#: So many of a set's least hashes travel with its node. Sets that have no more are compared exactly by them; of others
+#: a pair at the similarity is taken for a lesser one, 4.1 deviations off, once in 45,000 times.
+LEAST_HASHES, DEVIATIONS = 256, 4.1
+
+
+def may_be_similar(x: np.ndarray, y: np.ndarray, similarity: float) -> float:
+    """The share of common hashes up to where both lists are whole; 0 if that rules out ``similarity``."""
+    full = [z[-1] for z in (x, y) if len(z) == LEAST_HASHES]
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    if full:
+        both = both[: np.searchsorted(both, min(full), "right")]
+    common = int((both[1:] == both[:-1]).sum())
+    n = len(both) - common
+    share = common / max(1, n)
+    slack = DEVIATIONS * (similarity * (1 - similarity) / n) ** 0.5 if full else 1e-12
+    return share if share >= similarity - slack else 0.0
+
 
+def block_pairs(nodes: DataFrame, similarity: float, nearest: bool, chunk: int = 1024) -> DataFrame:
+    """All pairs a < b of nodes (sid, sketch, low: the least hashes, bands, label) of different labels that share a band, agree in
+    enough minima and may have that similarity by their least hashes.
 
-def block_pairs(nodes: DataFrame, least: int, chunk: int = 1024) -> DataFrame:
-    """All pairs a < b of nodes (sid, sketch, bands, label) of different labels that share a band and agree in ``least`` minima."""
+    ``nearest``: only one for each node outside its bucket's largest component, with the node that it agrees with most."""
+
+    least = _least_agreeing(similarity)
 
     def run(key: tuple, got: pa.Table) -> pa.Table:
+        low = [np.frombuffer(x, np.uint64) for x in got["low"].to_pylist()]
         sketches, sid, label, block = _sketches(got["sketch"]), got["sid"].to_numpy(), got["label"].to_numpy(), got["block"].to_numpy()
-        i, j = key[2].as_py(), key[3].as_py()
+        i, j, is_top = key[2].as_py(), key[3].as_py(), got["is_top"].to_numpy()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        found = []
+        found, best = [], {}
         for at, x in enumerate(left):
             y = right[at + 1 :] if i == j else right
             y = y[label[y] != label[x]]
-            if len(y):
-                y = y[(sketches[y] == sketches[x]).sum(axis=1) >= least]
+            agree = (sketches[y] == sketches[x]).sum(axis=1)
+            y = y[agree >= least]
+            share = np.array([may_be_similar(low[x], low[z], similarity) for z in y.tolist()])
+            y, share = y[share > 0], share[share > 0]
+            if nearest:
+                for other, n in zip(y.tolist(), share.tolist(), strict=True):
+                    for a, b in ((int(x), other), (other, int(x))):
+                        if not is_top[a] and n > best.get(a, (0, 0))[0]:
+                            best[a] = (n, b)
+            elif len(y):
                 found.append((np.minimum(sid[x], sid[y]), np.maximum(sid[x], sid[y])))
+        if best:
+            x, y = np.fromiter(best, np.int64), np.array([b for _, b in best.values()])
+            found = [(np.minimum(sid[x], sid[y]), np.maximum(sid[x], sid[y]))]
         a, b = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
         return pa.table({"a": a, "b": b})
 
-    return dealt_blocks(nodes, chunk).join(nodes.select("sid", "sketch"), "sid").groupBy("band", "h", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return dealt_blocks(nodes, chunk).join(nodes.select("sid", "sketch", "low"), "sid").groupBy("band", "h", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def _set_node(sid):
@@ -250,13 +295,17 @@ def similar_links(docs: DataFrame, prints: DataFrame, proven: DataFrame, shingle
     met = written(meetings(nodes), "met")
     nodes = written(nodes.join(met.select("sid"), "sid"), "meeting")
     sets = written(shingle_sets(docs, nodes, shingle), "sets")
-    least = _least_agreeing(similarity)
+    low = sets.select("sid", F.substring("grams", 1, 8 * LEAST_HASHES).alias("low"))
+    nodes = written(nodes.select("sid", "sketch", "bands", _set_node(F.col("sid")).alias("node")).join(low, "sid"), "compared")
     named = lambda pairs: pairs.select(_set_node(F.col("a")).alias("a"), _set_node(F.col("b")).alias("b"))
-    stars = _agreeing(met.filter("a IS NOT NULL").select("a", F.col("sid").alias("b")), nodes, least)
+    stars = _agreeing(met.filter("a IS NOT NULL").select("a", F.col("sid").alias("b")), nodes, _least_agreeing(similarity))
     first = components(proven.unionByName(named(_verified(written(stars, "stars"), sets, similarity))))
-    labelled = nodes.select("sid", "sketch", "bands", _set_node(F.col("sid")).alias("node")).join(first, "node", "left").select("sid", "sketch", "bands", F.coalesce("component", "node").alias("label"))
-    rest = _verified(written(block_pairs(written(labelled, "labelled"), least, chunk), "candidates"), sets, similarity)
-    return first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(named(rest))
+    for nearest in (True, False):
+        labelled = written(nodes.join(first, "node", "left").select("sid", "sketch", "low", "bands", F.coalesce("component", "node").alias("label")), "labelled")
+        more = _verified(written(block_pairs(labelled, similarity, nearest, chunk), "candidates"), sets, similarity)
+        edges = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(named(more))
+        first = components(edges) if nearest else edges
+    return first
 
 
 class _Forest:
@@ -336,15 +385,15 @@ def _swapped(fp):
 
 
 def links(prints: DataFrame, budget: int = 4, subtree: int = 4096) -> DataFrame:
-    """Edges (a, b) that join near fingerprints; ``prints``: distinct fp. A task holds two subtrees of at most 16 times
-    ``subtree`` fingerprints together: larger pairs of nodes are walked down by four more levels before they are dealt."""
+    """Edges (a, b) that join near fingerprints; ``prints``: distinct fp. A task holds two subtrees of at most three
+    times ``subtree`` fingerprints together: larger pairs of nodes are walked down by four more levels before they are dealt."""
     half = budget // 2
     depth = min(20, max(2, int(np.ceil(np.log2(max(1, prints.count()) / subtree)))))
     tries = F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.col("fp").alias("key")), F.struct(F.lit(1).alias("turn"), _swapped(F.col("fp")).alias("key"))))
     roots = prints.select("fp", tries.alias("t")).select("fp", "t.turn", "t.key", F.lit(0).cast("long").alias("mask"))
     found, sent = [], _descended(roots, 0, depth, half, budget)
     while True:
-        large = written(sent.groupBy("turn", "low", "mask").agg(F.count("*").alias("n")).filter(F.col("n") > 16 * subtree).drop("n"), "large") if depth < 60 else None
+        large = written(sent.groupBy("turn", "low", "mask").agg(F.count("*").alias("n")).filter(F.col("n") > 3 * subtree).drop("n"), "large") if depth < 60 else None
         if large is None or large.isEmpty():
             return _union([*found, _walked(sent, depth, half, budget)])
         found.append(_walked(sent.join(large, ["turn", "low", "mask"], "left_anti"), depth, half, budget))
