@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Review thresholds by letter type; others have DEFAULT_THRESHOLD.
@@ -66,12 +67,19 @@ def first_match(text: Column, rules: Rules, default: str | None, head: int | Non
     """
     t = F.coalesce(text, F.lit(""))
     t = F.lower(F.substring(t, 1, head) if head else t)
-    out = F.lit(default).cast("string")
-    for label, strings in reversed(rules):
-        parts = [re.sub(r"([^\w\s])", r"\\\1", s.lower()) if literal else s for s in strings]
-        joined = "|".join(parts)
-        out = F.when(F.regexp_like(t, F.lit(rf"\b(?:{joined})\b" if word_bounds else f"(?:{joined})")), label).otherwise(out)
-    return out
+
+    def branches(t: Column) -> Column:
+        out = F.lit(default).cast("string")
+        for label, strings in reversed(rules):
+            if literal and not word_bounds:
+                hit = reduce(lambda a, s: a | F.contains(t, F.lit(s.lower())), strings, F.lit(False))
+            else:
+                joined = "|".join(re.sub(r"([^\w\s])", r"\\\1", s.lower()) if literal else s for s in strings)
+                hit = F.regexp_like(t, F.lit(rf"\b(?:{joined})\b" if word_bounds else f"(?:{joined})"))
+            out = F.when(hit, label).otherwise(out)
+        return out
+
+    return F.transform(F.array(t), branches)[0]
 
 
 def rules_from_rows(rows: Iterable) -> list[tuple[str, list[str]]]:
@@ -82,15 +90,6 @@ def rules_from_rows(rows: Iterable) -> list[tuple[str, list[str]]]:
     return list(out.items())
 
 
-def letter_type(text: Column, rules: Rules, default: str = "Clinical Letter") -> Column:
-    return first_match(text, rules, default)
-
-
-def registry_classify(text: Column, registry: dict[str, Sequence[str]], order: Sequence[str], default: str = "Clinical Letter") -> Column:
-    """Signals by type, tried in the order of a list of their own."""
-    return first_match(text, [(name, registry[name]) for name in order if name in registry], default)
-
-
 def document_type(text: Column) -> Column:
     return first_match(text, DOCUMENT_TYPES, "unknown", head=1000, literal=False)
 
@@ -132,19 +131,23 @@ def icd_codes(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b([A-Z]\d{2}(?:\.\d{1,2})?)\b"), F.lit(1)))
 
 
+#: The pattern of a drug and its dose, and which lines and names count.
+SHORTEST_LINE, SHORTEST_NAME, LONGEST_NAME = 8, 4, 59
 _DOSE = r"(?i)(\b[A-Z][a-zA-Z\s\-]+?)\s+(\d+\.?\d*\s*(?:mg|ml|mcg|iu|g|mg/ml|ml/hr|units?|%|micrograms?)[^\n,;]{0,40})"
 
 
 def medications(text: Column, most: int = 20) -> Column:
     """name and dose of the first line of each drug, in order."""
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(" \t\r"))), lambda x: F.length(x) >= 8)
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(" \t\r"))), lambda x: F.length(x) >= SHORTEST_LINE)
     found = F.transform(lines, lambda x: F.struct(F.regexp_replace(F.trim(F.regexp_extract(x, _DOSE, 1)), "[-– ]+$", "").alias("name"), F.trim(F.regexp_extract(x, _DOSE, 2)).alias("dose"), x.alias("raw")))
-    fit = F.filter(found, lambda m: (F.length(m.getField("name")) > 3) & (F.length(m.getField("name")) < 60))
-    new = lambda acc, m: F.when(F.exists(acc, lambda k: F.lower(k.getField("name")) == F.lower(m.getField("name"))), acc).otherwise(F.array_append(acc, m))
-    return F.slice(F.aggregate(fit, F.slice(fit, 1, 0), new), 1, most)
+    fit = F.filter(found, lambda m: F.length(m.getField("name")).between(SHORTEST_NAME, LONGEST_NAME))
+    low = lambda m: F.lower(m.getField("name"))
+    first = lambda names: F.filter(F.transform(fit, lambda m, i: F.struct(m.alias("m"), i.alias("i"))), lambda s: F.array_position(names, low(s["m"])) == s["i"] + 1)
+    kept = F.transform(F.array(F.transform(fit, low)), first)[0]
+    return F.slice(F.transform(kept, lambda s: s["m"]), 1, most)
 
 
-#: Fields of letters: name, what marks its line, pattern whose group is the value (none: the next line), longest value, which line counts.
+#: Fields of letters: name, what marks its line, pattern whose group is the value (none: the next line), longest value, which line counts.
 FIELDS = [
     ("admission_date", "admission date", r"(\d{1,2}[/.\-]\d{1,2}[/.\-]\d{2,4})", 0, "last"),
     ("discharge_date", "discharge date", r"(\d{1,2}[/.\-]\d{1,2}[/.\-]\d{2,4})", 0, "last"),
@@ -162,7 +165,7 @@ FIELDS = [
 
 
 def structured_fields(text: Column, fields: Sequence[tuple] = FIELDS) -> Column:
-    """A struct with one string per field, empty where no line has it. Lines are looked at within the row."""
+    """A struct with one string per field, empty where no line has it; no line gives the hospital. Lines are looked at within the row."""
     trimmed = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(" \t\r")))
 
     def body(lines: Column) -> Column:
@@ -179,61 +182,6 @@ def structured_fields(text: Column, fields: Sequence[tuple] = FIELDS) -> Column:
             found = F.filter(F.transform(lines, value), lambda v: v != "")
             return F.coalesce(F.get(found, F.lit(0)) if which == "first" else F.try_element_at(found, F.lit(-1)), F.lit("")).alias(name)
 
-        return F.struct(*[one(*f) for f in fields])
+        return F.struct(*[one(*f) for f in fields], F.lit("").alias("hospital"))
 
     return F.transform(F.array(trimmed), body)[0]
-
-
-#: Demographic labels: field and the labels before its value, tried in order; a value may stand on the next line.
-DEMOGRAPHICS = [
-    ("name", ["patient name", "full name", "name of patient", "name"]), ("dob", ["date of birth", "dob", "d.o.b"]), ("nhs_number", ["nhs number", "nhs no"]),
-    ("hospital_number", ["hospital number", "hospital no", "mrn"]), ("sex", ["gender", "sex"]), ("age", ["age"]), ("address", ["patient address", "address"]),
-    ("postcode", ["postcode"]), ("phone", ["telephone", "phone", "mobile", "tel"]), ("email", ["e-mail", "email"]), ("gp_name", ["gp name", "registered gp", "gp"]), ("gp_practice", ["gp practice", "practice", "surgery"]),
-]
-
-
-def first_on_line(lines: Column, pattern: str) -> Column:
-    """The first line's group that isn't empty."""
-    return F.get(F.filter(F.transform(lines, lambda x: F.regexp_extract(x, pattern, 1)), lambda v: v != ""), F.lit(0))
-
-
-def first_on_next(lines: Column, pattern: str) -> Column:
-    """The line after the first that matches and isn't followed by an empty one."""
-    return F.get(F.filter(F.transform(lines, lambda x, i: F.when(F.regexp_like(x, F.lit(pattern)), F.get(lines, i + 1))), lambda v: v != ""), F.lit(0))
-
-
-def patient_info(text: Column, labels: Sequence[tuple[str, Sequence[str]]] = DEMOGRAPHICS) -> Column:
-    """The first value found for each field: label by label on its own line, then on the line after it."""
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(" \t\r")))
-
-    def body(given: Column) -> Column:
-        def one(name: str, names: Sequence[str]) -> Column:
-            passes = []
-            for label in names:
-                here = "(?i)^" + re.escape(label) + r"\s*[:\-]\s*(\S.*)$"
-                alone = "(?i)^" + re.escape(label) + r"\s*[:\-]?$"
-                passes += [first_on_line(given, here), first_on_next(given, alone)]
-            value = F.coalesce(*passes, F.lit("Not available"))
-            if name == "sex":
-                value = F.when(F.regexp_like(value, F.lit("(?i)^m(ale)?$")), "Male").when(F.regexp_like(value, F.lit("(?i)^f(emale)?$")), "Female").otherwise(value)
-            return value.alias(name)
-
-        return F.struct(*[one(*x) for x in labels])
-
-    return F.transform(F.array(lines), body)[0]
-
-
-def infer_sex(text: Column, *summaries: Column) -> Column:
-    """By label, then by which side alone has titles and pronouns, in the text and then in each summary."""
-    label = F.lower(F.regexp_extract(text, r"(?i)\b(?:sex|gender)\s*[:\-]?\s*(male|female|m|f)\b", 1))
-    out = F.when(label.isin("male", "m"), "Male").when(label.isin("female", "f"), "Female")
-    for t in (text, *summaries):
-        male, female = (F.regexp_count(t, F.lit(p)) for p in (r"(?i)\b(?:mr|he|him|his|gentleman|man|boy)\b", r"(?i)\b(?:mrs|ms|miss|she|her|hers|lady|woman|girl)\b"))
-        out = F.coalesce(out, F.when((male > 0) & (female == 0), "Male").when((female > 0) & (male == 0), "Female"))
-    return F.coalesce(out, F.lit("Unknown"))
-
-
-def clinical_specifics(df: DataFrame, rules: Sequence[tuple[str, str, str, int, int]]) -> DataFrame:
-    """doc_id, field, value: rules are (part of the type's name, or '' for all; field; pattern; group; longest value)."""
-    hits = F.array(*[F.when(F.contains(F.lower("letter_type"), F.lit(part.lower())), F.struct(F.lit(field).alias("field"), F.substring(F.trim(F.regexp_extract("text", p, g)), 1, most).alias("value"))) for part, field, p, g, most in rules])
-    return df.select("doc_id", F.explode(F.array_compact(hits)).alias("h")).select("doc_id", "h.field", "h.value").filter("value <> ''")

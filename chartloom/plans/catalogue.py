@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartloom.functions import privacy, rules, scores, text
+from chartloom.functions import letters, privacy, rules, scores, text
 from chartloom.operators import audit, coding, correct, metrics, ocr, prompts, routing, validate, vectors
 from chartloom.plans import views
 from chartloom.plans.views import Views
@@ -19,7 +19,7 @@ _SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
-    """Register a query over the views under its function's name; {unit:x} isn't used, SQL is given as it runs."""
+    """Register a query over the views under its function's name, with its SQL where there is one."""
 
     def keep(f: Callable[[Views], DataFrame]):
         _QUERIES[f.__name__] = f
@@ -173,7 +173,36 @@ def review_required(v: Views) -> DataFrame:
 @query("SELECT doc_id, regexp_matches(lower(text), '(license|password|the)') AS sensitive, CASE WHEN regexp_matches(lower(text), 'license') THEN 'licensed' WHEN regexp_matches(lower(text), '(http|www)') THEN 'linked' ELSE 'Clinical Letter' END AS kind FROM documents")
 def classify_documents(v: Views) -> DataFrame:
     kinds = [("licensed", ["license"]), ("linked", ["http", "www"])]
-    return v.table("documents").select("doc_id", rules.is_sensitive(F.col("text"), markers=["license", "password", "the"]).alias("sensitive"), rules.letter_type(F.col("text"), kinds).alias("kind"))
+    return v.table("documents").select("doc_id", rules.is_sensitive(F.col("text"), markers=["license", "password", "the"]).alias("sensitive"), rules.first_match(F.col("text"), kinds, "Clinical Letter").alias("kind"))
+
+
+def _first_rule(of: list, column: str = "lower(text)") -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    hits = [" OR ".join(f"contains({column}, {quoted(x)})" for x in signals) for _, signals in of]
+    return "CASE " + " ".join(f"WHEN {hit} THEN {quoted(name)}" for hit, (name, _) in zip(hits, of, strict=True)) + " ELSE 'Clinical Letter' END"
+
+
+@query(f"SELECT doc_id, {_first_rule(letters.LETTER_RULES)} AS letter_type, {_first_rule(letters.REGISTRY_RULES)} AS registry_type, {_first_rule([('y', rules.SENSITIVE_MARKERS)])} = 'y' AS sensitive FROM documents")
+def letter_types(v: Views) -> DataFrame:
+    """The type of every document by the letter rules and by the registry."""
+    return v.table("documents").select("doc_id", letters.letter_type(F.col("text")).alias("letter_type"), letters.registry_type(F.col("text")).alias("registry_type"), rules.is_sensitive(F.col("text")).alias("sensitive"))
+
+
+@query(f"""WITH {views.LETTERS}, t AS (SELECT *, {_first_rule(letters.LETTER_RULES)} AS letter_type FROM letters)
+SELECT c_custkey, letter_type, name, CASE WHEN c_custkey % 3 = 0 THEN 'Male' ELSE 'Female' END AS sex, nhs AS nhs_number, dob, hospital_number, 'Surgery of ' || n_name AS gp_practice,
+CASE WHEN contains(letter_type, 'Pregnancy') OR contains(letter_type, 'Mental Health Inpatient') OR contains(letter_type, 'ED Discharge') OR contains(letter_type, 'Paediatric Cardiology') OR letter_type = 'Ophthalmology Letter' THEN 'condition ' || lower(c_mktsegment) END AS diagnosis,
+CASE WHEN contains(letter_type, 'Surgical') OR letter_type = 'Ophthalmology Letter' OR contains(letter_type, 'Pregnancy') THEN 'see again in ' || n_name END AS plan, nullif(m, '') AS inferred_sex FROM t, (SELECT '' AS m)""")
+def letter_details(v: Views) -> DataFrame:
+    """Letters made of customers' rows: type, patient's details and findings are read back out of the text."""
+    t = F.col("text")
+    read = v.letters().select("c_custkey", letters.letter_type(t).alias("letter_type"), letters.patient_info(t).alias("p"), t)
+    found = read.select("*", letters.clinical_specifics(t, F.col("letter_type")).alias("f"), letters.infer_sex(F.lit("no sign"), F.lit("none")).alias("s"))
+    of = lambda *names: F.coalesce(*[F.try_element_at("f", F.lit(n)) for n in names])
+    return found.select(
+        "c_custkey", "letter_type", "p.name", "p.sex", "p.nhs_number", "p.dob", "p.hospital_number", "p.gp_practice",
+        of("scan_diagnosis", "primary_diagnosis", "ed_diagnosis", "cardiac_diagnosis", "ophthalmic_diagnosis").alias("diagnosis"),
+        of("surgical_plan", "ophthalmic_plan", "follow_up_plan").alias("plan"), F.nullif("s", F.lit("")).alias("inferred_sex"),
+    )
 
 
 # text
@@ -217,9 +246,14 @@ def clinical_tokens(v: Views) -> DataFrame:
     return v.table("documents").filter("lang = 'en'").select("doc_id", t.alias("t")).select("doc_id", F.size("t").alias("tokens"), F.array_join(F.array_sort("t"), " ").alias("words"))
 
 
-@query("SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(lower(text), '(license|licensed)'), regexp_extract_all(lower(text), '(disgusting|stupid)')))), ',') AS terms FROM documents")
+_TERMS = "flatten([" + ", ".join(f"regexp_extract_all(lower(text), '(?i){p}')" for p in letters.KEYWORDS) + "])"
+
+
+@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter({_TERMS}, lambda t: length(t) >= 4))), ',') AS terms FROM (SELECT doc_id, text FROM documents UNION ALL SELECT conv_id * 1000 + turn + 1000000000, text FROM conversations)")
 def keyword_terms(v: Views) -> DataFrame:
-    return v.table("documents").select("doc_id", F.array_join(F.array_sort(text.keyword_terms(F.col("text"), ["(license|licensed)", "(disgusting|stupid)"])), ",").alias("terms"))
+    """Clinical terms of documents and of turns of conversations."""
+    every = v.table("documents").select("doc_id", "text").unionByName(v.table("conversations").select((F.col("conv_id") * 1000 + F.col("turn") + 1_000_000_000).alias("doc_id"), "text"))
+    return every.select("doc_id", F.array_join(F.array_sort(text.keyword_terms(F.col("text"), letters.KEYWORDS)), ",").alias("terms"))
 
 
 @query("SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(regexp_replace(text, '[^ -~]', ' ', 'g'), '\\b([A-Z]\\d{2}(?:\\.\\d{1,2})?)\\b', 1))), ',') AS codes FROM documents")
@@ -230,7 +264,8 @@ def icd_codes(v: Views) -> DataFrame:
 @query()
 def letter_fields(v: Views) -> DataFrame:
     """Fields, medications and demographics of every text; golden letters are in the tests."""
-    d = v.table("documents").select("doc_id", rules.structured_fields(F.col("text")).alias("f"), rules.patient_info(F.col("text")).alias("p"), rules.medications(F.col("text")).alias("m"), rules.infer_sex(F.col("text")).alias("sex"))
+    t = F.col("text")
+    d = v.table("documents").select("doc_id", rules.structured_fields(t).alias("f"), letters.patient_info(t).alias("p"), rules.medications(t).alias("m"), letters.infer_sex(t).alias("sex"))
     return d.select("doc_id", "f.*", F.col("p.name").alias("name"), F.size("m").alias("medications"), "sex")
 
 
@@ -347,7 +382,7 @@ def dedupe_first(v: Views) -> DataFrame:
 # vectors
 
 _KNN = """WITH p AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round({score}, 6) AS score
-FROM embeddings q, embeddings v WHERE q.vec_id % 10 = 0 AND v.vec_id % 10 <> 0),
+FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM p) SELECT query_id, id, score, rank::INT AS rank FROM r WHERE rank <= {k}"""
 
 

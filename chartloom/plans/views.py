@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chartloom.functions import letters
+
 
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
@@ -49,13 +51,37 @@ class Views:
         return self.table("part").select(F.col("p_name").alias("term"), F.col("p_brand").alias("dict_code"), F.col("p_partkey").alias("pos"))
 
     def vectors(self) -> tuple[DataFrame, DataFrame]:
+        """Every fiftieth row as a query against all rows, itself included."""
         e = self.table("embeddings")
-        return e.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.filter("vec_id % 10 <> 0").select(F.col("vec_id").alias("id"), "embedding")
+        return e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("id"), "embedding")
+
+    def letters(self) -> DataFrame:
+        """Letters about customers: each has the first sign of one letter type, and details made of its row."""
+        signs = F.array(*[F.lit(signals[0]) for _, signals in letters.LETTER_RULES])
+        given = self.table("customer").join(F.broadcast(self.table("nation").select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
+        key = F.col("c_custkey")
+        two = lambda x: F.lpad(x.cast("string"), 2, "0")
+        title = F.when(key % 3 == 0, "Mr ").when(key % 3 == 1, "Mrs ").otherwise("Miss ")
+        dob = F.concat(two(key % 28 + 1), F.lit("/"), two(key % 12 + 1), F.lit("/"), (key % 90 + 1920).cast("string"))
+        nhs = F.lpad((key * 7919 % 10_000_000_000).cast("string"), 10, "4")
+        lines = [
+            F.get(signs, (key % len(letters.LETTER_RULES)).cast("int")), F.concat(F.lit("Patient Name: "), title, F.initcap("c_mktsegment"), F.lit(", Example")),
+            F.concat(F.lit("NHS Number: "), nhs), F.when(key % 2 == 0, F.concat(F.lit("DOB: "), dob)).otherwise(F.concat(F.lit("Date of Birth\n"), dob)), F.concat(F.lit("Hospital Number: H"), key.cast("string"), F.lit("00")),
+            F.concat(F.lit("GP Practice: Surgery of "), F.col("n_name")), F.concat(F.lit("Diagnosis: condition "), F.lower("c_mktsegment")), F.concat(F.lit("Plan: see again in "), F.col("n_name")),
+        ]
+        return given.select("c_custkey", F.concat_ws("\n", *lines).alias("text"))
 
     def first_of_rows(self, df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
         return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
 
 
+_SIGNS = ", ".join("'" + signals[0].replace("'", "''") + "'" for _, signals in letters.LETTER_RULES)
+LETTERS = f"""parts AS (SELECT c_custkey, c_mktsegment, n_name, [{_SIGNS}] AS signs, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS segment,
+    CASE c_custkey % 3 WHEN 0 THEN 'Mr ' WHEN 1 THEN 'Mrs ' ELSE 'Miss ' END AS title,
+    lpad((c_custkey % 28 + 1)::VARCHAR, 2, '0') || '/' || lpad((c_custkey % 12 + 1)::VARCHAR, 2, '0') || '/' || (c_custkey % 90 + 1920) AS dob,
+    lpad((c_custkey::BIGINT * 7919 % 10000000000)::VARCHAR, 10, '4') AS nhs, 'H' || c_custkey || '00' AS hospital_number FROM customer JOIN nation ON c_nationkey = n_nationkey),
+letters AS (SELECT *, segment || ', Example' AS name, signs[c_custkey % len(signs) + 1] || chr(10) || 'Patient Name: ' || title || segment || ', Example' || chr(10) || 'NHS Number: ' || nhs || chr(10) ||
+    'DOB: ' || dob || chr(10) || 'Hospital Number: ' || hospital_number || chr(10) || 'GP Practice: Surgery of ' || n_name || chr(10) || 'Diagnosis: condition ' || lower(c_mktsegment) || chr(10) || 'Plan: see again in ' || n_name AS text FROM parts)"""
 BLOCKS = """blocks AS (SELECT conv_id AS doc_id, turn AS pos, turn // 4 AS page,
     CASE role WHEN 'system' THEN 'TITLE' WHEN 'user' THEN 'LINE' ELSE 'WORD' END AS type, 60.0::DOUBLE + length(text) % 41 AS conf, text FROM conversations)"""
 ENTITIES = """entities AS (SELECT l_orderkey AS doc_id, l_discount * 10 AS score,

@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from chartloom.functions import privacy, rules, scores, text
+from chartloom.functions import letters, privacy, rules, scores, text
 from chartloom.operators import assemble, audit, coding, correct, metrics, ocr, prompts, routing, validate, vectors
 from chartloom.sources import files, schemas, sinks
 from chartloom.streaming import jobs
@@ -136,8 +136,7 @@ def test_token_sets(spark):
 def test_rules(spark):
     table = [{"label": "B", "signal": "beta"}, {"label": "A", "signal": "alpha (x)"}, {"label": "B", "signal": "b2"}]
     kinds = rules.rules_from_rows(table)
-    assert [one(spark, rules.letter_type(lit(t), kinds)) for t in ("alpha (x) b2", "ALPHA (X)", "none")] == ["B", "A", "Clinical Letter"]
-    assert one(spark, rules.registry_classify(lit("beta alpha (x)"), dict(kinds), ["A", "B"])) == "A"
+    assert [one(spark, rules.first_match(lit(t), kinds, "Clinical Letter")) for t in ("alpha (x) b2", "ALPHA (X)", "none")] == ["B", "A", "Clinical Letter"]
     assert one(spark, rules.is_sensitive(lit("some difficulty"))) and not one(spark, rules.is_sensitive(lit("some difficulty"), word_bounds=True))
     assert one(spark, rules.arrival_method(lit("[8] x"))) == "Emergency Road Ambulance WITH Medical Escort"
     assert one(spark, rules.arrival_method(lit("[7]"))) == "Code 7" and one(spark, rules.arrival_method(lit("foot"))) == "foot"
@@ -167,14 +166,68 @@ She was well."""
 
 def test_letter_extraction(spark):
     f = one(spark, rules.structured_fields(lit(LETTER)))
-    assert (f.admission_date, f.consultant, f.diagnosis_text, f.gp_actions) == ("03/04/2024", "Dr Nobody Here", "Essential hypertension", "Check blood pressure")
-    p = one(spark, rules.patient_info(lit(LETTER)))
-    assert (p.name, p.dob, p.sex, p.email) == ("Ann Example", "01/02/1980", "Female", "Not available")
+    assert (f.admission_date, f.consultant, f.diagnosis_text, f.gp_actions, f.hospital) == ("03/04/2024", "Dr Nobody Here", "Essential hypertension", "Check blood pressure", "")
+    p = one(spark, letters.patient_info(lit(LETTER)))
+    assert (p.name, p.dob, p.sex, p.nhs_number) == ("Ann Example", "01/02/1980", "Female", "Not available")
     assert [m.name for m in one(spark, rules.medications(lit(LETTER)))] == ["Ramipril", "Paracetamol"]
-    assert one(spark, rules.infer_sex(lit("He saw his doctor"))) == "Male" and one(spark, rules.infer_sex(lit("x"), lit("She rests"))) == "Female"
-    rows = spark.createDataFrame([("d", LETTER, "Renal Letter")], "doc_id string, text string, letter_type string")
-    got = rules.clinical_specifics(rows, [("renal", "born", r"DOB: (\S+)", 1, 20), ("cardio", "x", "(.)", 1, 5), ("", "seen", r"(?i)she was (\w+)", 1, 3)])
-    assert {(r.field, r.value) for r in got.collect()} == {("born", "01/02/1980"), ("seen", "wel")}
+
+
+@pytest.mark.parametrize(
+    ("given", "expected"),
+    [
+        ("Re: Mr Smith, John\nNHS No: 123 456 7890\nBorn 22-Feb-1996", {"name": "Smith, John", "sex": "Male", "nhs_number": "123 456 7890", "dob": "22-Feb-1996"}),
+        ("DOB\n01.02.1990\nDOE, Jane\nLegal Sex: F\nNHS Number\n462 213 3695", {"name": "DOE, Jane", "sex": "Female", "nhs_number": "462 213 3695", "dob": "01.02.1990"}),
+        ("Patient: MRN Number 5\nName: Al Bo", {"name": "Al Bo"}),
+        ("Gender\nMale\nPatient Name\nAnn Lee\nDate of birth:\n3 March 1950", {"name": "Ann Lee", "sex": "Male", "dob": "3 March 1950"}),
+        ("Sex: Ma'e\nMRN: A12345\nSurgery: High Street\nComplaint: chest pain", {"sex": "Male", "hospital_number": "A12345", "gp_practice": "High Street", "presenting_complaint": "chest pain"}),
+        ("Pathways disposition\nRefer within 1 hour\nG2 P1 today\nEstimated Delivery Date (EDD): 01/02/2025\nEGA (EGA): 29+1 weeks", {"pathways_urgency": "Refer within 1 hour", "gravida_parity": "G2P1", "edd": "01/02/2025", "gestational_age": "29+1 weeks"}),
+        ("Patient: x\nRe - Ann\nsome street\n03/04/1971", {"dob": "03/04/1971"}),
+        ("Mrs Jones came", {"sex": "Female", "name": "Not available"}),
+        (None, {"name": "Not available", "edd": ""}),
+    ],
+)
+def test_patient_details(spark, given, expected):
+    p = one(spark, letters.patient_info(F.lit(given).cast("string"))).asDict()
+    assert {k: p[k] for k in expected} == expected
+
+
+def test_sex_from_context(spark):
+    sex = lambda t, *s: one(spark, letters.infer_sex(lit(t), *map(lit, s)))
+    assert sex("He saw his doctor") == "Male" and sex("x", "She rests", "and she walks") == "Female" and sex("he and she") == ""
+    assert sex("Sex: F. He") == "Female" and sex("Mr Smith") == "Male" and sex("x", "a male patient") == "Male" and sex("x") == ""
+
+
+def test_each_letter_type_is_known_by_its_signs(spark):
+    rows = [(name, f"A {sign.upper()} b") for name, signals in letters.LETTER_RULES for sign in signals]
+    got = spark.createDataFrame(rows, "name string, text string").select("name", letters.letter_type(F.col("text")).alias("kind")).distinct().collect()
+    assert {r.name for r in got if r.name == r.kind} == set(letters.LETTER_ORDER)
+    assert all(letters.LETTER_ORDER.index(r.kind) <= letters.LETTER_ORDER.index(r.name) for r in got)
+
+
+def test_order_of_letter_rules(spark):
+    kind = lambda t: one(spark, letters.letter_type(lit(t)))
+    assert kind("nothing here") == "Clinical Letter" and kind("Antenatal discharge") == "Antenatal Discharge Summary" and kind("antenatal clinic") == "Maternity / Diabetes Letter"
+    assert kind("ophthalmology") == "Clinical Letter" and one(spark, letters.registry_type(lit("Ophthalmology"))) == "Ophthalmology Letter"
+    assert kind("referral for PSA") == "Urology Outpatient Letter" and kind("seen by specsavers") == "Ophthalmology Referral"
+
+
+@pytest.mark.parametrize(
+    ("kind", "given", "expected"),
+    [
+        ("111 First ED Report", "?? Stroke today\nEncounter Type phone", {"differential_diagnosis": "Stroke today", "encounter_type": "phone"}),
+        ("Cancer Surveillance Letter", "pT2 N0 M0\nCEA: 3.1", {"tnm_staging": "pT2 N0 M0", "cea_value": "3.1"}),
+        ("Maternity / Diabetes Letter", "OGTT\n0 mins = 5.1 120 mins = 8.2\ntest 4 times per day", {"ogtt_results": "0min=5.1 / 120min=8.2", "monitoring_frequency": "4 times/day"}),
+        ("Haematology Outpatient Letter", "HGB: 120 WBC 5.5 hgb: 121", {"key_labs": "HGB=121;WBC=5.5"}),
+        ("Renal / Nephrology Letter", "eGFR\n23\nUrea 7.5", {"renal_labs": "egfr=23;urea=7.5"}),
+        ("Ophthalmology Letter", "R2M1P0 and R1 M0 P0 then R2M1P0\nright 6/9 left 6/12", {"retinopathy_grade": "R2M1P0 / R1 M0 P0", "visual_acuity": "R: 6/9  L: 6/12"}),
+        ("Ambulance Clinical Report", "NEWS2 score: 5\nPulse 88 and\nSpO2 97", {"news2_score": "5", "first_vitals": "Pulse 88 SpO2 97%"}),
+        ("Clinical Letter", "Dear Dr Who\n1 High Street\nReading RG1", {"gp_address": "1 High Street, Reading RG1"}),
+        ("Clinical Letter", "CEA: 3.1", {}),
+    ],
+)
+def test_findings_by_type(spark, kind, given, expected):
+    got = one(spark, letters.clinical_specifics(lit(given), lit(kind)))
+    assert {k: got.get(k) for k in expected} == expected and (expected or not got)
 
 
 # privacy
