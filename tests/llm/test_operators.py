@@ -339,6 +339,22 @@ def test_shards_are_even_and_keep_small_groups(spark, empty):
     assert sharding.shard_documents(empty, 8).count() == 0
 
 
+def test_groups_that_fit_a_shard_stay_whole_at_any_size(spark):
+    rows = [(None, f"group {g} " * 9, "en", "s", 0) for g in range(12) for _ in range(10 * 2**g // 8 + 1)] + [(7, f"single {i}", "en", "s", 0) for i in range(3000)]
+    got = sharding.shard(sharding.written(sharding.keyed(spark.createDataFrame(rows, DOCS)), "records"), 4, range_rows=500).collect()
+    assert len(got) == len(rows)
+    sums, slots, groups = Counter(), {}, {}
+    for r in got:
+        sums[r.shard] += r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+        groups.setdefault(r.text_crc32, Counter())[r.shard] += r.size
+    share = sum(sums.values()) / 4
+    assert max(sums.values()) <= 1.03 * share and min(sums.values()) >= 0.9 * share
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    cut = [sum(g.values()) for g in groups.values() if len(g) > 1]
+    assert all(size > share / 4 for size in cut)  # only groups that no shard had room for
+
+
 # language against plain Bayes
 
 
