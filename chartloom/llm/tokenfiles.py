@@ -6,12 +6,13 @@ there are documents) and the doc_ids (64 bits). A table of parts keeps names and
 corpus is the prefix sum of the counts before it. Names hold the task attempt, and only parts that a finished task
 reported are listed, so lost executors and repeated tasks leave no trace in the result.
 
-Edge cases: a null text is written as the end id alone; repeated doc_ids keep one entry each, ordered by text; a table
+Edge cases: a null text is written as the end id alone; a null doc_id counts as -1; repeated doc_ids keep one entry each, ordered by text; a table
 without rows gives no parts; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -29,8 +30,16 @@ _PART = pa.schema([("part", pa.int64()), ("name", pa.string()), ("width", pa.int
 _DOC = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 2, width: int = 2) -> DataFrame:
+def id_width(vocabulary: str, end_id: int) -> int:
+    """Bytes that hold every id of a tokenizer's file, and the end id."""
+    with open(vocabulary, encoding="utf-8") as f:
+        spec = json.load(f)
+    return 2 if max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", [])), end_id]) < 1 << 16 else 4
+
+
+def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 2) -> DataFrame:
     """Write the files into ``folder`` and return the table of parts (part, name, width, docs, tokens, first_doc)."""
+    width = id_width(vocabulary, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -94,7 +103,7 @@ def read_tokens(parts: DataFrame, folder: str) -> DataFrame:
     return based.repartition(n, F.rand(7)).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_files(docs: DataFrame, vocabulary: str, end_id: int = 2, width: int = 2) -> DataFrame:
+def token_files(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
     """Write, then read back what was written."""
     folder = new_folder(docs.sparkSession, "tokens")
-    return read_tokens(write_tokens(docs, vocabulary, folder, end_id, width), folder)
+    return read_tokens(write_tokens(docs, vocabulary, folder, end_id), folder)

@@ -570,3 +570,17 @@ def test_bpe_digests(docs, empty):
 def test_every_query_runs(spark):
     for name, query in registry.queries().items():
         assert query(spark, "/root/testdata/sf0.001").count() > 0, name
+
+
+def test_files_are_as_wide_as_the_largest_id(spark, tmp_path):
+    import json
+
+    spec = json.loads(open(BYTE_BPE, encoding="utf-8").read())
+    spec["added_tokens"][0]["id"] = 70_000
+    spec["model"]["vocab"]["<|endoftext|>"] = 70_000
+    (tmp_path / "wide.json").write_text(json.dumps(spec), encoding="utf-8")
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    assert tokenfiles.id_width(BYTE_BPE, 2) == tokenfiles.id_width(BYTE_BPE, 65_535) == 2 and tokenfiles.id_width(BYTE_BPE, 65_536) == tokenfiles.id_width(str(tmp_path / "wide.json"), 2) == 4
+    for end in (2, 65_535, 65_536, 70_001):
+        got = {r.doc_id: r for r in tokenfiles.token_files(docs, BYTE_BPE, end).collect()}
+        assert got[2].n_tokens == 1 and got[2].ids_crc32 == zlib.crc32(np.array([end], "<u4").tobytes()) and got[2].start == got[1].n_tokens
