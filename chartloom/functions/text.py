@@ -189,8 +189,7 @@ def bare_tokens(text: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two token arrays; two empty ones are alike."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+    return let(F.size(F.array_union(a, b)), lambda n: F.when(n == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / n))
 
 
 def dosage_tokens(text: Column) -> Column:

@@ -21,9 +21,13 @@ def verdict(a: Column, b: Column, small: float = 0.15, large: float = 0.30, leas
     x, y = F.trim(a), F.trim(b)
     size = F.greatest(F.length(x), F.length(y))
     dev = F.when(size == 0, 0.0).otherwise(F.levenshtein(x, y) / size)
-    sim = text.jaccard(text.bare_tokens(x), text.bare_tokens(y))
-    kind = F.when(x == y, "NO_CHANGE").when(dev < small, "ACCEPTED").when((dev > large) | (sim < least_jaccard), "HIGH_DEVIATION").otherwise("ACCEPTED")
-    return F.struct(F.bround(dev, 4).alias("deviation"), F.bround(sim, 4).alias("token_similarity"), kind.alias("verdict"))
+    sim = text.let(F.struct(text.bare_tokens(x).alias("x"), text.bare_tokens(y).alias("y")), lambda t: text.jaccard(t.x, t.y))
+
+    def judged(m: Column) -> Column:
+        kind = F.when(m.same, "NO_CHANGE").when(m.dev < small, "ACCEPTED").when((m.dev > large) | (m.sim < least_jaccard), "HIGH_DEVIATION").otherwise("ACCEPTED")
+        return F.struct(F.bround(m.dev, 4).alias("deviation"), F.bround(m.sim, 4).alias("token_similarity"), kind.alias("verdict"))
+
+    return text.let(F.struct((x == y).alias("same"), dev.alias("dev"), sim.alias("sim")), judged)
 
 
 def dosage_changed(a: Column, b: Column, strict_numbers: bool = False) -> Column:

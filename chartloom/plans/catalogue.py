@@ -240,10 +240,12 @@ def context_window(v: Views) -> DataFrame:
     return v.table("documents").select("doc_id", text.context_window(F.col("text"), F.lit("In.")).alias("around"))
 
 
-@query("SELECT doc_id, len(t)::INT AS tokens, array_to_string(list_sort(t), ' ') AS words FROM (SELECT doc_id, list_distinct(regexp_extract_all(lower(regexp_replace(text, '[^ -~]', '', 'g')), '\\b[a-zA-Z][a-zA-Z0-9\\-]{2,}\\b')) AS t FROM documents WHERE lang = 'en')")
+_WORDLY = views.WORDLY.format
+
+
+@query(f"SELECT doc_id, len(t)::INT AS tokens, array_to_string(list_sort(t), ' ') AS words FROM (SELECT doc_id, list_distinct(regexp_extract_all({_WORDLY('lower(text)')}, '\\b[a-zA-Z][a-zA-Z0-9\\-]{{2,}}\\b')) AS t FROM documents)")
 def clinical_tokens(v: Views) -> DataFrame:
-    t = text.clinical_tokens(F.regexp_replace("text", "[^ -~]", ""))
-    return v.table("documents").filter("lang = 'en'").select("doc_id", t.alias("t")).select("doc_id", F.size("t").alias("tokens"), F.array_join(F.array_sort("t"), " ").alias("words"))
+    return v.table("documents").select("doc_id", text.clinical_tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("tokens"), F.array_join(F.array_sort("t"), " ").alias("words"))
 
 
 _TERMS = "flatten([" + ", ".join(f"regexp_extract_all(lower(text), '(?i){p}')" for p in letters.KEYWORDS) + "])"
@@ -256,9 +258,9 @@ def keyword_terms(v: Views) -> DataFrame:
     return every.select("doc_id", F.array_join(F.array_sort(text.keyword_terms(F.col("text"), letters.KEYWORDS)), ",").alias("terms"))
 
 
-@query("SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(regexp_replace(text, '[^ -~]', ' ', 'g'), '\\b([A-Z]\\d{2}(?:\\.\\d{1,2})?)\\b', 1))), ',') AS codes FROM documents")
+@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all({_WORDLY('text')}, '\\b([A-Z]\\d{{2}}(?:\\.\\d{{1,2}})?)\\b', 1))), ',') AS codes FROM documents")
 def icd_codes(v: Views) -> DataFrame:
-    return v.table("documents").select("doc_id", F.array_join(F.array_sort(rules.icd_codes(F.regexp_replace("text", "[^ -~]", " "))), ",").alias("codes"))
+    return v.table("documents").select("doc_id", F.array_join(F.array_sort(rules.icd_codes(F.col("text"))), ",").alias("codes"))
 
 
 @query()
@@ -285,19 +287,16 @@ for _t in privacy.TITLES:
 _MASK = "text"
 for _p, _t in privacy.LOG_PATTERNS:
     _MASK = f"regexp_replace({_MASK}, '{_p}', '{_t}', 'gi')"
-_ASCII = "(SELECT doc_id, regexp_replace(text, '[^ -~\\n]', '', 'g') AS text FROM documents)"
 
 
-@query(f"SELECT doc_id, md5({_ANON}) AS masked_md5 FROM {_ASCII}")
+@query(f"SELECT doc_id, md5({_ANON}) AS masked_md5 FROM documents")
 def anonymise(v: Views) -> DataFrame:
-    plain = v.table("documents").withColumn("text", F.regexp_replace("text", r"[^ -~\n]", ""))
-    return plain.select("doc_id", F.md5(privacy.anonymise(F.col("text")).getField("text")).alias("masked_md5"))
+    return v.table("documents").select("doc_id", F.md5(privacy.anonymise(F.col("text")).getField("text")).alias("masked_md5"))
 
 
-@query(f"SELECT doc_id, md5(m) AS masked_md5, m <> text AND regexp_matches(m, 'REDACTED') AS verified FROM (SELECT doc_id, text, {_MASK} AS m FROM {_ASCII})")
+@query(f"SELECT doc_id, md5(m) AS masked_md5, m <> text AND regexp_matches(m, 'REDACTED') AS verified FROM (SELECT doc_id, text, {_MASK} AS m FROM documents)")
 def mask_patterns(v: Views) -> DataFrame:
-    plain = v.table("documents").withColumn("text", F.regexp_replace("text", r"[^ -~\n]", ""))
-    masked = plain.withColumn("m", privacy.mask_patterns(F.col("text")))
+    masked = v.table("documents").withColumn("m", privacy.mask_patterns(F.col("text")))
     return masked.select("doc_id", F.md5("m").alias("masked_md5"), ((F.col("m") != F.col("text")) & F.contains("m", F.lit("REDACTED"))).alias("verified"))
 
 
@@ -406,50 +405,50 @@ def embedded_documents(v: Views) -> DataFrame:
 
 _BARE = "list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\s+'), lambda w: w <> ''))".format
 _VERDICT = f"""{views.PROPOSALS}, t AS (SELECT *, trim(a, ' ') AS x, trim(b, ' ') AS y FROM proposals),
-u AS (SELECT *, levenshtein(x, y) / greatest(length(x), length(y))::DOUBLE AS dev, {_BARE("x")} AS tx, {_BARE("y")} AS ty FROM t),
+u AS (SELECT *, levenshtein(x, y) / greatest(length(x), length(y), 1)::DOUBLE AS dev, {_BARE("x")} AS tx, {_BARE("y")} AS ty FROM t),
 w AS (SELECT *, CASE WHEN len(list_distinct(list_concat(tx, ty))) = 0 THEN 1.0 ELSE len(list_intersect(tx, ty)) / len(list_distinct(list_concat(tx, ty)))::DOUBLE END AS sim FROM u),
 z AS (SELECT *, CASE WHEN x = y THEN 'NO_CHANGE' WHEN dev < 0.15 THEN 'ACCEPTED' WHEN dev > 0.3 OR sim < 0.3 THEN 'HIGH_DEVIATION' ELSE 'ACCEPTED' END AS verdict FROM w)"""
 
 
-@query(f"WITH {_VERDICT} SELECT doc_id, coalesce(round_even(dev, 4), 0.0) AS deviation, round_even(sim, 4) AS token_similarity, verdict FROM z")
+@query(f"WITH {_VERDICT} SELECT doc_id, idx, round_even(dev, 4) AS deviation, round_even(sim, 4) AS token_similarity, verdict FROM z")
 def correction_verdict(v: Views) -> DataFrame:
-    return v.proposals().select("doc_id", correct.verdict(F.col("a"), F.col("b")).alias("v")).select("doc_id", "v.*")
+    return v.proposals().select("doc_id", "idx", correct.verdict(F.col("a"), F.col("b")).alias("v")).select("doc_id", "idx", "v.*")
 
 
 def _regions(v: Views) -> tuple[DataFrame, DataFrame]:
     p = v.proposals()
     box = F.array(*[F.lit(0.0)] * 4)
-    group = F.col("doc_id") % 50
-    regions = p.select(group.alias("doc_id"), F.col("doc_id").alias("idx"), F.col("a").alias("text"), F.col("conf").alias("confidence"), box.alias("bbox"), F.lit(1).alias("page_number"))
-    proposals = p.select(group.alias("doc_id"), F.col("doc_id").alias("idx"), F.when(F.col("doc_id") % 11 != 0, F.col("b")).alias("corrected_text"), F.col("llm").alias("confidence"), F.lit("").alias("reasoning"), F.when(F.col("doc_id") % 22 == 0, "TIMEOUT").alias("error"))
+    turn = F.col("doc_id") + F.col("idx")
+    regions = p.select("doc_id", "idx", F.col("a").alias("text"), F.col("conf").alias("confidence"), box.alias("bbox"), F.lit(1).alias("page_number"))
+    proposals = p.select("doc_id", "idx", F.when(turn % 11 != 0, F.col("b")).alias("corrected_text"), F.col("llm").alias("confidence"), F.lit("").alias("reasoning"), F.when(turn % 22 == 0, "TIMEOUT").alias("error"))
     return regions, proposals
 
 
 _DOSES = ", ".join(f"'{t}'" for t in text.DOSAGE_TOKENS)
-_ROUTED = f"""{_VERDICT}, f AS (SELECT *, conf < 0.8 AS low, row_number() OVER (PARTITION BY doc_id % 50, trim(a, ' '), conf < 0.8 ORDER BY doc_id) > 1 AS again,
+_ROUTED = f"""{_VERDICT}, f AS (SELECT *, conf < 0.8 AS low, row_number() OVER (PARTITION BY doc_id, trim(a, ' '), conf < 0.8 ORDER BY idx) > 1 AS again,
 list_sort(list_filter({_BARE("a")}, lambda t: t IN ({_DOSES}))) AS da, list_sort(list_filter({_BARE("b")}, lambda t: t IN ({_DOSES}))) AS db FROM z),
-k AS (SELECT doc_id, conf, llm, CASE WHEN NOT low THEN 'HIGH_CONFIDENCE' WHEN again THEN 'DUPLICATE' WHEN doc_id % 22 = 0 THEN 'TIMEOUT' WHEN doc_id % 11 = 0 THEN 'SERVICE_ERROR'
+k AS (SELECT doc_id, idx, conf, llm, CASE WHEN NOT low THEN 'HIGH_CONFIDENCE' WHEN again THEN 'DUPLICATE' WHEN (doc_id + idx) % 22 = 0 THEN 'TIMEOUT' WHEN (doc_id + idx) % 11 = 0 THEN 'SERVICE_ERROR'
 WHEN da <> db THEN 'DOSAGE_MISMATCH' WHEN verdict = 'NO_CHANGE' THEN 'NO_CHANGE' WHEN llm < 0.6 THEN 'LOW_LLM_CONFIDENCE' WHEN verdict = 'HIGH_DEVIATION' THEN 'HALLUCINATED' ELSE 'ACCEPTED' END AS reason FROM f)"""
 
 
-@query(f"WITH {_ROUTED} SELECT doc_id AS idx, reason, CASE WHEN reason IN ('HIGH_CONFIDENCE', 'DUPLICATE') THEN 'SKIPPED' WHEN reason IN ('ACCEPTED', 'NO_CHANGE') THEN reason ELSE 'REVIEW_REQUIRED' END AS status, round_even(CASE WHEN reason = 'ACCEPTED' THEN (conf + llm) / 2 ELSE conf END, 4) AS final_confidence FROM k")
+@query(f"WITH {_ROUTED} SELECT doc_id, idx, reason, CASE WHEN reason IN ('HIGH_CONFIDENCE', 'DUPLICATE') THEN 'SKIPPED' WHEN reason IN ('ACCEPTED', 'NO_CHANGE') THEN reason ELSE 'REVIEW_REQUIRED' END AS status, round_even(CASE WHEN reason = 'ACCEPTED' THEN (conf + llm) / 2 ELSE conf END, 4) AS final_confidence FROM k")
 def correct_regions(v: Views) -> DataFrame:
-    return correct.correct_regions(*_regions(v)).select("idx", "reason", "status", "final_confidence")
+    return correct.correct_regions(*_regions(v)).select("doc_id", "idx", "reason", "status", "final_confidence")
 
 
-@query(f"WITH {_ROUTED} SELECT doc_id % 50 AS doc_id, CASE WHEN bool_or(reason NOT IN ('HIGH_CONFIDENCE', 'DUPLICATE', 'ACCEPTED', 'NO_CHANGE')) THEN 'REVIEW_REQUIRED' ELSE 'SUCCESS' END AS status, count(*) FILTER (reason = 'ACCEPTED') AS accepted, count(*) AS regions FROM k GROUP BY 1")
+@query(f"WITH {_ROUTED} SELECT doc_id, CASE WHEN bool_or(reason NOT IN ('HIGH_CONFIDENCE', 'DUPLICATE', 'ACCEPTED', 'NO_CHANGE')) THEN 'REVIEW_REQUIRED' ELSE 'SUCCESS' END AS status, count(*) FILTER (reason = 'ACCEPTED') AS accepted, count(*) AS regions FROM k GROUP BY 1")
 def correction_status(v: Views) -> DataFrame:
     return correct.correction_status(correct.correct_regions(*_regions(v)))
 
 
-@query(f"WITH {views.PROPOSALS} SELECT doc_id AS idx, CASE WHEN llm >= 0.5 THEN b ELSE a END AS text, a AS original_text FROM proposals")
+@query(f"WITH {views.PROPOSALS} SELECT doc_id, idx, CASE WHEN llm >= 0.5 THEN b ELSE a END AS text, a AS original_text FROM proposals")
 def merge_spans(v: Views) -> DataFrame:
     regions, _ = _regions(v)
-    fixes = v.proposals().select((F.col("doc_id") % 50).alias("doc_id"), F.col("doc_id").alias("idx"), F.col("b").alias("corrected_text"), (F.col("llm") >= 0.5).alias("correction_applied"))
-    return correct.merge_spans(regions, fixes).select("idx", "text", "original_text")
+    fixes = v.proposals().select("doc_id", "idx", F.col("b").alias("corrected_text"), (F.col("llm") >= 0.5).alias("correction_applied"))
+    return correct.merge_spans(regions, fixes).select("doc_id", "idx", "text", "original_text")
 
 
-_TOKENS = "list_distinct(regexp_extract_all(lower({0}), '\\b[a-zA-Z][a-zA-Z0-9\\-]{{2,}}\\b'))".format
+_TOKENS = f"list_distinct(regexp_extract_all({views.WORDLY.replace('{0}', 'lower({0})')}, '\\b[a-zA-Z][a-zA-Z0-9\\-]{{{{2,}}}}\\b'))".format
 
 
 @query(f"""WITH {views.SUMMARIES}, t AS (SELECT doc_id, {_TOKENS("candidate")} AS c, {_TOKENS("source")} AS s FROM summaries),
@@ -469,17 +468,20 @@ def terms_in_source(v: Views) -> DataFrame:
 
 @query()
 def term_deviation(v: Views) -> DataFrame:
-    """Each user turn's first words against the assistant's turns."""
-    terms = v.summaries().select("doc_id", F.array_join(F.slice(text.words(F.col("source")), 1, 4), " ").alias("term"), F.substring("candidate", 1, 2000).alias("source_text"))
+    """Every four words of the user turns against the assistant turns."""
+    said = v.summaries().select("doc_id", text.words(F.col("source")).alias("w"), F.col("candidate").alias("source_text")).filter(F.size("w") > 0)
+    fours = F.transform(F.sequence(F.lit(1), F.size("w"), F.lit(4)), lambda i: F.array_join(F.slice("w", i, 4), " "))
+    terms = said.select("doc_id", "source_text", F.explode(fours).alias("term"))
     scored = validate.term_deviation(terms).withColumnRenamed("deviation", "deviation_ocr").withColumn("deviation_refined", F.lit(None).cast("double"))
     return validate.deviation_gate(scored)
 
 
 @query()
 def validation_reports(v: Views) -> DataFrame:
-    """Assistant turns as summaries, medications and diagnoses named by their words, checked against the user turns."""
-    words = text.words(F.col("candidate"))
-    body = F.to_json(F.struct(F.substring("candidate", 1, 400).alias("summary"), F.slice(words, 1, 2).alias("key_points"), F.transform(F.slice(words, 3, 2), lambda w: F.struct(w.alias("name"), F.lit("500 MG").alias("dosage"))).alias("medications"), F.slice(words, 5, 2).alias("diagnoses"), F.array().cast("array<string>").alias("follow_up_actions"), F.lit(1.7).alias("confidence_score")))
+    """Assistant turns as summaries, medications and diagnoses named by their distinct words, checked against the user turns."""
+    words = F.array_distinct(text.words(F.col("candidate")))
+    every = lambda k: F.filter(words, lambda _, i: i % 3 == k)
+    body = F.to_json(F.struct(F.col("candidate").alias("summary"), every(0).alias("key_points"), F.transform(every(1), lambda w: F.struct(w.alias("name"), F.lit("500 MG").alias("dosage"))).alias("medications"), every(2).alias("diagnoses"), F.array().cast("array<string>").alias("follow_up_actions"), F.lit(1.7).alias("confidence_score")))
     given = v.summaries().select("doc_id", F.lit("clinician").alias("role"), body.alias("raw"), F.col("source").alias("source_text"))
     drugs = v.table("part").select(F.col("p_name").alias("name"), F.array(F.col("p_brand")).alias("aliases"))
     _, report = validate.validation_report(given, drugs, v.dictionary())
@@ -587,13 +589,17 @@ def drop_seen(v: Views) -> DataFrame:
     return jobs.drop_seen(v.table("orders").select(F.col("o_orderkey").alias("key")), seen, 5).select(F.col("key").alias("o_orderkey"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS key, floor(epoch(ts))::BIGINT AS arrived_at FROM events WHERE ts IS NOT NULL),
+a AS (SELECT key, min(arrived_at) AS accepted FROM e GROUP BY 1 UNION ALL SELECT e.key, min(e.arrived_at) FROM a JOIN e ON e.key = a.key AND e.arrived_at >= a.accepted + 21600 GROUP BY 1)
+SELECT e.key, arrived_at, accepted IS NULL OR row_number() OVER (PARTITION BY e.key, arrived_at) > 1 AS duplicate FROM e LEFT JOIN a ON a.key = e.key AND accepted = arrived_at""")
 def dedupe_ttl(v: Views) -> DataFrame:
     requests = v.table("events").select(F.col("user_id").cast("string").alias("key"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("arrived_at"))
     return jobs.dedupe_ttl(requests, 6 * 3600)
 
 
-@query()
+@query(f"""WITH {views.AUDIT}, r AS (SELECT *, row_number() OVER w AS n, count(*) OVER (PARTITION BY document_id) AS total FROM audit WINDOW w AS (PARTITION BY document_id ORDER BY timestamp DESC, audit_id DESC))
+SELECT document_id, ((n - 1) // 1000)::INT AS part, to_json({{'filter': 'all', 'total_entries': total, 'audit_entries': list({{'timestamp': timestamp, 'audit_id': audit_id, 'user_id': user_id, 'change_type': change_type, 'metadata': metadata}} ORDER BY n)}})::VARCHAR AS value
+FROM r GROUP BY document_id, part, total""")
 def audit_json(v: Views) -> DataFrame:
     return sinks.audit_json(v.audit(), "all")
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chartloom.functions import letters
+from chartloom.functions import letters, text
 
 
 class Views:
@@ -37,14 +37,14 @@ class Views:
         return self.table("events").select(F.col("event_id").cast("string").alias("audit_id"), (F.col("user_id") % 97).alias("document_id"), F.col("user_id").cast("string").alias("user_id"), ts.alias("ts"), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), kinds.alias("change_type"), F.lit(None).cast("string").alias("before_state"), F.lit(None).cast("string").alias("after_state"), F.col("props").alias("metadata"))
 
     def proposals(self) -> DataFrame:
-        """Beginnings of documents with a letter changed, as corrections."""
-        a = F.substring("text", 1, 60)
-        return self.table("documents").select("doc_id", a.alias("a"), F.translate(a, "e", "c").alias("b"), ((F.col("n_chars") % 100) / 100).alias("llm"), ((F.col("n_chars") % 37) / 37).alias("conf"))
+        """Whole documents cut into regions of 60 characters, each with a letter changed as its correction."""
+        cut = self.table("documents").select("doc_id", "n_chars", F.posexplode(text.slice_text(F.col("text"), 60)).alias("idx", "s"))
+        a, n = F.col("s.part"), F.col("n_chars") + F.col("idx")
+        return cut.select("doc_id", "idx", a.alias("a"), F.translate(a, "e", "c").alias("b"), (n % 100 / 100).alias("llm"), (n % 37 / 37).alias("conf"))
 
     def summaries(self) -> DataFrame:
-        """Assistant turns against the user turns of their conversation; ASCII letters only."""
-        plain = F.regexp_replace("text", "[^ -~]", "")
-        said = lambda role: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", plain.alias("t"))))), lambda x: x.t), " ")
+        """Assistant turns against the user turns of their conversation."""
+        said = lambda role: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda x: x.text), " ")
         return self.table("conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(said("assistant").alias("candidate"), said("user").alias("source"))
 
     def dictionary(self) -> DataFrame:
@@ -90,7 +90,10 @@ COMPONENTS = """components AS (SELECT user_id AS doc_id, avg(value) FILTER (even
     avg(value) FILTER (event_type = 'signup') AS faiss, avg(value) FILTER (event_type = 'purchase') AS llm_logprobs FROM events GROUP BY 1)"""
 AUDIT = """audit AS (SELECT event_id::VARCHAR AS audit_id, user_id % 97 AS document_id, user_id::VARCHAR AS user_id, ts,
     strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS timestamp, CASE event_type WHEN 'click' THEN 'SNOMED_STATUS' WHEN 'view' THEN 'SUMMARY_EDIT' ELSE 'OTHER' END AS change_type, props AS metadata FROM events)"""
-PROPOSALS = """proposals AS (SELECT doc_id, substring(text, 1, 60) AS a, translate(substring(text, 1, 60), 'e', 'c') AS b, (n_chars % 100) / 100.0::DOUBLE AS llm, (n_chars % 37) / 37.0::DOUBLE AS conf FROM documents)"""
-SUMMARIES = """summaries AS (SELECT conv_id AS doc_id, coalesce(string_agg(regexp_replace(text, '[^ -~]', '', 'g'), ' ' ORDER BY turn) FILTER (role = 'assistant'), '') AS candidate,
-    coalesce(string_agg(regexp_replace(text, '[^ -~]', '', 'g'), ' ' ORDER BY turn) FILTER (role = 'user'), '') AS source FROM conversations GROUP BY 1)"""
+PROPOSALS = """cuts AS (SELECT doc_id, n_chars, text, unnest(range(0, (length(text) + 59) // 60)) AS idx FROM documents),
+    proposals AS (SELECT doc_id, idx, substring(text, idx * 60 + 1, 60) AS a, translate(substring(text, idx * 60 + 1, 60), 'e', 'c') AS b, ((n_chars + idx) % 100) / 100.0::DOUBLE AS llm, ((n_chars + idx) % 37) / 37.0::DOUBLE AS conf FROM cuts)"""
+SUMMARIES = """summaries AS (SELECT conv_id AS doc_id, coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (role = 'assistant'), '') AS candidate,
+    coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (role = 'user'), '') AS source FROM conversations GROUP BY 1)"""
+#: Letters and digits beyond ASCII as underscores: word boundaries of an ASCII-only engine then stand where Unicode has them.
+WORDLY = "regexp_replace(regexp_replace({0}, '[^\\P{{L}}\\x00-\\x7F]', '_', 'g'), '[^\\P{{Nd}}\\x00-\\x7F]', '_', 'g')"
 UNIT = "CASE WHEN {0} IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, CASE WHEN {0} > 1 THEN {0} / 100 ELSE {0} END)) END"

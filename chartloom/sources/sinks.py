@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartloom.functions.privacy import mask_by_role, mask_patterns
@@ -39,11 +39,19 @@ def write_manifest(files: DataFrame, dataset_type: str, path: str) -> None:
     manifest(files, dataset_type).coalesce(1).write.mode("overwrite").text(path)
 
 
-def audit_json(events: DataFrame, filter_text: str) -> DataFrame:
-    """Filtered events as one JSON value per document, newest first. A document's log is bounded by its own history."""
-    entry = F.struct(F.col("timestamp"), "audit_id", "user_id", "change_type", "before_state", "after_state", "metadata")
-    entries = F.reverse(F.array_sort(F.collect_list(entry)))
-    return events.groupBy("document_id").agg(F.to_json(F.struct(F.lit(filter_text).alias("filter"), F.count("*").alias("total_entries"), entries.alias("audit_entries"))).alias("value"))
+def audit_json(events: DataFrame, filter_text: str, most: int = 1000) -> DataFrame:
+    """Filtered events as JSON values of at most ``most`` entries, newest first: document_id, part (from 0), value.
+
+    A document's numbered parts are its whole log; most documents have one. Each value names the log's total. Entries are numbered
+    in a sorted stream and gathered by part, so a document with very many events is in no row whole.
+    """
+    keys = ["timestamp", "audit_id", "user_id", "change_type", "before_state", "after_state", "metadata"]
+    newest = Window.partitionBy("document_id").orderBy(F.desc("timestamp"), F.desc("audit_id"))
+    numbered = events.select("document_id", *keys).withColumn("n", F.row_number().over(newest))
+    parts = numbered.groupBy("document_id", F.floor((F.col("n") - 1) / most).cast("int").alias("part")).agg(F.array_sort(F.collect_list(F.struct("n", F.struct(*keys).alias("e")))).alias("es"))
+    totals = events.groupBy("document_id").agg(F.count("*").alias("total"))
+    value = F.to_json(F.struct(F.lit(filter_text).alias("filter"), F.col("t.total").alias("total_entries"), F.transform("es", lambda x: x.e).alias("audit_entries")))
+    return parts.alias("p").join(totals.alias("t"), F.col("p.document_id").eqNullSafe(F.col("t.document_id"))).select("p.document_id", "part", value.alias("value"))
 
 
 def envelope(document: Column, exported_at: Column, payload: Column, fmt: str = "json") -> Column:
