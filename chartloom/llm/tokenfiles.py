@@ -6,8 +6,10 @@ there are documents) and the doc_ids (64 bits). A table of parts keeps names and
 corpus is the prefix sum of the counts before it. Names hold the task attempt, and only parts that a finished task
 reported are listed, so lost executors and repeated tasks leave no trace in the result.
 
-Edge cases: a null text is written as the end id alone; a null doc_id counts as -1; repeated doc_ids keep one entry each, ordered by text; a table
-without rows gives no parts; extra columns are ignored.
+Edge cases: a null text is written as the end id alone; a null doc_id comes first, stored as the smallest 64-bit number and read
+back as null; rows that share a doc_id keep one entry each, in order of a hash of their texts, by which they are also dealt to
+ranges, so that a frequent id fills no single task unless its texts are equal; a table without rows gives no parts; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from chartloom.llm.pieces import spaced_encoder
 from chartloom.llm.shared import batch_of, blocks, bounded, filesystem, new_folder, written
 
 _PART = pa.schema([("part", pa.int64()), ("name", pa.string()), ("width", pa.int32()), ("docs", pa.int64()), ("tokens", pa.int64()), ("first_doc", pa.int64())])
+_NULL_ID = -(1 << 63)
 _DOC = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
@@ -64,7 +67,8 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 2)
             f.write(ends.tobytes())
         yield batch_of(_PART, {"part": [task.partitionId()], "name": [name], "width": [width], "docs": [len(ends) - 1], "tokens": [tokens], "first_doc": [first]})
 
-    ordered = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    given = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.col("text").cast("string"))
+    ordered = given.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     return written(bounded(ordered).mapInArrow(run, "part long, name string, width int, docs long, tokens long, first_doc long"), "parts")
 
 
@@ -100,7 +104,8 @@ def read_tokens(parts: DataFrame, folder: str) -> DataFrame:
 
     based = with_bases(parts)
     n = max(1, parts.count())
-    return based.repartition(n, F.rand(7)).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    found = based.repartition(n, F.rand(7)).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return found.withColumn("doc_id", F.when(F.col("doc_id") != _NULL_ID, F.col("doc_id")))
 
 
 def token_files(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:

@@ -11,8 +11,9 @@ longer runs first. The rows of range 0, 1, 2, ... in order of ``position`` are t
 
 File names hold the task attempt, and only files that a finished task reported are read, so repeated tasks leave no trace.
 
-Edge cases: a null html is an empty payload; a null url has the empty key; a null page_id counts as -1; rows that repeat a
-response's page_id are responses as well; line breaks in a url are percent-encoded; payloads of any length are stored
+Edge cases: a null html is an empty payload; a null url has the empty key; a null page_id is stored as the largest 64-bit
+number and read back as null, so it is a response to a payload that no page with an id has, and never a target; rows that
+repeat a response's page_id are responses as well; line breaks in a url are percent-encoded; payloads of any length are stored
 whole; extra columns are ignored; an empty table gives an empty index.
 """
 
@@ -43,6 +44,7 @@ _INDEX_DDL = "url_key string, ts long, page_id long, record_type string, payload
 #: Fixed values of the format.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _BLOCK = 2048
+_NULL_ID = (1 << 63) - 1
 
 
 def url_key(url):
@@ -314,6 +316,7 @@ def merge_index(runs: DataFrame, folder: str, fan_in: int = 64, range_rows: int
 def capture_index(captures: DataFrame, least: int = 100, fan_in: int = 64) -> DataFrame:
     """Write captures (page_id, url, ts, html) as archives, read these back, and return the merged index."""
     folder = new_folder(captures.sparkSession, "warc")
-    given = captures.select(F.coalesce(F.col("page_id").cast("long"), F.lit(-1)).alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce(F.col("ts").cast("long"), F.lit(0)).alias("ts"), F.col("html").cast("string"))
+    given = captures.select(F.coalesce(F.col("page_id").cast("long"), F.lit(_NULL_ID)).alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce(F.col("ts").cast("long"), F.lit(0)).alias("ts"), F.col("html").cast("string"))
     archives = write_archives(with_holders(given.withColumn("url_key", url_key(F.col("url"))), least), folder)
-    return merge_index(read_archives(archives, folder), folder, fan_in)
+    index = merge_index(read_archives(archives, folder), folder, fan_in)
+    return index.withColumn("page_id", F.when(F.col("page_id") != _NULL_ID, F.col("page_id")))

@@ -554,6 +554,24 @@ def test_token_files_come_back(docs, empty):
     assert tokenfiles.token_files(empty, BYTE_BPE).count() == 0
 
 
+def test_token_files_keep_null_and_shared_ids(spark):
+    rows = [(None, "no id", "en", "s", 0), (None, None, "en", "s", 0), (-1, "minus one", "en", "s", 0)] + [(5, f"text {i % 7}", "en", "s", 0) for i in range(40)] + [(6, "last", "en", "s", 0)]
+    got = sorted(tokenfiles.token_files(spark.createDataFrame(rows, DOCS).repartition(3), BYTE_BPE).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, -1, *[5] * 40, 6]
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))]
+    crc = lambda t: zlib.crc32(np.array([*_TOKENIZERS[BYTE_BPE].encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes())
+    assert Counter((r.doc_id, r.ids_crc32) for r in got) == Counter((r[0], crc(r[1])) for r in rows)
+
+
+def test_archives_keep_null_ids(spark):
+    both, own = "<p>shared</p>" * 20, "<p>without an id</p>" * 20
+    rows = [(None, "http://a.b/1", both, 5), (3, "http://a.b/2", both, 6), (None, "http://a.b/3", own, 7), (None, None, own, 8), (-1, "http://a.b/4", None, 9)]
+    index = warc.capture_index(spark.createDataFrame(rows, "page_id long, url string, html string, ts long")).collect()
+    assert Counter((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in index) == Counter(
+        [(None, "revisit", 3, len(both)), (3, "response", None, len(both)), (None, "response", None, len(own)), (None, "response", None, len(own)), (-1, "response", None, 0)]
+    )
+
+
 def test_bpe_digests(docs, empty):
     got = by_id(bpe.encode_and_decode(docs, BYTE_BPE, keep_ids=True))
     for r in docs.collect():
