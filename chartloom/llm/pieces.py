@@ -14,7 +14,7 @@ import re
 import sys
 from array import array
 from collections.abc import Iterable, Sequence
-from itertools import batched
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
@@ -64,7 +64,7 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
 
 
 #: Bytes of kept pieces in a Python worker, and what a piece takes besides its string and its ids.
-MOST_KEPT, _ENTRY = 48 << 20, 130
+MOST_KEPT, _ENTRY = 96 << 20, 130
 
 
 class Kept:
@@ -88,12 +88,13 @@ class Kept:
     def numbers(self, pieces: list[str], lead: bool) -> np.ndarray:
         known = self.tails if lead else self.heads
         missing = [p for p in pieces if p not in known]
-        flat, lengths = array("I"), []
-        for piece, ids in zip(missing, self.ids_of(missing, lead), strict=True):
-            known[piece] = self.count + len(lengths)
-            lengths.append(len(ids))
-            flat.extend(ids)
-            self.held += sys.getsizeof(piece) + 4 * len(ids) + _ENTRY
+        flat, lengths = array("I"), array("q")
+        for part in batched(missing, 4096):
+            found = list(self.ids_of(list(part), lead))
+            lengths.extend(map(len, found))
+            flat.extend(chain.from_iterable(found))
+        known.update(zip(missing, range(self.count, self.count + len(missing)), strict=True))
+        self.held += sum(map(sys.getsizeof, missing)) + 4 * len(flat) + _ENTRY * len(missing)
         n, new = self.used + len(flat), self.count + len(lengths)
         if n > len(self.values):
             self.values = np.append(self.values, np.zeros(max(n, len(self.values)), np.uint32))
@@ -101,7 +102,7 @@ class Kept:
             self.starts, self.lengths = (np.append(x, np.zeros(max(new, len(x)), np.int64)) for x in (self.starts, self.lengths))
         self.values[self.used : n] = flat
         self.lengths[self.count : new] = lengths
-        self.starts[self.count : new] = self.used + np.cumsum(lengths, dtype=np.int64) - lengths
+        self.starts[self.count : new] = self.used + np.cumsum(lengths, dtype=np.int64) - np.asarray(lengths)
         self.used, self.count = n, new
         return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
 
@@ -119,9 +120,13 @@ class Kept:
     def pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Cut at spaces, see ``at_spaces``."""
         cut = pc.split_pattern(texts, " ")
-        odd = {i: at_spaces(x) for i, x in enumerate(texts.to_pylist()) if not spaced(x)}
+        odd = [(i, at_spaces(x)) for i, x in enumerate(texts.to_pylist()) if not spaced(x)]
         if odd:
-            cut = pa.array([odd.get(i) or x for i, x in enumerate(cut.to_pylist())], pa.list_(pa.string()))
+            runs, at = [], 0
+            for i, own in odd:
+                runs += [cut.slice(at, i - at), pa.array([own], cut.type)]
+                at = i + 1
+            cut = pa.concat_arrays([*runs, cut.slice(at)])
         coded, docs = cut.flatten().dictionary_encode(), pc.list_value_length(cut).to_numpy()
         codes = coded.indices.to_numpy()
         at = np.cumsum(docs) - docs
@@ -172,20 +177,21 @@ class Library(Kept):
         return [t.id for t in self.tokenizer.model.tokenize(before + (word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)))]
 
     def ids_of(self, pieces: list[str], lead: bool) -> Iterable[Sequence[int]]:
-        space, marks = " " * lead, self.marks
-        ready = {i: e.ids for part in batched([i for i, p in enumerate(pieces) if not _PLAIN.fullmatch(p)], 4096) for i, e in zip(part, self.tokenizer.encode_batch_fast([space + pieces[i] for i in part], add_special_tokens=False), strict=True)}
-        for i, piece in enumerate(pieces):
-            if i in ready:
-                yield ready[i]
+        model, marks, lower = self.model, self.marks, self.lower
+        before, line = ("", []) if lower else (_LETTERS[32] * lead, self.model("", _LETTERS[10]))
+        matches = [_PLAIN.fullmatch(p) for p in pieces]
+        others = [" " * lead + p for p, m in zip(pieces, matches, strict=True) if m is None]
+        ready = iter(self.tokenizer.encode_batch_fast(others, add_special_tokens=False) if others else ())
+        for match in matches:
+            if match is None:
+                yield next(ready).ids
                 continue
-            first, after, second, more = _PLAIN.fullmatch(piece).groups()
-            if after not in marks:
-                marks[after] = self.model(after)
-            ids = (self.model(first.lower()) if self.lower else self.model(first, _LETTERS[32] * lead)) + marks[after]
-            if second:
-                ids += self.model(second.lower()) if self.lower else self.model("", _LETTERS[10]) + self.model(second)
-                ids += self.model(more) if more else []
-            yield ids
+            first, after, second, more = match.groups()
+            for x in (after, more or ""):
+                if x not in marks:
+                    marks[x] = model(x)
+            ids = model(first.lower() if lower else first, before) + marks[after]
+            yield ids + line + model(second.lower() if lower else second) + marks[more] if second else ids
 
 
 class WordEncoder(Library):
