@@ -12,7 +12,12 @@ DOSAGE_TOKENS = [
     "one", "two", "three", "four", "five", "mg", "ml", "mcg", "iu", "units", "%", "drop", "drops", "tablet", "tablets", "tab", "tabs",
     "capsule", "capsules", "cap", "caps", "patch", "patches", "sachet", "sachets", "ampoule", "ampoules",
 ]
-_CHUNKS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("chunk", T.StringType())]))
+#: What the white space of a text is made of, beyond ASCII too.
+SPACES = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Who acts after a letter, and in which roles.
+ACTION_PARTS, ACTION_ROLES = ("sender_actions", "gp_surgery_actions"), ("doctor", "pharmacist", "reception")
+#: Strings in either quotes, braces, runs of anything else, and quotes that pair with none.
+_JSON_PARTS = r"""(?s)"(?:[^"\\]++|\\.)*+"|'(?:[^'\\]++|\\.)*+'|[{}]|[^{}"']++|["']"""
 _PUNCTUATION = r"[!-/:-@\[-`{-~]"
 
 
@@ -67,23 +72,42 @@ def chunk_spans(text: Column, size: int = 500, overlap: int = 50) -> Column:
     return F.transform(starts, lambda s: F.struct(s.alias("start"), F.least(s + size, F.length(text)).alias("end"), F.when(F.length(text) <= size, text).otherwise(F.trim(F.substring(text, s + 1, F.lit(size)))).alias("chunk")))
 
 
-@F.pandas_udf(_CHUNKS)
-def chunk_sentences(text: pd.Series, size: pd.Series, overlap: pd.Series) -> pd.Series:
-    """Chunks that end after the last full stop of their second half. Where one begins depends on where the last ended."""
-
-    def cut(t: str | None, n: int, back: int) -> list[dict]:
-        t, out, at = t or "", [], 0
-        if len(t) <= n:
-            return [{"start": 0, "end": len(t), "chunk": t}]
-        while at < len(t):
-            end = at + n
-            if end < len(t) and (stop := t.rfind(".", at, end)) > at + n // 2:
-                end = stop + 1
-            out.append({"start": at, "end": min(end, len(t)), "chunk": t[at:end].strip()})
-            at = end - back
-        return out
+def chunk_sentences(text: Column, size: int = 500, overlap: int = 50) -> Column:
+    """Chunks of up to ``size`` characters that end after the last full stop of their second half, trimmed.
+
+    Where a chunk begins follows from where the last one ended, so a fold carries the next start. It looks for a full stop in
+    two neighbouring pieces of the text, cut once, so that no step reads the text from its beginning, and keeps the places of
+    1,000 chunks at a time, so that none copies all before it: work grows with the text. A null text is one empty chunk.
+    """
+    if size // 2 + 2 <= overlap:
+        raise ValueError("an overlap of half a chunk may never end")
+    pair = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+    state = lambda at, spans: F.struct(at.cast("int").alias("at"), spans.alias("spans"))
+
+    def of(given: Column) -> Column:
+        whole, n, pieces = given.getField("whole"), given.getField("n"), given.getField("pieces")
+        window = lambda at, last: F.substring(F.concat(F.get(pieces, F.floor(at / size)), F.coalesce(F.get(pieces, F.floor(at / size) + 1), F.lit(""))), (at % size + 1).cast("int"), (last - at).cast("int"))
+
+        def end_of(at: Column) -> Column:
+            full = at + size
+            behind = F.locate(".", F.reverse(window(at, full)))  # 1: the window ends with a full stop
+            return F.when((full < n) & (behind > 0) & (size - behind > size // 2), full - behind + 1).otherwise(full)
+
+        def step(now: Column, _: Column) -> Column:
+            at = now.getField("at")
+            return F.when(at >= n, now).otherwise(let(end_of(at), lambda end: state(end - overlap, F.array_append(now.getField("spans"), F.struct(at.alias("start"), F.least(end, n).cast("int").alias("end"))))))
 
-    return pd.Series([cut(*x) for x in zip(text, size, overlap, strict=True)])
+        def steps(now: Column, _: Column) -> Column:
+            inner = F.aggregate(F.sequence(F.lit(1), F.lit(1000)), state(now.getField("at"), F.array().cast(pair)), step)
+            return F.when(now.getField("at") >= n, now).otherwise(let(inner, lambda x: F.struct(x.getField("at").alias("at"), F.array_append(now.getField("runs"), x.getField("spans")).alias("runs"))))
+
+        rounds = F.floor(n / (1000 * (size // 2 + 2 - overlap))).cast("int") + 1
+        spans = F.flatten(F.aggregate(F.sequence(F.lit(1), rounds), F.struct(F.lit(0).alias("at"), F.array().cast(T.ArrayType(pair)).alias("runs")), steps, lambda x: x.getField("runs")))
+        cut = F.transform(spans, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), F.btrim(window(s.start, s.end), F.lit(SPACES)).alias("chunk")))
+        return F.when(n <= size, F.array(F.struct(F.lit(0).alias("start"), n.alias("end"), whole.alias("chunk")))).otherwise(cut)
+
+    whole = F.coalesce(text, F.lit(""))
+    return let(F.struct(whole.alias("whole"), F.length(whole).alias("n"), F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)).alias("pieces")), of)
 
 
 #: Headers that begin a section, by document type.
@@ -95,23 +119,25 @@ SECTION_HEADERS = {
 
 
 def section_array(text: Column, headers: Column) -> Column:
-    """Sections of a text: a line that matches ``headers`` begins one and names it. Folded line by line within a row."""
-    empty = F.struct(F.lit("header").alias("name"), F.lit("").alias("body"))
-    start = F.struct(F.array().cast("array<struct<name:string,body:string>>").alias("done"), empty.alias("now"))
-
-    def closed(state: Column) -> Column:
-        now = state.getField("now")
-        kept = F.struct(now.getField("name").alias("name"), F.btrim(now.getField("body"), F.lit(" \t\r\n")).alias("body"))
-        return F.when(kept.getField("body") == "", state.getField("done")).otherwise(F.array_append(state.getField("done"), kept))
-
-    def step(state: Column, line: Column) -> Column:
-        name = F.substring(F.regexp_replace(F.lower(F.btrim(line, F.lit(" \t\r"))), "[^a-z_]", "_"), 1, 30)
-        new = F.struct(closed(state).alias("done"), F.struct(name.alias("name"), F.concat(line, F.lit("\n")).alias("body")).alias("now"))
-        now = state.getField("now")
-        more = F.struct(state.getField("done").alias("done"), F.struct(now.getField("name").alias("name"), F.concat(now.getField("body"), line, F.lit("\n")).alias("body")).alias("now"))
-        return F.when(F.coalesce(F.regexp_like(line, headers), F.lit(False)), new).otherwise(more)
-
-    whole = F.aggregate(F.split(F.coalesce(text, F.lit("")), "\n"), start, step, closed)
+    """Sections of a text: a line that matches ``headers`` begins one and names it.
+
+    The places of such lines bound slices of the array of lines, so that each line is copied once. Null headers match nothing.
+    """
+
+    def section(lines: Column, first: Column, last: Column, named: bool) -> Column:
+        name = F.substring(F.regexp_replace(F.lower(F.btrim(F.get(lines, first), F.lit(" \t\r"))), "[^a-z_]", "_"), 1, 30) if named else F.lit("header")
+        return F.struct(name.alias("name"), F.btrim(F.array_join(F.slice(lines, first + 1, last - first), "\n"), F.lit(" \t\r\n")).alias("body"))
+
+    def of(lines: Column) -> Column:
+        begins = F.array_compact(F.transform(lines, lambda line, i: F.when(F.regexp_like(line, headers), i)))
+
+        def cut(at: Column) -> Column:
+            every = F.transform(at, lambda first, i: section(lines, first, F.coalesce(F.get(at, i + 1), F.size(lines)), True))
+            return F.filter(F.concat(F.array(section(lines, F.lit(0), F.coalesce(F.get(at, F.lit(0)), F.size(lines)), False)), every), lambda s: s.body != "")
+
+        return let(begins, cut)
+
+    whole = let(F.split(F.coalesce(text, F.lit("")), "\n"), of)
     return F.when(F.size(whole) > 0, whole).otherwise(F.array(F.struct(F.lit("full_document").alias("name"), text.alias("body"))))
 
 
@@ -125,10 +151,11 @@ def headers_of(doc_type: Column) -> Column:
 def chunk_rows(docs: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
     """doc_id, text, doc_type to a row per chunk: section, chunk_index, total_chunks, chunk_id, start, chunk."""
     sections = docs.select("doc_id", "text", F.posexplode(section_array(F.col("text"), headers_of(F.col("doc_type")))).alias("section_no", "s"))
-    parts = sections.select("doc_id", "text", "section_no", F.col("s.name").alias("section"), chunk_sentences(F.col("s.body"), F.lit(size), F.lit(overlap)).alias("parts"))
-    rows = parts.select("doc_id", "text", "section_no", "section", F.size("parts").alias("total_chunks"), F.posexplode("parts").alias("chunk_index", "p"))
+    parts = sections.select("doc_id", "text", "section_no", F.col("s.name").alias("section"), chunk_sentences(F.col("s.body"), size, overlap).alias("parts"))
+    placed = F.transform("parts", lambda p: F.struct(p.chunk.alias("chunk"), (F.position(p.chunk, F.col("text")) - 1).alias("place")))
+    rows = parts.select("doc_id", "section_no", "section", F.size("parts").alias("total_chunks"), F.posexplode(placed).alias("chunk_index", "p"))
     chunk_id = F.substring(F.md5(F.concat_ws("_", F.col("doc_id").cast("string"), "section", F.col("chunk_index").cast("string"))), 1, 12)
-    return rows.select("doc_id", "section_no", "section", "chunk_index", "total_chunks", chunk_id.alias("chunk_id"), (F.position(F.col("p.chunk"), F.col("text")) - 1).alias("start_pos"), F.col("p.chunk").alias("chunk"))
+    return rows.select("doc_id", "section_no", "section", "chunk_index", "total_chunks", chunk_id.alias("chunk_id"), F.col("p.place").alias("start_pos"), F.col("p.chunk").alias("chunk"))
 
 
 def parse_model_json(raw: Column, schema: str) -> Column:
@@ -143,9 +170,37 @@ def summary_or_raw(raw: Column, schema: str) -> Column:
     return F.when(parsed.getField("summary").isNotNull(), F.struct(parsed.getField("summary").alias("summary"), F.coalesce(parsed.getField("confidence_score"), F.lit(0.5)).alias("confidence_score"))).otherwise(F.struct(raw.alias("summary"), F.lit(0.5).alias("confidence_score")))
 
 
+def outermost(text: Column) -> Column:
+    """The first object in a text, from its brace to the one that closes it; null if there is none or it isn't closed.
+
+    The text from the first brace on is cut into strings, braces and what is between; depth is the running sum over these
+    parts, where braces within strings count nothing. Quotes that don't pair are seen as plain characters.
+    """
+    begin = F.locate("{", text)
+    rest = F.substring(text, begin, F.length(text))
+    parts = F.regexp_extract_all(rest, F.lit(_JSON_PARTS), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("read"), F.lit(0).alias("closed"))
+
+    def step(now: Column, part: Column) -> Column:
+        depth = now.depth + F.when(part == "{", 1).when(part == "}", -1).otherwise(0)
+        read = now.read + F.length(part)
+        return F.when(now.closed > 0, now).otherwise(F.struct(depth.alias("depth"), read.alias("read"), F.when(depth == 0, read).otherwise(0).alias("closed")))
+
+    closed = F.aggregate(parts, start, step, lambda x: x.closed)
+    return F.when(begin > 0, let(closed, lambda n: F.when(n > 0, F.substring(rest, F.lit(1), n))))
+
+
 def parse_actions_json(raw: Column) -> Column:
-    """The outermost braces of an answer, single quotes allowed, as lists of actions by role."""
-    return F.from_json(F.regexp_extract(raw, r"(?s)\{.*\}", 0), "map<string,array<string>>", {"allowSingleQuotes": "true"})
+    """A model's actions by part and role, as lists of strings; lists that are missing or can't be read are empty.
+
+    Fences are dropped, the outermost object is found by depth, and strings may be in single or double quotes. Empty and null items go;
+    items that aren't strings come as their JSON text.
+    """
+    roles = lambda of: "struct<" + ",".join(f"{r}:{of}" for r in ACTION_ROLES) + ">"
+    found = outermost(F.regexp_replace(raw, r"```(?:json)?\s*", ""))
+    parsed = F.from_json(found, ",".join(f"{p} {roles('array<string>')}" for p in ACTION_PARTS), {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true", "allowUnquotedControlChars": "true"})
+    items = lambda x, part, role: F.filter(F.coalesce(x.getField(part).getField(role), F.array().cast("array<string>")), lambda i: F.coalesce(i, F.lit("")) != "").alias(role)
+    return let(parsed, lambda x: F.struct(*(F.struct(*(items(x, p, r) for r in ACTION_ROLES)).alias(p) for p in ACTION_PARTS)))
 
 
 def parse_correction_json(raw: Column, ocr_text: Column) -> Column:

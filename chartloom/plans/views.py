@@ -71,6 +71,17 @@ class Views:
         ]
         return given.select("c_custkey", F.concat_ws("\n", *lines).alias("text"))
 
+    def answers(self) -> DataFrame:
+        """Documents as a model's answers: fenced objects with whole texts in them, single quotes, no object, an open one."""
+        d, c = self.table("documents"), F.concat
+        roles = lambda doctor, pharmacist, reception: F.struct(doctor.alias("doctor"), pharmacist.alias("pharmacist"), reception.alias("reception"))
+        none = F.array().cast("array<string>")
+        whole = F.to_json(F.struct(roles(F.array("text", "source"), none, F.array("lang")).alias("sender_actions"), roles(F.array(F.lit("")), F.array("lang"), F.array("text")).alias("gp_surgery_actions")))
+        single = c(F.lit("{'sender_actions': {'doctor': ['see {"), "lang", F.lit("', '', 'call "), "source", F.lit("']}, 'gp_surgery_actions': 'none'} }"))
+        kind = F.col("doc_id") % 4
+        raw = F.when(kind == 0, c(F.lit("Sure. ```json\n"), whole, F.lit('\n``` and {"x": [1]} }'))).when(kind == 1, single).when(kind == 2, c(F.lit("no object for "), "source"))
+        return d.select("doc_id", raw.otherwise(c(F.lit('{"sender_actions": {"doctor": ["'), "source", F.lit('"'))).alias("raw"))
+
     def first_of_rows(self, df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
         return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
 

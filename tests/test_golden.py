@@ -2,6 +2,8 @@
 
 import datetime as dt
 import json
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,7 +87,7 @@ def test_actions(spark):
 
 
 def test_chunks(spark):
-    spans = lambda t: [(c.start, c.end) for c in one(spark, text.chunk_sentences(lit(t), lit(500), lit(50)))]
+    spans = lambda t: [(c.start, c.end) for c in one(spark, text.chunk_sentences(lit(t), 500, 50))]
     assert spans("x" * 1000) == [(0, 500), (450, 950), (900, 1000)]
     assert spans("x" * 950)[-1] == (900, 950)
     assert spans("a" * 300 + "." + "b" * 400)[:2] == [(0, 301), (251, 701)]
@@ -114,7 +116,6 @@ def test_parsing(spark):
     assert one(spark, text.summary_or_raw(lit('```json\n{"summary": "s", "confidence_score": 0.7}\n```'), schema)).confidence_score == 0.7
     raw = one(spark, text.summary_or_raw(lit("no json"), schema))
     assert (raw.summary, raw.confidence_score) == ("no json", 0.5)
-    assert one(spark, text.parse_actions_json(lit("ok {'clinician': ['a', 'b']} end"))) == {"clinician": ["a", "b"]}
     assert one(spark, text.parse_correction_json(lit('{"confidence": 3}'), lit("ocr"))).asDict() == {"corrected_text": "ocr", "confidence": 1.0, "reasoning": ""}
     assert one(spark, text.strip_markdown(lit("## Head\n**bold** and *it*\n---\n"))) == "Head\nbold and it"
     long = " ".join(["word"] * 40 + ["end.", *["more"] * 20])
@@ -122,6 +123,58 @@ def test_parsing(spark):
     assert one(spark, text.scrub_demographics(lit("Patient, a 45 year old, Mr John Smith"), lit("Male"))).startswith("The male patient")
 
 
+def test_actions_of_a_model(spark):
+    read = lambda raw: one(spark, text.parse_actions_json(lit(raw))).asDict(recursive=True)
+    full = {"sender_actions": {"doctor": ["a {b", "it's \"5\" }"], "pharmacist": [], "reception": []}, "gp_surgery_actions": {"doctor": [], "pharmacist": ["p"], "reception": ["r"]}}
+    none = {p: dict.fromkeys(text.ACTION_ROLES, []) for p in text.ACTION_PARTS}
+    body = {"sender_actions": {"doctor": ["a {b", "", None, "it's \"5\" }"]}, "gp_surgery_actions": {"pharmacist": ["p"], "reception": ["r"], "doctor": "no list"}, "more": {"x": [1]}}
+    assert read(f"Here:\n```json\n{json.dumps(body)}\n``` and {{'x': 1}}}}") == full
+    assert read(f"{json.dumps(body, indent=2)} trailing }} {{") == full
+    single = "{'sender_actions': {'doctor': ['see {x', 'don\\'t'], 'reception': ['call']}, 'gp_surgery_actions': 'none'}"
+    assert read(single) == none | {"sender_actions": {"doctor": ["see {x", "don't"], "pharmacist": [], "reception": ["call"]}}
+    for raw in ("no object", "", "{'sender_actions': {'doctor': ['open'", "{}", '{"sender_actions": []}', "} {", None):
+        assert read(raw) == none
+    assert one(spark, text.outermost(lit("x {a {b} c} {d}"))) == "{a {b} c}" and one(spark, text.outermost(lit("{' {} }"))) == "{' {} }"
+    assert len(one(spark, text.outermost(lit("{" * 20_000 + '"' + "}" * 20_000 + '"' + "}" * 20_000)))) == 60_002
+
+
+def sentence_chunks(t, n, back):
+    """One chunk after another, as a plain loop."""
+    t, out, at = t or "", [], 0
+    if len(t) <= n:
+        return [(0, len(t), t)]
+    while at < len(t):
+        end = at + n
+        if end < len(t) and (stop := t.rfind(".", at, end)) > at + n // 2:
+            end = stop + 1
+        out.append((at, min(end, len(t)), t[at:end].strip()))
+        at = end - back
+    return out
+
+
+def test_sentence_chunks_against_a_loop(spark):
+    rng = random.Random(9)
+    texts = [None, "", ".", "." * 1200, "é" * 1501, "a. " * 700, "漢字。." * 400, "x" * 501] + ["".join(rng.choices("ab é.\n\u3000", weights=[9, 9, 4, 2, 1, 1, 1], k=rng.randint(1, 3000))) for _ in range(40)]
+    for n, back in ((500, 50), (20, 5), (7, 4), (10, 0)):
+        rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", text.chunk_sentences(F.col("t"), n, back).alias("c"))
+        assert {r.i: [tuple(c) for c in r.c] for r in rows.collect()} == {i: sentence_chunks(t, n, back) for i, t in enumerate(texts)}
+    with pytest.raises(ValueError, match="overlap"):
+        text.chunk_sentences(lit("x"), 10, 7)
+
+
+def test_long_texts_are_cut_in_linear_time(spark):
+    lines = 100_000
+    took = []
+    for n in (lines // 4, lines):
+        t = "\n".join(f"Result: line {i} of text." if i % 50 == 0 else f"line {i} of text." for i in range(n))
+        row = spark.createDataFrame([(t,)], "t string").select(text.section_array(F.col("t"), text.headers_of(lit("lab_report"))).alias("s"), text.chunk_sentences(F.col("t")).alias("c"))
+        began = time.time()
+        got = row.select(F.size("s").alias("sections"), F.size("c").alias("chunks"), F.element_at("c", -1).getField("end").alias("end")).first()
+        took.append(time.time() - began)
+        assert got.sections == n // 50 and got.end == len(t)
+    assert took[1] < 12 * took[0] + 5
+
+
 def test_token_sets(spark):
     j = text.jaccard(text.bare_tokens(lit("the quick brown fox")), text.bare_tokens(lit("the slow brown dog.")))
     assert one(spark, j) == pytest.approx(2 / 6)
