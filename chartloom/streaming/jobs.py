@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.types import BooleanType, StructField, StructType
 
 
 def read_stream(spark, path: str, schema, files: int = 10, timestamps: tuple[str, ...] = ("ts",)) -> DataFrame:
@@ -52,27 +52,140 @@ def export_attempts(results: DataFrame, direct: int = 3, queued: int = 6) -> Dat
     return results.withColumn("event", event)
 
 
-def dedupe_ttl(requests: DataFrame, ttl: int) -> DataFrame:
-    """Add duplicate to (key, arrived_at): an arrival before its key's accepted one has expired. Duplicates don't extend it.
+def _chain_ends(times: np.ndarray, ttl: int) -> np.ndarray:
+    """For each of the sorted times of a block: until when the last arrival lasts that is accepted in the block if this one is."""
+    following = np.searchsorted(times, times + ttl)
+    last = np.where(following < len(times), following, np.arange(len(times)))
+    while not np.array_equal(last, ends := last[last]):
+        last = ends
+    return times[last] + ttl
+
 
-    Arrivals are sorted by key and time within partitions, a sort that spills, and a task reads them as a stream: it holds one
-    batch and the current key's expiry, however many arrivals a key has. A key's arrivals are read by one task. Null times are left out.
+def _expiry_of_block(ttl: int):
+    """A block's effect on an expiry: rows of (at, until), until which time its arrivals last if that of ``at`` is the first accepted.
+
+    An expiry from before the block lies less than ``ttl`` after its beginning, so later arrivals are first only if none is earlier.
     """
-    given = requests.filter("arrived_at IS NOT NULL").select("key", F.col("arrived_at").cast("long").alias("arrived_at"))
+
+    def run(got: pa.Table) -> pa.Table:
+        times = np.sort(got["at"].to_numpy())
+        first = int(np.searchsorted(times, times[0] + ttl)) + 1
+        until = _chain_ends(times, ttl)[:first]
+        return pa.table({"key": got["key"][: len(until)], "block": got["block"][: len(until)], "at": times[: len(until)], "until": until})
+
+    return run
+
+
+def _after(at: np.ndarray, until: np.ndarray, expiry: np.ndarray) -> np.ndarray:
+    """Expiries carried over a block."""
+    place = np.searchsorted(at, expiry)
+    return np.where(place < len(at), until[np.minimum(place, len(at) - 1)], expiry)
+
+
+def _children(got: pa.Table) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """The blocks of a group in order of time, each with its (at, until)."""
+    block, at, until = (got[c].to_numpy() for c in ("block", "at", "until"))
+    order = np.lexsort((at, block))
+    block, at, until = block[order], at[order], until[order]
+    return [(int(block[i[0]]), at[i], until[i]) for i in np.split(np.arange(len(block)), np.flatnonzero(np.diff(block)) + 1) if len(i)]
+
+
+def _composed(got: pa.Table) -> pa.Table:
+    """The effect of several blocks, one after another, as that of one."""
+    blocks = _children(got)
+    at = np.append(blocks[0][1], blocks[1][1][:1] if len(blocks) > 1 else [])
+    until = at
+    for _, a, u in blocks:
+        until = _after(a, u, until)
+    return pa.table({"key": got["key"].take([0] * len(at)), "block": got["parent"].take([0] * len(at)), "at": at.astype(np.int64), "until": until.astype(np.int64)})
+
+
+def _handed_down(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The expiry that each block begins with, from that of the group."""
+    blocks, expiry, begins = _children(left), right["expiry"].to_numpy()[:1], []
+    for _, a, u in blocks:
+        begins.append(expiry[0])
+        expiry = _after(a, u, expiry)
+    return pa.table({"key": left["key"].take([0] * len(blocks)), "block": pa.array([b for b, *_ in blocks], pa.int64()), "expiry": pa.array(begins, pa.int64())})
+
+
+def _accepted(ttl: int):
+    """The arrivals of a block that are accepted, given the expiry that it begins with."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        order = np.argsort(left["at"].to_numpy(), kind="stable")
+        times, expiry, taken = left["at"].to_numpy()[order], right["expiry"].to_numpy()[0], np.zeros(len(order), bool)
+        while (i := int(np.searchsorted(times, expiry))) < len(times):
+            taken[i], expiry = True, times[i] + ttl
+        return pa.table({"key": left["key"].take(order), "at": times, "n": left["n"].take(order), "accepted": taken})
+
+    return run
+
+
+def _in_streams(given: DataFrame, ttl: int) -> DataFrame:
+    """Arrivals sorted by key and time within partitions, read as a stream: a task holds a batch and the current key's expiry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, until = None, None
         for batch in batches:
             found = []
-            for k, t in zip(batch["key"].to_pylist(), batch["arrived_at"].to_pylist(), strict=True):
+            for k, t in zip(batch["key"].to_pylist(), batch["at"].to_pylist(), strict=True):
                 if k != key:
                     key, until = k, None
                 found.append(until is not None and t < until)
                 until = until if found[-1] else t + ttl
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.bool_())], names=["key", "arrived_at", "duplicate"])
 
-    schema = StructType([*given.schema.fields, StructField("duplicate", BooleanType())])
-    return given.repartition("key").sortWithinPartitions("key", "arrived_at").mapInArrow(run, schema)
+    kind = given.schema["key"].dataType.simpleString()
+    return given.repartition("key").sortWithinPartitions("key", "at").mapInArrow(run, f"key {kind}, arrived_at long, duplicate boolean")
+
+
+def dedupe_ttl(requests: DataFrame, ttl: int, most: int = 100_000, fan: int = 16) -> DataFrame:
+    """Add duplicate to (key, arrived_at): an arrival before its key's accepted one has expired. Duplicates don't extend it.
+
+    Keys of up to ``most`` rows are dealt out by key and read in order. Keys with more are cut into blocks of time, see ``_in_blocks``,
+    so that a hot key's rows spread over tasks; the rows are the same. Null times are left out; null keys are one key.
+    """
+    given = requests.filter("arrived_at IS NOT NULL").select("key", F.col("arrived_at").cast("long").alias("at"))
+    if ttl <= 0:  # expired at once
+        return given.select("key", F.col("at").alias("arrived_at"), F.lit(False).alias("duplicate"))
+    large = given.groupBy("key").count().filter(F.col("count") > most).select(F.col("key").alias("large"))
+    few = large.limit(10_001).count()
+    if few == 0:
+        return _in_streams(given, ttl)
+    large = F.broadcast(large) if few <= 10_000 else large  # as many keys at most
+    same = F.col("key").eqNullSafe(F.col("large"))
+    return _in_streams(given.join(large, same, "left_anti"), ttl).unionByName(_in_blocks(given.join(large, same, "left_semi"), ttl, most, fan))
+
+
+def _in_blocks(given: DataFrame, ttl: int, least_block: int, fan: int) -> DataFrame:
+    """The same by composing what blocks of time do to a key's expiry.
+
+    A block maps the expiry that it begins with to the one that it ends with. Equal arrivals are counted first, so a block of
+    ``least_block`` seconds (or ``ttl``, if that is more) has no more distinct times than seconds, however many rows a key has. Maps of
+    ``fan`` neighbouring blocks are composed level by level to one for each key, and expiries are handed down again; a task sees one
+    block or the maps of ``fan`` blocks.
+    """
+    kind = given.schema["key"].dataType.simpleString()
+    span = given.agg(F.min("at"), F.max("at")).first()
+    first, width = span[0] or 0, max(ttl, least_block)
+    block = F.floor((F.col("at") - first) / width).cast("long")
+    counted = given.groupBy("key", block.alias("block"), "at").agg(F.count("*").alias("n"))
+    levels = [counted.groupBy("key", "block").applyInArrow(_expiry_of_block(ttl), f"key {kind}, block long, at long, until long")]
+    blocks = ((span[1] or 0) - first) // width + 1
+    while blocks > 1:
+        grouped = levels[-1].withColumn("parent", F.floor(F.col("block") / fan).cast("long"))
+        levels.append(grouped.groupBy("key", "parent").applyInArrow(_composed, f"key {kind}, block long, at long, until long"))
+        blocks = -(-blocks // fan)
+    expiry = levels[-1].select("key", "block").distinct().withColumn("expiry", F.lit(first - ttl).cast("long"))
+    for level in reversed(levels[:-1]):
+        parents = level.withColumn("parent", F.floor(F.col("block") / fan).cast("long")).groupBy("key", "parent")
+        expiry = parents.cogroup(expiry.withColumnRenamed("block", "parent").groupBy("key", "parent")).applyInArrow(_handed_down, f"key {kind}, block long, expiry long")
+    judged = counted.groupBy("key", "block").cogroup(expiry.groupBy("key", "block")).applyInArrow(_accepted(ttl), f"key {kind}, at long, n long, accepted boolean")
+    many = 1 << 16
+    runs = judged.select("key", "at", "n", "accepted", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(many).cast("long"))).alias("run"))
+    every = runs.select("key", F.col("at").alias("arrived_at"), "accepted", F.explode(F.sequence("run", F.least(F.col("run") + (many - 1), F.col("n") - 1))).alias("copy"))
+    return every.select("key", "arrived_at", (~F.col("accepted") | (F.col("copy") > 0)).alias("duplicate"))
 
 
 class TtlState(StatefulProcessor):

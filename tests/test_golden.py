@@ -519,16 +519,40 @@ def test_ttl_in_both_forms(spark, tmp_path):
     assert accepted(spark.table("ttl")) == expected
 
 
-def test_dedupe_ttl_never_gathers_a_key(spark):
-    hot = spark.range(60_000).select(F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 2 > 0, F.col("id").cast("string")).alias("key"), (F.col("id") * 7919 % 60_000).alias("arrived_at"))
-    got = jobs.dedupe_ttl(hot, 10)
-    assert "collect_list" not in got._jdf.queryExecution().executedPlan().toString()
-    expected, until = [], {}
-    for key, at in sorted(((r.key, r.arrived_at) for r in hot.collect()), key=lambda x: (x[0] or "", x[1])):
+def accepted_by_hand(arrivals, ttl):
+    out, until = [], {}
+    for key, at in sorted(arrivals, key=lambda x: (x[0] or "", x[1])):
         duplicate = at < until.get(key, at)
-        until[key] = until[key] if duplicate else at + 10
-        expected.append((key or "", at, duplicate))
-    assert sorted((r.key or "", r.arrived_at, r.duplicate) for r in got.collect()) == sorted(expected)
+        until[key] = until[key] if duplicate else at + ttl
+        out.append((key or "", at, duplicate))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("ttl", "most", "fan"), [(10, 100_000, 16), (10, 37, 3), (700, 1, 4), (0, 10, 2)])
+def test_dedupe_ttl_spreads_a_key_over_blocks_of_time(spark, ttl, most, fan):
+    rng = random.Random(ttl)
+    hot = [("hot" if i % 3 else None if i % 2 else str(i % 5), i * 7919 % 900) for i in range(1_500)]
+    rare = [("a", rng.randint(-3_000, 3_000)) for _ in range(40)] + [("gap", t) for t in (0, 3, 2_999, 3_000, 5_000)] + [("one", 5)] * 7
+    rows = spark.createDataFrame([*hot, *rare, ("a", None)], "key string, arrived_at long").repartition(3)
+    got = jobs.dedupe_ttl(rows, ttl, most, fan)
+    assert sorted((r.key or "", r.arrived_at, r.duplicate) for r in got.collect()) == accepted_by_hand([*hot, *rare], ttl)
+
+
+def test_blocks_of_a_hot_key_go_to_several_tasks(spark):
+    """A key with two thirds of all rows: equal times are counted before they meet, so a block has at most its seconds."""
+    hot = spark.range(30_000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("key"), (F.col("id") % 900).alias("arrived_at"))
+    got = jobs.dedupe_ttl(hot, 10, most=100).withColumn("task", F.spark_partition_id())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = got.filter("key = 'hot'").groupBy("task").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got.count() == 30_000 and sum(r["count"] for r in rows) == 20_000 and len(rows) > 2 and max(r["count"] for r in rows) < 14_000
+    assert sorted((r.key, r.arrived_at, r.duplicate) for r in got.collect()) == accepted_by_hand([tuple(r) for r in hot.collect()], 10)
+
+
+def test_dedupe_ttl_of_no_rows(spark):
+    assert jobs.dedupe_ttl(spark.createDataFrame([], "key string, arrived_at long"), 10).count() == 0
 
 
 def test_streams_equal_batches(spark, tmp_path):
