@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
+from chartloom.streaming.ledger import exactly_once
+
 
 def read_stream(spark, path: str, schema, files: int = 10, timestamps: tuple[str, ...] = ("ts",)) -> DataFrame:
     """A stream of Parquet files, a few per trigger; times become zoned, as watermarks need."""
@@ -25,17 +27,18 @@ def track_stream(rows: DataFrame, work: Callable[[DataFrame], DataFrame], sink:
     return (out.trigger(processingTime="30 seconds") if realtime else out.trigger(availableNow=True)).start()
 
 
-def routing_stream(components: DataFrame, paths: dict[str, str], audit_path: str, checkpoint: str, threshold: float = 0.85) -> StreamingQuery:
-    """Route scored documents: each micro-batch goes to its routes' tables, with an audit row per document."""
+def routing_stream(components: DataFrame, paths: dict[str, str], audit_path: str, checkpoint: str, threshold: float = 0.85, ledger: str | None = None) -> StreamingQuery:
+    """Route scored documents: each micro-batch goes to its routes' tables, with an audit row per document.
+
+    Tables are read with ``ledger.read_finished``: a batch that fails halfway or runs again leaves each row once.
+    """
     from chartloom.operators import routing
 
-    def sink(df: DataFrame, n: int) -> None:
-        kept = df.persist()
-        for route, path in paths.items():
-            kept.filter(F.col("route") == route).write.mode("append").parquet(path)
-        kept.select("doc_id", "final_score", "route", "payload", F.lit(n).alias("batch"), F.current_timestamp().alias("at")).write.mode("append").parquet(audit_path)
-        kept.unpersist()
+    def outputs(df: DataFrame, n: int) -> dict[str, DataFrame]:
+        log = df.select("doc_id", "final_score", "route", "payload", F.current_timestamp().alias("at"))
+        return {path: df.filter(F.col("route") == route) for route, path in paths.items()} | {audit_path: log}
 
+    sink = exactly_once(outputs, ledger or f"{audit_path}_ledger")
     return track_stream(components, lambda df: routing.route_payload(routing.route_final(df, threshold)), sink, checkpoint)
 
 
@@ -250,3 +253,50 @@ def breaches(windows: DataFrame, by: list[str], threshold: float, period: int, p
     flagged = windows.withColumn("breach", (F.col("stat") > threshold).cast("int"))
     back = Window.partitionBy(*by).orderBy("start").rangeBetween(-(periods - 1) * period, 0)
     return flagged.withColumn("alarm", F.sum("breach").over(back) == periods)
+
+
+class AlarmState(StatefulProcessor):
+    """Breaches in a row of one metric: the last window's start and their number. A timer ends the row when the next window stays away."""
+
+    def __init__(self, threshold: float, period: int, periods: int) -> None:
+        self.threshold, self.period, self.periods = threshold, period, periods
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", "start long, breaches int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+        start, breaches = self.last.get() if self.last.exists() else (None, 0)
+        if start is not None:
+            self.handle.deleteTimer(self._missed(start))
+        out = []
+        for at, stat in sorted((a, s) for batch in rows for a, s in zip(batch["start"], batch["stat"], strict=True)):
+            breach = bool(stat > self.threshold)
+            follows = start is not None and at - start == self.period
+            start, breaches = int(at), (breaches if follows else 0) + 1 if breach else 0
+            out.append((*key, start, stat, breaches >= self.periods))
+        self.last.update((start, breaches))
+        self.handle.registerTimer(self._missed(start))
+        yield pd.DataFrame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.last.clear()
+        return iter(())
+
+    def _missed(self, start: int) -> int:
+        """When the window after this one has ended, in milliseconds."""
+        return (start + 2 * self.period) * 1000
+
+    def close(self) -> None:
+        pass
+
+
+def alarm_stream(points: DataFrame, by: list[str], threshold: float, period: int, periods: int, statistic: str = "avg", late: str = "10 minutes") -> DataFrame:
+    """``metrics.alarms`` on a stream of (by, ts, value): a row per window once no point can join it, with by, start, stat, alarm.
+
+    Windows are aggregated before they reach the state, so a metric's points spread over tasks; its windows are few.
+    """
+    stat = getattr(F, statistic)("value").alias("stat")
+    closed = points.withWatermark("ts", late).groupBy(*by, F.window("ts", f"{period} seconds")).agg(stat)
+    rows = closed.select(*by, F.window_time("window").alias("seen"), F.unix_seconds("window.start").alias("start"), "stat").filter("stat IS NOT NULL")
+    named = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.select(*by).schema)
+    return rows.groupBy(*by).transformWithStateInPandas(AlarmState(threshold, period, periods), f"{named}, start long, stat double, alarm boolean", "append", "eventtime")

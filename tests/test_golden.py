@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from chartloom.functions import letters, privacy, rules, scores, text
 from chartloom.operators import assemble, audit, coding, correct, metrics, ocr, prompts, routing, validate, vectors
 from chartloom.sources import files, schemas, sinks
-from chartloom.streaming import jobs
+from chartloom.streaming import jobs, ledger
 
 
 def one(spark, column):
@@ -598,10 +598,72 @@ def test_routing_stream(spark, tmp_path):
     rows = spark.createDataFrame([("a", 0.9, 0.9, 0.9, 0.9), ("b", 0.1, 0.9, 0.9, 0.9)], "doc_id string, textract double, comprehend double, faiss double, llm_logprobs double")
     rows.write.parquet(str(tmp_path / "in"))
     stream = jobs.read_stream(spark, str(tmp_path / "in"), rows.schema)
-    paths = {r: str(tmp_path / r) for r in ("bypass_database", "human_review")}
-    jobs.routing_stream(stream, paths, str(tmp_path / "audit"), str(tmp_path / "ck")).awaitTermination()
-    assert {r: spark.read.parquet(p).first().doc_id for r, p in paths.items()} == {"bypass_database": "a", "human_review": "b"}
-    assert spark.read.parquet(str(tmp_path / "audit")).count() == 2
+    paths, log = {r: str(tmp_path / r) for r in ("bypass_database", "human_review")}, str(tmp_path / "audit")
+    jobs.routing_stream(stream, paths, log, str(tmp_path / "ck")).awaitTermination()
+    assert {r: ledger.read_finished(spark, p, f"{log}_ledger").first().doc_id for r, p in paths.items()} == {"bypass_database": "a", "human_review": "b"}
+    assert ledger.read_finished(spark, log, f"{log}_ledger").count() == 2
+
+
+def test_a_batch_that_fails_or_runs_again_leaves_each_row_once(spark, tmp_path):
+    a, b, book = (str(tmp_path / x) for x in ("a", "b", "ledger"))
+    rows = spark.createDataFrame([(1,), (2,)], "id int")
+    broken = rows.select(F.raise_error(F.lit("lost")).cast("int").alias("id"))
+    read = lambda path: sorted(r.id for r in ledger.read_finished(spark, path, book).collect())
+    assert ledger.write_batch(spark, {a: rows, b: rows}, book, 0)
+    with pytest.raises(Exception, match="lost"):
+        ledger.write_batch(spark, {a: rows, b: broken}, book, 1)
+    assert read(a) == read(b) == [1, 2]  # half of batch 1 is written and not seen
+    assert ledger.write_batch(spark, {a: rows.filter("id = 2"), b: rows}, book, 1)
+    assert (read(a), read(b)) == ([1, 2, 2], [1, 1, 2, 2])
+    assert not ledger.write_batch(spark, {a: broken, b: broken}, book, 0)  # finished: nothing is computed or written
+    assert (read(a), read(b)) == ([1, 2, 2], [1, 1, 2, 2])
+
+
+def test_a_stream_that_fails_between_tables_is_taken_up_again(spark, tmp_path):
+    rows = spark.range(40).withColumnRenamed("id", "doc_id")
+    rows.repartition(4).write.parquet(str(tmp_path / "in"))
+    a, b, book = (str(tmp_path / x) for x in ("a", "b", "ledger"))
+    failing = [True]
+
+    def outputs(df, n):
+        lost = df.select(F.raise_error(F.lit("lost")).cast("long").alias("doc_id"))
+        return {a: df, b: lost if failing[0] and n == 1 else df}
+
+    def run():
+        stream = jobs.read_stream(spark, str(tmp_path / "in"), rows.schema, files=2)
+        jobs.track_stream(stream, lambda df: df, ledger.exactly_once(outputs, book), str(tmp_path / "ck")).awaitTermination()
+
+    with pytest.raises(Exception, match="lost"):
+        run()
+    assert ledger.read_finished(spark, a, book).count() == ledger.read_finished(spark, b, book).count() < 40
+    failing[0] = False
+    run()
+    run()  # nothing new
+    for path in (a, b):
+        assert sorted(r.doc_id for r in ledger.read_finished(spark, path, book).collect()) == list(range(40))
+
+
+def test_alarms_on_a_stream_equal_the_batch(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rng, start = random.Random(6), 1_700_000_000 // 60 * 60
+    # windows with and without points, in time order over several files; q2 is silent for a long while
+    windows = [w for w in range(40) if w % 7 not in (3, 4)]
+    points = [("q1", start + 60 * w + rng.randint(0, 59), rng.choice([5.0, 101.0, 150.0])) for w in windows for _ in range(2)]
+    points += [("q2", start + 60 * w, 200.0) for w in (0, 1, 2, 30, 31)]
+    points.sort(key=lambda p: p[1])
+    schema = "queue string, at long, value double"
+    timed = lambda df: df.select("queue", F.timestamp_seconds("at").alias("ts"), "value")
+    for i in range(0, len(points), 24):
+        spark.createDataFrame(points[i : i + 24], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05)
+    spark.createDataFrame([("end", start + 10_000, 0.0)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = timed(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    got = jobs.alarm_stream(source, ["queue"], 100, 60, 2, "max", late="1 minute")
+    q = got.writeStream.format("memory").queryName("alarms").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    expected = metrics.alarms(timed(spark.createDataFrame(points, schema)), ["queue"], 100, 60, 2, "max").select("queue", "start", "stat", "alarm")
+    rows = {tuple(r) for r in spark.table("alarms").filter("queue <> 'end'").collect()}
+    assert rows == {tuple(r) for r in expected.collect()} and {r[3] for r in rows} == {True, False}
 
 
 def test_fallback_and_slices(spark):
