@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chartloom.sources.scratch import stored
+
 #: Seconds that a stage may take.
 STAGE_TARGETS = {"tier1_textract_per_page": 5.0, "tier2_layoutlmv3_per_page": 8.0, "tier3_vision_llm_per_region": 10.0, "track_a_snomed_per_document": 10.0, "track_b_summary_per_document": 15.0, "pipeline_end_to_end_per_document": 60.0}
 
@@ -21,20 +23,99 @@ def stage_metrics(rows: DataFrame, by: list[str], values: list[str]) -> DataFram
     return long.groupBy(*by, "metric").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.max("value").alias("most"))
 
 
-def latency_summary(rows: DataFrame, targets: DataFrame | None = None, by: str = "stage", value: str = "seconds") -> DataFrame:
-    """count, mean, p95 (the value at place floor((n - 1) * 0.95) in order), largest, and whether that is within the target.
+def value_at_place(rows: DataFrame, by: str, value: str, share: float, most: int = 100_000) -> DataFrame:
+    """Per group: n, and the value at place floor((n - 1) * share) in order. Null values are left out.
 
-    The place is found by a window over each stage, which spills where a stage has many rows.
+    A group of more than ``most`` candidates is looked into again: its values are counted by ranges between approximate quantiles, each
+    quantile's own value being a range for itself, and only the range that holds the place stays. Counts are exact, so the
+    result is, whatever the quantiles are; each look is one pass with sums by range, and no task sorts more than ``most`` rows of a group.
     """
-    stage = Window.partitionBy(by)
-    placed = rows.withColumn("_k", F.row_number().over(stage.orderBy(value)) - 1).withColumn("_n", F.count("*").over(stage))
-    p95 = F.max(F.when(F.col("_k") == F.floor((F.col("_n") - 1) * 0.95), F.col(value)))
-    out = placed.groupBy(by).agg(F.count("*").alias("n"), F.avg(value).alias("avg"), p95.alias("p95"), F.max(value).alias("most"))
+    given = rows.select(by, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    place = F.floor((F.col("n") - 1) * share).cast("long")
+    groups = given.groupBy(by).agg(F.count("*").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    found = stored(groups.withColumns({"_k": place, "_in": F.col("n")}), "places")
+    near = sorted({min(1.0, max(0.0, share + d / 10_000 * s)) for d in (1, 2, 8, 64, 512) for s in (-1, 1)} | {i / 64 for i in range(65)})
+    while True:
+        large = F.col("_in") > most
+        state = found.agg(F.count_if(large & (F.col("_lo") < F.col("_hi"))).alias("open"), F.count("*").alias("groups")).first()
+        bounds = F.broadcast(found) if state.groups <= 10_000 else found  # as many rows at most
+        inside = given.join(bounds, by).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        if not state.open:
+            break
+        wide = inside.filter(large & (F.col("_lo") < F.col("_hi")))
+        cuts = wide.groupBy(by).agg(F.array_distinct(F.percentile_approx("_v", [float(x) for x in near], 10_000)).alias("_cuts"))
+        ranged = wide.join(F.broadcast(cuts) if state.groups <= 10_000 else cuts, by).withColumn("_r", 2 * F.size(F.filter("_cuts", lambda c: c <= F.col("_v"))) - F.array_contains("_cuts", F.col("_v")).cast("int"))
+        counts = ranged.groupBy(by, "_r", "n", "_k").agg(F.count("*").alias("_in"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        before = F.sum("_in").over(Window.partitionBy(by).orderBy("_r")) - F.col("_in")  # as many rows as ranges
+        holding = counts.withColumn("_b", before).filter((F.col("_b") <= F.col("_k")) & (F.col("_k") < F.col("_b") + F.col("_in")))
+        narrowed = holding.select(by, "n", "_lo", "_hi", (F.col("_k") - F.col("_b")).alias("_k"), "_in")
+        found = stored(found.filter(~(large & (F.col("_lo") < F.col("_hi")))).select(by, "n", "_lo", "_hi", "_k", "_in").unionByName(narrowed), "places")
+    numbered = inside.filter(F.col("_lo") < F.col("_hi")).withColumn("_p", F.row_number().over(Window.partitionBy(by).orderBy("_v")) - 1)
+    sorted_out = numbered.filter(F.col("_p") == F.col("_k")).select(by, "n", F.col("_v").alias("at_place"))
+    return found.filter(F.col("_lo") == F.col("_hi")).select(by, "n", F.col("_lo").alias("at_place")).unionByName(sorted_out)
+
+
+def latency_summary(rows: DataFrame, targets: DataFrame | None = None, by: str = "stage", value: str = "seconds", most: int = 100_000) -> DataFrame:
+    """count, mean, p95 (the value at place floor((n - 1) * 0.95) in order), largest, and whether that is within the target."""
+    p95 = value_at_place(rows, by, value, 0.95, most).select(by, F.col("at_place").alias("p95"))
+    out = rows.filter(F.col(value).isNotNull()).groupBy(by).agg(F.count("*").alias("n"), F.avg(value).alias("avg"), F.max(value).alias("most")).join(p95, by)
     if targets is None:
         return out
     return out.join(targets, by, "left").withColumn("target_met", F.col("most") <= F.col("target"))
 
 
+#: Stages as their metrics name them.
+EXTRACTION, MAPPING, SUMMARIES, AGGREGATION = "Tier1Textract", "TrackASNOMED", "TrackBSummarization", "ConfidenceAggregation"
+
+
+def _points(rows: DataFrame, stage: str, metrics: list[tuple[str, str, Column]], **dimensions: str) -> DataFrame:
+    """A row per document and metric that has a value: metric, unit, stage, document_type, role, route, value."""
+    values = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(u).alias("unit"), v.cast("double").alias("value")) for m, u, v in metrics])
+    kinds = {d: F.col(dimensions[d]) if d in dimensions else F.lit(None).cast("string") for d in ("document_type", "role", "route")}
+    long = rows.select(*[c.alias(d) for d, c in kinds.items()], F.explode(values).alias("m"))
+    return long.filter("m.value IS NOT NULL").select("m.metric", "m.unit", F.lit(stage).alias("stage"), *kinds, "m.value")
+
+
+def extraction_points(results: DataFrame) -> DataFrame:
+    """Metrics of (document_type, success, latency_seconds, line_confidence): a document that was read also shows its mean confidence
+    in per cent and, as a coarse error rate, what that lacks of 100. Without lines the confidence is 0."""
+    ok, conf = F.coalesce(F.col("success"), F.lit(False)), F.coalesce("line_confidence", F.lit(0.0))
+    return _points(results, EXTRACTION, [
+        ("StageLatencySeconds", "Seconds", F.col("latency_seconds")), ("ExtractionSuccessCount", "Count", ok.cast("double")), ("ExtractionErrorRate", "Percent", F.when(ok, 0.0).otherwise(100.0)),
+        ("ExtractionConfidenceAvg", "Percent", F.when(ok, conf)), ("ExtractionErrorRate", "Percent", F.when(ok, F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 - conf)))),
+    ], document_type="document_type")
+
+
+def mapping_points(results: DataFrame) -> DataFrame:
+    """Metrics of (document_type, total, mapped, fallback, latency_seconds); of a document whose total is null only a success rate of 0."""
+    read = F.col("total").isNotNull()
+    rate = F.when(F.col("total") > 0, F.col("mapped") / F.col("total") * 100).otherwise(0.0)
+    return _points(results, MAPPING, [("StageLatencySeconds", "Seconds", F.when(read, F.col("latency_seconds"))), ("SNOMEDMappingSuccessRate", "Percent", rate), ("SNOMEDFallbackCount", "Count", F.when(read, F.col("fallback")))], document_type="document_type")
+
+
+def summary_points(results: DataFrame) -> DataFrame:
+    """Metrics of (document_type, role, latency_ms, confidence_score), the latter where there is one."""
+    return _points(results, SUMMARIES, [("LLMInferenceLatencyMs", "Milliseconds", F.col("latency_ms")), ("LLMConfidenceScore", "None", F.col("confidence_score"))], document_type="document_type", role="role")
+
+
+def routing_points(results: DataFrame) -> DataFrame:
+    """Metrics of (document_type, route, final_confidence, latency_ms)."""
+    return _points(results, AGGREGATION, [("UnifiedConfidenceScore", "None", F.col("final_confidence")), ("AggregationLatencyMs", "Milliseconds", F.col("latency_ms"))], document_type="document_type", route="route")
+
+
+def metric_rollup(points: DataFrame) -> DataFrame:
+    """Statistics of each metric by all its dimensions, by its stage and document type, and by its stage: level, n, total, mean, least, most.
+
+    One pass: each point is expanded to three keys and pre-aggregated before the shuffle. A metric without a role or a route has the same
+    rows at its first two levels.
+    """
+    keys = ["metric", "unit", "stage", "document_type", "role", "route"]
+    sets = [[F.col(k) for k in keys[:n]] for n in (6, 4, 3)]
+    stats = [F.count("value").alias("n"), F.sum("value").alias("total"), F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("most")]
+    level = F.when(F.grouping_id() == 0, "dimensions").when(F.grouping_id() == 3, "document_type").otherwise("stage").alias("level")
+    return points.groupingSets(sets, *keys).agg(*stats, level).select("level", *keys, "n", "total", "mean", "least", "most")
+
+
 def flatten_profiles(profiles: DataFrame) -> DataFrame:
     """stage and seconds from nested profiles."""
     names = list(STAGE_TARGETS)

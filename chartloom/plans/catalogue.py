@@ -11,8 +11,8 @@ from chartloom.functions import letters, privacy, rules, scores, text
 from chartloom.operators import audit, coding, correct, metrics, ocr, prompts, routing, validate, vectors
 from chartloom.plans import views
 from chartloom.plans.views import Views
-from chartloom.sources import files, sinks
-from chartloom.streaming import jobs
+from chartloom.sources import files, scratch, sinks
+from chartloom.streaming import jobs, ledger
 
 _QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -523,7 +523,7 @@ def validation_reports(v: Views) -> DataFrame:
 SELECT stage, max(n) AS n, round(avg(value), 6) AS avg, max(CASE WHEN k = floor((n - 1) * 0.95) THEN value END) AS p95, max(value) AS most FROM s GROUP BY 1""")
 def latency_summary(v: Views) -> DataFrame:
     rows = v.table("events").select(F.col("event_type").alias("stage"), F.col("value").alias("seconds"))
-    return metrics.latency_summary(rows).withColumn("avg", r6("avg"))
+    return metrics.latency_summary(rows, most=1000).select("stage", "n", r6("avg").alias("avg"), "p95", "most")
 
 
 @query("""SELECT event_type, metric, count(value) AS n, round(avg(value), 6) AS mean, max(value) AS most FROM (
@@ -533,6 +533,19 @@ def stage_metrics(v: Views) -> DataFrame:
     return metrics.stage_metrics(rows, ["event_type"], ["value", "user"]).withColumn("mean", r6("mean"))
 
 
+_STATS = "count(value) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most"
+
+
+@query(f"""WITH {views.STAGE_RESULTS}, p AS (SELECT m.metric, m.unit, stage, document_type, role, route, m.value FROM points WHERE m.value IS NOT NULL)
+SELECT 'dimensions' AS level, metric, unit, stage, document_type, role, route, {_STATS} FROM p GROUP BY ALL
+UNION ALL SELECT 'document_type', metric, unit, stage, document_type, NULL, NULL, {_STATS} FROM p GROUP BY ALL UNION ALL SELECT 'stage', metric, unit, stage, NULL, NULL, NULL, {_STATS} FROM p GROUP BY ALL""")
+def stage_rollup(v: Views) -> DataFrame:
+    """The metrics of all four stages with their dimensions: extraction, coding, summaries and routing."""
+    of = v.stage_results()
+    points = metrics.extraction_points(of["extraction"]).unionByName(metrics.mapping_points(of["mapping"])).unionByName(metrics.summary_points(of["summaries"])).unionByName(metrics.routing_points(of["routing"]))
+    return metrics.metric_rollup(points).withColumns({"total": r6("total", 4), "mean": r6("mean")})
+
+
 @query("SELECT count(*) AS n, round_even(avg(CASE WHEN (n_chars > 1000) = (quality = 1) THEN 100.0 ELSE 0.0 END), 3) AS accuracy, avg(CASE WHEN (n_chars > 1000) = (quality = 1) THEN 100.0 ELSE 0.0 END) >= 50 AS passed FROM labels JOIN documents USING (doc_id)")
 def mapping_accuracy(v: Views) -> DataFrame:
     rows = v.table("labels").join(v.table("documents"), "doc_id").select((F.col("n_chars") > 1000).cast("int").cast("string").alias("predicted"), F.col("quality").cast("string").alias("expected"))
@@ -557,6 +570,21 @@ def batch_numbers(v: Views) -> DataFrame:
     return metrics.batch_number(v.table("orders").select("o_orderkey"), 10, "o_orderkey")
 
 
+@query(f"""WITH {views.COMPONENTS}, u AS (SELECT doc_id, {_U("textract")} AS t, {_U("comprehend")} AS c, {_U("faiss")} AS f, {_U("llm_logprobs")} AS l FROM components),
+s AS (SELECT doc_id, round_even(0.25 * t + 0.25 * c + 0.25 * f + 0.25 * l, 6) AS final_score FROM u)
+SELECT doc_id, final_score, CASE WHEN final_score >= 0.5 THEN 'bypass_database' ELSE 'human_review' END AS route FROM s""")
+def streamed_routes(v: Views) -> DataFrame:
+    """Components as a stream of files: routed by micro-batches into exactly-once tables, which are read back."""
+    base = scratch.new_folder(v.spark, "routes")
+    units = v.components().select("doc_id", *[scores.unit_interval(F.col(k)).alias(k) for k in scores.COMPONENTS])
+    units.repartition(4, "doc_id").write.parquet(f"{base}/in")
+    paths, book = {r: f"{base}/{r}" for r in ("bypass_database", "human_review")}, f"{base}/batches"
+    for _ in range(2):  # the second run finds nothing new
+        jobs.routing_stream(jobs.read_stream(v.spark, f"{base}/in", units.schema, files=2), paths, f"{base}/audit", f"{base}/checkpoint", 0.5, book).awaitTermination()
+    a, b = (ledger.read_finished(v.spark, p, book).select("doc_id", "final_score", "route") for p in paths.values())
+    return a.unionByName(b)
+
+
 @query("SELECT user_id % 7 AS queue, sum(CASE event_type WHEN 'signup' THEN 1 WHEN 'click' THEN -1 ELSE 0 END)::BIGINT AS depth FROM events GROUP BY 1")
 def queue_depth(v: Views) -> DataFrame:
     delta = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "click", -1).otherwise(0)

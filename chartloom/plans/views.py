@@ -71,6 +71,18 @@ class Views:
         ]
         return given.select("c_custkey", F.concat_ws("\n", *lines).alias("text"))
 
+    def stage_results(self) -> dict[str, DataFrame]:
+        """Conversations as extracted documents, orders as coded ones, users' events as summaries and as routed documents."""
+        kind = lambda key: F.concat(F.lit("type "), (key % 3).cast("string")).alias("document_type")
+        line = F.avg(F.when(F.col("type") == "LINE", F.col("conf")))
+        read = self.blocks().groupBy("doc_id").agg(line.alias("line_confidence"), (F.max("pos") / 8).alias("latency_seconds")).select(kind(F.col("doc_id")), (F.col("doc_id") % 10 > 0).alias("success"), "latency_seconds", "line_confidence")
+        total = F.when(F.col("doc_id") % 50 > 0, F.count("*")).alias("total")
+        coded = self.entities().groupBy("doc_id").agg(total, F.count_if(F.col("quantity") > 10).alias("mapped"), F.count_if(F.col("source") == "semantic_fallback").alias("fallback"), F.max("quantity").alias("latency_seconds")).withColumn("document_type", kind(F.col("doc_id")))
+        e = self.table("events")
+        told = e.select(kind(F.col("user_id")), F.col("event_type").alias("role"), (F.col("value") * 10).alias("latency_ms"), F.when(F.col("event_type") != "click", F.col("value") / 100).alias("confidence_score"))
+        sent = e.select(kind(F.col("event_id")), F.when(F.col("value") > 50, "bypass_database").otherwise("human_review").alias("route"), (F.col("value") / 100).alias("final_confidence"), (F.col("user_id") % 100).cast("double").alias("latency_ms"))
+        return {"extraction": read, "mapping": coded, "summaries": told, "routing": sent}
+
     def answers(self) -> DataFrame:
         """Documents as a model's answers: fenced objects with whole texts in them, single quotes, no object, an open one."""
         d, c = self.table("documents"), F.concat
@@ -105,6 +117,16 @@ PROPOSALS = """cuts AS (SELECT doc_id, n_chars, text, unnest(range(0, (length(te
     proposals AS (SELECT doc_id, idx, substring(text, idx * 60 + 1, 60) AS a, translate(substring(text, idx * 60 + 1, 60), 'e', 'c') AS b, ((n_chars + idx) % 100) / 100.0::DOUBLE AS llm, ((n_chars + idx) % 37) / 37.0::DOUBLE AS conf FROM cuts)"""
 SUMMARIES = """summaries AS (SELECT conv_id AS doc_id, coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (role = 'assistant'), '') AS candidate,
     coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (role = 'user'), '') AS source FROM conversations GROUP BY 1)"""
+STAGE_RESULTS = f"""{BLOCKS}, {ENTITIES},
+    read AS (SELECT 'type ' || (doc_id % 3) AS document_type, doc_id % 10 > 0 AS ok, max(pos) / 8 AS seconds, coalesce(avg(conf) FILTER (type = 'LINE'), 0.0) AS conf FROM blocks GROUP BY doc_id),
+    coded AS (SELECT 'type ' || (doc_id % 3) AS document_type, CASE WHEN doc_id % 50 > 0 THEN count(*) END AS total, count(*) FILTER (quantity > 10) AS mapped, count(*) FILTER (source = 'semantic_fallback') AS fallback, max(quantity) AS seconds FROM entities GROUP BY doc_id),
+    points AS (
+    SELECT unnest([{{'metric': 'StageLatencySeconds', 'unit': 'Seconds', 'value': seconds}}, {{'metric': 'ExtractionSuccessCount', 'unit': 'Count', 'value': ok::INT::DOUBLE}}, {{'metric': 'ExtractionErrorRate', 'unit': 'Percent', 'value': CASE WHEN ok THEN 0.0 ELSE 100.0 END}},
+        {{'metric': 'ExtractionConfidenceAvg', 'unit': 'Percent', 'value': CASE WHEN ok THEN conf END}}, {{'metric': 'ExtractionErrorRate', 'unit': 'Percent', 'value': CASE WHEN ok THEN greatest(0.0, least(100.0, 100 - conf)) END}}]) AS m, 'Tier1Textract' AS stage, document_type, NULL::VARCHAR AS role, NULL::VARCHAR AS route FROM read
+    UNION ALL SELECT unnest([{{'metric': 'StageLatencySeconds', 'unit': 'Seconds', 'value': CASE WHEN total IS NOT NULL THEN seconds::DOUBLE END}}, {{'metric': 'SNOMEDMappingSuccessRate', 'unit': 'Percent', 'value': CASE WHEN total > 0 THEN mapped / total * 100 ELSE 0.0 END}},
+        {{'metric': 'SNOMEDFallbackCount', 'unit': 'Count', 'value': CASE WHEN total IS NOT NULL THEN fallback::DOUBLE END}}]), 'TrackASNOMED', document_type, NULL, NULL FROM coded
+    UNION ALL SELECT unnest([{{'metric': 'LLMInferenceLatencyMs', 'unit': 'Milliseconds', 'value': value * 10}}, {{'metric': 'LLMConfidenceScore', 'unit': 'None', 'value': CASE WHEN event_type <> 'click' THEN value / 100 END}}]), 'TrackBSummarization', 'type ' || (user_id % 3), event_type, NULL FROM events
+    UNION ALL SELECT unnest([{{'metric': 'UnifiedConfidenceScore', 'unit': 'None', 'value': value / 100}}, {{'metric': 'AggregationLatencyMs', 'unit': 'Milliseconds', 'value': (user_id % 100)::DOUBLE}}]), 'ConfidenceAggregation', 'type ' || (event_id % 3), NULL, CASE WHEN value > 50 THEN 'bypass_database' ELSE 'human_review' END FROM events)"""
 #: Letters and digits beyond ASCII as underscores: word boundaries of an ASCII-only engine then stand where Unicode has them.
 WORDLY = "regexp_replace(regexp_replace({0}, '[^\\P{{L}}\\x00-\\x7F]', '_', 'g'), '[^\\P{{Nd}}\\x00-\\x7F]', '_', 'g')"
 UNIT = "CASE WHEN {0} IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, CASE WHEN {0} > 1 THEN {0} / 100 ELSE {0} END)) END"

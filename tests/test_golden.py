@@ -408,6 +408,31 @@ def test_latency_report(spark):
     assert not got["pipeline_end_to_end_per_document"].target_met
 
 
+def test_places_are_exact_without_sorting_a_group(spark):
+    rng = random.Random(8)
+    groups = {
+        "even": [float(i) for i in range(900)], "ties": [7.0] * 800 + [1.0, 9.0], "two": [1.0] * 30 + [2.0] * 700, "wide": [10.0 ** rng.randint(-300, 300) * rng.choice([-1, 1]) for _ in range(700)],
+        "heavy": [5.0] * 600 + [5.0 + i / 1e6 for i in range(300)], "small": [3.0, 1.0], "one": [4.0], "odd": [-0.0, 0.0, 1e-320, float("inf")] * 50,
+    }
+    rows = spark.createDataFrame([(g, x) for g, xs in groups.items() for x in [*xs, None]], "g string, x double")
+    for share, most in ((0.95, 20), (0.5, 7), (0.0, 20), (1.0, 20), (0.95, 10_000)):
+        got = {r.g: (r.n, r.at_place) for r in metrics.value_at_place(rows, "g", "x", share, most).collect()}
+        assert got == {g: (len(xs), sorted(xs)[int((len(xs) - 1) * share)]) for g, xs in groups.items()}
+
+
+def test_points_of_each_stage(spark):
+    values = lambda df: sorted((r.metric, r.value) for r in df.collect())
+    read = spark.createDataFrame([("t", True, 2.0, 96.5), ("t", False, 3.0, None), ("t", True, 0.0, None)], "document_type string, success boolean, latency_seconds double, line_confidence double")
+    assert values(metrics.extraction_points(read.limit(1))) == [("ExtractionConfidenceAvg", 96.5), ("ExtractionErrorRate", 0.0), ("ExtractionErrorRate", 3.5), ("ExtractionSuccessCount", 1.0), ("StageLatencySeconds", 2.0)]
+    assert values(metrics.extraction_points(read.filter("NOT success"))) == [("ExtractionErrorRate", 100.0), ("ExtractionSuccessCount", 0.0), ("StageLatencySeconds", 3.0)]
+    coded = spark.createDataFrame([("t", 4, 3, 1, 9.0), ("t", 0, 0, 0, 1.0), ("t", None, None, None, None)], "document_type string, total long, mapped long, fallback long, latency_seconds double")
+    assert values(metrics.mapping_points(coded)) == [("SNOMEDFallbackCount", 0.0), ("SNOMEDFallbackCount", 1.0), ("SNOMEDMappingSuccessRate", 0.0), ("SNOMEDMappingSuccessRate", 0.0), ("SNOMEDMappingSuccessRate", 75.0), ("StageLatencySeconds", 1.0), ("StageLatencySeconds", 9.0)]
+    told = spark.createDataFrame([("t", "clinician", 1500.0, None)], "document_type string, role string, latency_ms double, confidence_score double")
+    assert values(metrics.summary_points(told)) == [("LLMInferenceLatencyMs", 1500.0)]
+    levels = metrics.metric_rollup(metrics.extraction_points(read)).filter("metric = 'ExtractionErrorRate'").orderBy("level").collect()
+    assert [(r.level, r.n, r.total) for r in levels] == [("dimensions", 5, 203.5), ("document_type", 5, 203.5), ("stage", 5, 203.5)]
+
+
 def test_batches_and_alarms(spark):
     assert [r.batch for r in metrics.batch_number(spark.range(1, 6), 2, "id").orderBy("id").collect()] == [0, 0, 1, 1, 2]
     t = lambda s: dt.datetime(2024, 1, 1, 0, 0, s, tzinfo=dt.UTC) if s < 60 else dt.datetime(2024, 1, 1, 0, s // 60, s % 60, tzinfo=dt.UTC)
