@@ -19,117 +19,155 @@ whatever their names, are ignored. A language without kept terms gives pairs of
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartloom.llm.shared import batch_of, blocks, bounded, written
+from chartloom.llm.shared import batch_of, blocks, bounded, small, written
 
 #: Terms are made of ASCII letters and of the bytes of all other characters beyond ASCII; A-Z count as a-z.
 TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 97 <= b <= 122 else 32 for b in range(256))
 SCALE = 1_000_000_000
 
 _TERMS = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("docs", pa.list_(pa.int64())), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
-_PREFIXES = pa.schema([("lang", pa.string()), ("prefix", pa.binary()), ("complete", pa.bool_()), ("doc", pa.int64())])
+_PREFIXES = pa.schema([("lang", pa.string()), ("prefix", pa.binary()), ("complete", pa.bool_()), ("doc", pa.int64()), ("docs", pa.int64())])
 _PAIRS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("item", pa.string()), ("value", pa.int64())])
 _PAIRS_DDL = "lang string, source string, item string, value long"
 
 
-def slices(data: bytes, most: int = 1 << 20) -> Iterator[list[bytes]]:
-    """The words between spaces, from runs of about ``most`` bytes each."""
+def slices(data: bytes, most: int) -> Iterator[bytes]:
+    """Runs of about ``most`` bytes, cut at spaces."""
     at = 0
     while at < len(data):
         end = data.find(b" ", at + most)
         end = len(data) if end < 0 else end
-        yield data[at:end].split()
+        yield data[at:end]
         at = end
 
 
-def term_table(docs: DataFrame, least: int = 3, most_terms: int = 200_000) -> DataFrame:
-    """Per task, language and term: up to ``least`` of its documents, and the counts by source.
-
-    A task writes what it holds and starts anew beyond ``most_terms`` terms of a source, which changes no sum.
-    """
-
-    def flushed(docs_of: dict, counts_of: dict) -> Iterator[pa.RecordBatch]:
-        by_source: dict = defaultdict(lambda: ([], []))
-        for (lang, source), counts in counts_of.items():
-            for term, n in counts.items():
-                names, numbers = by_source[lang, term]
-                names.append(source)
-                numbers.append(n)
-        rows = list(by_source.items())
-        for at in range(0, len(rows), 20_000):
-            keys, values = zip(*rows[at : at + 20_000], strict=True)
-            langs, terms = zip(*keys, strict=True)
-            names, numbers = zip(*values, strict=True)
-            yield batch_of(_TERMS, {"lang": langs, "term": terms, "docs": [docs_of[k] for k in keys], "sources": names, "counts": numbers})
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where rows of sorted columns differ from the row before."""
+    differs = np.zeros(len(columns[0]), bool)
+    for c in columns:
+        differs[1:] |= c[1:] != c[:-1]
+    differs[:1] = True
+    return np.flatnonzero(differs)
+
+
+def _lists(values: pa.Array, starts: np.ndarray, rows: np.ndarray) -> pa.Array:
+    """Values as lists by row; ``starts``: where each value's run begins, ``rows``: where each row does."""
+    return pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(starts, rows), len(starts)), pa.int32()), values)
+
+
+def _block_terms(held: list[tuple[str, str, int, bytes]], least: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_TERMS`` of the given texts (lang, source, document, words between spaces)."""
+    held.sort(key=lambda h: h[:3])
+    cut = pc.ascii_split_whitespace(pa.array([h[3] for h in held], pa.binary()).view(pa.string()))
+    coded = cut.flatten().dictionary_encode()
+    place = np.repeat(np.arange(len(held)), pc.list_value_length(cut).to_numpy())
+    words, codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    full = pc.binary_length(words).to_numpy()[codes] > 0 if len(codes) else np.empty(0, bool)
+    pairs, times = np.unique(codes[full] * len(held) + place[full], return_counts=True)
+    if not len(pairs):
+        return
+    code, at = np.divmod(pairs, len(held))
+    names = [pa.array([h[i] for h in held], pa.string()).dictionary_encode() for i in (0, 1)]
+    lang, source = (x.indices.to_numpy()[at] for x in names)
+    doc = np.array([h[2] for h in held], np.int64)[at]
+    rows, entries, seen = _starts(code, lang), _starts(code, lang, source), _starts(code, lang, doc)
+    early = np.arange(len(seen)) - np.searchsorted(seen, rows)[np.searchsorted(rows, seen, "right") - 1] < least
+    seen = seen[early]
+    columns = {
+        "lang": names[0].dictionary.take(pa.array(lang[rows])),
+        "term": words.take(pa.array(code[rows])).view(pa.binary()),
+        "docs": _lists(pa.array(doc[seen]), seen, rows),
+        "sources": _lists(names[1].dictionary.take(pa.array(source[entries])), entries, rows),
+        "counts": _lists(pa.array(np.add.reduceat(times, entries), pa.int64()), entries, rows),
+    }
+    whole = batch_of(_TERMS, columns)
+    yield from (whole.slice(i, 20_000) for i in range(0, len(rows), 20_000))
+
+
+def term_table(docs: DataFrame, least: int = 3, block_bytes: int = 24 << 20) -> DataFrame:
+    """A row per block of ``block_bytes`` of text, language and term: up to ``least`` of its documents, and the counts by source."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
-        docs_of, counts_of, held = {}, defaultdict(dict), 0
+        held, size = [], 0
         for block in blocks(batches, "text", 4 << 20):
             for lang, source, text in zip(*(block[c].to_pylist() for c in ("lang", "source", "text")), strict=True):
-                for words in slices(text.translate(TERM_BYTES)):
-                    counts = counts_of[lang, source]
-                    held -= len(counts)
-                    for term, n in Counter(words).items():
-                        counts[term] = counts.get(term, 0) + n
-                        seen = docs_of.get((lang, term))
-                        if seen is None:
-                            docs_of[lang, term] = [number]
-                        elif len(seen) < least and seen[-1] != number:
-                            seen.append(number)
-                    held += len(counts)
-                    if held > most_terms:
-                        yield from flushed(docs_of, counts_of)
-                        docs_of, counts_of, held = {}, defaultdict(dict), 0
+                for part in slices(text.translate(TERM_BYTES), block_bytes):
+                    held.append((lang, source, number, part))
+                    size += len(part)
+                    if size >= block_bytes:
+                        yield from _block_terms(held, least)
+                        held, size = [], 0
                 number += 1
-        yield from flushed(docs_of, counts_of)
+        yield from _block_terms(held, least) if held else ()
 
     given = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     return bounded(given).mapInArrow(run, "lang string, term binary, docs array<long>, sources array<string>, counts array<long>")
 
 
-def frequent_prefixes(terms: DataFrame, length: int, least: int = 3, most_prefixes: int = 200_000) -> DataFrame:
-    """Prefixes of ``length`` bytes in at least ``least`` documents: lang, prefix, complete (it is a whole term)."""
+def frequent_prefixes(terms: DataFrame, length: int, least: int = 3, most_rows: int = 200_000) -> DataFrame:
+    """Prefixes of ``length`` bytes in at least ``least`` documents: lang, prefix, complete (it is a whole term).
+
+    Of each run of rows a prefix is sent once if that run alone has enough documents of it, else with its documents.
+    """
 
-    def flushed(held: dict) -> Iterator[pa.RecordBatch]:
-        rows = [(*key, doc) for key, docs in held.items() for doc in docs]
-        for at in range(0, len(rows), 50_000):
-            yield batch_of(_PREFIXES, dict(zip(_PREFIXES.names, zip(*rows[at : at + 50_000], strict=True), strict=True)))
+    def counted(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(rows).combine_chunks()
+        prefix, lang = (c.combine_chunks().dictionary_encode() for c in (pc.binary_slice(got["term"], 0, length), got["lang"]))
+        whole = pc.less_equal(pc.binary_length(got["term"]), length).to_numpy()
+        key = (prefix.indices.to_numpy().astype(np.int64) * 2 + whole) * len(lang.dictionary) + lang.indices.to_numpy()
+        docs = got["docs"].combine_chunks()
+        owner, doc = np.repeat(key, pc.list_value_length(docs).to_numpy()), docs.flatten().to_numpy()
+        order = np.lexsort((doc, owner))
+        owner, doc = owner[order], doc[order]
+        each = _starts(owner, doc)
+        owner, doc = owner[each], doc[each]
+        groups = _starts(owner)
+        enough = np.diff(np.append(groups, len(owner))) >= least
+        which = np.searchsorted(groups, np.arange(len(owner)), "right") - 1
+        sent = ~enough[which]
+        sent[groups] = True
+        owner, doc, enough = owner[sent], doc[sent], enough[which][sent]
+        code, complete = np.divmod(owner // len(lang.dictionary), 2)
+        columns = {"lang": lang.dictionary.take(pa.array(owner % len(lang.dictionary))), "prefix": prefix.dictionary.take(pa.array(code)), "complete": pa.array(complete == 1), "doc": pa.array(doc, mask=enough), "docs": pa.array(np.where(enough, least, 1))}
+        found = batch_of(_PREFIXES, columns)
+        yield from (found.slice(i, 50_000) for i in range(0, len(found), 50_000))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict = {}
+        held, size = [], 0
         for batch in batches:
-            for lang, term, docs in zip(*(batch[c].to_pylist() for c in ("lang", "term", "docs")), strict=True):
-                seen = held.setdefault((lang, term[:length], len(term) <= length), set())
-                if len(seen) < least:
-                    seen.update(docs)
-            if len(held) > most_prefixes:
-                yield from flushed(held)
-                held = {}
-        yield from flushed(held)
+            held.append(batch)
+            size += batch.num_rows
+            if size >= most_rows:
+                yield from counted(held)
+                held, size = [], 0
+        yield from counted(held) if size else ()
 
-    found = bounded(terms.select("lang", "term", "docs")).mapInArrow(run, "lang string, prefix binary, complete boolean, doc long")
-    return found.groupBy("lang", "prefix", "complete").agg(F.count_distinct("doc").alias("docs")).filter(F.col("docs") >= least).drop("docs")
+    found = bounded(terms.select("lang", "term", "docs")).mapInArrow(run, "lang string, prefix binary, complete boolean, doc long, docs long")
+    distinct = found.repartition("lang", "prefix", "complete").groupBy("lang", "prefix", "complete", "doc").agg(F.max("docs").alias("docs"))
+    return distinct.groupBy("lang", "prefix", "complete").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least).drop("docs")
 
 
-def kept_terms(terms: DataFrame, least: int = 3, first_length: int = 2) -> DataFrame:
+def kept_terms(terms: DataFrame, least: int = 3, first_length: int = 4) -> DataFrame:
     """Terms in at least ``least`` documents of their language, by refinement of prefixes: lang, term."""
     kept, length, left = None, first_length, terms
     while True:
         found = written(frequent_prefixes(left, length, least), "prefixes")
-        whole, begun = found.filter("complete").select("lang", F.col("prefix").alias("term")), found.filter("NOT complete").drop("complete")
+        whole, begun = found.filter("complete").select("lang", F.col("prefix").alias("term")), found.filter("NOT complete").select("lang", "prefix")
         kept = whole if kept is None else kept.unionByName(whole)
         if begun.isEmpty():
             return kept
-        left = terms.select("lang", "term", "docs", F.substring("term", 1, length).alias("prefix")).filter(F.length("term") > length).join(begun, ["lang", "prefix"], "left_semi")
+        longer = terms.select("lang", "term", "docs", F.substring("term", 1, length).alias("prefix")).filter(F.length("term") > length)
+        left = longer.join(small(begun), ["lang", "prefix"], "left_semi")
         length *= 2
 
 
@@ -199,7 +237,7 @@ def _shared_terms(key: tuple, got: pa.Table) -> pa.Table:
     return _pair_rows(key[0].as_py(), names, block, key[2] == key[3], values, wanted)
 
 
-def audit(docs: DataFrame, least: int = 3, top: int = 200, first_length: int = 2, block_sources: int = 128, block_terms: int = 4096) -> DataFrame:
+def audit(docs: DataFrame, least: int = 3, top: int = 200, first_length: int = 4, block_sources: int = 128, block_terms: int = 4096) -> DataFrame:
     """Rows of two parts: lang, source, part, item, value, rank.
 
     ``pair``: the source's divergence from each other source of its language. ``term``: its ``top`` terms that are more frequent in
@@ -207,23 +245,25 @@ def audit(docs: DataFrame, least: int = 3, top: int = 200, first_length: int = 2
     """
     terms = written(term_table(docs, least), "terms")
     named = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source"))).distinct()
-    kept = kept_terms(terms, least, first_length)
-    left = terms.join(kept, ["lang", "term"], "left_semi")
+    kept = written(kept_terms(terms, least, first_length), "kept")
+    left = terms.join(small(kept), ["lang", "term"], "left_semi")
     single = left.select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("c")).select("lang", "term", F.col("c.sources").alias("source"), F.col("c.counts").alias("n"))
-    counts = written(single.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")), "counts")
+    summed = single.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+    counts = written(summed.withColumn("lang_n", F.sum("n").over(Window.partitionBy("lang", "term"))), "counts")  # as many rows as sources
 
-    totals = written(counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n")), "totals")
-    langs = totals.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_all"))
-    sizes = named.groupBy("lang").agg(F.count("*").alias("lang_sources")).join(langs, "lang", "left")
-    groups = named.join(counts.groupBy("lang", "source").agg(F.sum("n").alias("source_all")), ["lang", "source"], "left").join(sizes, "lang").na.fill(0, ["terms", "lang_all", "source_all"])
+    sums = written(counts.groupBy("lang", "source").agg(F.sum("n").alias("source_all")), "sums")
+    langs = counts.groupBy("lang").agg(F.sum("n").alias("lang_all"))
+    sizes = named.groupBy("lang").agg(F.count("*").alias("lang_sources")).join(langs, "lang", "left").join(kept.groupBy("lang").agg(F.count("*").alias("terms")), "lang", "left")
+    groups = named.join(sums, ["lang", "source"], "left").join(sizes, "lang").na.fill(0, ["terms", "lang_all", "source_all"])
     groups = groups.withColumn("blocks", F.ceil(F.col("lang_sources") / block_sources).cast("int")).withColumn("block", F.pmod(F.xxhash64("source"), F.col("blocks")).cast("int"))
     groups = written(groups.select("lang", "source", "terms", "lang_all", "source_all", "blocks", "block", _share("CAST(0 AS LONG)", "source_all").alias("absent")), "groups")
 
-    shares = counts.join(groups, ["lang", "source"]).withColumn("share", _share("n", "source_all"))
+    shares = counts.join(small(groups), ["lang", "source"]).select("lang", "source", "term", "terms", "block", "blocks", "absent", _share("n", "source_all").alias("share"), _share("lang_n", "lang_all").alias("lang_share"))
+    shares = written(shares, "shares")
     value = F.expr("(share - lang_share) * (share - lang_share) div lang_share")
     ranked = Window.partitionBy("lang", "source").orderBy(F.desc("value"), F.asc("item"))
-    above = shares.join(totals, ["lang", "term"]).withColumn("lang_share", _share("lang_n", "lang_all")).filter("share > lang_share")
-    best = above.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), value.alias("value")).withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= top)
+    above = shares.filter("share > lang_share").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), value.alias("value"))
+    best = above.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= top)
 
     chunk = F.pmod(F.xxhash64("term"), F.ceil(F.col("terms") / block_terms))
     common = _in_blocks(shares.select("lang", "source", "term", "share", "absent", "block", "blocks", chunk.alias("chunk"))).groupBy("lang", "chunk", "low", "high").applyInArrow(_shared_terms, _PAIRS_DDL)

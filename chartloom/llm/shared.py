@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -54,6 +55,15 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small(df: DataFrame, most: int = 4 << 20) -> DataFrame:
+    """A table that ``written`` made, or a part of it, to be broadcast if its files are of ``most`` bytes at most."""
+    spark, size = df.sparkSession, 0
+    for file in df.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        size += path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+    return F.broadcast(df) if size <= most else df
+
+
 def filesystem(folder: str) -> tuple[pafs.FileSystem, str]:
     """The file system and path of a folder's address, for tasks that write or read files of their own format."""
     return pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)

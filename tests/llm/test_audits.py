@@ -69,7 +69,7 @@ def divergence_by_hand(rows, least, top):
     return out
 
 
-@pytest.mark.parametrize("blocks", [{}, {"block_sources": 2, "block_terms": 16}])
+@pytest.mark.parametrize("blocks", [{}, {"block_sources": 2, "block_terms": 16, "first_length": 1}])
 def test_divergence_against_brute_force(spark, blocks):
     rows = corpus()
     got = [tuple(r) for r in divergence.audit(clashing(spark, rows), least=3, top=20, **blocks).collect()]
@@ -89,9 +89,9 @@ def test_tasks_that_write_early_change_nothing(spark):
     rows = corpus(4)
     docs = spark.createDataFrame(rows, DOCS)
     sums = lambda t: {(r.lang, bytes(r.term), r.s): r.n for r in t.select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("c")).groupBy("lang", "term", F.col("c.sources").alias("s")).agg(F.sum("c.counts").alias("n")).collect()}
-    early, late = divergence.term_table(docs, 3, most_terms=5), divergence.term_table(docs, 3)
+    early, late = divergence.term_table(docs, 3, block_bytes=200), divergence.term_table(docs, 3)
     assert sums(early) == sums(late)
-    assert {tuple(r) for r in divergence.frequent_prefixes(early, 4, 3, most_prefixes=2).collect()} == {tuple(r) for r in divergence.frequent_prefixes(late, 4).collect()}
+    assert {tuple(r) for r in divergence.frequent_prefixes(early, 4, 3, most_rows=2).collect()} == {tuple(r) for r in divergence.frequent_prefixes(late, 4).collect()}
 
 
 def test_an_empty_table_has_no_divergence(spark):
