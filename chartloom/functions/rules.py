@@ -137,14 +137,14 @@ _DOSE = r"(?i)(\b[A-Z][a-zA-Z\s\-]+?)\s+(\d+\.?\d*\s*(?:mg|ml|mcg|iu|g|mg/ml|ml/
 
 
 def medications(text: Column, most: int = 20) -> Column:
-    """name and dose of the first line of each drug, in order."""
+    """name and dose of the first line of each drug, in order. A sort by name finds first lines, and a sort by place their order."""
     lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(" \t\r"))), lambda x: F.length(x) >= SHORTEST_LINE)
     found = F.transform(lines, lambda x: F.struct(F.regexp_replace(F.trim(F.regexp_extract(x, _DOSE, 1)), "[-– ]+$", "").alias("name"), F.trim(F.regexp_extract(x, _DOSE, 2)).alias("dose"), x.alias("raw")))
     fit = F.filter(found, lambda m: F.length(m.getField("name")).between(SHORTEST_NAME, LONGEST_NAME))
-    low = lambda m: F.lower(m.getField("name"))
-    first = lambda names: F.filter(F.transform(fit, lambda m, i: F.struct(m.alias("m"), i.alias("i"))), lambda s: F.array_position(names, low(s["m"])) == s["i"] + 1)
-    kept = F.transform(F.array(F.transform(fit, low)), first)[0]
-    return F.slice(F.transform(kept, lambda s: s["m"]), 1, most)
+    keyed = F.array_sort(F.transform(fit, lambda m, i: F.struct(F.lower(m.getField("name")).alias("key"), i.alias("i"), m.alias("m"))))
+    first = lambda rows: F.filter(rows, lambda r, j: (j == 0) | (F.get(rows, j - 1).getField("key") != r["key"]))
+    places = F.array_sort(F.transform(F.transform(F.array(keyed), first)[0], lambda r: F.struct(r["i"].alias("i"), r["m"].alias("m"))))
+    return F.slice(F.transform(places, lambda s: s["m"]), 1, most)
 
 
 #: Fields of letters: name, what marks its line, pattern whose group is the value (none: the next line), longest value, which line counts.

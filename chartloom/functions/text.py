@@ -265,12 +265,45 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, plain(x), plain(y)).ratio() for x, y in zip(a, b, strict=True)])
 
 
+#: Ages, identifiers and labels of a person, each with what stands for it.
+DEMOGRAPHICS = [
+    (r"(?i)\b\d{1,3}\s*[- ]?\s*year\s*[- ]?\s*old\b", ""),
+    (r"(?i)\bage\s*(?:of)?\s*\d{1,3}\b", ""),
+    (r"(?i)\baged\s*\d{1,3}\b", ""),
+    (r"(?i)\b\d{1,3}\s*(?:yo|y/o)\b", ""),
+    (r"\b\d{1,3}\s*[mMfF]\b", ""),
+    (r"\(\s*\d{1,3}\s*\)", ""),
+    (r"(?i)\bNHS\s*(?:No|Number|#)?[:\s]*\d[\d\s]{8,14}\d\b", ""),
+    (r"(?i)\b(?:DOB|D\.?\s*O\.?\s*B\.?|Date\s*of\s*birth)\b[:\s-]*[^\.,;\n]*", ""),
+    (r"(?i)\b(?:Patient\s*Name|Name|Address|Hospital\s*Number|MRN)\b[:\s-]*[^\.,;\n]*", ""),
+    (r"(?i)\b(?:Mr|Mrs|Ms|Miss|Dr)\.?\s+[A-Z][A-Za-z'\-]+(?:\s+[A-Z][A-Za-z'\-]+){0,2}\b", "patient"),
+    (r"(?i)\bsex[:\s-]*(?:male|female|m|f)\b", ""),
+]
+#: The subject that a summary begins with, and what a sex that was given makes of it.
+SUBJECT, ANY_SUBJECT, TWICE = r"(?i)^(male|female)\s+patient\b", r"(?i)^(the\s+)?patient\b", r"(?i)^(male|female)\s+patient\s+(?:the\s+)?\1\s+patient\b"
+SEXES = {"m": "male patient", "male": "male patient", "f": "female patient", "female": "female patient"}
+
+
 def scrub_demographics(text: Column, sex: Column) -> Column:
-    """Ages, numbers and titled names go; the subject becomes a male or female patient."""
-    out = F.regexp_replace(text, r"(?i)\b\d{1,3}[- ]?(?:year|yr)s?[- ]?old\b", "")
-    out = F.regexp_replace(out, r"(?i)\b(?:NHS|MRN|hospital)\s*(?:no|number)?[.:#]?\s*\d[\d -]{4,}\d\b", "")
-    out = F.regexp_replace(out, r"\b(?:Mr|Mrs|Ms|Miss|Master)\.?\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?", "the patient")
-    subject = F.when(F.lower(sex).isin("male", "female"), F.concat(F.lower(sex), F.lit(" patient"))).otherwise("patient")
-    named = F.regexp_replace(out, r"(?i)\b(?:male|female)\s+patient\b", "patient")
-    opening = r"(?i)^\s*(?:the |a )?patient\b"
-    return F.btrim(F.concat(F.when(F.regexp_like(named, F.lit(opening)), F.concat(F.lit("The "), subject)).otherwise(""), F.regexp_replace(named, opening, "")))
+    """Ages, numbers, names and labels go; the text begins with a male or female patient, or with a patient. Null is empty.
+
+    Where the sex isn't known, a text that begins with the patient gets one more subject.
+    """
+    unicode = lambda pattern: pattern if pattern.startswith("\\") else pattern.replace("(?i)", "(?iU)")
+    found = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
+    for pattern, instead in DEMOGRAPHICS:
+        found = F.regexp_replace(found, unicode(pattern), instead)
+    found = F.btrim(F.regexp_replace(found, r"(?U)\s{2,}", " "), F.lit(" ,.-"))
+    given = F.lower(F.btrim(F.coalesce(sex, F.lit("")), F.lit(SPACES)))
+    label = F.lit("patient")
+    for name, subject in SEXES.items():
+        label = F.when(given == name, subject).otherwise(label)
+
+    def named(t: Column) -> Column:
+        return let(F.regexp_replace(t, ANY_SUBJECT, label), lambda x: F.when(F.regexp_like(x, F.lit(SUBJECT)), x).otherwise(F.concat(F.upper(F.substring(label, 1, 1)), F.substring(label, 2, 20), F.lit(" "), F.lower(F.substring(x, 1, 1)), F.substring(x, F.lit(2), F.length(x)))))
+
+    def subject(t: Column) -> Column:
+        once = F.when((t == "") | F.regexp_like(t, F.lit(SUBJECT)), t).otherwise(named(t))
+        return F.btrim(F.regexp_replace(once, TWICE, "$1 patient"), F.lit(SPACES))
+
+    return let(F.btrim(F.regexp_replace(found, r"(?i)^(the\s+)?(male|female)\s+patient\b", "$2 patient"), F.lit(SPACES)), subject)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chartloom.functions import text
 from chartloom.sources.scratch import stored
 
 #: Seconds that a stage may take.
@@ -137,6 +138,17 @@ def accuracy(rows: DataFrame, score: Column, least: float) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.bround(F.coalesce(F.avg(score), F.lit(0.0)), 3).alias("accuracy")).withColumn("passed", (F.col("n") > 0) & (F.col("accuracy") >= least))
 
 
+def text_scores(cases: DataFrame) -> DataFrame:
+    """Of (document_id, extracted, ground_truth) the similarity of each case in per cent: document_id, score_percent."""
+    return cases.select(F.coalesce("document_id", F.lit("unknown")).alias("document_id"), F.bround(text.sequence_ratio(F.col("extracted"), F.col("ground_truth")) * 100, 3).alias("score_percent"))
+
+
+def text_accuracy(cases: DataFrame, least: float = 98.0) -> DataFrame:
+    """Mean similarity of all cases, and whether it reaches ``least`` before it is rounded; false without cases."""
+    found = text_scores(cases).agg(F.count("*").alias("n"), F.coalesce(F.avg("score_percent"), F.lit(0.0)).alias("mean"))
+    return found.select("n", F.bround("mean", 3).alias("accuracy"), ((F.col("n") > 0) & (F.col("mean") >= least)).alias("passed"))
+
+
 def mapping_accuracy(rows: DataFrame, least: float = 95.0) -> DataFrame:
     return accuracy(rows, F.when(F.trim("predicted") == F.col("expected"), 100.0).otherwise(0.0), least)
 

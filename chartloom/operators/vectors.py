@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,33 +51,67 @@ def build_vector_table(df: DataFrame, least: int = 50_000) -> DataFrame:
     return df.withColumn("embedding", normalised(F.col("embedding")))
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, cosine: bool = True, blocks: int | None = None) -> DataFrame:
-    """query_id, id, score and rank of the k vectors nearest to each query, ties by id.
+def _rows(got: pa.Table, unit: bool) -> np.ndarray:
+    """The embeddings of a table as a matrix, of length 1 if ``unit`` (not-a-number for zero vectors)."""
+    column = got["embedding"].combine_chunks()
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    length = np.linalg.norm(flat, axis=1, keepdims=True)
+    return np.divide(flat, length, where=length > 0, out=np.full_like(flat, np.nan)) if unit else flat
+
+
+def _best(k: int, cosine: bool, tile: int):
+    """Of two groups of rows the k nearest to each query, by tiles of scores; what a tile adds is merged with the best so far."""
+
+    def run(q: pa.Table, v: pa.Table) -> pa.Table:
+        n, found = q.num_rows if v.num_rows else 0, []
+        for i in range(0, n, tile):
+            some = q.slice(i, tile)
+            left, number = _rows(some, cosine), some["query_id"].to_numpy()
+            score, ids = np.full((len(left), 0), 0.0), np.full((len(left), 0), 0)
+            for j in range(0, v.num_rows, tile):
+                part = v.slice(j, tile)
+                new = np.round(left @ _rows(part, cosine).T, 6)
+                new[np.isnan(new)] = -np.inf
+                score, ids = np.hstack([score, new]), np.hstack([ids, np.broadcast_to(part["id"].to_numpy(), new.shape)])
+                if score.shape[1] > k:
+                    order = np.lexsort((ids, -score), axis=1)[:, :k] if score.shape[1] <= 4 * k else _first(score, ids, k)
+                    score, ids = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
+            row, place = np.nonzero(np.isfinite(score))
+            found.append((number[row], ids[row, place], score[row, place]))
+        columns = [np.concatenate([f[c] for f in found]) if found else np.empty(0, t) for c, t in enumerate((np.int64, np.int64, np.float64))]
+        return pa.table(dict(zip(("query_id", "id", "score"), columns, strict=True)))
 
-    Queries are the small side: they are dealt into blocks, each block meets each part of the vectors once, and a task
-    keeps its k best of a block by matrix products; the bests of all parts meet in a window. No pair becomes a row.
+    return run
+
+
+def _first(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of each row, ties by id: a partition finds the k-th score, and only ties with it are ordered."""
+    bar = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+    out = np.empty((len(score), k), np.int64)
+    for i, over in enumerate(score >= bar):
+        at = np.flatnonzero(over)
+        out[i] = at[np.lexsort((ids[i, at], -score[i, at]))[:k]]
+    return out
+
+
+def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, cosine: bool = True, part_bytes: int = 32 << 20, tile: int = 1024) -> DataFrame:
+    """query_id, id, score and rank of the k vectors nearest to each query, ties by id. Null vectors are left out.
+
+    Queries are the small side. Queries and vectors are dealt into parts of about ``part_bytes`` of 32-bit numbers; each pair of
+    parts meets once, and the bests of all parts meet in a window. No pair becomes a row. A task holds two parts, a tile of each in
+    64 bits, and one tile's scores with the best so far: under 200 MB with vectors of up to 4,096 numbers.
     """
-    n = blocks or max(1, queries.count() // 4096)
-    parts = max(queries.sparkSession.sparkContext.defaultParallelism, vectors.count() // 100_000)
-    given = vectors.select("id", "embedding").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    tagged = given.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
-    unit = lambda x: np.divide(x, np.linalg.norm(x, axis=1, keepdims=True), where=np.linalg.norm(x, axis=1, keepdims=True) > 0, out=np.full_like(x, np.nan)) if cosine else x
-
-    def best(key: tuple, q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        if q.empty or v.empty:
-            return empty
-        qs, ids = unit(np.stack(q["embedding"]).astype(np.float64)), v["id"].to_numpy()
-        scored = np.round(np.nan_to_num(qs @ unit(np.stack(v["embedding"]).astype(np.float64)).T, nan=-np.inf), 6)
-        rows = []
-        for i, s in enumerate(scored):
-            top = np.lexsort((ids, -s))[:k]
-            top = top[np.isfinite(s[top])]
-            rows.append(pd.DataFrame({"query_id": q["query_id"].iloc[i], "id": ids[top], "score": s[top]}))
-        return pd.concat(rows)
-
-    spread = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(n)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "query_id", "embedding").select(F.col("block").cast("long"), F.col("part").cast("long"), "query_id", "embedding")
-    pairs = spread.groupBy("block", "part").cogroup(tagged.select(F.col("block").cast("long"), F.col("part").cast("long"), "id", "embedding").groupBy("block", "part")).applyInPandas(best, "query_id long, id long, score double")
+    some = vectors.filter("embedding IS NOT NULL").select(F.size("embedding").alias("n")).first()
+    rows = max(1, part_bytes // (4 * (some.n if some else 1)))
+    blocks, parts = (max(least, -(-df.count() // rows)) for df, least in ((queries, 1), (vectors, queries.sparkSession.sparkContext.defaultParallelism)))
+
+    def dealt(df: DataFrame, key: str, own: tuple[str, int], other: tuple[str, int]) -> DataFrame:
+        given = df.filter("embedding IS NOT NULL").select(F.col(key).cast("long"), "embedding", F.pmod(F.xxhash64(key), F.lit(own[1])).cast("long").alias(own[0]))
+        return given.withColumn(other[0], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other[1] - 1).cast("long"))))
+
+    block, part = ("block", blocks), ("part", parts)
+    q, v = dealt(queries, "query_id", block, part).groupBy("block", "part"), dealt(vectors, "id", part, block).groupBy("block", "part")
+    pairs = q.cogroup(v).applyInArrow(_best(k, cosine, tile), "query_id long, id long, score double")
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
     return ranked.filter(F.col("rank") <= k)
 

@@ -3,8 +3,10 @@
 import datetime as dt
 import json
 import random
+import re
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,7 +122,67 @@ def test_parsing(spark):
     assert one(spark, text.strip_markdown(lit("## Head\n**bold** and *it*\n---\n"))) == "Head\nbold and it"
     long = " ".join(["word"] * 40 + ["end.", *["more"] * 20])
     assert one(spark, text.clip(lit(long))).endswith("end.")
-    assert one(spark, text.scrub_demographics(lit("Patient, a 45 year old, Mr John Smith"), lit("Male"))).startswith("The male patient")
+
+
+def scrubbed(value, sex=""):
+    """The same passes over one text, as the standard library's expressions."""
+    t = (value or "").strip()
+    for pattern, instead in text.DEMOGRAPHICS:
+        t = re.sub(pattern, instead, t)
+    t = re.sub(r"\s{2,}", " ", t).strip(" ,.-")
+    label = text.SEXES.get((sex or "").strip().lower(), "patient")
+    t = re.sub(r"(?i)^(the\s+)?(male|female)\s+patient\b", r"\2 patient", t).strip()
+    if t and not re.match(text.SUBJECT, t):
+        t = re.sub(text.ANY_SUBJECT, label, t, count=1)
+        if not re.match(text.SUBJECT, t):
+            t = f"{label.capitalize()} {t[0].lower() + t[1:]}"
+    return re.sub(text.TWICE, r"\1 patient", t).strip()
+
+
+def test_demographics_are_scrubbed(spark):
+    texts = [
+        "A 45-year-old man, Mr John O'Neil, DOB: 01/02/1980, was seen.", "The patient aged 60 has pain", "Patient Name: Jane Doe. Well.", "29M with cough (29)", "", None, "  ", "The male patient the male patient is well", "male patient NHS No: 123 456 7890 has asthma.",
+        "Age of 70, sex: female, Hospital Number 77; stable", "Dr Smith Jones wrote. Address: 1 Road, Town", "12 y/o child", "MRN 99", "Ärztin  Dr. Ämi\u00a0\u00a0x", "the patient", "Female Patient rests", "90 year old",
+    ]
+    sexes = ["Male", " f ", "unknown", None]
+    rows = spark.createDataFrame([(t, s) for t in texts for s in sexes], "t string, s string")
+    got = rows.select("t", "s", text.scrub_demographics(F.col("t"), F.col("s")).alias("x")).collect()
+    assert [(r.t, r.s, r.x) for r in got] == [(t, s, scrubbed(t, s)) for t in texts for s in sexes]
+    assert scrubbed("A 45-year-old man, Mr John Smith, was seen", "Male") == "Male patient a man, patient, was seen"
+
+
+def test_text_accuracy(spark):
+    cases = [("a", "Metformin  500 MG", "metformin 500 mg"), ("b", "abcd", "abce"), (None, None, "x")]
+    rows = spark.createDataFrame(cases, "document_id string, extracted string, ground_truth string")
+    assert {tuple(r) for r in metrics.text_scores(rows).collect()} == {("a", 100.0), ("b", 75.0), ("unknown", 0.0)}
+    assert tuple(metrics.text_accuracy(rows).first()) == (3, 58.333, False) and tuple(metrics.text_accuracy(rows.limit(1)).first()) == (1, 100.0, True)
+    assert tuple(metrics.text_accuracy(rows.limit(0)).first()) == (0, 0.0, False)
+
+
+def test_medications_keep_the_first_line_of_each_drug(spark):
+    lines = ["Metformin 500 mg daily", "Aspirin 75 mg", "metformin 850 mg", "no dose", "ASPIRIN 300 mg once"]
+    got = one(spark, rules.medications(lit("\n".join(lines))))
+    assert [(m.name, m.dose) for m in got] == [("Metformin", "500 mg daily"), ("Aspirin", "75 mg")]
+    many = "\n".join(f"Drug{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} {i + 1} mg" for i in range(20_000))
+    began = time.time()
+    assert [m.dose for m in one(spark, rules.medications(lit(many)))] == [f"{i + 1} mg" for i in range(20)] and time.time() - began < 30
+
+
+def test_nearest_vectors_by_tiles(spark):
+    rng = np.random.default_rng(3)
+    v = rng.integers(-2, 3, (230, 6)).astype(float)  # many ties and zero vectors
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(999, None)], "id long, embedding array<float>")
+    queries = rows.filter("id % 3 = 0 AND id < 900").withColumnRenamed("id", "query_id")
+    for cosine, k, tile, part in ((True, 4, 16, 1 << 10), (False, 7, 1024, 32 << 20), (True, 300, 50, 1 << 9)):
+        length = np.linalg.norm(v, axis=1, keepdims=True)
+        with np.errstate(invalid="ignore"):
+            u = v / length if cosine else v
+        expected = set()
+        for q in range(0, 230, 3):
+            scored = sorted((-s, i) for i, s in enumerate(np.round(u @ u[q], 6)) if np.isfinite(s))
+            expected |= {(q, i, -s, r) for r, (s, i) in enumerate(scored[:k], 1)}
+        got = vectors.knn(queries, rows, k, cosine, part, tile)
+        assert {tuple(r) for r in got.select("query_id", "id", "score", "rank").collect()} == expected
 
 
 def test_actions_of_a_model(spark):
