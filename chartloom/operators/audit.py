@@ -56,6 +56,38 @@ def approve(states: DataFrame, approvals: DataFrame) -> tuple[DataFrame, DataFra
     return changed.drop("before"), log
 
 
+#: States of documents under approval; version counts the changes of a document.
+STATES = "document_id string, status string, approved boolean, approved_by string, approved_at string, version long"
+
+
+def judged_approvals(states: DataFrame, approvals: DataFrame) -> DataFrame:
+    """Approvals (document_id, request_id, user_id, approved_at, expected) with the state that they met and an outcome.
+
+    A document without a state is pending at version 0. Of a document's requests that expect its version (or, with null, any) the earliest
+    is approved; all others are stale: what they were made on is no longer so.
+    """
+    met = approvals.join(states.select("document_id", F.struct("status", "approved", "approved_by", "approved_at", "version").alias("before")), "document_id", "left")
+    version = F.coalesce("before.version", F.lit(0).cast("long"))
+    fits = F.coalesce(F.col("expected") == version, F.lit(True))
+    order = F.row_number().over(Window.partitionBy("document_id", fits).orderBy("approved_at", "request_id"))  # requests of one document in one batch
+    return met.withColumn("version", version).withColumn("outcome", F.when(fits & (order == 1), "approved").otherwise("stale"))
+
+
+def merged_approvals(states: DataFrame, approvals: DataFrame) -> DataFrame:
+    """States after approvals; the function that ``versioned.merge`` applies to the parts that approvals touch."""
+    new = judged_approvals(states, approvals).filter("outcome = 'approved'")
+    new = new.select("document_id", F.lit("approved").alias("status"), F.lit(True).alias("approved"), F.coalesce("user_id", F.lit("api-user")).alias("approved_by"), "approved_at", (F.col("version") + 1).alias("version"))
+    return states.join(new, "document_id", "left_anti").unionByName(new)
+
+
+def approval_events(judged: DataFrame) -> DataFrame:
+    """The changes to log of judged approvals that were approved; a document without a state was pending review."""
+    before = F.to_json(F.coalesce("before", F.struct(F.lit("pending_review").alias("status"), *(F.lit(None).cast(t).alias(c) for c, t in (("approved", "boolean"), ("approved_by", "string"), ("approved_at", "string"), ("version", "long"))))))
+    after = F.to_json(F.struct(F.lit("approved").alias("status"), F.lit(True).alias("approved"), F.coalesce("user_id", F.lit("api-user")).alias("approved_by"), "approved_at"))
+    metadata = F.lit('{"source": "api_gateway", "endpoint": "PUT /documents/{doc_id}/approve"}')
+    return judged.filter("outcome = 'approved'").select("document_id", F.coalesce("user_id", F.lit("api-user")).alias("user_id"), F.lit("API_DOCUMENT_APPROVE").alias("change_type"), before.alias("before_state"), after.alias("after_state"), metadata.alias("metadata"))
+
+
 def with_expiry(sessions: DataFrame, days: int = 30) -> DataFrame:
     return sessions.withColumn("ttl_expiry", F.unix_seconds("logout") + F.lit(days * 86400))
 

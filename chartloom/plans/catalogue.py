@@ -11,7 +11,7 @@ from chartloom.functions import letters, privacy, rules, scores, text
 from chartloom.operators import audit, coding, correct, metrics, ocr, prompts, routing, validate, vectors
 from chartloom.plans import views
 from chartloom.plans.views import Views
-from chartloom.sources import files, scratch, sinks
+from chartloom.sources import files, layouts, scratch, sinks, versioned
 from chartloom.streaming import jobs, ledger
 
 _QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
@@ -610,6 +610,36 @@ def latest_state(v: Views) -> DataFrame:
     return audit.latest_state(v.audit()).select("document_id", "change_type", "audit_id")
 
 
+@query(f"WITH {views.AUDIT} SELECT document_id::VARCHAR AS document_id, arg_max(change_type, (ts, audit_id)) AS change_type, count(*) AS events, count(*) FILTER (strftime(ts, '%Y-%m-%d') = (SELECT strftime(min(ts)::DATE + 3, '%Y-%m-%d') FROM events)) AS that_day FROM audit GROUP BY 1")
+def layout_lookups(v: Views) -> DataFrame:
+    """The audit log in its layout: last change and number of events by document without a shuffle, and those of one day's partition."""
+    path = scratch.new_folder(v.spark, "layout")
+    rows = v.audit().withColumns({"document_id": F.col("document_id").cast("string"), "timestamp": F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")})
+    log = layouts.write_layout(rows, "audit_logs", f"layout_{path[-12:]}", path, 8)
+    last = log.groupBy("document_id").agg(F.max_by("change_type", F.struct("timestamp", "audit_id")).alias("change_type"), F.count("*").alias("events"))
+    day = _day(v)
+    of_day = layouts.between_days(log, day, day).groupBy("document_id").agg(F.count("*").alias("n"))
+    return last.join(of_day, "document_id", "left").select("document_id", "change_type", "events", F.coalesce("n", F.lit(0)).alias("that_day"))
+
+
+@query("""WITH s AS (SELECT o_orderkey::VARCHAR AS document_id, CASE o_orderstatus WHEN 'F' THEN 'pending_review' ELSE 'edited' END AS status, (o_custkey % 3)::BIGINT AS version FROM orders WHERE o_orderkey % 5 > 0),
+a AS (SELECT l_orderkey::VARCHAR AS document_id, l_orderkey * 10 + l_linenumber AS request_id, 'user' || l_suppkey AS user_id, strftime(l_shipdate, '%Y-%m-%d') AS approved_at, (l_partkey % 4)::BIGINT AS expected FROM lineitem WHERE l_quantity > 30),
+j AS (SELECT a.*, coalesce(version, 0) AS version, row_number() OVER (PARTITION BY document_id ORDER BY approved_at, request_id) AS k FROM a LEFT JOIN s USING (document_id) WHERE expected = 3 OR expected = coalesce(version, 0)),
+n AS (SELECT document_id, 'approved' AS status, true AS approved, user_id AS approved_by, approved_at, version + 1 AS version FROM j WHERE k = 1)
+SELECT * FROM n UNION ALL SELECT document_id, status, NULL, NULL, NULL, version FROM s WHERE document_id NOT IN (SELECT document_id FROM n)""")
+def approved_states(v: Views) -> DataFrame:
+    """Orders as documents' states, lines of orders as approvals that expect a version (or any): merged, and merged again in vain."""
+    path = scratch.new_folder(v.spark, "states")
+    kind = F.when(F.col("o_orderstatus") == "F", "pending_review").otherwise("edited")
+    states = v.table("orders").filter("o_orderkey % 5 > 0").select(F.col("o_orderkey").cast("string").alias("document_id"), kind.alias("status"), *(F.lit(None).cast(t).alias(c) for c, t in (("approved", "boolean"), ("approved_by", "string"), ("approved_at", "string"))), (F.col("o_custkey") % 3).cast("long").alias("version"))
+    expected = F.when(F.col("l_partkey") % 4 < 3, (F.col("l_partkey") % 4).cast("long"))
+    given = v.table("lineitem").filter("l_quantity > 30").select(F.col("l_orderkey").cast("string").alias("document_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("request_id"), F.concat(F.lit("user"), F.col("l_suppkey").cast("string")).alias("user_id"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("approved_at"), expected.alias("expected"))
+    versioned.merge(v.spark, path, audit.STATES, "document_id", states, lambda _, new: new, "states", 8)
+    for _ in range(2):
+        versioned.merge(v.spark, path, audit.STATES, "document_id", given, audit.merged_approvals, "approvals", 8)
+    return versioned.read_current(v.spark, path, audit.STATES)
+
+
 def _day(v: Views) -> str:
     return v.table("events").agg(F.date_add(F.min("ts").cast("date"), 3).cast("string")).first()[0]
 

@@ -1,6 +1,8 @@
 """Contracts of the tables, as Spark schemas."""
 
 AUDIT_LOGS = "audit_id string, document_id string, user_id string, timestamp string, change_type string, before_state string, after_state string, metadata string"
+#: The separate audit table has the same columns, is keyed by audit_id and has indexes by document and by user.
+AUDIT = AUDIT_LOGS
 DOCUMENTS = "document_id string, status string, uploaded_at string, updated_at string, document_type string, unified_confidence_score double"
 USER_SESSIONS = "session_id string, user_id string, login timestamp, logout timestamp, ttl_expiry bigint"
 FEEDBACK_LOOP = "feedback_id string, document_id string, user_id string, timestamp string, category string, payload string"
