@@ -11,7 +11,6 @@ import functools
 import json
 import os
 import re
-import sys
 from array import array
 from collections.abc import Iterable, Sequence
 from itertools import batched, chain
@@ -23,6 +22,7 @@ import pyarrow.compute as pc
 #: White space other than a single space: where it occurs, cuts need a look at both neighbours.
 _OTHER = ("  ", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\n ", " \n")
 _WIDE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_MARKED = r"(?s)^(?P<stem>.*[\p{L}\p{N}])(?P<marks>[.,;:!?]+)$"
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -36,6 +36,7 @@ def at_spaces(text: str) -> list[str]:
     return text.split(" ") if spaced(text) else _SAFE.split(text)
 
 
+_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: Letters with or without marks after them, twice at most around a line break: the pre-tokens of such a piece are plain.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)(?:\n([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*))?")
 
@@ -64,19 +65,21 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
 
 
 #: Bytes of kept pieces in a Python worker, and what a piece takes besides its string and its ids.
-MOST_KEPT, _ENTRY = 48 << 20, 130
+MOST_KEPT, _ENTRY = 32 << 20, 40
 
 
 class Kept:
-    """Ids by piece: a number for each piece met, and for each number a run of one array. Emptied beyond ``most`` bytes."""
+    """Ids by piece: a number for each piece met, and for each number a run of one array. Emptied beyond ``most`` bytes.
+
+    Pieces are kept and looked up as Arrow strings; only those that are new become Python's.
+    """
 
     def __init__(self, most: int = MOST_KEPT) -> None:
         self.most = most
         self.clear()
 
     def clear(self) -> None:
-        self.heads: dict[str, int] = {}
-        self.tails: dict[str, int] = {}
+        self.seen = {lead: (pa.array([], pa.string()), np.zeros(0, np.int64)) for lead in (True, False)}
         self.held = 0
         self.values, self.used = np.zeros(1 << 20, np.uint32), 0
         self.starts, self.lengths, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
@@ -85,16 +88,26 @@ class Kept:
         """The ids of pieces; ``lead``: with the space that they stand for."""
         raise NotImplementedError
 
-    def numbers(self, pieces: list[str], lead: bool) -> np.ndarray:
-        known = self.tails if lead else self.heads
-        missing = [p for p in pieces if p not in known]
+    def numbers(self, pieces: pa.Array, lead: bool) -> np.ndarray:
+        """The numbers of distinct pieces."""
+        known, own = self.seen[lead]
+        at = pc.index_in(pieces, value_set=known)
+        new = at.is_null()
+        missing = pieces.filter(new)
+        found, new = np.append(own, 0)[at.fill_null(len(own)).to_numpy()], new.to_numpy(zero_copy_only=False)
+        if len(missing):
+            found[new] = self.kept(missing, lead)
+            self.seen[lead] = pa.concat_arrays([known, missing]), np.append(own, found[new])
+        return found
+
+    def kept(self, missing: pa.Array, lead: bool) -> np.ndarray:
+        """New numbers of new pieces."""
         flat, lengths = array("I"), array("q")
-        for part in batched(missing, 4096):
+        for part in batched(missing.to_pylist(), 4096):
             found = list(self.ids_of(list(part), lead))
             lengths.extend(map(len, found))
             flat.extend(chain.from_iterable(found))
-        known.update(zip(missing, range(self.count, self.count + len(missing)), strict=True))
-        self.held += sum(map(sys.getsizeof, missing)) + 4 * len(flat) + _ENTRY * len(missing)
+        self.held += pc.sum(pc.binary_length(missing)).as_py() + 4 * len(flat) + _ENTRY * len(missing)
         n, new = self.used + len(flat), self.count + len(lengths)
         if n > len(self.values):
             self.values = np.append(self.values, np.zeros(max(n, len(self.values)), np.uint32))
@@ -103,8 +116,8 @@ class Kept:
         self.values[self.used : n] = flat
         self.lengths[self.count : new] = lengths
         self.starts[self.count : new] = self.used + np.cumsum(lengths, dtype=np.int64) - np.asarray(lengths)
-        self.used, self.count = n, new
-        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+        first, self.used, self.count = self.count, n, new
+        return np.arange(first, new)
 
     def taken(self, numbers: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents one after another, and the number of ids of each; docs: pieces of each document."""
@@ -132,15 +145,31 @@ class Kept:
         at = np.cumsum(docs) - docs
         is_head = np.zeros(len(codes), bool)
         is_head[at] = True
-        words = coded.dictionary.to_pylist()
-        inner = np.unique(codes[~is_head])
-        place = np.zeros(len(words), np.int64)
-        place[inner] = self.numbers([words[i] for i in inner], True)
-        numbers = place[codes]
-        heads = np.unique(codes[at])
-        place[heads] = self.numbers([words[i] for i in heads], False)
-        numbers[at] = place[codes[at]]
-        return self.taken(numbers, docs)
+        words = coded.dictionary
+        inner, heads = np.unique(codes[~is_head]), np.unique(codes[at])
+        word, marks = np.zeros(len(words), np.int64), np.full(len(words), -1)
+        word[inner], marks[inner] = self.stems(words.take(pa.array(inner)))
+        first, second = word[codes], marks[codes]
+        word[heads] = self.numbers(words.take(pa.array(heads)), False)
+        first[at], second[at] = word[codes[at]], -1
+        ends = np.cumsum(1 + (second >= 0))
+        numbers = np.empty(ends[-1] if len(ends) else 0, np.int64)
+        numbers[np.append(0, ends[:-1])[: len(first)]] = first
+        numbers[ends[second >= 0] - 1] = second[second >= 0]
+        return self.taken(numbers, np.diff(np.append(0, ends)[np.append(0, np.cumsum(docs))]))
+
+    def stems(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of pieces without the marks at their end, and of those marks, or -1: a word with and without a comma is encoded once.
+
+        Letters or digits and a mark after them are never in one pre-token.
+        """
+        parts = pc.extract_regex(pieces, _MARKED)
+        has = pc.is_valid(parts)
+        stem = pc.if_else(has, pc.struct_field(parts, "stem"), pieces).dictionary_encode()
+        mark = pc.struct_field(parts, "marks").filter(has).dictionary_encode()
+        marks = np.full(len(pieces), -1)
+        marks[has.to_numpy(zero_copy_only=False)] = self.numbers(mark.dictionary, False)[mark.indices.to_numpy()]
+        return self.numbers(stem.dictionary, True)[stem.indices.to_numpy()], marks
 
 
 class Library(Kept):
@@ -162,7 +191,7 @@ class Library(Kept):
         self.marks: dict[str, list[int]] = {"": []}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        plain = not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec.get("added_tokens", []))
+        plain = not any(re.search(r"[\s.,;:!?]", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec.get("added_tokens", []))
         model = {k: v for k, v in spec["model"].items() if k not in ("vocab", "merges", "type", "end_of_word_suffix")}
         self.known = plain and spec["model"]["type"] == "BPE" and not any(model.values()) and (spec["normalizer"], spec["pre_tokenizer"]) == (self.normalizer, self.pre_tokenizer) and not spec["post_processor"]
 
@@ -179,13 +208,16 @@ class Library(Kept):
     def ids_of(self, pieces: list[str], lead: bool) -> Iterable[Sequence[int]]:
         model, marks, lower = self.model, self.marks, self.lower
         before, line = ("", []) if lower else (_LETTERS[32] * lead, self.model("", _LETTERS[10]))
-        matches = [_PLAIN.fullmatch(p) for p in pieces]
+        matches = [_WORD.fullmatch(p) or _PLAIN.fullmatch(p) for p in pieces]
         others = [" " * lead + p for p, m in zip(pieces, matches, strict=True) if m is None]
         ready = iter(self.tokenizer.encode_batch_fast(others, add_special_tokens=False) if others else ())
-        for match in matches:
+        for piece, match in zip(pieces, matches, strict=True):
             if match is None:
                 yield next(ready).ids
                 continue
+            if match.re is _WORD:
+                yield model(piece.lower() if lower else piece, before)
+                continue
             first, after, second, more = match.groups()
             for x in (after, more or ""):
                 if x not in marks:
@@ -210,7 +242,7 @@ class WordEncoder(Library):
     def pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         cut = pc.ascii_split_whitespace(texts)
         coded = cut.flatten().dictionary_encode()
-        return self.taken(self.numbers(coded.dictionary.to_pylist(), False)[coded.indices.to_numpy()], pc.list_value_length(cut).to_numpy())
+        return self.taken(self.numbers(coded.dictionary, False)[coded.indices.to_numpy()], pc.list_value_length(cut).to_numpy())
 
 
 @functools.cache
