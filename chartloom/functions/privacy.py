@@ -33,7 +33,9 @@ LOG_PATTERNS = [
     (r"\b(?:Mr|Mrs|Ms|Miss|Dr|Patient)\.?\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?\b", "[NAME_REDACTED]"),
     (r"\b\d{1,5}\s+[A-Za-z0-9.\- ]+\s(?:Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Boulevard|Blvd)\b", "[ADDRESS_REDACTED]"),
 ]
+#: What a row that isn't redacted must not hold, and the characters of a slice that a detector sees.
 RESIDUAL_MARKERS = ["@", "NHS", "MRN"]
+DETECTOR_SLICE = 18_000
 
 
 def anonymise(text: Column) -> Column:
@@ -133,7 +135,7 @@ def verify_masking(before: Column, after: Column) -> Column:
     return (before != after) & F.regexp_like(after, F.lit(r"REDACTED|\[[A-Z]+_[0-9a-f]{12}\]"))
 
 
-def detect_phi(text: Column, detector: Callable[[Column], Column] | None = None, n: int = 18_000) -> Column:
+def detect_phi(text: Column, detector: Callable[[Column], Column] | None = None, n: int = DETECTOR_SLICE) -> Column:
     """Spans of a text that a detector sees in slices of n characters, with offsets in the whole and scores of four digits.
 
     ``detector``: from a text column to an array of structs (begin_offset, end_offset, type, score); a model comes as a pandas UDF.

@@ -90,8 +90,12 @@ def rules_from_rows(rows: Iterable) -> list[tuple[str, list[str]]]:
     return list(out.items())
 
 
+#: How many characters of a text are looked at for its type and its organisation, and read of short and of other types.
+TYPE_HEAD, ORGANISATION_HEAD, PAGE_ONE_HEAD, OTHER_HEAD = 1000, 800, 1500, 4000
+
+
 def document_type(text: Column) -> Column:
-    return first_match(text, DOCUMENT_TYPES, "unknown", head=1000, literal=False)
+    return first_match(text, DOCUMENT_TYPES, "unknown", head=TYPE_HEAD, literal=False)
 
 
 def type_from_id(doc_id: Column) -> Column:
@@ -99,7 +103,7 @@ def type_from_id(doc_id: Column) -> Column:
 
 
 def organisation(text: Column) -> Column:
-    return first_match(text, ORGANISATIONS, "Unknown Trust", head=800)
+    return first_match(text, ORGANISATIONS, "Unknown Trust", head=ORGANISATION_HEAD)
 
 
 def entity_class(text: Column) -> Column:
@@ -119,7 +123,7 @@ def arrival_method(text: Column) -> Column:
 
 def page_scope(text: Column, kind: Column) -> Column:
     """As much of the text as a type's later stages read."""
-    return F.when(kind.isin(PAGE_ONE_TYPES), F.substring(text, 1, 1500)).otherwise(F.substring(text, 1, 4000))
+    return F.when(kind.isin(PAGE_ONE_TYPES), F.substring(text, 1, PAGE_ONE_HEAD)).otherwise(F.substring(text, 1, OTHER_HEAD))
 
 
 def threshold_of(kind: Column) -> Column:

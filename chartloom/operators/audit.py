@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,7 +101,7 @@ def daily_feedback(events: DataFrame, day: str, anonymise: bool = True, legacy_s
     if legacy_string_range:
         rows = events.filter(F.col("timestamp").between(f"{day}T00:00:00Z", f"{day}T23:59:59Z"))
     else:
-        start = F.lit(day).cast("timestamp")
+        start = F.lit(f"{day}T00:00:00Z").cast("timestamp")  # whatever the session's time zone
         rows = events.filter((F.col("ts") >= start) & (F.col("ts") < start + F.expr("INTERVAL 1 DAY")))
     known = F.create_map(*[F.lit(x) for pair in CATEGORIES.items() for x in pair])
     out = rows.withColumn("category", F.coalesce(F.try_element_at(known, "change_type"), F.lit("general")))
@@ -128,10 +128,10 @@ def quality_gate(rows: DataFrame, most: int = 10) -> DataFrame:
 
 
 def run_daily_export(events: DataFrame, path: str, day: str | None = None, anonymise: bool = True) -> dict:
-    """Export a day, yesterday by default: no_data, quality_check_failed (nothing is written) or success. Runs again safely."""
+    """Export a day, yesterday in UTC by default: no_data, quality_check_failed (nothing is written) or success. Runs again safely."""
     from chartloom.sources.sinks import write_export
 
-    day = day or str(date.today() - timedelta(days=1))
+    day = day or str(datetime.now(UTC).date() - timedelta(days=1))
     rows = daily_feedback(events, day, anonymise).persist()
     try:
         gate = quality_gate(rows).first()

@@ -45,6 +45,10 @@ def bucket(kind: Column, category: Column, buckets: dict[str, str] | None = None
     return F.coalesce(F.try_element_at(known, F.upper(kind)), F.try_element_at(known, F.upper(category)), F.lit("Uncategorized"))
 
 
+#: The score that an exam, a procedure and a part of the body need.
+EXAM_SCORE, PROCEDURE_SCORE, ANATOMY_SCORE = 0.85, 0.65, 0.80
+
+
 def condition_like(entities: DataFrame, blocked: list[str], acronyms: list[str] = ACRONYMS) -> DataFrame:
     """Add condition: whether an entity (text, category, type, traits, description, score) is a condition, by ordered rules.
 
@@ -57,9 +61,9 @@ def condition_like(entities: DataFrame, blocked: list[str], acronyms: list[str]
     kept = (
         F.when(t.isNull() | (t == "") | t.isin(blocked) | (F.length(t) <= 3) | shouted, False)
         .when(part(cat, ["MEDICATION", "TEST"]), False)
-        .when(desc.isin(EXAM_EXACT) | (part(desc, EXAM_PARTS) & (score < 0.85)), False)
-        .when(part(cat, ["PROCEDURE", "TREATMENT"]), ~desc.isin(GENERIC_PROCEDURES) & ~F.contains(desc, F.lit("encounter")) & (score >= 0.65))
-        .when(F.contains(cat, F.lit("ANATOMY")), score >= 0.80)
+        .when(desc.isin(EXAM_EXACT) | (part(desc, EXAM_PARTS) & (score < EXAM_SCORE)), False)
+        .when(part(cat, ["PROCEDURE", "TREATMENT"]), ~desc.isin(GENERIC_PROCEDURES) & ~F.contains(desc, F.lit("encounter")) & (score >= PROCEDURE_SCORE))
+        .when(F.contains(cat, F.lit("ANATOMY")), score >= ANATOMY_SCORE)
         .when(part(cat, ["MEDICAL_CONDITION", "DIAGNOSIS"]), True)
         .when(F.upper(F.coalesce("type", F.lit(""))).isin("DX_NAME", "DIAGNOSIS", "MEDICAL_CONDITION"), True)
         .otherwise(F.coalesce(F.exists("traits", lambda x: F.upper(x).isin("DIAGNOSIS", "SYMPTOM", "SIGN")), F.lit(False)))

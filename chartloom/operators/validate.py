@@ -11,6 +11,7 @@ from chartloom.operators.coding import drug_lookup, map_terms
 SUMMARY = "summary string, key_points array<string>, medications array<struct<name:string,dosage:string,frequency:string,instructions:string>>, diagnoses array<string>, follow_up_actions array<string>, confidence_score double"
 #: Units with the smallest and largest value, both allowed.
 DOSAGE_LIMITS = {"mg": (0.1, 5000.0), "mcg": (1.0, 10000.0), "g": (0.01, 10.0), "ml": (0.1, 500.0), "units": (1.0, 1000.0), "iu": (1.0, 1000.0)}
+#: The pattern of a dosage, signs of speculation, and names of procedures.
 _DOSAGE = r"(?i)^\s*(\d+(?:\.\d+)?)\s*(mg|mcg|g|ml|units|iu)\s*$"
 _SPECULATIVE = [r"(?i)\b(probably|possibly|might have|likely has)\b", r"(?i)\b(as an ai|i believe|i think)\b"]
 _PROCEDURE = r"(?i)\b(?:catheterization|angioplasty|biopsy|surgery|echocardiogram|ecg|mri|ct scan|x-ray)\b"

@@ -299,6 +299,23 @@ def letter_fields(v: Views) -> DataFrame:
     return d.select("doc_id", "f.*", F.col("p.name").alias("name"), F.size("m").alias("medications"), "sex")
 
 
+def _sided(signs: dict, column: str) -> str:
+    has = {side: "(" + " OR ".join(f"regexp_matches({column}, '{p}')" for p in patterns) + ")" for side, patterns in signs.items()}
+    return f"CASE WHEN {has['Male']} AND NOT {has['Female']} THEN 'Male' WHEN {has['Female']} AND NOT {has['Male']} THEN 'Female' END"
+
+
+_SEX_SAID = "CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{side}'" for side, p in letters.SEX_SAID) + " END"
+
+
+@query(f"""WITH {views.SUMMARIES}, g AS (SELECT doc_id, text, '' AS told FROM documents UNION ALL SELECT doc_id + 1000000000, source, candidate FROM summaries),
+w AS (SELECT doc_id, {_WORDLY("text")} AS t, ' ' || lower({_WORDLY("told")}) || ' ' AS s FROM g) SELECT doc_id, coalesce({_SEX_SAID}, {_sided(letters.SEX_SIGNS, "t")}, {_sided(letters.SEX_IN_SUMMARY, "s")}, '') AS sex FROM w""")
+def inferred_sexes(v: Views) -> DataFrame:
+    """The sex that documents tell of, and that conversations tell of in the user's turns or else in the assistant's."""
+    told = v.summaries().select((F.col("doc_id") + 1_000_000_000).alias("doc_id"), F.col("source").alias("text"), "candidate")
+    every = v.table("documents").select("doc_id", "text", F.lit("").alias("candidate")).unionByName(told)
+    return every.select("doc_id", letters.infer_sex(F.col("text"), F.col("candidate")).alias("sex"))
+
+
 @query("SELECT page_id, regexp_extract(url, '[^/]*$') AS last_part, coalesce(try_cast(nullif(regexp_extract(regexp_replace(regexp_extract(url, '[^/]*$'), '\\.[^.]*$', ''), '^(.*)page(\\d+)$', 2), '') AS INT), 0) AS page FROM pages")
 def page_names(v: Views) -> DataFrame:
     parsed = files.parse_page_name(v.table("pages"), "url")
@@ -663,6 +680,30 @@ def quality_gate(v: Views) -> DataFrame:
     return audit.quality_gate(audit.daily_feedback(v.audit(), _day(v))).select("passed", "total_records")
 
 
+_FLAWED = "CASE WHEN event_id % 5 = 0 THEN '' ELSE event_id::VARCHAR END AS audit_id, CASE event_type WHEN 'click' THEN 'ner' WHEN 'view' THEN 'summarization' ELSE 'general' END AS category, event_id % 7 = 0 AS marked, event_id % 14 = 0 AS redacted"
+
+
+@query(f"""WITH e AS (SELECT {_FLAWED} FROM events)
+SELECT audit_id, category, 'Missing audit_id in ' || category AS issue FROM e WHERE audit_id = '' UNION ALL SELECT audit_id, category, 'Possible PII detected in ' || category || ': @' FROM e WHERE marked AND NOT redacted""")
+def quality_issues(v: Views) -> DataFrame:
+    """What a quality gate finds in rows of which some lack an id and some hold an address, redacted or not."""
+    key = F.col("audit_id").cast("long")
+    note = F.when(key % 14 == 0, "[EMAIL_REDACTED] x@y").when(key % 7 == 0, "x@y").otherwise("none")
+    rows = v.audit().withColumn("category", F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in audit.CATEGORIES.items() for x in pair]), "change_type"), F.lit("general")))
+    flawed = rows.select(F.when(key % 5 == 0, "").otherwise(F.col("audit_id")).alias("audit_id"), "document_id", "timestamp", "category", note.alias("before_state"))
+    return audit.quality_issues(flawed)
+
+
+@query(f"""WITH {views.AUDIT}, d AS (SELECT audit.audit_id, text FROM audit JOIN documents ON doc_id = audit_id::BIGINT % (SELECT count(*) FROM documents) WHERE ts >= (SELECT date_trunc('day', min(ts)) FROM events) + INTERVAL 3 DAY AND ts < (SELECT date_trunc('day', min(ts)) FROM events) + INTERVAL 4 DAY)
+SELECT audit_id, md5({_MASK}) AS before_md5 FROM d""")
+def feedback_texts(v: Views) -> DataFrame:
+    """The masked states of a day's feedback: whole documents as the states before."""
+    docs = v.table("documents")
+    given = docs.select(F.col("doc_id").alias("k"), F.col("text").alias("before_state"))
+    rows = v.audit().drop("before_state").withColumn("k", F.col("audit_id").cast("long") % docs.count()).join(given, "k")
+    return audit.daily_feedback(rows, _day(v)).select("audit_id", F.md5("before_state").alias("before_md5"))
+
+
 @query("SELECT user_id, day, ttl_expiry FROM (SELECT user_id, ts::DATE::VARCHAR AS day, epoch(max(ts))::BIGINT + 30 * 86400 AS ttl_expiry FROM (SELECT user_id, date_trunc('second', ts) AS ts FROM events) GROUP BY 1, 2)")
 def session_expiry(v: Views) -> DataFrame:
     sessions = v.table("events").groupBy("user_id", F.col("ts").cast("date").cast("string").alias("day")).agg(F.max("ts").cast("timestamp").alias("logout"))
@@ -710,6 +751,15 @@ def rendered_prompts(v: Views) -> DataFrame:
     return v.table("documents").select("doc_id", made.getField("rendered_sha256").alias("rendered_sha256"), whole.getField("truncated").alias("truncated"))
 
 
+@query("""WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents)
+SELECT doc_id, sha256('system' || repeat(chr(10), 2) || 'task' || repeat(chr(10), 2) || 'style' || repeat(chr(10), 2) || array_to_string(list_transform(w[1:3], lambda x, i: '[' || i || '] ' || x), chr(10)) || repeat(chr(10), 2) || substring(text, 1, 2000)) AS prompt_sha256, length(text) > 2000 AS truncated FROM w""")
+def capped_prompts(v: Views) -> DataFrame:
+    """Prompts of which only the first three of all contexts and the first 2,000 characters of the document are part."""
+    t = F.col("text")
+    made = prompts.compose_prompt(F.lit("system"), F.lit("task"), F.lit("style"), text.words(t), t, 2000)
+    return v.table("documents").select("doc_id", made.alias("m")).select("doc_id", F.sha2("m.prompt", 256).alias("prompt_sha256"), "m.truncated")
+
+
 @query("SELECT user_id % 20 AS template, arg_max('v' || event_id, (ts, event_id)) AS active_version FROM events WHERE event_type IN ('click', 'signup') GROUP BY 1")
 def active_versions(v: Views) -> DataFrame:
     action = F.when(F.col("event_type") == "click", "SET_ACTIVE").when(F.col("event_type") == "signup", "ROLLBACK").otherwise("OTHER")

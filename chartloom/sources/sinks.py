@@ -16,9 +16,12 @@ def export_rows(rows: DataFrame, day: str) -> DataFrame:
 
 
 def write_export(rows: DataFrame, path: str, day: str) -> None:
-    """One Parquet folder per date and category. Only the partitions that it writes are replaced, so a day can be run again."""
+    """One Parquet folder per date and category. Only the partitions that it writes are replaced, so a day can be run again.
+
+    A large category is split over tasks by its size, a small one is one file.
+    """
     out = export_rows(rows, day)
-    out.repartition("category").write.partitionBy("export_date", "category").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    out.hint("rebalance", "category").write.partitionBy("export_date", "category").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
 def export_summary(rows: DataFrame) -> DataFrame:

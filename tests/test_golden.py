@@ -580,6 +580,31 @@ def test_summaries_by_role(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "a")).count() == spark.read.parquet(str(tmp_path / "b")).count() == 1
 
 
+def test_exports_split_large_categories_and_replace_a_day(spark, tmp_path):
+    out = str(tmp_path / "export")
+    rows = spark.range(3_000).select(F.when(F.col("id") < 2_900, "ner").otherwise("other").alias("category"), F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        for _ in range(2):
+            sinks.write_export(rows, out, "2024-05-06")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    sinks.write_export(rows.limit(10), out, "2024-05-07")
+    got = spark.read.parquet(out)
+    assert got.filter("export_date = '2024-05-06'").count() == 3_000 and got.filter("export_date = '2024-05-07'").count() == 10
+    assert len(list((tmp_path / "export" / "export_date=2024-05-06" / "category=ner").glob("*.parquet"))) > 1
+    assert len(list((tmp_path / "export" / "export_date=2024-05-06" / "category=feedback").glob("*.parquet"))) == 1
+
+
+def test_the_day_of_an_export_is_in_utc(spark):
+    events = spark.createDataFrame([("a", "2024-05-06T23:30:00Z"), ("b", "2024-05-07T00:30:00Z")], "audit_id string, timestamp string").select("*", F.to_timestamp("timestamp").alias("ts"), F.lit("u").alias("user_id"), F.lit("OTHER").alias("change_type"))
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        assert [r.audit_id for r in audit.daily_feedback(events, "2024-05-06", anonymise=False).collect()] == ["a"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_entities_of_both_layouts(spark):
     raw = spark.createDataFrame([("d", '{"Entities":[{"Text":"Diabetes","Category":"MEDICAL_CONDITION","Score":0.9,"SNOMEDCTConcepts":[{"Code":"44054006","Description":"Diabetes"}]}]}')], "doc_id string, raw string").select("doc_id", F.from_json("raw", schemas.ENTITY_RAW).alias("j")).select("doc_id", "j.*")
     cat = spark.createDataFrame([("e", '{"categorized_entities":{"Diagnosis":[{"text":"x","snomed_code":"NOT_MAPPED","confidence":0.1,"source":"semantic_fallback"}]}}')], "doc_id string, raw string").select("doc_id", F.from_json("raw", schemas.ENTITY_CATEGORISED).alias("j")).select("doc_id", "j.*")
