@@ -11,7 +11,8 @@ of the differences up to there, and a quarter of the largest possible difference
 first and last frame and its times.
 
 Work is row by row where rows are read; the stored table is the only thing between the two passes, and nothing is
-shuffled. Edge cases: null and empty texts are one frame of padding; any length is stored whole; extra columns are
+shuffled. Edge cases: null and empty texts are one frame of padding; texts are stored whole up to about 1 GB (a file's sizes are 32 bits
+wide and a sample takes two bytes; a longer text raises an error); rows that are equal or share a doc_id stay apart; extra columns are
 ignored; an empty table gives an empty one. A file with another code length than this writer's raises ValueError.
 """
 

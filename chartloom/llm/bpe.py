@@ -6,7 +6,7 @@ its positions. Active ranks are applied in ascending order; merging a pair at al
 neighbours, whose lists are extended. A merged symbol can only take part in merges of a higher rank, so one ascending
 pass is enough. Positions whose symbols changed meanwhile are dropped when their list comes up.
 
-Edge cases: null is an empty text (no ids); a special token's string within a text gives that token's id, as in the
+Edge cases: rows that share a doc_id stay apart and an empty table gives no rows; other columns are ignored; null is an empty text (no ids); a special token's string within a text gives that token's id, as in the
 library; the vocabulary's ids decode to exact bytes, so texts of any bytes and length come back whole.
 """
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartloom.llm.pieces import MOST_KEPT, Kept, byte_letters, gather
+from chartloom.llm.pieces import MOST_KEPT, Kept, Library, byte_letters, gather
 from chartloom.llm.shared import batch_of, blocks, bounded
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -35,13 +35,20 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 
 class Vocabulary:
-    """Ids of bytes, ranks and results of merges, and the bytes of each id, read from a tokenizer's JSON file."""
+    """Ids of bytes, ranks and results of merges, and the bytes of each id, read from a tokenizer's JSON file.
+
+    A file with other settings than those that pre-tokenization and cuts are made for raises ValueError.
+    """
 
     def __init__(self, path: str) -> None:
         import regex
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        model = {k: v for k, v in spec["model"].items() if k not in ("vocab", "merges", "type", "end_of_word_suffix")}
+        odd = [t["content"] for t in spec.get("added_tokens", []) if t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or re.search(r"[\s.,;:!?]", t["content"])]
+        if spec["model"]["type"] != "BPE" or any(model.values()) or spec["normalizer"] or spec["pre_tokenizer"] != Library.pre_tokenizer or spec["post_processor"] or odd:
+            raise ValueError("only byte-level vocabularies without normalizer, with the usual pre-tokenization and plain special tokens are known")
         ids, letters = spec["model"]["vocab"], {c: b for b, c in byte_letters().items()}
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.of_byte = np.zeros(256, np.int64)

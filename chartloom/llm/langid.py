@@ -70,24 +70,31 @@ def fit(evidence: DataFrame, sample: int = 20_000, most_languages: int = 1024, a
     place = {x: i for i, x in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(languages), BUCKETS), np.int64)
+        at, n = np.empty(0, np.int64), np.empty(0, np.int64)  # only the pairs of language and bucket that the sample has
         for block in blocks(batches, "text", 2 << 20):
             grams, starts = trigrams(block["text"].to_pylist())
             of = np.repeat([place[x] for x in block["declared"].to_pylist()], np.diff(starts))
-            sums += np.bincount(of * BUCKETS + grams, minlength=sums.size).reshape(sums.shape)
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums.ravel()[at], pa.int64())], names=["at", "n"])
+            own, times = np.unique(of * BUCKETS + grams, return_counts=True)
+            at, where = np.unique(np.append(at, own), return_inverse=True)
+            n = np.bincount(where, np.append(n, times), len(at)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n, pa.int64())], names=["at", "n"])
 
     rows = bounded(drawn.select("text", "declared")).mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow() if total else None
-    table = np.full(len(languages) * BUCKETS, alpha)
-    table[rows["at"].to_numpy()] += rows["n"].to_numpy()
-    table = table.reshape(len(languages), BUCKETS)
-    return languages, np.log(table / table.sum(axis=1, keepdims=True))
+    at, n = (rows[c].to_numpy() for c in ("at", "n"))
+    order = np.argsort(at)
+    cuts = np.searchsorted(at[order], np.arange(len(languages) + 1) * BUCKETS)
+    table = np.empty((len(languages), BUCKETS), np.float32)
+    for i in range(len(languages)):
+        own = order[cuts[i] : cuts[i + 1]]
+        row = np.full(BUCKETS, alpha)
+        row[at[own] - i * BUCKETS] += n[own]
+        table[i] = np.log(row / row.sum())
+    return languages, table
 
 
 def text_evidence(evidence: DataFrame, languages: list[str], table: np.ndarray, weight: float) -> DataFrame:
     """id, declared, suffix, host, domain, grams (trigrams in the text) and ll, the tempered log likelihoods."""
-    given = evidence.sparkSession.sparkContext.broadcast(np.ascontiguousarray(table.T.astype(np.float32)))
+    given = evidence.sparkSession.sparkContext.broadcast(np.ascontiguousarray(table.T, np.float32))
     schema = pa.schema([("id", pa.int64()), ("declared", pa.string()), ("suffix", pa.string()), ("host", pa.string()), ("domain", pa.string()), ("grams", pa.int64()), ("ll", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,8 @@ are dealt by a hash into groups of about ``group_rows`` pieces; each group is pa
 table of counts by length, and the few sequences that a group leaves loosely filled are packed again together with
 those of ``tail_fan`` other groups. Waste is thus about one sequence for every ``tail_fan`` groups.
 
-Edge cases: a null or empty text is a document of one token (the end id); extra columns are dropped; rows with an equal
+Edge cases: a null or empty text is a document of one token (the end id); a text of any length is cut into whole pieces and a rest; a null
+doc_id stays null; pieces of equal lengths are taken in order of doc_id and piece; extra columns are dropped; rows with an equal
 doc_id are packed as separate pieces; an empty table gives an empty result.
 """
 

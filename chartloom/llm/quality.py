@@ -7,7 +7,8 @@ is kept if it is precise there. The rows that it covers are set aside and the ne
 one small grouped aggregation; the driver sees only counts by feature and bin. The list becomes ``when`` after ``when``.
 
 No Python runs on the executors. Nothing but labels and numbers is shuffled. Edge cases: null and empty texts have no words
-and fail the base rule; documents without a label are judged but not learned from; without labels of both classes the
+and fail the base rule; texts of any length are counted whole; conditions that gain alike are taken in order of feature and threshold;
+documents with a null id or without a label are judged but not learned from; without labels of both classes the
 list is empty and only the base rule rejects; repeated rows are judged one by one; extra columns are kept.
 """
 
