@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir), and all but the last return the columns of ``documents``. ``run`` writes each
 stage's result as Parquet into the shared folder and reads it again as the next stage's input.
 
+Null ids, null and empty texts, repeated rows, empty tables and other columns of any names are handled by every stage: a null id stays
+unless its row is rejected by itself, a null or empty text has no language and goes in the first stage, rows that are equal are near
+duplicates of each other and share an id, so they stay together, and an empty table leaves an empty one. Texts are read whole.
+
 Documents that a stage rejects go by a filter, or by an anti join with the table of rejected ids, so that texts aren't
 shuffled where that table is small enough for Spark to broadcast. Rows that share a doc_id stay or go together.
 """
@@ -36,19 +40,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines are deleted; documents of which no word is left go."""
-    left = linedup.dedup_lines(docs, min_words=50)
+    own = {c: f"given_{c}" for c in docs.columns if c.startswith("removed_")}  # the operator has columns of such names
+    left = linedup.dedup_lines(docs.withColumnsRenamed(own), min_words=50)
     gone = (F.col("removed_lines") > 0) & (F.btrim("text", F.lit(quality.SPACES)) == "")
-    return left.filter(~gone).withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return left.filter(~gone).withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
+    """Of each group of near duplicates the document with the smallest doc_id stays, and all rows of that id; a null id stays."""
     found = simhash.near_duplicates(docs, shingle=5, budget=4, similarity=0.8)
     return _without(docs, found.select("doc_id", (F.col("doc_id") <= F.col("component_id")).alias("kept")))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 4096 tokens at most."""
+    """Sequences of 4096 tokens at most; a row per piece, whatever columns the documents have."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
