@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chartloom.functions.text import slice_text
+from chartloom.functions.text import let, slice_text
 
 #: Fixed values, in the order in which they are applied; all ignore case.
 PATTERNS = {
@@ -39,17 +39,21 @@ DETECTOR_SLICE = 18_000
 
 
 def anonymise(text: Column) -> Column:
-    """text and types: each pattern sees what the patterns before it left; types are sorted."""
-    state = F.struct(text.alias("t"), F.array().cast("array<string>").alias("found"))
+    """text and types: each pattern sees what the patterns before it left; types are sorted.
+
+    Every pattern is a constant of its own step, compiled once; a replacement never equals what it replaces, so a step that changed the
+    text found its type.
+    """
     steps = [("(?i)" + p, f"[{k.upper()}_REDACTED]", k) for k, p in PATTERNS.items()]
     steps += [(rf"\b{t}\.?\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?", f"{t}. [NAME_REDACTED]", "name") for t in TITLES]
-    rules = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("pattern", "token", "kind"), s, strict=True)]) for s in steps])
 
-    def step(acc: Column, rule: Column) -> Column:
-        hit = F.regexp_like(acc.getField("t"), rule.getField("pattern"))
-        return F.when(hit, F.struct(F.regexp_replace(acc.getField("t"), rule.getField("pattern"), rule.getField("token")).alias("t"), F.array_append(acc.getField("found"), rule.getField("kind")).alias("found"))).otherwise(acc)
+    def after(t: Column, n: int, found: list[Column]) -> Column:
+        if n == len(steps):
+            return F.struct(t.alias("text"), F.array_sort(F.array_distinct(F.array_compact(F.array(*found)))).alias("types"))
+        pattern, token, kind = steps[n]
+        return let(F.regexp_replace(t, pattern, token), lambda x: after(x, n + 1, [*found, F.when(x != t, kind)]))
 
-    return F.aggregate(rules, state, step, lambda acc: F.struct(acc.getField("t").alias("text"), F.array_sort(F.array_distinct(acc.getField("found"))).alias("types")))
+    return after(text, 0, [])
 
 
 def mask_patterns(text: Column, strict_names: bool = False) -> Column:

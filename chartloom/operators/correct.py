@@ -42,7 +42,7 @@ def correct_regions(regions: DataFrame, proposals: DataFrame, threshold: float =
     p = proposals.select("doc_id", "idx", "corrected_text", F.col("confidence").alias("llm_confidence"), "reasoning", "error")
     joined = first_seen_regions(regions, threshold).join(p, ["doc_id", "idx"], "left")
     v = verdict(F.col("text"), F.col("corrected_text"))
-    with_v = joined.withColumn("v", F.when(F.col("corrected_text").isNotNull(), v))
+    with_v = joined.withColumn("v", F.when(F.col("low") & ~F.col("duplicate") & F.col("corrected_text").isNotNull(), v))  # others are skipped
     missing = F.col("corrected_text").isNull()
     reason = (
         F.when(~F.col("low"), "HIGH_CONFIDENCE")
