@@ -188,6 +188,52 @@ def letter_types(v: Views) -> DataFrame:
     return v.table("documents").select("doc_id", letters.letter_type(F.col("text")).alias("letter_type"), letters.registry_type(F.col("text")).alias("registry_type"), rules.is_sensitive(F.col("text")).alias("sensitive"))
 
 
+_HEADERS = ["Discharge  Summary of", "RX : take", "Laboratory report", "CT scan of", "Frimley Park Hospital", "seen at UHS", "Kettering", "aspirin 5 MG", "cardiac", "none", "arrived [3]", "arrived [77]", "diabetes note"]
+
+
+def _rule_of(of: list, column: str, default: str, pattern: bool = False) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    hit = lambda strings: f"regexp_matches({column}, {quoted('(?:' + '|'.join(strings) + ')')})" if pattern else " OR ".join(f"contains({column}, {quoted(x)})" for x in strings)
+    return "CASE " + " ".join(f"WHEN {hit(strings)} THEN {quoted(name)}" for name, strings in of) + f" ELSE {default} END"
+
+
+_ARRIVED = "CASE " + " ".join(f"WHEN code = '{k}' THEN '{v}'" for k, v in rules.ARRIVAL_METHODS.items()) + " WHEN code = '' THEN t ELSE 'Code ' || code END"
+
+
+@query(f"""WITH h AS (SELECT doc_id, {_HEADERS} AS headers, headers[doc_id % {len(_HEADERS)} + 1] || '. ' || text AS t, headers[doc_id % {len(_HEADERS)} + 1] || '_' || doc_id AS id FROM documents),
+x AS (SELECT *, lower(substring(t, 1, 1000)) AS top, lower(substring(t, 1, 800)) AS org, lower(t) AS low, regexp_extract(t, '\\[(\\d+)\\]', 1) AS code FROM h)
+SELECT doc_id, {_rule_of(rules.DOCUMENT_TYPES, "top", "'unknown'", True)} AS type, {_rule_of(rules.ID_TYPES, "lower(id)", "'unknown'")} AS id_type, {_rule_of(rules.ORGANISATIONS, "org", "'Unknown Trust'")} AS organisation,
+{_rule_of(rules.ENTITY_CLASSES, "low", "NULL")} AS entity_class, md5({_ARRIVED}) AS arrival_md5, md5(substring(t, 1, CASE WHEN doc_id % 2 = 0 THEN 1500 ELSE 4000 END)) AS scope_md5 FROM x""")
+def text_classes(v: Views) -> DataFrame:
+    """Types, organisations, entity classes, arrival methods and the scope of later stages, of documents with a header before them."""
+    header = F.get(F.array(*map(F.lit, _HEADERS)), (F.col("doc_id") % len(_HEADERS)).cast("int"))
+    t, kind = F.concat(header, F.lit(". "), "text"), F.when(F.col("doc_id") % 2 == 0, rules.PAGE_ONE_TYPES[0]).otherwise("Letter")
+    return v.table("documents").select(
+        "doc_id", rules.document_type(t).alias("type"), rules.type_from_id(F.concat(header, F.lit("_"), F.col("doc_id").cast("string"))).alias("id_type"), rules.organisation(t).alias("organisation"),
+        rules.entity_class(t).alias("entity_class"), F.md5(rules.arrival_method(t)).alias("arrival_md5"), F.md5(rules.page_scope(t, kind)).alias("scope_md5"),
+    )
+
+
+@query(f"""WITH {views.COMPONENTS}, u AS (SELECT doc_id, {_U("textract")} AS t, {_U("comprehend")} AS c, {_U("faiss")} AS f, {_U("llm_logprobs")} AS l FROM components),
+s AS (SELECT doc_id, round_even(0.25 * t + 0.25 * c + 0.25 * f + 0.25 * l, 6) AS computed FROM u),
+k AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN 0.9 WHEN 1 THEN 0.3 ELSE computed END AS score, CASE doc_id % 4 WHEN 0 THEN 0.95 ELSE 0.85 END AS threshold FROM s)
+SELECT doc_id, round(score, 6) AS score, threshold, CASE WHEN doc_id % 4 = 1 THEN 'stored_route' WHEN score >= threshold THEN 'bypass_database' ELSE 'human_review' END AS route, CASE WHEN score >= 0.85 THEN 'high' WHEN score >= 0.6 THEN 'medium' ELSE 'low' END AS band FROM k""")
+def confidence_bundles(v: Views) -> DataFrame:
+    """Computed scores, and stored ones that win over them: given as numbers in per cent, nested in a body, or not readable."""
+    units = v.components().select("doc_id", *[scores.unit_interval(F.col(k)).alias(k) for k in scores.COMPONENTS])
+    kind = F.col("doc_id") % 4
+    stored = F.when(kind == 0, '{"unified_confidence_score": "0.9", "threshold": "95"}').when(kind == 1, '{"body": "{\\"unified_confidence_score\\": 0.3, \\"route\\": \\"stored_route\\"}"}').when(kind == 2, "no json")
+    found = routing.confidence_bundle(units.withColumn("stored", stored))
+    return found.select("doc_id", r6("score").alias("score"), "threshold", "route", "band")
+
+
+@query()
+def text_accuracy(v: Views) -> DataFrame:
+    """Regions of documents against their corrections, as extracted and true texts."""
+    cases = v.proposals().select(F.concat_ws("-", F.col("doc_id").cast("string"), F.col("idx").cast("string")).alias("document_id"), F.col("a").alias("extracted"), F.col("b").alias("ground_truth"))
+    return metrics.text_accuracy(cases, 90.0)
+
+
 @query(f"""WITH {views.LETTERS}, t AS (SELECT *, {_first_rule(letters.LETTER_RULES)} AS letter_type FROM letters)
 SELECT c_custkey, letter_type, name, CASE WHEN c_custkey % 3 = 0 THEN 'Male' ELSE 'Female' END AS sex, nhs AS nhs_number, dob, hospital_number, 'Surgery of ' || n_name AS gp_practice,
 CASE WHEN contains(letter_type, 'Pregnancy') OR contains(letter_type, 'Mental Health Inpatient') OR contains(letter_type, 'ED Discharge') OR contains(letter_type, 'Paediatric Cardiology') OR letter_type = 'Ophthalmology Letter' THEN 'condition ' || lower(c_mktsegment) END AS diagnosis,
@@ -540,7 +586,7 @@ def validation_reports(v: Views) -> DataFrame:
 SELECT stage, max(n) AS n, round(avg(value), 6) AS avg, max(CASE WHEN k = floor((n - 1) * 0.95) THEN value END) AS p95, max(value) AS most FROM s GROUP BY 1""")
 def latency_summary(v: Views) -> DataFrame:
     rows = v.table("events").select(F.col("event_type").alias("stage"), F.col("value").alias("seconds"))
-    return metrics.latency_summary(rows, most=1000).select("stage", "n", r6("avg").alias("avg"), "p95", "most")
+    return metrics.latency_summary(rows).select("stage", "n", r6("avg").alias("avg"), "p95", "most")
 
 
 @query("""SELECT event_type, metric, count(value) AS n, round(avg(value), 6) AS mean, max(value) AS most FROM (
