@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from chartloom.functions import letters
+from chartloom.functions import letters, rules
 from chartloom.plans.views import Views
 
 SF = "/root/testdata/sf0.001"
@@ -27,3 +27,9 @@ def test_details_of_a_long_letter_take_linear_time(spark):
     text = "\n".join(f"line {i} of a long letter" for i in range(1_500)) + "\nNHS Number\n943 476 5919\nDOB\n01/02/1980\nRe: MRS JANE DOE\nGender: F"
     (found,), took = seconds(spark, letters.patient_info, text)
     assert (found.nhs_number, found.dob, found.sex, found.name) == ("943 476 5919", "01/02/1980", "Female", "JANE DOE") and took < 10
+
+
+def test_medications_of_a_long_line_take_linear_time(spark):
+    """Before, the rest of a run of words was read again from each of its words."""
+    (found,), took = seconds(spark, rules.medications, "word " * 40_000 + "\n" + "co-amoxiclav tablets  500 mg daily, then Aspirin 75 mg")
+    assert [(m.name, m.dose) for m in found] == [("co-amoxiclav tablets", "500 mg daily")] and took < 5
