@@ -64,12 +64,13 @@ def judged_approvals(states: DataFrame, approvals: DataFrame) -> DataFrame:
     """Approvals (document_id, request_id, user_id, approved_at, expected) with the state that they met and an outcome.
 
     A document without a state is pending at version 0. Of a document's requests that expect its version (or, with null, any) the earliest
-    is approved; all others are stale: what they were made on is no longer so.
+    is approved; all others are stale: what they were made on is no longer so. Equal times and ids are told apart by the user, so that the
+    outcome doesn't depend on the order of rows.
     """
     met = approvals.join(states.select("document_id", F.struct("status", "approved", "approved_by", "approved_at", "version").alias("before")), "document_id", "left")
     version = F.coalesce("before.version", F.lit(0).cast("long"))
     fits = F.coalesce(F.col("expected") == version, F.lit(True))
-    order = F.row_number().over(Window.partitionBy("document_id", fits).orderBy("approved_at", "request_id"))  # requests of one document in one batch
+    order = F.row_number().over(Window.partitionBy("document_id", fits).orderBy("approved_at", "request_id", "user_id"))  # requests of one document in one batch
     return met.withColumn("version", version).withColumn("outcome", F.when(fits & (order == 1), "approved").otherwise("stale"))
 
 

@@ -2,9 +2,12 @@
 
 import time
 
+import duckdb
 from pyspark.sql import functions as F
 
 from chartloom.functions import letters, rules
+from chartloom.operators import audit
+from chartloom.plans import catalogue
 from chartloom.plans.views import Views
 
 SF = "/root/testdata/sf0.001"
@@ -33,3 +36,38 @@ def test_medications_of_a_long_line_take_linear_time(spark):
     """Before, the rest of a run of words was read again from each of its words."""
     (found,), took = seconds(spark, rules.medications, "word " * 40_000 + "\n" + "co-amoxiclav tablets  500 mg daily, then Aspirin 75 mg")
     assert [(m.name, m.dose) for m in found] == [("co-amoxiclav tablets", "500 mg daily")] and took < 5
+
+
+def against_sql(spark, folder, name: str, **tables) -> list[tuple]:
+    """Rows of a query over small tables, after a comparison with its SQL."""
+    con = duckdb.connect()
+    for table, df in tables.items():
+        df.coalesce(1).write.mode("overwrite").parquet(f"{folder}/{table}.parquet")
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+    df = catalogue.queries()[name](spark, str(folder))
+    got = sorted((tuple(r) for r in df.collect()), key=repr)
+    assert got == sorted(con.sql(catalogue.oracle_sql()[name]).select(*df.columns).fetchall(), key=repr)
+    return got
+
+
+def documents(spark, *texts):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_words_end_at_letters_beyond_ascii_as_in_sql(spark, tmp_path):
+    turns = spark.createDataFrame([(1, 0, "user", "Echoé and chronic pain")], "conv_id long, turn long, role string, text string")
+    got = against_sql(spark, tmp_path, "keyword_terms", documents=documents(spark, "painé, but éanginaé", "no term", "Autism spectrum; Renal  cell, renal cell\nCT scan", "", "pain_x para"), conversations=turns)
+    assert {r[1] for r in got} == {"angina,pain", "", "autism,ct scan,renal cell", "para", "chronic pain,echo,pain"}
+
+
+def test_masked_names_end_at_letters_beyond_ascii_as_in_sql(spark, tmp_path):
+    got = against_sql(spark, tmp_path, "mask_patterns", documents=documents(spark, "Mr Garcés came", "éMrs Ann Lee, 1/2/2020é", "nothing", "MRN: 12345678 at 12 High Street", "xMr Jones"))
+    assert [r[2] for r in got] == [True, True, False, True, False]
+
+
+def test_equal_approvals_are_told_apart_whatever_their_order(spark):
+    states = spark.createDataFrame([], audit.STATES)
+    given = [("a", 1, u, "2024-01-01", None) for u in ("u3", "u1", "u2")]
+    for rows in (given, given[::-1], given[1:] + given[:1]):
+        judged = audit.judged_approvals(states, spark.createDataFrame(rows, "document_id string, request_id long, user_id string, approved_at string, expected long"))
+        assert [r.user_id for r in judged.filter("outcome = 'approved'").collect()] == ["u1"]
