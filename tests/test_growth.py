@@ -1,11 +1,14 @@
 """Work that has to grow no faster than its input, and results that an engine's own reading of patterns or ties could change."""
 
+import random
 import time
+from difflib import SequenceMatcher
 
 import duckdb
+import pandas as pd
 from pyspark.sql import functions as F
 
-from chartloom.functions import letters, rules
+from chartloom.functions import letters, rules, text
 from chartloom.operators import audit
 from chartloom.plans import catalogue
 from chartloom.plans.views import Views
@@ -27,8 +30,8 @@ def test_customers_letters_are_dealt_out(spark):
 
 def test_details_of_a_long_letter_take_linear_time(spark):
     """Before, what was looked for in all lines was looked for again from every line."""
-    text = "\n".join(f"line {i} of a long letter" for i in range(1_500)) + "\nNHS Number\n943 476 5919\nDOB\n01/02/1980\nRe: MRS JANE DOE\nGender: F"
-    (found,), took = seconds(spark, letters.patient_info, text)
+    letter = "\n".join(f"line {i} of a long letter" for i in range(1_500)) + "\nNHS Number\n943 476 5919\nDOB\n01/02/1980\nRe: MRS JANE DOE\nGender: F"
+    (found,), took = seconds(spark, letters.patient_info, letter)
     assert (found.nhs_number, found.dob, found.sex, found.name) == ("943 476 5919", "01/02/1980", "Female", "JANE DOE") and took < 10
 
 
@@ -71,3 +74,35 @@ def test_equal_approvals_are_told_apart_whatever_their_order(spark):
     for rows in (given, given[::-1], given[1:] + given[:1]):
         judged = audit.judged_approvals(states, spark.createDataFrame(rows, "document_id string, request_id long, user_id string, approved_at string, expected long"))
         assert [r.user_id for r in judged.filter("outcome = 'approved'").collect()] == ["u1"]
+
+
+def test_a_long_text_is_sliced_in_linear_time(spark):
+    """Before, every slice counted from the beginning of the text."""
+    given = "äb\n𝒳" * 500_000
+    (found,), took = seconds(spark, lambda t: F.transform(text.slice_text(t, 60), lambda s: F.struct(s.offset.alias("offset"), s.part.alias("part"))), given)
+    assert [(s.offset, s.part) for s in found] == [(k, given[k : k + 60]) for k in range(0, len(given), 60)] and took < 15
+    assert seconds(spark, lambda t: F.size(text.slice_text(t, 60)), "", None, "x" * 60, "x" * 61)[0] == [0, 0, 1, 2]
+
+
+def pairs(n: int, most: int) -> tuple[list[str], list[str]]:
+    r, a, b = random.Random(7), [], []
+    for _ in range(n):
+        of = r.choice(["ab", "abcé", "abcdefgh ", "e c𝒳"])
+        a.append("".join(r.choices(of, k=r.randint(0, most))))
+        b.append("".join(r.choices(of, k=r.randint(0, most))) if r.random() < 0.5 else a[-1].replace(r.choice(of), r.choice(of), r.randint(0, 9)))
+    return a, b
+
+
+def test_matching_blocks_are_the_standard_librarys():
+    a, b = pairs(3_000, 70)
+    a, b = [*a, "ab " * 40, "x", None], [*b, "b a" * 90, "ab " * 90, "y"]
+    plain = lambda x: " ".join((x or "").lower().split())
+    assert text.sequence_ratio.func(pd.Series(a), pd.Series(b)).tolist() == [SequenceMatcher(None, plain(x), plain(y)).ratio() for x, y in zip(a, b, strict=True)]
+    assert all(text.matched(x, y) == sum(m.size for m in SequenceMatcher(None, x, y).get_matching_blocks()) for x, y in zip(*pairs(500, 40), strict=True))
+
+
+def test_edits_are_levenshteins(spark):
+    a, b = pairs(2_000, 40)
+    a, b = [*a, "", None, "a\0", "a" * 3_000, "x"], [*b, "", "x", "a", "a" * 2_990 + "b", None]
+    df = spark.createDataFrame(list(zip(a, b, strict=True)), "a string, b string").select(text.edits(F.col("a"), F.col("b")).alias("n"), F.levenshtein("a", "b").alias("m"))
+    assert all(r.n == r.m for r in df.collect())
