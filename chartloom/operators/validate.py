@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chartloom.functions import text
 from chartloom.operators.coding import drug_lookup, map_terms
@@ -157,16 +158,32 @@ def critical_terms(summaries: DataFrame) -> DataFrame:
 _TERM = r"\b[a-zA-Z0-9][a-zA-Z0-9\-./]*\b"
 
 
+def _plain(c) -> Column:
+    return F.array_join(text.words(F.lower(c)), " ")
+
+
+def _tokens(c) -> Column:
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(_TERM), F.lit(0)))
+
+
+def read_source(source: Column) -> Column:
+    """A source as ``term_deviation`` looks at it; made before a document's terms become rows, it is made once a document."""
+    return text.let(_plain(source), lambda s: F.struct(s.alias("text"), _tokens(s).alias("tokens")))
+
+
 def term_deviation(terms: DataFrame, source: str = "source_text", exact: bool = True) -> DataFrame:
-    """Add deviation, 0 for a term that the source holds to 1. Only terms that the cheap tests leave are aligned."""
-    plain = lambda c: F.array_join(text.words(F.lower(c)), " ")
-    t = terms.withColumn("_t", plain("term")).withColumn("_s", plain(source))
-    tokens = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(_TERM), F.lit(0)))
-    shares = t.withColumn("_o", text.overlap_ratio(tokens("_t"), tokens("_s")))
+    """Add deviation, 0 for a term that the source holds to 1. Only terms that the cheap tests leave are aligned.
+
+    The source is a text, or what ``read_source`` makes of it.
+    """
+    read = F.col(source) if isinstance(terms.schema[source].dataType, T.StructType) else read_source(F.col(source))
+    tokens = _tokens
+    t = terms.withColumn("_t", _plain("term")).withColumn("_p", read).withColumns({"_s": F.col("_p.text")})
+    shares = t.withColumn("_o", text.overlap_ratio(tokens("_t"), F.col("_p.tokens"))).drop("_p")
     easy = (F.col("_t") == "") | (F.col("_s") == "") | F.contains("_s", "_t") | (F.col("_o") >= 1) | (F.size(tokens("_t")) == 0)
     cheap = F.when(F.col("_t") == "", 0.0).when(F.col("_s") == "", 1.0).when(F.contains("_s", "_t"), 0.0).when(F.size(tokens("_t")) == 0, 1.0).otherwise(1 - F.col("_o"))
     done = shares.filter(easy).withColumn("deviation", cheap)
-    hard = shares.filter(~easy).withColumn("deviation", 1 - (F.greatest("_o", text.sequence_ratio("_t", "_s")) if exact else F.col("_o")))
+    hard = shares.filter(~easy).withColumn("deviation", 1 - (text.ratio_from("_t", "_s", "_o") if exact else F.col("_o")))
     return done.unionByName(hard).drop("_t", "_s", "_o")
 
 

@@ -117,3 +117,14 @@ def test_many_strings_are_searched_fast_and_first_rules_win(spark, tmp_path):
     assert len({r[1] for r in got}) > 15 and len({r[2] for r in got}) > 12
     (a, b), took = seconds(spark, letters.letter_type, "prose of no kind " * 1_000_000, None)
     assert a == b == "Clinical Letter" and took < 8
+
+
+def test_terms_are_aligned_only_where_that_can_count():
+    """A term of four words against a long source: the lengths alone keep the ratio below a share of a quarter."""
+    a, b = pairs(1_500, 60)
+    least = [(k % 5) / 4 for k in range(1_500)]
+    ratio = text.sequence_ratio.func(pd.Series(a), pd.Series(b))
+    assert text.ratio_from.func(pd.Series(a), pd.Series(b), pd.Series(least)).tolist() == [max(x, y) for x, y in zip(ratio, least, strict=True)]
+    began = time.monotonic()
+    assert text.ratio_from.func(pd.Series(["one two three four"] * 20_000), pd.Series(["another long source " * 500] * 20_000), pd.Series([0.25] * 20_000)).eq(0.25).all()
+    assert time.monotonic() - began < 4
