@@ -70,17 +70,23 @@ def check_schema(summaries: DataFrame) -> DataFrame:
     return _rows(summaries, 1, *[_check(f"schema_{k}", F.coalesce(F.regexp_like(found[k], F.lit(f"^({t})")), F.lit(False)), "error", f"field {k}") for k, t in kinds.items()])
 
 
-def in_source(term: Column, source: Column, least: int) -> Column:
+def in_source(term: Column, source: Column, least: int, lowered: bool = False) -> Column:
     """Whether a term, or one of its words of more than ``least`` letters, occurs in a text."""
-    t, s = F.lower(F.trim(term)), F.lower(source)
+    t, s = F.lower(F.trim(term)), source if lowered else F.lower(source)
     return F.contains(s, t) | F.exists(text.words(t), lambda w: (F.length(w) > least) & F.contains(s, w))
 
 
+def _with_source(summaries: DataFrame, listed: str, name: str) -> DataFrame:
+    """A row per item with its source in lower case; what is looked for in a source is looked for before joins, which then don't shuffle a source per item."""
+    low = summaries.withColumn("_source", F.lower("source_text"))
+    return low.select(*KEYS, "_source", F.posexplode(listed).alias("idx", name))
+
+
 def check_medications(summaries: DataFrame, drugs: DataFrame) -> DataFrame:
-    meds = summaries.select(*KEYS, "source_text", F.posexplode("s.medications").alias("idx", "m")).select(*KEYS, "source_text", "idx", "m.name")
+    whole, inside = F.contains("_source", F.lower(F.trim("name"))), in_source(F.col("name"), F.col("_source"), 3, lowered=True)
+    meds = _with_source(summaries, "s.medications", "m").select(*KEYS, "_source", "idx", "m.name").withColumns({"whole": whole, "inside": inside}).drop("_source")
     known = drug_lookup(meds, drugs)
-    whole = F.contains(F.lower("source_text"), F.lower(F.trim("name")))
-    return _rows(known, 2, _check("medication_reference", F.col("found"), "error", F.concat("name", F.lit(" in the reference"))), F.when(~whole, _check("medication_source_crossref", in_source(F.col("name"), F.col("source_text"), 3), "warning", F.concat("name", F.lit(" in the source")))))
+    return _rows(known, 2, _check("medication_reference", F.col("found"), "error", F.concat("name", F.lit(" in the reference"))), F.when(~F.col("whole"), _check("medication_source_crossref", F.col("inside"), "warning", F.concat("name", F.lit(" in the source")))))
 
 
 def check_dosages(summaries: DataFrame) -> DataFrame:
@@ -94,10 +100,10 @@ def check_dosages(summaries: DataFrame) -> DataFrame:
 
 
 def check_diagnoses(summaries: DataFrame, dictionary: DataFrame) -> DataFrame:
-    dx = summaries.select(*KEYS, "source_text", F.posexplode("s.diagnoses").alias("idx", "d")).withColumn("term", F.lower(F.trim("d")))
-    mapped = map_terms(dx, dictionary)
+    dx = _with_source(summaries, "s.diagnoses", "d").withColumn("term", F.lower(F.trim("d")))
+    mapped = map_terms(dx.withColumn("inside", in_source(F.col("term"), F.col("_source"), 4, lowered=True)).drop("_source"), dictionary)
     empty = F.coalesce(F.col("term") == "", F.lit(True))
-    return _rows(mapped, 4, F.when(empty, _check("diagnosis_present", F.lit(False), "error", "diagnosis is empty")).otherwise(_check("diagnosis_code", F.col("code").isNotNull(), "warning", F.col("term"))), F.when(~empty, _check("diagnosis_source_crossref", in_source(F.col("term"), F.col("source_text"), 4), "error", F.col("term"))))
+    return _rows(mapped, 4, F.when(empty, _check("diagnosis_present", F.lit(False), "error", "diagnosis is empty")).otherwise(_check("diagnosis_code", F.col("code").isNotNull(), "warning", F.col("term"))), F.when(~empty, _check("diagnosis_source_crossref", F.col("inside"), "error", F.col("term"))))
 
 
 def hallucination(summaries: DataFrame, candidate: Column, source: Column, limit: float = 0.25, sample: int = 15) -> DataFrame:

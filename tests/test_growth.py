@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from chartloom.functions import letters, rules, text
-from chartloom.operators import audit
+from chartloom.operators import audit, validate
 from chartloom.plans import catalogue
 from chartloom.plans.views import Views
 
@@ -128,3 +128,19 @@ def test_terms_are_aligned_only_where_that_can_count():
     began = time.monotonic()
     assert text.ratio_from.func(pd.Series(["one two three four"] * 20_000), pd.Series(["another long source " * 500] * 20_000), pd.Series([0.25] * 20_000)).eq(0.25).all()
     assert time.monotonic() - began < 4
+
+
+def test_sources_are_not_shuffled_with_their_items(spark):
+    """Before, a row per medication or diagnosis took its document's whole source through the join."""
+    s = F.struct(F.expr("array(named_struct('name', concat('drug ', id)))").alias("medications"), F.expr("array(concat('term ', id))").alias("diagnoses"))
+    given = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("r").alias("role"), F.concat(F.lit("Drug 1 and term "), F.col("id")).alias("source_text"), s.alias("s"))
+    drugs = spark.range(20).select(F.concat(F.lit("Drug "), "id").alias("name"), F.array(F.lit("x")).alias("aliases"))
+    terms = spark.range(20).select(F.concat(F.lit("term "), "id").alias("term"), F.lit("c").alias("dict_code"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (validate.check_medications(given, drugs), validate.check_diagnoses(given, terms)):
+            plan = df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+            shuffled = [part.splitlines()[1] for part in plan.split("\n\n") if "Exchange\n" in part and "Input" in part]
+            assert shuffled and not any("source" in columns for columns in shuffled)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
