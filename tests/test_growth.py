@@ -57,6 +57,16 @@ def documents(spark, *texts):
     return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
 
 
+def test_the_sex_of_a_letter_is_inferred_from_its_text(spark, tmp_path):
+    """Before, two constants were looked into, so it was null for every letter. A label wins over titles; signs of both sexes say nothing."""
+    nations = spark.createDataFrame([(0, "NORWAY"), (1, "HIS ISLAND"), (2, "SPAIN, Sex: F")], "n_nationkey int, n_name string")
+    given = [(3, 0, "MACHINERY"), (4, 0, "BUILDING"), (5, 0, "BUILDING"), (6, 0, "HER"), (7, 1, "BUILDING"), (9, 1, "BUILDING"), (9, 1, "BUILDING"), (12, 2, "MACHINERY")]
+    customers = spark.createDataFrame(given, "c_custkey long, c_nationkey int, c_mktsegment string")
+    got = against_sql(spark, tmp_path, "letter_details", customer=customers, nation=nations)
+    told = {3: ("Male", "Male"), 4: ("Female", "Female"), 5: ("Female", "Female"), 6: ("Male", None), 7: ("Female", None), 9: ("Male", "Male"), 12: ("Male", "Female")}
+    assert len(got) == 8 and {r[0]: (r[3], r[-1]) for r in got} == told
+
+
 def test_words_end_at_letters_beyond_ascii_as_in_sql(spark, tmp_path):
     turns = spark.createDataFrame([(1, 0, "user", "Echoé and chronic pain")], "conv_id long, turn long, role string, text string")
     got = against_sql(spark, tmp_path, "keyword_terms", documents=documents(spark, "painé, but éanginaé", "no term", "Autism spectrum; Renal  cell, renal cell\nCT scan", "", "pain_x para"), conversations=turns)
